@@ -10,7 +10,7 @@ from __future__ import annotations
 # labelled relation L with names (general family)
 L = """
 L AS (
-  SELECT d.doc_id, d.text AS sentence,
+  SELECT d.doc_id, d.text AS sentence, d.lang, d.source,
          CAST(CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS INTEGER) AS label
   FROM documents d JOIN labels l USING (doc_id)),
 LN AS (
@@ -83,3 +83,318 @@ FROM J"""
 ORACLE["sample_rows"] = with_(L) + """
 SELECT doc_id, label_name, substr(sentence, 1, 80) AS preview
 FROM LN ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)) LIMIT 5"""
+
+
+# ---------------------------------------------------------------------------
+# SQL building blocks for text / heads
+# ---------------------------------------------------------------------------
+from lexlab.constants import STRIP_CHARS  # noqa: E402
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+WS = lit(STRIP_CHARS)
+SPLIT_RE = r"'[^\p{L}\p{N}_]+'"
+
+
+def tokens_sql(col: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({col}), {SPLIT_RE}), lambda t: t <> '')"
+
+
+def idx_sql(tokens: str, d: int) -> str:
+    return (f"list_transform({tokens}, lambda t: CAST((('0x' || substr(md5(t), 1, 8))::BIGINT) % {d}"
+            f" AS INTEGER))")
+
+
+def unit_sql(text_expr: str) -> str:
+    return f"((('0x' || substr(md5({text_expr}), 1, 8))::BIGINT)::DOUBLE / 4294967295.0::DOUBLE)"
+
+
+def fold_sql(idx: str, arr: str) -> str:
+    return f"list_reduce(list_transform({idx}, lambda i: {arr}[i + 1]), lambda a, b: a + b, 0.0::DOUBLE)"
+
+
+def dense_fold_sql(vec: str, arr: str) -> str:
+    return (f"list_reduce(list_transform({vec}, lambda x, k: x::DOUBLE * {arr}[k]), "
+            f"lambda a, b: a + b, 0.0::DOUBLE)")
+
+
+def weights_cte(name: str, seed: int, n_classes: int, dim: int) -> str:
+    """One row: w0..w{C-1}, each a list of ``dim`` fixed-head weights."""
+    cols = ", ".join(f"any_value(wl) FILTER (WHERE c = {c}) AS w{c}" for c in range(n_classes))
+    return f"""
+{name} AS (
+  SELECT {cols} FROM (
+    SELECT c, list(w ORDER BY j) AS wl FROM (
+      SELECT c.range AS c, j.range AS j,
+             {unit_sql(f"'w:{seed}:' || c.range || ':' || j.range")} - 0.5::DOUBLE AS w
+      FROM range({n_classes}) c, range({dim}) j) GROUP BY c))"""
+
+
+def predict_sql(src: str, lg: str = "lg") -> str:
+    """SELECT adding pred (first argmax) and confidence (softmax at pred)."""
+    return f"""(SELECT * EXCLUDE (_m, _e),
+          list_reduce(_e, lambda a, b: a + b, 0.0::DOUBLE) AS _s FROM (
+     SELECT *, list_transform({lg}, lambda x: exp(x - _m)) AS _e FROM (
+       SELECT *, list_max({lg}) AS _m, CAST(list_position({lg}, list_max({lg})) - 1 AS INTEGER) AS pred
+       FROM {src})))"""
+
+
+def predicted_cte(name: str, src: str, lg: str = "lg") -> str:
+    """CTE ``name`` = src + pred + confidence."""
+    return f"""
+{name} AS (
+  SELECT * EXCLUDE (_s, _e2), _e2 / _s AS confidence FROM (
+    SELECT *, list_transform({lg}, lambda x: exp(x - list_max({lg})))[pred + 1] AS _e2
+    FROM {predict_sql(src, lg)}))"""
+
+
+def nb_ctes(prefix: str, src: str, n_classes: int = 3, d: int = 1024) -> str:
+    """NB tables from the train rows of ``src`` (columns label, idx, split):
+    {prefix}_T one row with t0..t{C-1} (log theta lists) and p0.. (log priors)."""
+    tcols = ", ".join(f"any_value(tl) FILTER (WHERE label = {c}) AS t{c}" for c in range(n_classes))
+    pcols = ", ".join(f"any_value(lp) FILTER (WHERE label = {c}) AS p{c}" for c in range(n_classes))
+    return f"""
+{prefix}_C AS (SELECT label, i, count(*) AS n FROM (
+    SELECT label, unnest(idx) AS i FROM {src} WHERE split = 'train') GROUP BY label, i),
+{prefix}_TOT AS (SELECT label, sum(n) AS tot FROM {prefix}_C GROUP BY label),
+{prefix}_D AS (SELECT label, count(*) AS d FROM {src} WHERE split = 'train' GROUP BY label),
+{prefix}_TH AS (
+  SELECT g.c AS label, list(ln((coalesce(n.n, 0) + 1.0::DOUBLE) / (coalesce(t.tot, 0) + 1024.0::DOUBLE))
+                            ORDER BY g.j) AS tl
+  FROM (SELECT c.range AS c, j.range AS j FROM range({n_classes}) c, range({d}) j) g
+  LEFT JOIN {prefix}_C n ON n.label = g.c AND n.i = g.j
+  LEFT JOIN {prefix}_TOT t ON t.label = g.c
+  GROUP BY g.c),
+{prefix}_PR AS (SELECT label, ln(d::DOUBLE / (sum(d) OVER ())::DOUBLE) AS lp FROM {prefix}_D),
+{prefix}_T AS (
+  SELECT * FROM (SELECT {tcols} FROM {prefix}_TH), (SELECT {pcols} FROM {prefix}_PR))"""
+
+
+def text_p_ctes(seed: int = 42) -> str:
+    """L -> SPLIT -> TOK(idx) -> FIX (fixed head) -> NB -> P(model_id, doc_id, split, label, lang,
+    pred, confidence)."""
+    scale = "(1.0::DOUBLE / sqrt(greatest(len(idx), 1)::DOUBLE))"
+    fixed_lg = "[" + ", ".join(f"{fold_sql('idx', f'w{c}')} * {scale}" for c in range(3)) + "]"
+    nb_lg = "[" + ", ".join(f"{fold_sql('idx', f't{c}')} + p{c}" for c in range(3)) + "]"
+    return ",".join([
+        L.strip("\n"), split_cte("LN", "doc_id").strip("\n"),
+        f"""
+TOK AS (SELECT doc_id, split, label, lang, sentence, {idx_sql(tokens_sql('sentence'), 1024)} AS idx
+        FROM SPLIT)""".strip("\n"),
+        weights_cte("FW", seed, 3, 1024).strip("\n"),
+        f"""
+FIXL AS (SELECT TOK.*, {fixed_lg} AS lg FROM TOK, FW)""".strip("\n"),
+        predicted_cte("FIX", "FIXL").strip("\n"),
+        nb_ctes("NB", "TOK").strip("\n"),
+        f"""
+NBL AS (SELECT TOK.*, {nb_lg} AS lg FROM TOK, NB_T)""".strip("\n"),
+        predicted_cte("NBP", "NBL").strip("\n"),
+        f"""
+P AS (
+  SELECT 'fixed_s{seed}' AS model_id, doc_id, split, label, lang, pred, confidence FROM FIX
+  UNION ALL
+  SELECT 'nb' AS model_id, doc_id, split, label, lang, pred, confidence FROM NBP)""".strip("\n"),
+    ])
+
+
+def confusion_cte(src: str = "P", groups: str = "model_id, split", n_classes: int = 3) -> str:
+    return f"""
+CELLS AS (SELECT {groups}, label, pred, count(*) AS n FROM {src} GROUP BY {groups}, label, pred),
+GRID AS (SELECT g.*, a.range AS label, b.range AS pred
+         FROM (SELECT DISTINCT {groups} FROM CELLS) g, range({n_classes}) a, range({n_classes}) b),
+CM AS (SELECT g.*, CAST(coalesce(c.n, 0) AS BIGINT) AS n_cell FROM GRID g
+       LEFT JOIN CELLS c USING ({groups}, label, pred)),
+PC0 AS (
+  SELECT {groups}, cls AS class, sum(sup) AS support, sum(tp) AS tp, sum(prd) AS predicted FROM (
+    SELECT {groups}, label AS cls, n_cell AS sup, CASE WHEN label = pred THEN n_cell ELSE 0 END AS tp,
+           0 AS prd FROM CM
+    UNION ALL
+    SELECT {groups}, pred AS cls, 0, 0, n_cell FROM CM) GROUP BY {groups}, cls),
+PC AS (
+  SELECT *, (2 * prec * rec) / nullif(prec + rec, 0) AS f1_raw FROM (
+    SELECT *, coalesce(tp::DOUBLE / nullif(predicted, 0)::DOUBLE, 0.0) AS prec,
+              coalesce(tp::DOUBLE / nullif(support, 0)::DOUBLE, 0.0) AS rec,
+              (support > 0 OR predicted > 0) AS observed FROM PC0)),
+PCF AS (SELECT * EXCLUDE (f1_raw), coalesce(f1_raw, 0.0) AS f1 FROM PC),
+SUMM AS (
+  SELECT {groups}, CAST(sum(support) AS BIGINT) AS n,
+         coalesce(sum(tp)::DOUBLE / nullif(sum(support), 0)::DOUBLE, 0.0) AS accuracy,
+         avg(prec) FILTER (WHERE observed) AS macro_precision,
+         avg(rec) FILTER (WHERE observed) AS macro_recall,
+         avg(f1) FILTER (WHERE observed) AS macro_f1,
+         coalesce(sum(prec * support) / nullif(sum(support), 0)::DOUBLE, 0.0) AS weighted_precision,
+         coalesce(sum(rec * support) / nullif(sum(support), 0)::DOUBLE, 0.0) AS weighted_recall,
+         coalesce(sum(f1 * support) / nullif(sum(support), 0)::DOUBLE, 0.0) AS weighted_f1
+  FROM PCF GROUP BY {groups})"""
+
+
+# ---------------------------------------------------------------------------
+# stage 2: corpus lines
+# ---------------------------------------------------------------------------
+ONE_LINE = "translate(sentence, chr(13) || chr(10), '  ')"
+
+
+def parse_sql(src: str) -> str:
+    """Rows of ``src`` (doc_id, line) with sentence / label / reason."""
+    return f"""
+PARSE0 AS (SELECT doc_id, line, split_part(line, '@', -1) AS tail, strpos(line, '@') > 0 AS has
+           FROM {src}),
+PARSED AS (
+  SELECT doc_id, line,
+         CASE WHEN has THEN trim(left(line, length(line) - length(tail) - 1), {WS}) END AS sentence,
+         CAST(CASE WHEN has THEN CASE trim(tail, {WS}) WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1
+                                      WHEN 'positive' THEN 2 END END AS INTEGER) AS label
+  FROM PARSE0),
+PARSED_R AS (
+  SELECT *, CASE WHEN line IS NULL OR strpos(line, '@') = 0 THEN 'no_delimiter'
+                 WHEN label IS NULL THEN 'unknown_label' END AS reason FROM PARSED)"""
+
+
+ORACLE["parse_labelled_lines"] = with_(L, f"""
+LINES AS (SELECT doc_id, {ONE_LINE} || '@' || label_name AS line FROM LN)""", parse_sql("LINES")) + """
+SELECT doc_id, sentence, label FROM PARSED_R WHERE reason IS NULL"""
+
+ORACLE["parse_quarantine"] = with_(L, f"""
+LINES AS (
+  SELECT doc_id,
+         CASE substr(md5('dmg:' || CAST(doc_id AS VARCHAR)), 1, 1)
+              WHEN '0' THEN replace({ONE_LINE}, '@', '')
+              WHEN '1' THEN {ONE_LINE} || '@mixed'
+              ELSE {ONE_LINE} || '@' || label_name END AS line
+  FROM LN)""", parse_sql("LINES")) + """
+SELECT doc_id, reason, line FROM PARSED_R WHERE reason IS NOT NULL"""
+
+ORACLE["select_agreement"] = with_(L, f"""
+AG AS (SELECT doc_id, label_name, {unit_sql("'agree:' || CAST(doc_id AS VARCHAR)")} AS u FROM LN)""") + """
+SELECT doc_id, label_name, agreement_pct FROM (
+  SELECT doc_id, label_name,
+         CAST(CASE WHEN u < 0.40 THEN 100 WHEN u < 0.65 THEN 75 WHEN u < 0.85 THEN 66 ELSE 50 END
+              AS INTEGER) AS agreement_pct FROM AG)
+WHERE agreement_pct >= 66"""
+
+# ---------------------------------------------------------------------------
+# stage 5: text, padding, scoring
+# ---------------------------------------------------------------------------
+ORACLE["tokenize_truncate"] = f"""
+WITH T AS (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents)
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(least(len(toks), 128) AS BIGINT) AS n_kept,
+       array_to_string(toks[1:128], ' ') AS tokens_text
+FROM T"""
+
+ORACLE["vocab_counts"] = f"""
+WITH T AS (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents),
+D AS (SELECT doc_id, token, count(*) AS c FROM T GROUP BY doc_id, token)
+SELECT token, CAST(sum(c) AS BIGINT) AS n_occurrences, CAST(count(*) AS BIGINT) AS n_docs
+FROM D GROUP BY token"""
+
+ORACLE["pad_batches"] = f"""
+WITH NB AS (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) AS nb FROM documents),
+I AS (SELECT doc_id,
+             list_transform({idx_sql(tokens_sql('text'), 32768)}[1:128], lambda i: i + 1) AS ids
+      FROM documents),
+B AS (SELECT I.*, CAST((('0x' || substr(md5('batch:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT) % nb
+                       AS INTEGER) AS bucket FROM I, NB),
+R AS (SELECT *, CAST((row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // 32 AS BIGINT)
+                AS batch_no, CAST(len(ids) AS BIGINT) AS seq_len FROM B),
+M AS (SELECT *, max(seq_len) OVER (PARTITION BY bucket, batch_no) AS padded_len FROM R)
+SELECT doc_id, bucket, batch_no, seq_len, padded_len,
+       array_to_string(list_resize(ids, padded_len, 0), ' ') AS input_ids_text,
+       seq_len AS mask_sum
+FROM M"""
+
+
+def emb_fixed_sql(seed: int = 42, n_classes: int = 10, dim: int = 64) -> str:
+    lg = "[" + ", ".join(dense_fold_sql("embedding", f"w{c}") for c in range(n_classes)) + "]"
+    return ",".join([weights_cte("EW", seed, n_classes, dim).strip("\n"),
+                     f"\nEL AS (SELECT vec_id, label, {lg} AS lg FROM embeddings, EW)".strip("\n"),
+                     predicted_cte("EP", "EL").strip("\n")])
+
+
+ORACLE["score_fixed_head"] = with_(emb_fixed_sql()) + """
+SELECT vec_id, label, pred, round(confidence, 6) AS confidence FROM EP"""
+
+
+def score_new_text_sql() -> str:
+    nb_lg = "[" + ", ".join(f"{fold_sql('idx', f't{c}')} + p{c}" for c in range(3)) + "]"
+    return with_(L, split_cte("LN", "doc_id"), f"""
+TOK AS (SELECT doc_id, split, label, {idx_sql(tokens_sql('sentence'), 1024)} AS idx FROM SPLIT)""",
+                 nb_ctes("NB", "TOK"), f"""
+NEW AS (SELECT d.doc_id, d.text, {idx_sql(tokens_sql('d.text'), 1024)} AS idx
+        FROM documents d ANTI JOIN labels l USING (doc_id)),
+NL AS (SELECT NEW.*, {nb_lg} AS lg FROM NEW, NB_T)""", predicted_cte("NP", "NL")) + """,
+NP2 AS (SELECT *, list_transform(lg, lambda x: exp(x - list_max(lg))) AS e FROM NP),
+NP3 AS (SELECT *, list_transform(e, lambda x: x / list_reduce(e, lambda a, b: a + b, 0.0::DOUBLE)) AS p
+        FROM NP2)
+SELECT doc_id, ['negative', 'neutral', 'positive'][pred + 1] AS prediction,
+       upper(['negative', 'neutral', 'positive'][pred + 1]) AS prediction_upper,
+       round(confidence, 6) AS confidence,
+       printf('negative: %.3f, neutral: %.3f, positive: %.3f', p[1], p[2], p[3]) AS scores_text,
+       substr(text, 1, 80) AS preview
+FROM NP3"""
+
+
+ORACLE["score_new_text"] = score_new_text_sql()
+
+# ---------------------------------------------------------------------------
+# stage 4: metrics over P
+# ---------------------------------------------------------------------------
+P_WITH = "WITH " + text_p_ctes(42) + "," + confusion_cte().strip("\n") + "\n"
+NAMES = "['negative', 'neutral', 'positive']"
+
+ORACLE["confusion_long"] = P_WITH + """
+SELECT model_id, split, label, pred, n_cell AS n FROM CM"""
+
+ORACLE["confusion_wide"] = P_WITH + """
+SELECT model_id, split, label,
+       CAST(sum(n_cell) FILTER (WHERE pred = 0) AS BIGINT) AS pred_0,
+       CAST(sum(n_cell) FILTER (WHERE pred = 1) AS BIGINT) AS pred_1,
+       CAST(sum(n_cell) FILTER (WHERE pred = 2) AS BIGINT) AS pred_2
+FROM CM GROUP BY model_id, split, label"""
+
+ORACLE["classification_report"] = P_WITH + f"""
+SELECT model_id, split, {NAMES}[class + 1] AS row_name, round(prec, 6) AS precision,
+       round(rec, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM PCF
+UNION ALL
+SELECT model_id, split, 'accuracy', NULL, NULL, round(accuracy, 6), n FROM SUMM
+UNION ALL
+SELECT model_id, split, 'macro avg', round(macro_precision, 6), round(macro_recall, 6),
+       round(macro_f1, 6), n FROM SUMM
+UNION ALL
+SELECT model_id, split, 'weighted avg', round(weighted_precision, 6), round(weighted_recall, 6),
+       round(weighted_f1, 6), n FROM SUMM"""
+
+ORACLE["macro_f1"] = P_WITH + """
+SELECT model_id, split, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy, n FROM SUMM"""
+
+ORACLE["paired_compare"] = P_WITH + """
+, PW AS (SELECT a.split, a.label, a.pred AS pred_a, b.pred AS pred_b
+         FROM P a JOIN P b ON a.doc_id = b.doc_id AND a.model_id = 'fixed_s42' AND b.model_id = 'nb')
+SELECT split, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN pred_a = label AND pred_b = label THEN 1 ELSE 0 END) AS BIGINT) AS both_right,
+       CAST(sum(CASE WHEN pred_a = label AND pred_b <> label THEN 1 ELSE 0 END) AS BIGINT) AS only_a,
+       CAST(sum(CASE WHEN pred_a <> label AND pred_b = label THEN 1 ELSE 0 END) AS BIGINT) AS only_b,
+       CAST(sum(CASE WHEN pred_a <> label AND pred_b <> label THEN 1 ELSE 0 END) AS BIGINT) AS both_wrong,
+       CAST(sum(CASE WHEN pred_a = pred_b THEN 1 ELSE 0 END) AS BIGINT) AS agree
+FROM PW GROUP BY split"""
+
+ORACLE["lift"] = P_WITH + """
+, F AS (SELECT model_id, split, round(macro_f1, 6) AS macro_f1 FROM SUMM),
+W AS (SELECT split, max(macro_f1) FILTER (WHERE model_id = 'fixed_s42') AS base_f1,
+             max(macro_f1) FILTER (WHERE model_id = 'nb') AS adapted_f1 FROM F GROUP BY split)
+SELECT split, base_f1, adapted_f1, round(adapted_f1 - base_f1, 6) AS abs_lift,
+       round((adapted_f1 - base_f1) / nullif(base_f1, 0) * 100, 6) AS rel_lift_pct FROM W"""
+
+ORACLE["calibration_ece"] = P_WITH + """
+, RB AS (SELECT model_id, split, CAST(least(floor(confidence * 10), 9) AS INTEGER) AS bin,
+                CAST(count(*) AS BIGINT) AS n,
+                avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END::DOUBLE) AS accuracy,
+                avg(confidence) AS avg_confidence
+         FROM P GROUP BY ALL),
+RG AS (SELECT *, abs(accuracy - avg_confidence) AS gap FROM RB),
+RE AS (SELECT *, sum(n * gap) OVER (PARTITION BY model_id, split)
+                 / sum(n) OVER (PARTITION BY model_id, split) AS ece FROM RG)
+SELECT model_id, split, bin, n, round(accuracy, 6) AS accuracy, round(avg_confidence, 6) AS avg_confidence,
+       round(gap, 6) AS gap, round(ece, 6) AS ece FROM RE"""

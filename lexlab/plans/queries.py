@@ -69,3 +69,143 @@ def q_split_disjoint(spark, sf_dir):
 def q_sample_rows(spark, sf_dir):
     s = spl.sample_rows(fx.labelled(spark, sf_dir), n=5, key_col="doc_id", seed=42)
     return s.select("doc_id", "label_name", F.substring("sentence", 1, 80).alias("preview"))
+
+
+# ---- stage 2: corpus lines ------------------------------------------------
+from lexlab.functions.exprs import one_line, seeded_md5  # noqa: E402
+from lexlab.sources import corpus as cor  # noqa: E402
+
+
+@query("parse_labelled_lines")
+def q_parse_labelled_lines(spark, sf_dir):
+    lines = fx.corpus_lines(fx.labelled(spark, sf_dir))
+    return cor.good_rows(cor.parse_lines(lines)).select("doc_id", "sentence", "label")
+
+
+def damaged_lines(spark, sf_dir):
+    """Corpus lines with deterministic damage: ~1/16 lose every delimiter,
+    ~1/16 carry an unknown label."""
+    L = fx.labelled(spark, sf_dir)
+    k = F.substring(seeded_md5("dmg", "doc_id"), 1, 1)
+    text = one_line("sentence")
+    line = (F.when(k == "0", F.regexp_replace(text, "@", ""))
+            .when(k == "1", F.concat(text, F.lit("@mixed")))
+            .otherwise(F.concat(text, F.lit("@"), F.col("label_name"))))
+    return L.select("doc_id", line.alias("line"))
+
+
+@query("parse_quarantine")
+def q_parse_quarantine(spark, sf_dir):
+    parsed = cor.parse_lines(damaged_lines(spark, sf_dir))
+    return cor.quarantine_rows(parsed).select("doc_id", "reason", "line")
+
+
+@query("select_agreement")
+def q_select_agreement(spark, sf_dir):
+    L = cor.with_agreement_level(fx.labelled(spark, sf_dir), "doc_id")
+    return cor.select_agreement(L, "66").select("doc_id", "label_name", "agreement_pct")
+
+
+# ---- stage 5: text, padding, scoring ------------------------------------------
+from lexlab.operators import heads as H  # noqa: E402
+from lexlab.operators import metrics as M  # noqa: E402
+from lexlab.operators import text as T  # noqa: E402
+from lexlab.plans import scoring as S  # noqa: E402
+from lexlab.functions.exprs import argmax, format_scores, scores_map, softmax  # noqa: E402
+from lexlab.operators.labels import names_in_id_order  # noqa: E402
+
+
+@query("tokenize_truncate")
+def q_tokenize_truncate(spark, sf_dir):
+    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = T.tokenize(docs, "text", "tokens", max_length=128)
+    return t.select("doc_id", "n_tokens", F.size("tokens").cast("bigint").alias("n_kept"),
+                    F.array_join("tokens", " ").alias("tokens_text"))
+
+
+@query("vocab_counts")
+def q_vocab_counts(spark, sf_dir):
+    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return T.vocab_counts(T.tokenize(docs, "text", "tokens", max_length=None))
+
+
+@query("pad_batches")
+def q_pad_batches(spark, sf_dir):
+    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = T.tokenize(docs, "text", "tokens", 128).withColumn("ids", T.token_ids("tokens"))
+    nb = T.batch_buckets(docs.count())
+    b = T.pad_batches(ids.select("doc_id", "ids"), "ids", "doc_id", batch_size=32, n_buckets=nb)
+    return b.select("doc_id", "bucket", "batch_no", "seq_len", "padded_len",
+                    F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids_text"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("mask_sum"))
+
+
+@query("score_fixed_head")
+def q_score_fixed_head(spark, sf_dir):
+    emb = fx.embeddings(spark, sf_dir)
+    c = S.emb_classes(spark, sf_dir)
+    out = H.with_prediction(emb, H.fixed_vector_logits("embedding", 42, c, S.EMB_DIM))
+    return out.select("vec_id", "label", "pred", F.round("confidence", 6).alias("confidence"))
+
+
+@query("score_new_text")
+def q_score_new_text(spark, sf_dir):
+    names = names_in_id_order("general")
+    base = H.text_features(S.text_split(spark, sf_dir), "sentence")
+    table = H.fit_naive_bayes(base.filter(F.col("split") == "train"), "idx", "label", 3)
+    new = H.text_features(fx.unlabelled_documents(spark, sf_dir), "text")
+    lg = table.logits("idx")
+    out = new.withColumn("_lg", lg).withColumn("_p", softmax("_lg")).withColumn("_pred", argmax("_lg"))
+    out = out.withColumn("scores", scores_map(names, "_p"))
+    pred_name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_pred") + 1)
+    return out.select(
+        "doc_id", pred_name.alias("prediction"), F.upper(pred_name).alias("prediction_upper"),
+        F.round(F.element_at("_p", F.col("_pred") + 1), 6).alias("confidence"),
+        format_scores("scores", 3).alias("scores_text"),
+        F.substring("text", 1, 80).alias("preview"))
+
+
+# ---- stage 4: metrics ---------------------------------------------------------
+G_MS = ["model_id", "split"]
+
+
+def text_P(spark, sf_dir):
+    return S.text_predictions(spark, sf_dir, seeds=(42,), nb=True)
+
+
+@query("confusion_long")
+def q_confusion_long(spark, sf_dir):
+    return M.confusion_long(text_P(spark, sf_dir), 3, G_MS)
+
+
+@query("confusion_wide")
+def q_confusion_wide(spark, sf_dir):
+    return M.confusion_wide(M.confusion_long(text_P(spark, sf_dir), 3, G_MS), 3, G_MS)
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    long = M.confusion_long(text_P(spark, sf_dir), 3, G_MS)
+    return M.classification_report(long, names_in_id_order("general"), G_MS)
+
+
+@query("macro_f1")
+def q_macro_f1(spark, sf_dir):
+    return M.macro_f1(M.confusion_long(text_P(spark, sf_dir), 3, G_MS), G_MS)
+
+
+@query("paired_compare")
+def q_paired_compare(spark, sf_dir):
+    wide = S.text_scored(spark, sf_dir, seeds=(42,), nb=True)
+    return M.paired_counts(wide, ["split"], "label", a="fixed_s42_pred", b="nb_pred")
+
+
+@query("lift")
+def q_lift(spark, sf_dir):
+    f1 = M.macro_f1(M.confusion_long(text_P(spark, sf_dir), 3, G_MS), G_MS)
+    return M.lift(f1, "fixed_s42", "nb", ["split"])
+
+
+@query("calibration_ece")
+def q_calibration_ece(spark, sf_dir):
+    return M.reliability(text_P(spark, sf_dir), G_MS)

@@ -22,10 +22,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     to Catalyst/AQE: broadcast when the label table's measured size is
     below the threshold, sort-merge otherwise.
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sentence"))
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("sentence"), "lang", "source")
     labs = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return (docs.join(labs, "doc_id")
-            .select("doc_id", "sentence",
+            .select("doc_id", "sentence", "lang", "source",
                     label_from_flags(F.col("quality"), F.col("toxic")).alias("label"))
             .withColumn("label_name", decode_label("label")))
 
