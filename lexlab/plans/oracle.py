@@ -398,3 +398,228 @@ RE AS (SELECT *, sum(n * gap) OVER (PARTITION BY model_id, split)
                  / sum(n) OVER (PARTITION BY model_id, split) AS ece FROM RG)
 SELECT model_id, split, bin, n, round(accuracy, 6) AS accuracy, round(avg_confidence, 6) AS avg_confidence,
        round(gap, 6) AS gap, round(ece, 6) AS ece FROM RE"""
+
+
+# ---------------------------------------------------------------------------
+# generalised builders: several seeds, embeddings, slices
+# ---------------------------------------------------------------------------
+NEG_RE = lit(r"(^|[^a-z])(not|no|never|none|nobody|nothing|neither|nor|cannot)([^a-z]|$)")
+
+
+def tok_cte() -> str:
+    return f"""
+TOK0 AS (SELECT doc_id, split, label, lang, sentence, {tokens_sql('sentence')} AS toks FROM SPLIT),
+TOK AS (
+  SELECT doc_id, split, label, lang, sentence, {idx_sql('toks', 1024)} AS idx,
+         list_filter(['all',
+              CASE WHEN len(toks) < 200 THEN 'len_short' WHEN len(toks) < 1000 THEN 'len_medium'
+                   ELSE 'len_long' END,
+              CASE WHEN regexp_matches(lower(sentence), {NEG_RE}) THEN 'negation' END,
+              CASE WHEN len(toks) > 0 AND len(regexp_extract_all(sentence, '[A-Z][a-z]+')) * 5 >= len(toks)
+                   THEN 'entity_heavy' END], lambda x: x IS NOT NULL) AS slices
+  FROM TOK0)"""
+
+
+def text_p_multi(seeds=(42,), nb: bool = True) -> str:
+    scale = "(1.0::DOUBLE / sqrt(greatest(len(idx), 1)::DOUBLE))"
+    parts = [L.strip("\n"), split_cte("LN", "doc_id").strip("\n"), tok_cte().strip("\n")]
+    selects = []
+    for s in seeds:
+        lg = "[" + ", ".join(f"{fold_sql('idx', f'w{c}')} * {scale}" for c in range(3)) + "]"
+        parts.append(weights_cte(f"FW{s}", s, 3, 1024).strip("\n"))
+        parts.append(f"FIXL{s} AS (SELECT TOK.*, {lg} AS lg FROM TOK, FW{s})")
+        parts.append(predicted_cte(f"FIX{s}", f"FIXL{s}").strip("\n"))
+        selects.append(f"SELECT 'fixed_s{s}' AS model_id, doc_id, split, label, lang, slices, pred, confidence"
+                       f" FROM FIX{s}")
+    if nb:
+        nb_lg = "[" + ", ".join(f"{fold_sql('idx', f't{c}')} + p{c}" for c in range(3)) + "]"
+        parts.append(nb_ctes("NB", "TOK").strip("\n"))
+        parts.append(f"NBL AS (SELECT TOK.*, {nb_lg} AS lg FROM TOK, NB_T)")
+        parts.append(predicted_cte("NBP", "NBL").strip("\n"))
+        selects.append("SELECT 'nb' AS model_id, doc_id, split, label, lang, slices, pred, confidence FROM NBP")
+    parts.append("P AS (\n  " + "\n  UNION ALL\n  ".join(selects) + ")")
+    return ",\n".join(parts)
+
+
+def emb_p_multi(seeds=(42, 43, 44), n_classes: int = 10, dim: int = 64) -> str:
+    parts = [split_cte("embeddings", "vec_id", name="ESPLIT").strip("\n")]
+    selects = []
+    for s in seeds:
+        lg = "[" + ", ".join(dense_fold_sql("embedding", f"w{c}") for c in range(n_classes)) + "]"
+        parts.append(weights_cte(f"EW{s}", s, n_classes, dim).strip("\n"))
+        parts.append(f"EL{s} AS (SELECT ESPLIT.*, {lg} AS lg FROM ESPLIT, EW{s})")
+        parts.append(predicted_cte(f"EF{s}", f"EL{s}").strip("\n"))
+        selects.append(f"SELECT 'fixed_s{s}' AS model_id, vec_id AS doc_id, split, label, pred FROM EF{s}")
+    mus = ", ".join(f"any_value(mu) FILTER (WHERE label = {c}) AS m{c}" for c in range(n_classes))
+    bs = ", ".join(f"any_value(b) FILTER (WHERE label = {c}) AS b{c}" for c in range(n_classes))
+    lg = "[" + ", ".join(f"{dense_fold_sql('embedding', f'm{c}')} + b{c}" for c in range(n_classes)) + "]"
+    parts.append(f"""
+EC AS (SELECT label, j, avg(x::DOUBLE) AS m FROM (
+         SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS j
+         FROM ESPLIT WHERE split = 'train') GROUP BY label, j),
+ECL AS (SELECT label, list(m ORDER BY j) AS mu FROM EC GROUP BY label),
+ECB AS (SELECT label, mu,
+               -0.5::DOUBLE * list_reduce(list_transform(mu, lambda v: v * v), lambda a, b: a + b, 0.0::DOUBLE)
+               AS b FROM ECL),
+ECT AS (SELECT {mus}, {bs} FROM ECB),
+ECLG AS (SELECT ESPLIT.*, {lg} AS lg FROM ESPLIT, ECT)""".strip("\n"))
+    parts.append(predicted_cte("ECP", "ECLG").strip("\n"))
+    selects.append("SELECT 'centroid' AS model_id, vec_id AS doc_id, split, label, pred FROM ECP")
+    parts.append("EP AS (\n  " + "\n  UNION ALL\n  ".join(selects) + ")")
+    return ",\n".join(parts)
+
+
+def f1_cte(name: str, src: str, groups: str, n_classes: int) -> str:
+    """{name}(groups..., macro_f1, accuracy, n) with the metric contract, prefixed CTEs."""
+    p = name
+    return f"""
+{p}_CELLS AS (SELECT {groups}, label, pred, count(*) AS n FROM {src} GROUP BY {groups}, label, pred),
+{p}_CM AS (SELECT g.*, CAST(coalesce(c.n, 0) AS BIGINT) AS n_cell FROM (
+             SELECT g.*, a.range AS label, b.range AS pred
+             FROM (SELECT DISTINCT {groups} FROM {p}_CELLS) g, range({n_classes}) a, range({n_classes}) b) g
+           LEFT JOIN {p}_CELLS c USING ({groups}, label, pred)),
+{p}_PC0 AS (
+  SELECT {groups}, cls, sum(sup) AS support, sum(tp) AS tp, sum(prd) AS predicted FROM (
+    SELECT {groups}, label AS cls, n_cell AS sup, CASE WHEN label = pred THEN n_cell ELSE 0 END AS tp,
+           0 AS prd FROM {p}_CM
+    UNION ALL
+    SELECT {groups}, pred AS cls, 0, 0, n_cell FROM {p}_CM) GROUP BY {groups}, cls),
+{p}_PC AS (
+  SELECT *, coalesce((2 * prec * rec) / nullif(prec + rec, 0), 0.0) AS f1 FROM (
+    SELECT *, coalesce(tp::DOUBLE / nullif(predicted, 0)::DOUBLE, 0.0) AS prec,
+              coalesce(tp::DOUBLE / nullif(support, 0)::DOUBLE, 0.0) AS rec,
+              (support > 0 OR predicted > 0) AS observed FROM {p}_PC0)),
+{name} AS (
+  SELECT {groups}, round(avg(f1) FILTER (WHERE observed), 6) AS macro_f1,
+         round(coalesce(sum(tp)::DOUBLE / nullif(sum(support), 0)::DOUBLE, 0.0), 6) AS accuracy,
+         CAST(sum(support) AS BIGINT) AS n
+  FROM {p}_PC GROUP BY {groups})"""
+
+
+def results_sql() -> str:
+    """RES: D11 rows for word/emb x eval_only/head_only x seeds 42..44."""
+    seeds = "[42, 43, 44]"
+
+    def res(fname: str, backbone: str, head: str, eval_params: int, head_params: int) -> str:
+        return f"""
+SELECT '{backbone}_' || CASE WHEN model_id = '{head}' THEN 'head_only' ELSE 'eval_only' END AS experiment_id,
+       '{backbone}' AS backbone,
+       CASE WHEN model_id = '{head}' THEN 'head_only' ELSE 'eval_only' END AS method,
+       unnest(CASE WHEN model_id = '{head}' THEN {seeds}
+                   ELSE [CAST(substr(model_id, 8) AS INTEGER)] END) AS seed,
+       max(macro_f1) FILTER (WHERE split = 'test') AS test_f1_macro,
+       CASE WHEN model_id = '{head}' THEN max(macro_f1) FILTER (WHERE split = 'validation') END
+         AS val_f1_macro,
+       CAST(CASE WHEN model_id = '{head}' THEN {head_params} ELSE 0 END AS BIGINT) AS trainable_params,
+       CAST(CASE WHEN model_id = '{head}' THEN {head_params} ELSE {eval_params} END AS BIGINT) AS total_params,
+       CASE WHEN model_id = '{head}' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS trainable_pct
+FROM {fname} GROUP BY model_id"""
+    return ",\n".join([
+        text_p_multi((42, 43, 44), True),
+        emb_p_multi((42, 43, 44)),
+        f1_cte("WF1", "P", "model_id, split", 3).strip("\n"),
+        f1_cte("EF1", "EP", "model_id, split", 10).strip("\n"),
+        "RES AS (" + res("WF1", "word", "nb", 3 * 1024, 3 * 1024 + 3) + "\nUNION ALL\n"
+        + res("EF1", "emb", "centroid", 10 * 64, 10 * 64 + 10) + ")",
+    ])
+
+
+ORACLE["seed_summary"] = "WITH " + results_sql() + """
+SELECT experiment_id, CAST(count(test_f1_macro) AS BIGINT) AS n_runs, round(avg(test_f1_macro), 6) AS mean,
+       round(stddev_samp(test_f1_macro), 6) AS std, round(min(test_f1_macro), 6) AS min,
+       round(max(test_f1_macro), 6) AS max
+FROM RES GROUP BY experiment_id"""
+
+ORACLE["rank_methods"] = "WITH " + results_sql() + """
+, SM AS (SELECT experiment_id, round(avg(test_f1_macro), 6) AS mean FROM RES GROUP BY experiment_id)
+SELECT experiment_id, mean, CAST(rank() OVER (ORDER BY mean DESC NULLS LAST) AS INTEGER) AS rank FROM SM"""
+
+ORACLE["marginal_value"] = "WITH " + results_sql() + """
+, BM AS (SELECT backbone, method, round(avg(test_f1_macro), 6) AS mean FROM RES GROUP BY backbone, method),
+W AS (SELECT backbone, max(mean) FILTER (WHERE method = 'eval_only') AS base_mean,
+             max(mean) FILTER (WHERE method = 'head_only') AS adapted_mean FROM BM GROUP BY backbone)
+SELECT backbone, base_mean, adapted_mean, round(adapted_mean - base_mean, 6) AS marginal FROM W"""
+
+
+def best_epoch_sql(seeds=(42, 43, 44), epochs: int = 3) -> str:
+    svals = ", ".join(f"({s})" for s in seeds)
+    tcols = ", ".join(f"any_value(tl) FILTER (WHERE label = {c}) AS t{c}" for c in range(3))
+    pcols = ", ".join(f"any_value(lp) FILTER (WHERE label = {c}) AS p{c}" for c in range(3))
+    lg = "[" + ", ".join(f"{fold_sql('idx', f't{c}')} + p{c}" for c in range(3)) + "]"
+    return "WITH " + ",\n".join([L.strip("\n"), split_cte("LN", "doc_id").strip("\n"), tok_cte().strip("\n"), f"""
+MEM AS (SELECT s.seed, e.range AS epoch, t.label, t.idx
+        FROM TOK t, (VALUES {svals}) s(seed), range(1, {epochs + 1}) e
+        WHERE t.split = 'train'
+          AND {unit_sql("CAST(s.seed AS VARCHAR) || ':' || CAST(t.doc_id AS VARCHAR)")}
+              < e.range::DOUBLE / {float(epochs)}::DOUBLE),
+LC AS (SELECT seed, epoch, label, i, count(*) AS n FROM (
+         SELECT seed, epoch, label, unnest(idx) AS i FROM MEM) GROUP BY ALL),
+LTOT AS (SELECT seed, epoch, label, sum(n) AS tot FROM LC GROUP BY ALL),
+LD AS (SELECT seed, epoch, label, count(*) AS d FROM MEM GROUP BY ALL),
+LTH AS (
+  SELECT g.seed, g.epoch, g.c AS label,
+         list(ln((coalesce(n.n, 0) + 1.0::DOUBLE) / (coalesce(t.tot, 0) + 1024.0::DOUBLE)) ORDER BY g.j) AS tl
+  FROM (SELECT s.seed, e.range AS epoch, c.range AS c, j.range AS j
+        FROM (VALUES {svals}) s(seed), range(1, {epochs + 1}) e, range(3) c, range(1024) j) g
+  LEFT JOIN LC n ON n.seed = g.seed AND n.epoch = g.epoch AND n.label = g.c AND n.i = g.j
+  LEFT JOIN LTOT t ON t.seed = g.seed AND t.epoch = g.epoch AND t.label = g.c
+  GROUP BY g.seed, g.epoch, g.c),
+LPR AS (SELECT seed, epoch, label, ln(d::DOUBLE / (sum(d) OVER (PARTITION BY seed, epoch))::DOUBLE) AS lp
+        FROM LD),
+LT AS (SELECT a.seed, a.epoch, a.t0, a.t1, a.t2, b.p0, b.p1, b.p2 FROM
+        (SELECT seed, epoch, {tcols} FROM LTH GROUP BY seed, epoch) a
+        JOIN (SELECT seed, epoch, {pcols} FROM LPR GROUP BY seed, epoch) b USING (seed, epoch)),
+VL AS (SELECT t.doc_id, t.label, LT.seed, LT.epoch, {lg} AS lg
+       FROM (SELECT * FROM TOK WHERE split = 'validation') t, LT)""", predicted_cte("VP", "VL").strip("\n"),
+        f1_cte("LF1", "VP", "seed, epoch", 3).strip("\n")]) + """
+SELECT 'word_head_only_seed' || seed AS run, CAST(epoch AS INTEGER) AS best_epoch, macro_f1 AS best_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY macro_f1 DESC, epoch) AS r FROM LF1) WHERE r = 1"""
+
+
+ORACLE["best_epoch"] = best_epoch_sql()
+
+ORACLE["param_budget"] = f"""
+WITH TK AS (SELECT DISTINCT lang, token FROM (
+              SELECT lang, unnest({tokens_sql('text')}) AS token FROM documents)),
+PARAMS AS (
+  SELECT 'word_' || lang AS model_id, 'embeddings.word.' || token AS name, 64 AS numel FROM TK
+  UNION ALL
+  SELECT 'word_' || l.lang, h.name, h.numel
+  FROM (SELECT DISTINCT lang FROM documents) l,
+       (VALUES ('pre_classifier.weight', 4096), ('pre_classifier.bias', 64),
+               ('classifier.weight', 192), ('classifier.bias', 3)) h(name, numel)),
+PT AS (SELECT *, (contains(name, 'classifier') OR contains(name, 'pre_classifier') OR contains(name, 'score'))
+                 AS trainable FROM PARAMS),
+AG AS (SELECT model_id, CAST(count(*) AS BIGINT) AS n_tensors,
+              CAST(coalesce(sum(numel) FILTER (WHERE trainable), 0) AS BIGINT) AS trainable_params,
+              CAST(coalesce(sum(numel), 0) AS BIGINT) AS total_params FROM PT GROUP BY model_id)
+SELECT *, total_params - trainable_params AS frozen_params,
+       CASE WHEN total_params = 0 THEN 0.0::DOUBLE
+            ELSE floor((trainable_params * 20000 + total_params)::DOUBLE / (total_params * 2)::DOUBLE)::DOUBLE
+                 / 100.0::DOUBLE END AS trainable_pct
+FROM AG"""
+
+P42 = "WITH " + text_p_multi((42,), True)
+
+ORACLE["slice_report"] = P42 + """,
+PS AS (SELECT model_id, label, pred, unnest(slices) AS slice FROM P WHERE split = 'test'),""" + \
+    f1_cte("SF1", "PS", "model_id, slice", 3).strip("\n") + """
+SELECT model_id, slice, macro_f1, accuracy, n FROM SF1"""
+
+ORACLE["domain_shift"] = P42 + """,
+PT AS (SELECT * FROM P WHERE split = 'test'),""" + f1_cte("DF1", "PT", "model_id, lang", 3).strip("\n") + """
+, W AS (SELECT lang, max(macro_f1) FILTER (WHERE model_id = 'fixed_s42') AS base_f1,
+             max(macro_f1) FILTER (WHERE model_id = 'nb') AS adapted_f1 FROM DF1 GROUP BY lang)
+SELECT lang, base_f1, adapted_f1, round(adapted_f1 - base_f1, 6) AS delta FROM W"""
+
+ORACLE["gate_report"] = P42 + ",\n" + f1_cte("GF1", "P", "model_id, split", 3).strip("\n") + f"""
+, W AS (SELECT max(macro_f1) FILTER (WHERE model_id = 'fixed_s42') AS base_f1,
+             max(macro_f1) FILTER (WHERE model_id = 'nb') AS adapted_f1 FROM GF1 WHERE split = 'test'),
+BUD AS ({ORACLE['param_budget'].replace('WITH TK AS', 'WITH TK2 AS').replace('FROM TK', 'FROM TK2')})
+SELECT 'abs_lift' AS gate, round(adapted_f1 - base_f1, 6)::DOUBLE AS value, 0.15::DOUBLE AS threshold,
+       coalesce(round(adapted_f1 - base_f1, 6) >= 0.15, false) AS passed FROM W
+UNION ALL
+SELECT 'golden_f1', adapted_f1::DOUBLE, 0.5::DOUBLE, coalesce(adapted_f1 >= 0.5, false) FROM W
+UNION ALL
+SELECT 'trainable_pct', max(trainable_pct)::DOUBLE, 5.0::DOUBLE, coalesce(max(trainable_pct) < 5.0, false)
+FROM BUD"""

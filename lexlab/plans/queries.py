@@ -209,3 +209,77 @@ def q_lift(spark, sf_dir):
 @query("calibration_ece")
 def q_calibration_ece(spark, sf_dir):
     return M.reliability(text_P(spark, sf_dir), G_MS)
+
+
+# ---- stage 7: budget, results, summaries -----------------------------------------
+from lexlab.operators import budget as B  # noqa: E402
+from lexlab.operators import summary as SU  # noqa: E402
+from lexlab.operators import gates as GT  # noqa: E402
+from lexlab.plans import experiments as EX  # noqa: E402
+
+
+def param_catalogue(spark, sf_dir):
+    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return B.vocab_param_catalogue(T.tokenize(docs, "text", "tokens", None), "tokens", "lang")
+
+
+@query("param_budget")
+def q_param_budget(spark, sf_dir):
+    return B.param_budget(param_catalogue(spark, sf_dir))
+
+
+@query("seed_summary")
+def q_seed_summary(spark, sf_dir):
+    return SU.seed_summary(EX.fixed_results(spark, sf_dir))
+
+
+@query("rank_methods")
+def q_rank_methods(spark, sf_dir):
+    return SU.rank_methods(SU.seed_summary(EX.fixed_results(spark, sf_dir)))
+
+
+@query("best_epoch")
+def q_best_epoch(spark, sf_dir):
+    return SU.best_epoch(EX.nb_epoch_log(spark, sf_dir))
+
+
+@query("marginal_value")
+def q_marginal_value(spark, sf_dir):
+    res = EX.fixed_results(spark, sf_dir)
+    by_method = res.groupBy("backbone", "method").agg(F.round(F.avg("test_f1_macro"), 6).alias("mean"))
+    return SU.marginal_value(by_method)
+
+
+# ---- stage 8: charter extensions ---------------------------------------------------
+@query("slice_report")
+def q_slice_report(spark, sf_dir):
+    P = S.text_predictions(spark, sf_dir, (42,), True, keep=("doc_id", "split", "label", "slices"))
+    t = P.filter(F.col("split") == "test").select("model_id", "label", "pred",
+                                                  F.explode("slices").alias("slice"))
+    return M.macro_f1(M.confusion_long(t, 3, ["model_id", "slice"]), ["model_id", "slice"])
+
+
+@query("domain_shift")
+def q_domain_shift(spark, sf_dir):
+    P = text_P(spark, sf_dir).filter(F.col("split") == "test")
+    f1 = M.macro_f1(M.confusion_long(P, 3, ["model_id", "lang"]), ["model_id", "lang"])
+    return M.lift(f1, "fixed_s42", "nb", ["lang"]).select(
+        "lang", "base_f1", "adapted_f1", F.col("abs_lift").alias("delta"))
+
+
+@query("gate_report")
+def q_gate_report(spark, sf_dir):
+    f1 = M.macro_f1(M.confusion_long(text_P(spark, sf_dir), 3, G_MS), G_MS)
+    lift = M.lift(f1, "fixed_s42", "nb", ["split"]).filter(F.col("split") == "test")
+    g1 = GT.gate_rows(lift, {"abs_lift": ("abs_lift", 0.15, ">="), "golden_f1": ("adapted_f1", 0.5, ">=")})
+    budget = B.param_budget(param_catalogue(spark, sf_dir)).agg(F.max("trainable_pct").alias("pct"))
+    g2 = GT.gate_rows(budget, {"trainable_pct": ("pct", 5.0, "<")})
+    return g1.unionByName(g2)
+
+
+@query("registry_row")
+def q_registry_row(spark, sf_dir):
+    df = S.text_split(spark, sf_dir)
+    cfg = {"split_seed": 42, "train_pct": 70, "test_of_holdout_pct": 50, "features": "word_hash_1024",
+           "head": "naive_bayes", "sf_dir": sf_dir.rstrip("/").split("/")[-1]}
+    return GT.registry_rows(df, cfg, "split")

@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexlab.functions.text import token_indices, word_tokens
 from lexlab.operators import heads as H
+from lexlab.operators.gates import slice_tags
 from lexlab.operators import split as spl
 from lexlab.session import checkpoint_root
 from lexlab.sources import fixtures as fx
@@ -36,8 +38,12 @@ def text_features_table(spark: SparkSession, sf_dir: str, extra_cols: Sequence[s
     pass both read it, instead of re-running the join, split and tokenizer.
     """
     checkpoint_root(spark)
-    feats = H.text_features(text_split(spark, sf_dir), "sentence")
-    return feats.select("doc_id", "split", "label", "lang", "idx", *extra_cols).checkpoint(eager=True)
+    feats = (text_split(spark, sf_dir)
+             .withColumn("_tok", word_tokens("sentence"))
+             .withColumn("idx", token_indices("_tok", H.NUM_FEATURES))
+             .withColumn("slices", slice_tags("sentence", F.size("_tok"))))
+    return feats.select("doc_id", "split", "label", "lang", "idx", "slices",
+                        *extra_cols).checkpoint(eager=True)
 
 
 def text_scored(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (42,),
@@ -66,9 +72,11 @@ def stack_models(wide: DataFrame, models: Sequence[str], keep: Sequence[str]) ->
 
 
 def text_predictions(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (42,),
-                     nb: bool = True) -> DataFrame:
-    wide = text_scored(spark, sf_dir, seeds, nb)
-    return stack_models(wide, model_names(seeds, nb), ["doc_id", "split", "label", "lang"])
+                     nb: bool = True, keep: Sequence[str] = ("doc_id", "split", "label", "lang")
+                     ) -> DataFrame:
+    extra = [c for c in keep if c not in ("doc_id", "split", "label", "lang")]
+    wide = text_scored(spark, sf_dir, seeds, nb, extra_cols=[c for c in extra if c != "slices"])
+    return stack_models(wide, model_names(seeds, nb), list(keep))
 
 
 # ---------------------------------------------------------------------------
