@@ -28,8 +28,9 @@ hold most of the table):
    no shuffle of the data rows.
 
 With ``group_col`` the hash is taken of the group key, so copies (for
-example identical texts) always land in the same split; sizes may then be
-off by at most one group per cut.
+example identical texts) with the same label always land in the same split
+(copies carrying different labels sit in different class strata); sizes may
+then be off by at most one group per cut.
 
 Hash mode
 ---------

@@ -623,3 +623,16 @@ SELECT 'golden_f1', adapted_f1::DOUBLE, 0.5::DOUBLE, coalesce(adapted_f1 >= 0.5,
 UNION ALL
 SELECT 'trainable_pct', max(trainable_pct)::DOUBLE, 5.0::DOUBLE, coalesce(max(trainable_pct) < 5.0, false)
 FROM BUD"""
+
+
+def stream_score_sql(seed: int = 42) -> str:
+    scale = "(1.0::DOUBLE / sqrt(greatest(len(idx), 1)::DOUBLE))"
+    lg = "[" + ", ".join(f"{fold_sql('idx', f'w{c}')} * {scale}" for c in range(3)) + "]"
+    return with_(f"""
+DT AS (SELECT doc_id, {idx_sql(tokens_sql('text'), 1024)} AS idx FROM documents)""",
+                 weights_cte("SW", seed, 3, 1024), f"""
+SL AS (SELECT DT.*, {lg} AS lg FROM DT, SW)""", predicted_cte("SP", "SL")) + """
+SELECT doc_id, pred, round(confidence, 6) AS confidence FROM SP"""
+
+
+ORACLE["stream_score"] = stream_score_sql()

@@ -283,3 +283,74 @@ def q_registry_row(spark, sf_dir):
     cfg = {"split_seed": 42, "train_pct": 70, "test_of_holdout_pct": 50, "features": "word_hash_1024",
            "head": "naive_bayes", "sf_dir": sf_dir.rstrip("/").split("/")[-1]}
     return GT.registry_rows(df, cfg, "split")
+
+
+# ---- stage 6/7: Spark ML training, ladder, artifacts ---------------------------------
+from lexlab.plans import ladder as LD  # noqa: E402
+from lexlab.plans import training as TR  # noqa: E402
+from lexlab.session import scratch_path  # noqa: E402
+from lexlab.sources import manifest as MF  # noqa: E402
+from lexlab.sinks import writers as WR  # noqa: E402
+from lexlab.streaming import scorer as ST  # noqa: E402
+
+
+def _emb_train_eval(spark, sf_dir, method):
+    df = TR.emb_frame(S.emb_split(spark, sf_dir))
+    train = df.filter(F.col("split") == "train")
+    train = TR.with_weights(train, TR.class_weights(train))
+    model = TR.fit(train, "emb", method)
+    c = S.emb_classes(spark, sf_dir)
+    pred = TR.predict(model, df)
+    return model, M.macro_f1(M.confusion_long(pred, c, ["split"]), ["split"])
+
+
+@query("head_only_train")
+def q_head_only_train(spark, sf_dir):
+    return _emb_train_eval(spark, sf_dir, "head_only")[1]
+
+
+@query("rank_r_train")
+def q_rank_r_train(spark, sf_dir):
+    return _emb_train_eval(spark, sf_dir, "rank_r")[1]
+
+
+@query("ladder_results")
+def q_ladder_results(spark, sf_dir):
+    return LD.run_ladder(spark, S.text_split(spark, sf_dir))
+
+
+@query("ladder_summary")
+def q_ladder_summary(spark, sf_dir):
+    return LD.ladder_with_sinks(spark, S.text_split(spark, sf_dir), scratch_path(spark, "ladder"))
+
+
+@query("reload_parity")
+def q_reload_parity(spark, sf_dir):
+    model, _ = _emb_train_eval(spark, sf_dir, "head_only")
+    path = scratch_path(spark, "model-head_only")
+    TR.save_model(model, path)
+    again = TR.load_model(path)
+    test = TR.emb_frame(S.emb_split(spark, sf_dir)).filter(F.col("split") == "test")
+    a = TR.predict(model, test).select("vec_id", "label", "pred")
+    b = TR.predict(again, test).select("vec_id", "pred")
+    pairs = M.pair_predictions(a, b, ["vec_id"])
+    return pairs.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                     F.sum(F.when(F.col("pred_a") != F.col("pred_b"), 1).otherwise(0)).cast("bigint")
+                     .alias("n_diff"))
+
+
+@query("artifact_manifest")
+def q_artifact_manifest(spark, sf_dir):
+    store = scratch_path(spark, "model-store")
+    for method in ("head_only", "rank_r"):
+        model, _ = _emb_train_eval(spark, sf_dir, method)
+        TR.save_model(model, f"{store}/{method}")
+    WR.write_splits(S.emb_split(spark, sf_dir), f"{store}/splits")
+    return MF.manifest(MF.list_files(spark, store), store)
+
+
+@query("stream_score")
+def q_stream_score(spark, sf_dir):
+    root = scratch_path(spark, "stream")
+    out = ST.score_stream(spark, sf_dir, f"{root}/out", f"{root}/ckpt", seed=42)
+    return out.select("doc_id", "pred", F.round("confidence", 6).alias("confidence"))

@@ -58,3 +58,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def local_path(uri: str) -> str:
+    """Filesystem path of a ``file:`` URI (local tests only)."""
+    if uri.startswith("file:"):
+        uri = uri[5:]
+        while uri.startswith("//"):
+            uri = uri[1:]
+    return uri
