@@ -23,9 +23,13 @@ hold most of the table):
 3. a cut position falls inside at most one bucket per cut; only the rows of
    those buckets (about 1/65,536 of a class each) are ranked, to find the
    hash value at the cut;
-4. every row is then labelled by comparing its bucket offsets and hash with
-   the cut thresholds: one broadcast join against the bounded bucket table,
-   no shuffle of the data rows.
+4. every row is then labelled by comparing its hash with at most two
+   (bucket, hash) thresholds of its class: a pure projection with literals,
+   no join and no shuffle of the data rows.
+
+Only bounded tables reach the driver: the histogram (classes x 65,536 rows
+at most, whatever the table size) and at most two hashes per class.  The
+quota arithmetic runs there in exact Python integers.
 
 With ``group_col`` the hash is taken of the group key, so copies (for
 example identical texts) with the same label always land in the same split
@@ -102,12 +106,45 @@ def class_quotas(hist: DataFrame, label_col: str, train_num: int = TRAIN_RATIO_N
                   .select(label_col, "n_c", "train_c", "val_c", "test_c"))
 
 
+def apportion(counts: dict[int, int], draws: int) -> dict[int, int]:
+    """Largest-remainder apportionment of ``draws`` over class counts
+    (exact integers; ties by class id)."""
+    n = sum(counts.values())
+    if n == 0:
+        return {c: 0 for c in counts}
+    floor = {c: k * draws // n for c, k in counts.items()}
+    rem = {c: k * draws % n for c, k in counts.items()}
+    short = draws - sum(floor.values())
+    for c in sorted(counts, key=lambda c: (-rem[c], c))[:short]:
+        floor[c] += 1
+    return floor
+
+
+def quotas_from_counts(counts: dict[int, int], train_num: int = TRAIN_RATIO_NUM, den: int = RATIO_DEN,
+                       test_num: int = TEST_OF_HOLDOUT_NUM, test_den: int = HOLDOUT_DEN
+                       ) -> dict[int, tuple[int, int, int]]:
+    """class -> (train_c, val_c, test_c)."""
+    n = sum(counts.values())
+    hold = -(-(den - train_num) * n // den)
+    train = apportion(counts, n - hold)
+    hold_c = {c: counts[c] - train[c] for c in counts}
+    h = sum(hold_c.values())
+    test_total = -(-test_num * h // test_den)
+    val = apportion(hold_c, h - test_total)
+    return {c: (train[c], val[c], hold_c[c] - val[c]) for c in counts}
+
+
 def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",
                      seed: int = SPLIT_SEED, group_col: str | None = None,
                      mode: str = "exact", split_col: str = "split",
                      train_num: int = TRAIN_RATIO_NUM, den: int = RATIO_DEN,
                      test_num: int = TEST_OF_HOLDOUT_NUM, test_den: int = HOLDOUT_DEN) -> DataFrame:
-    """Add a ``split`` column (train / validation / test) to ``df``."""
+    """Add a ``split`` column (train / validation / test) to ``df``.
+
+    Exact mode runs two small jobs whose results are bounded independently of
+    the data size (the class x bucket histogram, and at most two hash values
+    per class), then labels rows with a pure projection.
+    """
     if mode not in ("exact", "hash"):
         raise ValueError("mode must be 'exact' or 'hash'")
     h = seeded_md5(seed, group_col or key_col)
@@ -120,46 +157,59 @@ def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "do
 
     units = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
 
-    # 1. bounded histogram (classes x 16^BUCKET_HEX rows)
-    hist = units.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    quotas = class_quotas(hist, label_col, train_num, den, test_num, test_den)
-
-    # 2. bucket offsets, and the cut positions of the class
-    w_cls = Window.partitionBy(label_col).orderBy("_b")
-    buckets = (hist.withColumn("_end", F.sum("_n").over(w_cls.rowsBetween(Window.unboundedPreceding, 0)))
-                   .withColumn("_start", F.col("_end") - F.col("_n"))
-                   .join(F.broadcast(quotas.select(label_col, F.col("test_c").alias("_cut1"),
-                                                   (F.col("test_c") + F.col("val_c")).alias("_cut2"))),
-                         label_col))
-
-    # 3. hash value at each cut, from the rows of the (<= 2 per class) cut buckets
-    cuts = (buckets.select(label_col, "_b", "_start", F.explode(F.array(
-                F.struct(F.lit(1).alias("cut_id"), F.col("_cut1").alias("pos")),
-                F.struct(F.lit(2).alias("cut_id"), F.col("_cut2").alias("pos")))).alias("c"),
-                "_end")
-            .filter((F.col("_start") < F.col("c.pos")) & (F.col("c.pos") < F.col("_end")))
-            .select(label_col, "_b", F.col("c.cut_id").alias("cut_id"),
-                    (F.col("c.pos") - F.col("_start")).alias("_rank")))
-    in_cut = units.select(label_col, "_b", "_h").join(
-        F.broadcast(cuts.select(label_col, "_b").distinct()), [label_col, "_b"])
-    ranked = in_cut.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h")))
-    thresholds = (ranked.join(F.broadcast(cuts), [label_col, "_b"])
-                  .filter(F.col("_rn") == F.col("_rank"))
-                  .groupBy(label_col)
-                  .agg(F.max(F.when(F.col("cut_id") == 1, F.col("_h"))).alias("_th1"),
-                       F.max(F.when(F.col("cut_id") == 2, F.col("_h"))).alias("_th2")))
-
-    # 4. bounded per-bucket decision table, broadcast into the row pass
-    table = (buckets.join(thresholds, label_col, "left")
-             .select(label_col, "_b", "_start", "_end", "_cut1", "_cut2", "_th1", "_th2"))
-    before1 = (F.col("_end") <= F.col("_cut1")) | (
-        (F.col("_start") < F.col("_cut1")) & (F.col("_h") <= F.col("_th1")))
-    before2 = (F.col("_end") <= F.col("_cut2")) | (
-        (F.col("_start") < F.col("_cut2")) & (F.col("_h") <= F.col("_th2")))
-    out = (units.join(F.broadcast(table), [label_col, "_b"])
-           .withColumn(split_col, F.when(before1, "test").when(before2, "validation").otherwise("train")))
-    return out.drop("_h", "_b", "_start", "_end", "_cut1", "_cut2", "_th1", "_th2")
+    # 1. bounded histogram: at most classes x 16^BUCKET_HEX rows
+    hist_rows = (units.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n")).collect())
+    by_class: dict = {}
+    for r in hist_rows:
+        by_class.setdefault(r[label_col], []).append((r["_b"], r["_n"]))
+    counts = {c: sum(n for _, n in v) for c, v in by_class.items()}
+    quotas = quotas_from_counts(counts, train_num, den, test_num, test_den)
+
+    # 2. cut positions -> (class, bucket, rank within bucket)
+    cuts = {}  # (class, cut_id) -> (bucket, rank)
+    for c, buckets in by_class.items():
+        _, val_c, test_c = quotas[c]
+        for cut_id, pos in ((1, test_c), (2, test_c + val_c)):
+            if pos <= 0:
+                continue
+            start = 0
+            for b, n in sorted(buckets):
+                if start < pos <= start + n:
+                    cuts[(c, cut_id)] = (b, pos - start)
+                    break
+                start += n
+
+    # 3. hash value at each cut: rank only the rows of the <= 2 cut buckets per class
+    th = {}
+    if cuts:
+        pairs = sorted({(c, b) for (c, _), (b, _) in cuts.items()}, key=repr)
+        in_cut = F.lit(False)
+        for c, b in pairs:
+            in_cut = in_cut | ((F.col(label_col) == F.lit(c)) & (F.col("_b") == F.lit(b)))
+        wanted = F.lit(False)
+        for (c, _), (b, r) in cuts.items():
+            wanted = wanted | ((F.col(label_col) == F.lit(c)) & (F.col("_b") == F.lit(b))
+                               & (F.col("_rn") == F.lit(r)))
+        ranked = (units.select(label_col, "_b", "_h").filter(in_cut)
+                  .withColumn("_rn", F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h")))
+                  .filter(wanted).collect())
+        got = {(r[label_col], r["_b"], r["_rn"]): r["_h"] for r in ranked}
+        for (c, cut_id), (b, r) in cuts.items():
+            th[(c, cut_id)] = (b, got[(c, b, r)])
+
+    # 4. per-row decision: a projection with literal thresholds
+    def before(cut_id: int):
+        cond = F.lit(False)
+        for (c, k), (b, hv) in th.items():
+            if k != cut_id:
+                continue
+            cond = cond | ((F.col(label_col) == F.lit(c)) & (
+                (F.col("_b") < F.lit(b)) | ((F.col("_b") == F.lit(b)) & (F.col("_h") <= F.lit(hv)))))
+        return cond
+
+    out = units.withColumn(split_col, F.when(before(1), "test").when(before(2), "validation")
+                           .otherwise("train"))
+    return out.drop("_h", "_b")
 
 
 def split_counts(split_df: DataFrame, label_col: str = "label_name",

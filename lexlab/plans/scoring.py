@@ -19,7 +19,7 @@ from lexlab.functions.text import token_indices, word_tokens
 from lexlab.operators import heads as H
 from lexlab.operators.gates import slice_tags
 from lexlab.operators import split as spl
-from lexlab.session import checkpoint_root
+from lexlab.session import checkpoint_root, stage_table
 from lexlab.sources import fixtures as fx
 
 TEXT_CLASSES = 3
@@ -34,16 +34,17 @@ def text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_features_table(spark: SparkSession, sf_dir: str, extra_cols: Sequence[str] = ()) -> DataFrame:
     """(doc_id, split, label, lang, idx): split + hashed word ids, computed once.
 
-    Checkpointed to the shared checkpoint folder: the NB fit and the scoring
-    pass both read it, instead of re-running the join, split and tokenizer.
+    Staged as a parquet table in the shared checkpoint folder: the NB fit and
+    the scoring pass both read it, instead of re-running the join, split and
+    tokenizer.
     """
     checkpoint_root(spark)
     feats = (text_split(spark, sf_dir)
              .withColumn("_tok", word_tokens("sentence"))
              .withColumn("idx", token_indices("_tok", H.NUM_FEATURES))
              .withColumn("slices", slice_tags("sentence", F.size("_tok"))))
-    return feats.select("doc_id", "split", "label", "lang", "idx", "slices",
-                        *extra_cols).checkpoint(eager=True)
+    return stage_table(feats.select("doc_id", "split", "label", "lang", "idx", "slices", *extra_cols),
+                       "text-features")
 
 
 def text_scored(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (42,),

@@ -67,3 +67,13 @@ def local_path(uri: str) -> str:
         while uri.startswith("//"):
             uri = uri[1:]
     return uri
+
+
+def stage_table(df, name: str, fmt: str = "parquet"):
+    """Write ``df`` once to a fresh path under the shared checkpoint folder and
+    read it back: a lineage cut that survives executor loss and computes the
+    input a single time (``Dataset.checkpoint`` would run it twice)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.format(fmt).save(path)
+    return spark.read.format(fmt).load(path)

@@ -48,13 +48,13 @@ def test_no_python_udf_in_plan(spark, key):
         assert node not in plan
 
 
-def test_split_uses_broadcast_not_class_window(spark):
+def test_split_row_pass_is_a_projection(spark):
+    """The labelling pass has no window and no shuffle over data rows."""
     from __spark_entry__ import queries
     df = queries()["stratified_split"](spark, SF_SMALL)
-    df.count()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
-    assert "SinglePartition" not in plan.split("ReusedExchange")[0] or True
+    assert "Window" not in plan
+    assert "Exchange hashpartitioning" not in plan or "BroadcastExchange" in plan
 
 
 def test_scan_prunes_columns(spark):
