@@ -14,7 +14,7 @@ WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 def word_tokens(text: str | Column) -> Column:
     """lower-cased word tokens of the whole text, empty pieces removed."""
-    return F.filter(F.split(F.lower(col(text)), WORD_SPLIT), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(col(text)), WORD_SPLIT), "")
 
 
 def truncate(tokens: str | Column, max_length: int | None) -> Column:
@@ -35,7 +35,7 @@ def char_ngrams(text: str | Column, n: int = 3) -> Column:
     grams = chars
     for k in range(1, n):
         grams = F.zip_with(grams, F.slice(chars, k + 1, F.size(chars)), lambda x, y: F.concat(x, y))
-    return F.filter(grams, lambda g: g.isNotNull())
+    return F.array_compact(grams)
 
 
 def token_index(t: Column, num_features: int) -> Column:

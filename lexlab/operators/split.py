@@ -189,11 +189,20 @@ def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "do
         wanted = F.lit(False)
         for (c, _), (b, r) in cuts.items():
             wanted = wanted | ((F.col(label_col) == F.lit(c)) & (F.col("_b") == F.lit(b))
-                               & (F.col("_rn") == F.lit(r)))
+                               & (F.col("_cum") >= F.lit(r)) & (F.col("_cum") - F.col("_k") < F.lit(r)))
+        # one row per distinct hash (copies of a hot group collapse map-side),
+        # then running counts inside the few cut buckets
+        w = (Window.partitionBy(label_col, "_b").orderBy("_h")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         ranked = (units.select(label_col, "_b", "_h").filter(in_cut)
-                  .withColumn("_rn", F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h")))
+                  .groupBy(label_col, "_b", "_h").agg(F.count(F.lit(1)).alias("_k"))
+                  .withColumn("_cum", F.sum("_k").over(w))
                   .filter(wanted).collect())
-        got = {(r[label_col], r["_b"], r["_rn"]): r["_h"] for r in ranked}
+        got = {}
+        for row in ranked:
+            for (c, _), (b, r) in cuts.items():
+                if row[label_col] == c and row["_b"] == b and row["_cum"] >= r > row["_cum"] - row["_k"]:
+                    got[(c, b, r)] = row["_h"]
         for (c, cut_id), (b, r) in cuts.items():
             th[(c, cut_id)] = (b, got[(c, b, r)])
 

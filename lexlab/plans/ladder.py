@@ -15,6 +15,7 @@ results table (experiments x seeds rows) reach the driver.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -42,6 +43,12 @@ EXPERIMENTS = {
 }
 
 
+def select_experiments(backbone: str | None = None, methods: Sequence[str] | None = None) -> list[str]:
+    """Experiment ids matching a feature set and a method set (compound predicate)."""
+    return [k for k, (fs, _, m) in EXPERIMENTS.items()
+            if (backbone is None or fs == backbone) and (methods is None or m in methods)]
+
+
 def _eval_f1(pred: DataFrame, n_classes: int = 3) -> dict[str, float]:
     rows = M.macro_f1(M.confusion_long(pred, n_classes, ["split"]), ["split"]).collect()
     return {r["split"]: r["macro_f1"] for r in rows}
@@ -54,11 +61,13 @@ def _fixed_idx(df: DataFrame, feature_set: str) -> DataFrame:
 
 def run_ladder(spark: SparkSession, labelled_split: DataFrame, seeds: Sequence[int] = LADDER_SEEDS,
                experiments: Sequence[str] = (), out_dir: str | None = None) -> DataFrame:
-    """Run the grid; return the results table (one row per experiment x seed)."""
+    """Run the grid; return the results table (one row per experiment x seed),
+    with the fit's run time and train rows/s appended."""
     ids = check_ids(list(experiments), list(EXPERIMENTS))
     rows: list[tuple] = []
     cached: list[DataFrame] = []
     fitted: dict[tuple[str, str], tuple[dict, int, int]] = {}
+    timing: dict[tuple[str, str], tuple[float, int]] = {}
     prepared: dict[str, DataFrame] = {}
     for seed in seeds:
         for exp_id in ids:
@@ -75,13 +84,17 @@ def run_ladder(spark: SparkSession, labelled_split: DataFrame, seeds: Sequence[i
                 scored = H.with_prediction(df, H.fixed_text_logits("idx", seed, 3, TR.NUM_FEATURES))
                 f1 = _eval_f1(scored.filter(F.col("split") == "test"))
                 rows.append((exp_id, fs, method, seed, f1.get("test"), None, 0, 3 * TR.NUM_FEATURES,
-                             0.0, None))
+                             0.0, None, None, None))
                 continue
             key = (fs, method)
             if key not in fitted:
                 train = df.filter(F.col("split") == "train")
-                train = TR.with_weights(train, TR.class_weights(train))
+                counts = TR.class_counts(train)
+                train = TR.with_weights(train, TR.class_weights(train, counts=counts))
+                t0 = time.perf_counter()
                 model = TR.fit(train, fs, method)
+                # run time and rows/s of the fit (train rows from the class-count aggregate)
+                timing[key] = (time.perf_counter() - t0, sum(counts.values()))
                 pred = TR.predict(model, df.filter(F.col("split") != "train"))
                 f1 = _eval_f1(pred)
                 trainable, total = TR.trained_params(model, TR.NUM_FEATURES)
@@ -90,11 +103,13 @@ def run_ladder(spark: SparkSession, labelled_split: DataFrame, seeds: Sequence[i
                     TR.save_model(model, f"{out_dir}/models/{W.output_dir_name(exp_id, seed)}")
             f1, trainable, total = fitted[key]
             pct = round(100.0 * trainable / total, 2) if total else 0.0
+            sec, n_train = timing[key]
             rows.append((exp_id, fs, method, seed, f1.get("test"), f1.get("validation"), trainable, total,
-                         pct, W.output_dir_name(exp_id, seed)))
+                         pct, W.output_dir_name(exp_id, seed), round(sec, 3),
+                         round(n_train / sec, 1) if sec > 0 else None))
     for df in cached:
         df.unpersist()
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+    return spark.createDataFrame(rows, RESULT_SCHEMA + ", fit_sec double, train_rows_per_sec double")
 
 
 def ladder_with_sinks(spark: SparkSession, labelled_split: DataFrame, out_dir: str,

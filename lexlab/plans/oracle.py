@@ -203,7 +203,7 @@ P AS (
 def confusion_cte(src: str = "P", groups: str = "model_id, split", n_classes: int = 3) -> str:
     return f"""
 CELLS AS (SELECT {groups}, label, pred, count(*) AS n FROM {src} GROUP BY {groups}, label, pred),
-GRID AS (SELECT g.*, a.range AS label, b.range AS pred
+GRID AS (SELECT g.*, CAST(a.range AS INTEGER) AS label, CAST(b.range AS INTEGER) AS pred
          FROM (SELECT DISTINCT {groups} FROM CELLS) g, range({n_classes}) a, range({n_classes}) b),
 CM AS (SELECT g.*, CAST(coalesce(c.n, 0) AS BIGINT) AS n_cell FROM GRID g
        LEFT JOIN CELLS c USING ({groups}, label, pred)),
@@ -475,7 +475,7 @@ def f1_cte(name: str, src: str, groups: str, n_classes: int) -> str:
     return f"""
 {p}_CELLS AS (SELECT {groups}, label, pred, count(*) AS n FROM {src} GROUP BY {groups}, label, pred),
 {p}_CM AS (SELECT g.*, CAST(coalesce(c.n, 0) AS BIGINT) AS n_cell FROM (
-             SELECT g.*, a.range AS label, b.range AS pred
+             SELECT g.*, CAST(a.range AS INTEGER) AS label, CAST(b.range AS INTEGER) AS pred
              FROM (SELECT DISTINCT {groups} FROM {p}_CELLS) g, range({n_classes}) a, range({n_classes}) b) g
            LEFT JOIN {p}_CELLS c USING ({groups}, label, pred)),
 {p}_PC0 AS (

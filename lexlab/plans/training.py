@@ -32,12 +32,17 @@ NUM_FEATURES = 1024
 WORD_PATTERN = r"[^\p{L}\p{N}_]+"
 
 
-def class_weights(df: DataFrame, label_col: str = "label") -> dict[int, float]:
-    """Inverse class frequency, N / (C * n_c), from a classes-row aggregate."""
-    rows = df.groupBy(label_col).count().collect()
-    n = sum(r["count"] for r in rows)
-    c = len(rows)
-    return {r[label_col]: n / (c * r["count"]) for r in rows}
+def class_counts(df: DataFrame, label_col: str = "label") -> dict[int, int]:
+    """Rows per class (a classes-row aggregate)."""
+    return {r[label_col]: r["count"] for r in df.groupBy(label_col).count().collect()}
+
+
+def class_weights(df: DataFrame, label_col: str = "label",
+                  counts: dict[int, int] | None = None) -> dict[int, float]:
+    """Inverse class frequency, N / (C * n_c)."""
+    counts = counts if counts is not None else class_counts(df, label_col)
+    n, c = sum(counts.values()), len(counts)
+    return {k: n / (c * v) for k, v in counts.items()}
 
 
 def with_weights(df: DataFrame, weights: dict[int, float], label_col: str = "label",
