@@ -17,8 +17,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled relation L: ``documents JOIN labels USING (doc_id)``.
 
     label = negative if toxic, else positive if quality, else neutral
-    (ids in the general family order).  Only the two needed document
-    columns are read (column pruning reaches the scan).  The join is left
+    (ids in the general family order).  Only the needed document columns
+    are selected; Catalyst prunes the scan further to what each query uses.  The join is left
     to Catalyst/AQE: broadcast when the label table's measured size is
     below the threshold, sort-merge otherwise.
     """
