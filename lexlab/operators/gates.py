@@ -58,3 +58,14 @@ def registry_rows(df: DataFrame, config: Mapping[str, object], group_col: str =
             .withColumn("config_hash", cfg_hash)
             .withColumn("version", F.concat(F.lit("v-"), F.substring(cfg_hash, 1, 12)))
             .withColumn("approver", F.lit(approver)))
+
+
+def latency_report(run_log: DataFrame, value_col: str, group_cols: tuple[str, ...] = (),
+                   pct: float = 0.95, accuracy: int = 10000) -> DataFrame:
+    """p50 / p95 / max of a latency column per group (approximate percentiles:
+    bounded memory per group, no global sort)."""
+    return run_log.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.percentile_approx(value_col, 0.5, accuracy).alias("p50"),
+        F.percentile_approx(value_col, pct, accuracy).alias("p95"),
+        F.max(value_col).alias("max"))
