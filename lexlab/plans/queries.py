@@ -117,7 +117,7 @@ from lexlab.operators.labels import names_in_id_order  # noqa: E402
 
 @query("tokenize_truncate")
 def q_tokenize_truncate(spark, sf_dir):
-    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = fx.read_documents(spark, sf_dir, "text")
     t = T.tokenize(docs, "text", "tokens", max_length=128)
     return t.select("doc_id", "n_tokens", F.size("tokens").cast("bigint").alias("n_kept"),
                     F.array_join("tokens", " ").alias("tokens_text"))
@@ -125,13 +125,13 @@ def q_tokenize_truncate(spark, sf_dir):
 
 @query("vocab_counts")
 def q_vocab_counts(spark, sf_dir):
-    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = fx.read_documents(spark, sf_dir, "text")
     return T.vocab_counts(T.tokenize(docs, "text", "tokens", max_length=None))
 
 
 @query("pad_batches")
 def q_pad_batches(spark, sf_dir):
-    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = fx.read_documents(spark, sf_dir, "text")
     ids = T.tokenize(docs, "text", "tokens", 128).withColumn("ids", T.token_ids("tokens"))
     nb = T.batch_buckets(docs.count())
     b = T.pad_batches(ids.select("doc_id", "ids"), "ids", "doc_id", batch_size=32, n_buckets=nb)
@@ -219,7 +219,7 @@ from lexlab.plans import experiments as EX  # noqa: E402
 
 
 def param_catalogue(spark, sf_dir):
-    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = fx.read_documents(spark, sf_dir, "text", "lang")
     return B.vocab_param_catalogue(T.tokenize(docs, "text", "tokens", None), "tokens", "lang")
 
 
