@@ -24,8 +24,8 @@ hold most of the table):
    those buckets (about 1/65,536 of a class each) are ranked, to find the
    hash value at the cut;
 4. every row is then labelled by comparing its hash with at most two
-   (bucket, hash) thresholds of its class: a pure projection with literals,
-   no join and no shuffle of the data rows.
+   (bucket, hash) thresholds of its class, looked up in literal maps: a pure
+   projection, no join and no shuffle of the data rows.
 
 Only bounded tables reach the driver: the histogram (classes x 65,536 rows
 at most, whatever the table size) and at most two hashes per class.  The
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from lexlab.constants import (
     HOLDOUT_DEN, RATIO_DEN, SPLIT_SEED, TEST_OF_HOLDOUT_NUM, TRAIN_RATIO_NUM,
 )
-from lexlab.functions.exprs import seeded_md5, unit_interval
+from lexlab.functions.exprs import map_literal, seeded_md5, unit_interval
 
 SPLITS = ["train", "validation", "test"]
 BUCKET_HEX = 4  # 65,536 buckets per class
@@ -86,7 +86,9 @@ def _apportion(df: DataFrame, count_col: str, total_col: str, out_col: str,
 def class_quotas(hist: DataFrame, label_col: str, train_num: int = TRAIN_RATIO_NUM,
                  den: int = RATIO_DEN, test_num: int = TEST_OF_HOLDOUT_NUM,
                  test_den: int = HOLDOUT_DEN) -> DataFrame:
-    """Per-class (n_c, train_c, val_c, test_c) from a (label, _n) histogram.
+    """Per-class (n_c, train_c, val_c, test_c) from a (label, _n) histogram,
+    computed as DataFrame operations (the split itself uses the driver-side
+    twin ``quotas_from_counts``; tests check that both agree).
 
     The input has one row per (class, bucket); the output one per class,
     so every window here spans at most a handful of rows.
@@ -206,15 +208,16 @@ def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "do
         for (c, cut_id), (b, r) in cuts.items():
             th[(c, cut_id)] = (b, got[(c, b, r)])
 
-    # 4. per-row decision: a projection with literal thresholds
+    # 4. per-row decision: a projection with literal class -> threshold maps
+    #    (one map lookup per row, whatever the number of classes)
     def before(cut_id: int):
-        cond = F.lit(False)
-        for (c, k), (b, hv) in th.items():
-            if k != cut_id:
-                continue
-            cond = cond | ((F.col(label_col) == F.lit(c)) & (
-                (F.col("_b") < F.lit(b)) | ((F.col("_b") == F.lit(b)) & (F.col("_h") <= F.lit(hv)))))
-        return cond
+        mine = {c: v for (c, k), v in th.items() if k == cut_id}
+        if not mine:
+            return F.lit(False)
+        tb = F.element_at(map_literal({c: b for c, (b, _) in mine.items()}), F.col(label_col))
+        tv = F.element_at(map_literal({c: hv for c, (_, hv) in mine.items()}), F.col(label_col))
+        cond = (F.col("_b") < tb) | ((F.col("_b") == tb) & (F.col("_h") <= tv))
+        return F.coalesce(cond, F.lit(False))
 
     out = units.withColumn(split_col, F.when(before(1), "test").when(before(2), "validation")
                            .otherwise("train"))
