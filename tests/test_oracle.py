@@ -61,3 +61,16 @@ def test_scan_prunes_columns(spark):
     from __spark_entry__ import queries
     plan = queries()["class_distribution"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan or "text" not in plan.split("labels.parquet")[0]
+
+
+@pytest.mark.parametrize("key", ["registry_row", "artifact_manifest", "head_only_train", "rank_r_train",
+                                 "reload_parity"])
+def test_rows_only_keys_run(spark, key):
+    from __spark_entry__ import queries
+    rows = queries()[key](spark, SF_SMALL).collect()
+    assert len(rows) > 0
+    if key == "reload_parity":
+        assert rows[0].n_diff == 0 and rows[0].n_rows > 0
+    if key == "artifact_manifest":
+        parents = {r.parent for r in rows}
+        assert any(p.startswith("head_only") for p in parents) and any("split=" in p for p in parents)
