@@ -27,16 +27,23 @@ def tokenize(df: DataFrame, text_col: str = "text", out_col: str = "tokens",
 
 
 def vocab_counts(df: DataFrame, tokens_col: str = "tokens", key_col: str = "doc_id") -> DataFrame:
-    """(token, n_occurrences, n_docs) over whole texts.
+    """(token, n_occurrences, n_docs) over whole texts, with one shuffle.
 
-    Aggregated per (doc, token) first, so a very common token is one row
-    per document before the per-token shuffle, and partial aggregation
-    map-side again before the second one.
+    Each row emits (token, 1, 0) per occurrence and (token, 0, 1) per
+    distinct token of the document (``array_distinct`` inside the row), and
+    a single ``groupBy(token)`` sums both.  Map-side partial aggregation
+    collapses a partition to one row per token before the shuffle, so even a
+    token present in a third of all documents moves as one row per partition.
     """
-    per_doc = (df.select(key_col, F.explode(tokens_col).alias("token"))
-               .groupBy(key_col, "token").agg(F.count(F.lit(1)).alias("_c")))
-    return per_doc.groupBy("token").agg(F.sum("_c").cast("bigint").alias("n_occurrences"),
-                                        F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+    t = F.col(tokens_col)
+    pieces = F.concat(
+        F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(1).alias("occ"), F.lit(0).alias("doc"))),
+        F.transform(F.array_distinct(t),
+                    lambda x: F.struct(x.alias("token"), F.lit(0).alias("occ"), F.lit(1).alias("doc"))))
+    return (df.select(F.explode(pieces).alias("p"))
+              .groupBy(F.col("p.token").alias("token"))
+              .agg(F.sum("p.occ").cast("bigint").alias("n_occurrences"),
+                   F.sum("p.doc").cast("bigint").alias("n_docs")))
 
 
 def token_ids(tokens: str, vocab: int = PAD_VOCAB):
