@@ -44,8 +44,8 @@ def vocab_param_catalogue(docs: DataFrame, tokens_col: str = "tokens", domain_co
 
     (model_id, name, numel, trainable) -- grows with the vocabulary.
     """
-    words = (docs.select(domain_col, F.explode(tokens_col).alias("token"))
-             .distinct()
+    words = (docs.select(domain_col, F.explode(F.array_distinct(tokens_col)).alias("token"))
+             .distinct()   # partial aggregation map-side; one row per (domain, token) per partition
              .select(F.concat(F.lit("word_"), F.col(domain_col)).alias("model_id"),
                      F.concat(F.lit("embeddings.word."), F.col("token")).alias("name"),
                      F.lit(dim).cast("bigint").alias("numel")))
