@@ -31,7 +31,8 @@ def text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spl.stratified_split(L, label_col="label", key_col="doc_id")
 
 
-def text_features_table(spark: SparkSession, sf_dir: str, extra_cols: Sequence[str] = ()) -> DataFrame:
+def text_features_table(spark: SparkSession, sf_dir: str, extra_cols: Sequence[str] = (),
+                        with_slices: bool = False) -> DataFrame:
     """(doc_id, split, label, lang, idx): split + hashed word ids, computed once.
 
     Staged as a parquet table in the shared checkpoint folder: the NB fit and
@@ -41,15 +42,17 @@ def text_features_table(spark: SparkSession, sf_dir: str, extra_cols: Sequence[s
     checkpoint_root(spark)
     feats = (text_split(spark, sf_dir)
              .withColumn("_tok", word_tokens("sentence"))
-             .withColumn("idx", token_indices("_tok", H.NUM_FEATURES))
-             .withColumn("slices", slice_tags("sentence", F.size("_tok"))))
-    return stage_table(feats.select("doc_id", "split", "label", "lang", "idx", "slices", *extra_cols),
-                       "text-features")
+             .withColumn("idx", token_indices("_tok", H.NUM_FEATURES)))
+    cols = ["doc_id", "split", "label", "lang", "idx"]
+    if with_slices:   # two extra regex passes over each text: only when asked for
+        feats = feats.withColumn("slices", slice_tags("sentence", F.size("_tok")))
+        cols.append("slices")
+    return stage_table(feats.select(*cols, *extra_cols), "text-features")
 
 
 def text_scored(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (42,),
-                nb: bool = True, extra_cols: Sequence[str] = ()) -> DataFrame:
-    base = text_features_table(spark, sf_dir, extra_cols)
+                nb: bool = True, extra_cols: Sequence[str] = (), with_slices: bool = False) -> DataFrame:
+    base = text_features_table(spark, sf_dir, extra_cols, with_slices)
     out = base
     for s in seeds:
         out = H.with_prediction(out, H.fixed_text_logits("idx", s, TEXT_CLASSES), prefix=f"fixed_s{s}_")
@@ -76,7 +79,8 @@ def text_predictions(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (4
                      nb: bool = True, keep: Sequence[str] = ("doc_id", "split", "label", "lang")
                      ) -> DataFrame:
     extra = [c for c in keep if c not in ("doc_id", "split", "label", "lang")]
-    wide = text_scored(spark, sf_dir, seeds, nb, extra_cols=[c for c in extra if c != "slices"])
+    wide = text_scored(spark, sf_dir, seeds, nb, extra_cols=[c for c in extra if c != "slices"],
+                       with_slices="slices" in keep)
     return stack_models(wide, model_names(seeds, nb), list(keep))
 
 
