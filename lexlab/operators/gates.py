@@ -49,10 +49,9 @@ def registry_rows(df: DataFrame, config: Mapping[str, object], group_col: str =
                   approver: str = "pending") -> DataFrame:
     """Order-free data hash per group (sum of 64-bit row hashes as a 38-digit
     decimal, plus the row count), config hash, version and approver."""
-    import json
-    cfg = json.dumps(dict(config), sort_keys=True, separators=(",", ":"))
+    cfg_json = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(dict(config).items())]))
     row_hash = F.xxhash64(*[F.col(c) for c in hash_cols]).cast("decimal(38,0)")
-    cfg_hash = F.sha2(F.lit(cfg), 256)
+    cfg_hash = F.sha2(cfg_json, 256)
     return (df.groupBy(group_col).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                                       F.sum(row_hash).cast("string").alias("data_hash"))
             .withColumn("config_hash", cfg_hash)

@@ -74,3 +74,11 @@ def test_rows_only_keys_run(spark, key):
     if key == "artifact_manifest":
         parents = {r.parent for r in rows}
         assert any(p.startswith("head_only") for p in parents) and any("split=" in p for p in parents)
+
+
+def test_vocab_counts_single_shuffle(spark):
+    from __spark_entry__ import queries
+    plan = queries()["vocab_counts"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    # one aggregation exchange (the other, if any, is the under-split spread of the scan)
+    assert plan.count("ENSURE_REQUIREMENTS") == 1
+    assert "partial_sum" in plan

@@ -80,3 +80,14 @@ def test_registry_hash_is_order_free(spark):
     a = {r.split: r.data_hash for r in GT.registry_rows(df, {"k": 1}).collect()}
     b = {r.split: r.data_hash for r in GT.registry_rows(df.repartition(7), {"k": 1}).collect()}
     assert a == b
+
+
+def test_token_hash_methods(spark):
+    from lexlab.functions.text import token_indices
+    df = spark.createDataFrame([(["a", "b", "a"],)], "t array<string>")
+    md5 = df.select(token_indices("t", 1024)).first()[0]
+    xx = df.select(token_indices("t", 1024, "xxhash64")).first()[0]
+    assert md5[0] == md5[2] and xx[0] == xx[2]
+    assert all(0 <= i < 1024 for i in md5 + xx)
+    with pytest.raises(ValueError):
+        token_indices("t", 8, "nope")
