@@ -9,7 +9,6 @@ at start and stops, which makes a run repeatable and restartable.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexlab.operators import heads as H
 

@@ -81,3 +81,17 @@ def test_sample_is_top_k(spark):
     plan = spl.sample_rows(L, 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     assert spl.sample_rows(L, 5).count() == 5
+
+
+def test_hot_group_stays_whole_and_split_stays_exact_elsewhere(spark):
+    # one group of copies holds a third of all rows
+    rows = [(i, 0, "hot") for i in range(1000)] + [(1000 + i, i % 2, f"u{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    s = spl.stratified_split(df, group_col="text")
+    hot = s.filter("text = 'hot'").select("split").distinct().count()
+    assert hot == 1
+    per = {(r.label, r.split): r["count"] for r in s.groupBy("label", "split").count().collect()}
+    assert sum(per.values()) == 3000
+    # class 1 has no copies: its shares are exact
+    q = spl.quotas_from_counts({0: 2000, 1: 1000})
+    assert (per.get((1, "train"), 0), per.get((1, "validation"), 0), per.get((1, "test"), 0)) == q[1]
