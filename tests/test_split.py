@@ -95,3 +95,29 @@ def test_hot_group_stays_whole_and_split_stays_exact_elsewhere(spark):
     # class 1 has no copies: its shares are exact
     q = spl.quotas_from_counts({0: 2000, 1: 1000})
     assert (per.get((1, "train"), 0), per.get((1, "validation"), 0), per.get((1, "test"), 0)) == q[1]
+
+
+def test_pad_batches_properties(spark):
+    from lexlab.operators import text as T
+    docs = fx.read_documents(spark, SF_SMALL, "text")
+    ids = T.tokenize(docs, "text", "tokens", 128).withColumn("ids", T.token_ids("tokens"))
+    b = T.pad_batches(ids.select("doc_id", "ids", "n_tokens"), "ids", "doc_id", batch_size=32, n_buckets=3)
+    rows = b.select("bucket", "batch_no", "seq_len", "padded_len", "input_ids", "attention_mask", "n_tokens").collect()
+    assert len(rows) == docs.count()
+    sizes = {}
+    for r in rows:
+        sizes[(r.bucket, r.batch_no)] = sizes.get((r.bucket, r.batch_no), 0) + 1
+        assert len(r.input_ids) == len(r.attention_mask) == r.padded_len
+        assert sum(r.attention_mask) == r.seq_len == min(r.n_tokens, 128)
+        assert all(i == 0 for i in r.input_ids[r.seq_len:])
+    assert max(sizes.values()) <= 32
+    per_batch = {}
+    for r in rows:
+        per_batch.setdefault((r.bucket, r.batch_no), set()).add(r.padded_len)
+    assert all(len(v) == 1 for v in per_batch.values())
+
+
+def test_hash_mode_shares(spark):
+    df = spark.range(20000).withColumnRenamed("id", "doc_id").withColumn("label", (F.col("doc_id") % 3).cast("int"))
+    c = {r.split: r["count"] for r in spl.stratified_split(df, mode="hash").groupBy("split").count().collect()}
+    assert abs(c["test"] / 20000 - 0.15) < 0.02 and abs(c["validation"] / 20000 - 0.15) < 0.02
