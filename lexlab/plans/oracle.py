@@ -636,3 +636,7 @@ SELECT doc_id, pred, round(confidence, 6) AS confidence FROM SP"""
 
 
 ORACLE["stream_score"] = stream_score_sql()
+
+
+ORACLE["split_test_partition"] = with_(L, split_cte("LN", "doc_id")) + """
+SELECT doc_id, label, split FROM SPLIT WHERE split = 'test'"""

@@ -354,3 +354,12 @@ def q_stream_score(spark, sf_dir):
     root = scratch_path(spark, "stream")
     out = ST.score_stream(spark, sf_dir, f"{root}/out", f"{root}/ckpt", seed=42)
     return out.select("doc_id", "pred", F.round("confidence", 6).alias("confidence"))
+
+
+@query("split_test_partition")
+def q_split_test_partition(spark, sf_dir):
+    """K6: persist the split partitioned by split; a test-only read is
+    partition-pruned (only the split=test folder is listed and scanned)."""
+    path = scratch_path(spark, "splits")
+    WR.write_splits(split_L(spark, sf_dir).select("doc_id", "label", "split"), path)
+    return spark.read.parquet(path).filter(F.col("split") == "test").select("doc_id", "label", "split")
