@@ -10,7 +10,7 @@ FAST_KEYS = ["class_distribution", "label_decode", "label_remap", "stratified_sp
              "split_disjoint", "sample_rows", "parse_labelled_lines", "parse_quarantine",
              "select_agreement", "tokenize_truncate", "pad_batches", "score_fixed_head",
              "confusion_long", "classification_report", "macro_f1", "lift", "param_budget",
-             "stream_score"]
+             "stream_score", "split_test_partition", "vocab_counts", "calibration_ece"]
 
 
 @pytest.fixture(scope="module")
