@@ -17,6 +17,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_LOCAL_ROOT: dict[str, str] = {}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "lexlab") -> SparkSession:
@@ -41,23 +43,29 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    cluster.  Only when it is unset (local tests) do we create one under
-    the system temp folder and register it with the SparkContext.
+    The folder is the cluster's: the context's checkpoint folder, or the
+    setting ``spark.checkpoint.dir``.  Without either, a single-machine
+    session (``local[...]``, where driver and executors share one disk) gets a
+    temporary folder of its own; any other master raises, because a
+    machine-local folder there would be written by one executor and missed by
+    the others.  The caller's own settings are never changed.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        # unset: local / test session only
-        root = tempfile.mkdtemp(prefix="lexlab-ckpt-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = sc.applicationId
+    if app not in _LOCAL_ROOT:
+        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="lexlab-ckpt-")
+    return _LOCAL_ROOT[app]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def scratch_path(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """A fresh, unique path under ``root`` (default: the shared checkpoint folder)."""
+    return f"{(root or checkpoint_root(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def local_path(uri: str) -> str:
@@ -69,11 +77,31 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def stage_table(df, name: str, fmt: str = "parquet"):
-    """Write ``df`` once to a fresh path under the shared checkpoint folder and
-    read it back: a lineage cut that survives executor loss and computes the
-    input a single time (``Dataset.checkpoint`` would run it twice)."""
+def stage_table(df, name: str, fmt: str = "parquet", root: str | None = None):
+    """Write ``df`` once to a fresh path under ``root`` (default: the shared
+    checkpoint folder) and read it back: a lineage cut that survives executor
+    loss and computes the input a single time (``Dataset.checkpoint`` would
+    run it twice)."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, root)
     df.write.format(fmt).save(path)
-    return spark.read.format(fmt).load(path)
+    return spark.read.format(fmt).schema(df.schema).load(path)
+
+
+def drop_staged(*tables) -> None:
+    """Delete the files of staged tables that nothing reads any more.
+
+    Only paths under the shared checkpoint folder are touched, so a caller's
+    own table is never deleted by mistake."""
+    for df in tables:
+        spark = df.sparkSession
+        root = checkpoint_root(spark)
+        jvm = spark._jvm
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        base = jvm.org.apache.hadoop.fs.Path(root)
+        top = base.getFileSystem(conf).makeQualified(base).toString().rstrip("/") + "/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            fs = p.getFileSystem(conf)
+            if fs.makeQualified(p).toString().startswith(top):
+                fs.delete(p, True)
