@@ -27,8 +27,25 @@ def op7_url_filters(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+@query("op6_ring_shards")
+def op6_ring_shards(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from lexlab.llm import sharding
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark, sf_dir):
+    from lexlab.llm import decontaminate as d
+    return d.digest(d.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def _oracles() -> None:
-    from lexlab.llm import urlfilter
+    from lexlab.llm import decontaminate, urlfilter
+    ORACLE["op9_decontaminate"] = decontaminate.oracle_sql()
     ORACLE["op7_url_filters"] = urlfilter.oracle_sql()
 
 
