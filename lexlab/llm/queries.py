@@ -43,6 +43,16 @@ def op9_decontaminate(spark, sf_dir):
     return d.digest(d.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from lexlab.llm import secrets
+    found = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"),
+                        "spans", "n_layers", "n_refused")
+
+
 def _oracles() -> None:
     from lexlab.llm import decontaminate, urlfilter
     ORACLE["op9_decontaminate"] = decontaminate.oracle_sql()
