@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op5_piecewise_fingerprints")
+def op5_piecewise_fingerprints(spark, sf_dir):
+    from lexlab.llm import fingerprints
+    return fingerprints.against_next(table(spark, sf_dir, "documents"))
+
+
 @query("op7_url_filters")
 def op7_url_filters(spark, sf_dir):
     from lexlab.llm import urlfilter
