@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf_dir):
+    from lexlab.llm import packing
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op5_piecewise_fingerprints")
 def op5_piecewise_fingerprints(spark, sf_dir):
     from lexlab.llm import fingerprints
