@@ -70,6 +70,12 @@ def op8_secret_scan(spark, sf_dir):
                         "spans", "n_layers", "n_refused")
 
 
+@query("op10_line_dedup")
+def op10_line_dedup(spark, sf_dir):
+    from lexlab.llm import linededup
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def _oracles() -> None:
     from lexlab.llm import decontaminate, urlfilter
     ORACLE["op9_decontaminate"] = decontaminate.oracle_sql()
