@@ -32,6 +32,12 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark, sf_dir):
+    from lexlab.llm import jaccard
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op5_piecewise_fingerprints")
 def op5_piecewise_fingerprints(spark, sf_dir):
     from lexlab.llm import fingerprints
