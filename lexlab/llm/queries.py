@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_tool_call_linking")
+def op1_tool_call_linking(spark, sf_dir):
+    from lexlab.llm import chat
+    calls, results = chat.events(table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.SCHEMAS)
+
+
 @query("op2_pu_quality")
 def op2_pu_quality(spark, sf_dir):
     from lexlab.llm import quality
