@@ -257,7 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
           **options) -> tuple[Model, DataFrame]:
     """The model, and the stored feature table of all documents."""
     table = stage_table(feature_table(docs, key, text), "features")
-    return fit(training_rows(table, labels, key=key, label=label), **options), table
+    rows = stage_table(training_rows(table, labels, key=key, label=label), "training")  # each pass of the fit reads it
+    return fit(rows, **options), table
 
 
 def score_features(table: DataFrame, model: Model, *, key: str = "doc_id") -> DataFrame:
