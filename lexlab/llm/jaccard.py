@@ -264,12 +264,15 @@ def _small_tasks(small: DataFrame, large: DataFrame) -> DataFrame:
 
 def _large_tasks(large: DataFrame, block: int) -> DataFrame:
     """``(g, i, j, side, nid)``: pairs of blocks of the large buckets."""
-    other = large.select("nid", F.col("bucket").alias("prev"))
-    overlap = (large.join(other, "nid").filter("prev < bucket").groupBy("bucket", "prev").agg(F.count(F.lit(1)).alias("k"))
-               .groupBy("bucket").agg(F.max(F.struct("k", "prev")).alias("b")).select("bucket", F.col("b.prev").alias("prev")))
-    marked = (large.join(overlap, "bucket", "left")
-              .join(other.withColumn("old", F.lit(True)), ["nid", "prev"], "left")
-              .select("bucket", "nid", F.coalesce("old", F.lit(False)).alias("old")))
+    # each member's large buckets in order; the one that most members of a bucket come from is its
+    # predecessor, and members that are in that one too have met there
+    of = large.groupBy("nid").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
+    rows = of.select("nid", "own", F.posexplode("own").alias("at", "bucket"))
+    before = (rows.filter("at > 0").select("bucket", F.element_at("own", F.col("at")).alias("prev"))
+              .groupBy("bucket", "prev").agg(F.count(F.lit(1)).alias("k"))
+              .groupBy("bucket").agg(F.max(F.struct("k", "prev")).alias("b")).select("bucket", F.col("b.prev").alias("prev")))
+    marked = (rows.join(before, "bucket", "left")
+              .select("bucket", "nid", F.coalesce(F.expr("array_contains(own, prev)"), F.lit(False)).alias("old")))
     marked = stage_table(marked, "large")
     sizes = stage_table(marked.groupBy("bucket").agg(
         F.ceil(F.count_if(~F.col("old")) / block).cast("int").alias("n_new"),
