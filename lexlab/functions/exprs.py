@@ -78,10 +78,6 @@ def invert_map(m: Column) -> Column:
     return F.map_from_arrays(F.map_values(m), F.map_keys(m))
 
 
-def sorted_keys(m: Column) -> Column:
-    return F.array_sort(F.map_keys(m))
-
-
 # --------------------------------------------------------------------------
 # score vectors
 # --------------------------------------------------------------------------
@@ -92,12 +88,19 @@ def argmax(arr: str | Column) -> Column:
 
 
 def softmax(arr: str | Column) -> Column:
-    """Max-shifted softmax of a double array."""
-    a = col(arr)
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    """Max-shifted softmax of a double array.
+
+    The maximum, the exponentials and their sum are each bound once (as the
+    element of a one-element array), not worked out again per element."""
+    def bound(value: Column, use) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def shares(e: Column) -> Column:
+        return bound(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x).alias("s")),
+                     lambda t: F.transform(t["e"], lambda x: x / t["s"]))
+
+    return bound(F.struct(col(arr).alias("a"), F.array_max(col(arr)).alias("m")),
+                 lambda t: bound(F.transform(t["a"], lambda x: F.exp(x - t["m"])), shares))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -131,10 +134,11 @@ def safe_div(num: Column, den: Column) -> Column:
 def half_up_pct2(part: Column, total: Column) -> Column:
     """round(100 * part / total, 2), half-up on the exact rational.
 
-    Integer arithmetic so every engine gives the same double; 0.0 when
-    total is 0.
+    Whole numbers of 38 digits throughout, so no table size overflows and every
+    engine gives the same double; 0.0 when total is 0.
     """
-    p = part.cast("bigint")
-    t = total.cast("bigint")
-    scaled = F.floor((p * F.lit(20000) + t) / (t * F.lit(2)))
-    return F.when(t == 0, F.lit(0.0)).otherwise(scaled.cast("double") / F.lit(100.0))
+    p, t = part.cast("decimal(38,0)"), total.cast("decimal(38,0)")
+    up = (p * F.lit(20000) + t).cast("decimal(38,0)")
+    down = (F.nullif(t, F.lit(0).cast("decimal(38,0)")) * F.lit(2)).cast("decimal(38,0)")
+    whole = ((up - F.pmod(up, down)) / down).cast("bigint")
+    return F.when(t == 0, F.lit(0.0)).otherwise(whole.cast("double") / F.lit(100.0))

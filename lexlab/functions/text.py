@@ -38,20 +38,11 @@ def char_ngrams(text: str | Column, n: int = 3) -> Column:
     return F.array_compact(grams)
 
 
-# "md5": the default; any SQL engine can recompute it (the oracle checks rely on it).
-# "xxhash64": about 3x cheaper per token, for production runs that need no SQL parity.
-TOKEN_HASH = "md5"
+def token_index(t: Column, num_features: int) -> Column:
+    """Stable feature index of one token: md5 prefix modulo num_features (any
+    SQL engine can recompute it)."""
+    return (hex8_to_long(F.md5(t)) % F.lit(num_features)).cast("int")
 
 
-def token_index(t: Column, num_features: int, method: str | None = None) -> Column:
-    """Stable feature index of one token: hash modulo num_features."""
-    method = method or TOKEN_HASH
-    if method == "md5":
-        return (hex8_to_long(F.md5(t)) % F.lit(num_features)).cast("int")
-    if method == "xxhash64":
-        return F.pmod(F.xxhash64(t), F.lit(num_features)).cast("int")
-    raise ValueError(f"unknown token hash {method!r}")
-
-
-def token_indices(tokens: str | Column, num_features: int, method: str | None = None) -> Column:
-    return F.transform(col(tokens), lambda t: token_index(t, num_features, method))
+def token_indices(tokens: str | Column, num_features: int) -> Column:
+    return F.transform(col(tokens), lambda t: token_index(t, num_features))

@@ -42,12 +42,13 @@ def vocab_param_catalogue(docs: DataFrame, tokens_col: str = "tokens", domain_co
     """Catalogue of one bag-of-words classifier per domain: a frozen word vector
     per distinct token of that domain's documents, plus a two-layer head.
 
-    (model_id, name, numel, trainable) -- grows with the vocabulary.
+    (model_id, name, numel, trainable) -- grows with the vocabulary.  A word's
+    tensor is named by a digest, so no token can look like a head's name.
     """
     words = (docs.select(domain_col, F.explode(F.array_distinct(tokens_col)).alias("token"))
              .distinct()   # partial aggregation map-side; one row per (domain, token) per partition
              .select(F.concat(F.lit("word_"), F.col(domain_col)).alias("model_id"),
-                     F.concat(F.lit("embeddings.word."), F.col("token")).alias("name"),
+                     F.concat(F.lit("embeddings.word."), F.md5("token")).alias("name"),
                      F.lit(dim).cast("bigint").alias("numel")))
     head = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).cast("bigint").alias("numel"))
                      for n, k in (("pre_classifier.weight", dim * dim), ("pre_classifier.bias", dim),

@@ -7,10 +7,13 @@ that bounded table.
 Definitions (macro-F1 contract):
 * precision = tp / predicted, recall = tp / support, F1 = 2PR / (P + R),
   each 0 when its denominator is 0;
-* the macro mean runs over classes present in labels UNION predictions; a
-  class absent from both is still listed (support 0, ``observed`` false)
-  but left out of the mean;
-* weighted average weights by support.
+* the macro mean runs over classes present in labels UNION predictions, ids
+  outside the given domain included; a class absent from both is still listed
+  (support 0, ``observed`` false) but left out of the mean;
+* weighted average weights by support;
+* no row is lost: a NULL prediction is a wrong one, a row with a NULL label
+  counts in ``n`` (and as a prediction of its class) but its class is no class,
+  so it is not averaged; NULL group values form a group like any other.
 """
 
 from __future__ import annotations
@@ -29,27 +32,33 @@ def _g(group_cols: Sequence[str]) -> list[str]:
 
 def confusion_long(preds: DataFrame, n_classes: int, group_cols: Sequence[str] = (),
                    label_col: str = "label", pred_col: str = "pred") -> DataFrame:
-    """(groups..., label, pred, n) with every cell of the classes x classes grid.
+    """(groups..., label, pred, n): every cell of the classes x classes grid, and
+    every other cell that occurs (ids outside the domain, NULL).
 
-    Zero cells come from the fixed class domain (``sequence`` + ``explode``
-    on the bounded group table), not from a join of data rows.
+    The grid's zero cells and the counted cells are summed by group, label and
+    prediction; grouping, unlike a join, keeps NULLs.  Both are bounded tables.
     """
     g = _g(group_cols)
-    cells = (preds.groupBy(*g, F.col(label_col).alias("label"), F.col(pred_col).alias("pred"))
+    cells = (preds.groupBy(*g, F.col(label_col).cast("int").alias("label"), F.col(pred_col).cast("int").alias("pred"))
              .agg(F.count(F.lit(1)).alias("n")))
     groups = cells.select(*g).distinct() if g else cells.sparkSession.range(1).select()
     grid = (groups.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))))
-                  .withColumn("pred", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1)))))
-    return (grid.join(cells, [*g, "label", "pred"], "left")
-            .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint")))
+                  .withColumn("pred", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))))
+                  .withColumn("n", F.lit(0).cast("bigint")))
+    return grid.unionByName(cells).groupBy(*g, "label", "pred").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def confusion_wide(long: DataFrame, n_classes: int, group_cols: Sequence[str] = ()) -> DataFrame:
-    """(groups..., label, pred_0 .. pred_{C-1}) from the long form."""
+    """(groups..., label, pred_0 .. pred_{C-1}, pred_other) from the long form;
+    ``pred_other`` holds predictions outside the domain and NULL ones."""
     g = _g(group_cols)
-    wide = long.groupBy(*g, "label").pivot("pred", list(range(n_classes))).agg(F.first("n"))
-    return wide.select(*g, "label", *[F.col(str(i)).cast("bigint").alias(f"pred_{i}")
-                                      for i in range(n_classes)])
+    inside = F.coalesce(F.col("pred").between(0, n_classes - 1), F.lit(False))
+
+    def cell(cond: Column, name: str) -> Column:
+        return F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("bigint").alias(name)
+
+    return long.groupBy(*g, "label").agg(*[cell(F.col("pred") == i, f"pred_{i}") for i in range(n_classes)],
+                                         cell(~inside, "pred_other"))
 
 
 def per_class(long: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +83,7 @@ def per_class(long: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     return (t.withColumn("precision", p).withColumn("recall", r)
              .withColumn("f1", safe_div(2 * F.col("precision") * F.col("recall"),
                                         F.col("precision") + F.col("recall")))
-             .withColumn("observed", (F.col("support") > 0) | (F.col("predicted") > 0)))
+             .withColumn("observed", F.col("class").isNotNull() & ((F.col("support") > 0) | (F.col("predicted") > 0))))
 
 
 def _summary_exprs():
@@ -121,7 +130,9 @@ def classification_report(long: DataFrame, class_names: Sequence[str],
              .withColumn("_wr", safe_div(F.sum(F.col("recall") * F.col("support")).over(w), n))
              .withColumn("_wf", safe_div(F.sum(F.col("f1") * F.col("support")).over(w), n))
              .withColumn("_first", F.col("class") == F.min("class").over(w)))
-    names = F.element_at(F.array(*[F.lit(x) for x in class_names]), F.col("class") + 1)
+    inside = F.col("class").between(0, len(class_names) - 1)
+    names = (F.when(inside, F.try_element_at(F.array(*[F.lit(x) for x in class_names]), F.col("class") + 1))
+             .otherwise(F.coalesce(F.concat(F.lit("id "), F.col("class").cast("string")), F.lit("no class"))))
 
     def row(name, p, r, f, s):
         return F.struct(name.alias("row_name"), p.cast("double").alias("precision"),

@@ -41,7 +41,24 @@ def test_confusion_total_equals_rows(spark):
     assert long.count() == 9
     assert long.agg(F.sum("n")).first()[0] == 6
     wide = M.confusion_wide(long, 3).orderBy("label").collect()
-    assert [(r.pred_0, r.pred_1, r.pred_2) for r in wide] == [(1, 1, 0), (0, 3, 0), (0, 1, 0)]
+    assert [(r.pred_0, r.pred_1, r.pred_2, r.pred_other) for r in wide] == [(1, 1, 0, 0), (0, 3, 0, 0), (0, 1, 0, 0)]
+
+
+def test_no_row_is_lost(spark):
+    P = spark.createDataFrame([(0, 0, "x"), (1, 1, "x"), (2, 2, None), (7, 0, "x"), (None, 1, None), (1, None, None), (2, 9, "x")],
+                              "label int, pred int, g string")
+    long = M.confusion_long(P, 3)
+    assert long.agg(F.sum("n")).first()[0] == 7
+    got = M.macro_f1(long).first()
+    assert got.n == 7 and got.accuracy == pytest.approx(3 / 7, abs=1e-6)
+    f1 = {0: 2 * 0.5 * 1 / 1.5, 1: 0.5, 2: 2 * 1 * 0.5 / 1.5, 7: 0, 9: 0}
+    assert got.macro_f1 == pytest.approx(sum(f1.values()) / 5, abs=1e-6)
+    by = {r.g: r for r in M.macro_f1(M.confusion_long(P, 3, ["g"]), ["g"]).collect()}
+    assert by[None].n == 3 and by["x"].n == 4 and by[None].macro_f1 is not None
+    wide = {r.label: r for r in M.confusion_wide(long, 3).collect()}
+    assert wide[2].pred_other == 1 and wide[1].pred_other == 1 and wide[None].pred_1 == 1 and wide[7].pred_0 == 1
+    names = {r.row_name for r in M.classification_report(long, ["a", "b", "c"]).collect()}
+    assert {"a", "b", "c", "id 7", "id 9", "no class", "accuracy"} <= names
 
 
 def test_argmax_ties_nan_and_softmax(spark):
@@ -103,6 +120,8 @@ def test_param_budget_and_rounding(spark):
     assert (b["m1"].trainable_params, b["m1"].total_params, b["m1"].frozen_params) == (13, 1013, 1000)
     assert b["m1"].trainable_pct == 1.28
     assert b["m2"].trainable_pct == 0.0
-    df = spark.createDataFrame([(2675, 100000), (125, 100000)], "t long, n long")
+    df = spark.createDataFrame([(2675, 100000), (125, 100000), (5 * 10 ** 14, 10 ** 18), (0, 0)], "t long, n long")
     got = [r[0] for r in df.select(half_up_pct2(F.col("t"), F.col("n"))).collect()]
-    assert got == [2.68, 0.13]
+    assert got == [2.68, 0.13, 0.05, 0.0]
+    docs = spark.createDataFrame([("en", ["score", "classifier", "x"])], "lang string, tokens array<string>")
+    assert B.vocab_param_catalogue(docs).filter("trainable").count() == 4  # the head's own tensors only
