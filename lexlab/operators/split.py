@@ -18,18 +18,22 @@ That ordering is computed without a window over a whole class (a class may
 hold most of the table):
 
 1. histogram of (class, first 4 hex digits of the hash): at most
-   classes x 65,536 rows, pre-aggregated map-side;
-2. running sums over that histogram give each bucket's start offset;
-3. a cut position falls inside at most one bucket per cut; only the rows of
-   those buckets (about 1/65,536 of a class each) are ranked, to find the
-   hash value at the cut;
+   classes x 65,536 rows, pre-aggregated map-side and stored;
+2. running sums over that histogram give each bucket's start offset, and the
+   at most two buckets per class that hold a cut;
+3. only the rows of those buckets (about 1/65,536 of a class each) are ranked,
+   to find the hash value at the cut;
 4. every row is then labelled by comparing its hash with at most two
    (bucket, hash) thresholds of its class, looked up in literal maps: a pure
    projection, no join and no shuffle of the data rows.
 
-Only bounded tables reach the driver: the histogram (classes x 65,536 rows
-at most, whatever the table size) and at most two hashes per class.  The
-quota arithmetic runs there in exact Python integers.
+The driver sees one count and at most two thresholds per class.  The quota
+arithmetic runs there in exact Python integers.
+
+NULL labels are a class of their own (last in the order of ties).  Rows with
+equal keys share a hash and always land in the same split, so that no copy
+leaks; sizes are then off by at most the rows of one key per cut.  A NULL key
+counts as one key.
 
 With ``group_col`` the hash is taken of the group key, so copies (for
 example identical texts) with the same label always land in the same split
@@ -44,13 +48,14 @@ sizes approximate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlab.constants import (
     HOLDOUT_DEN, RATIO_DEN, SPLIT_SEED, TEST_OF_HOLDOUT_NUM, TRAIN_RATIO_NUM,
 )
 from lexlab.functions.exprs import map_literal, seeded_md5, unit_interval
+from lexlab.session import stage_table
 
 SPLITS = ["train", "validation", "test"]
 BUCKET_HEX = 4  # 65,536 buckets per class
@@ -64,50 +69,6 @@ def split_sizes(n: int, train_num: int = TRAIN_RATIO_NUM, den: int = RATIO_DEN,
     return {"train": n - hold, "validation": hold - test, "test": test}
 
 
-def _apportion(df: DataFrame, count_col: str, total_col: str, out_col: str,
-               label_col: str) -> DataFrame:
-    """Largest-remainder apportionment of ``total_col`` over ``count_col``.
-
-    Runs on the per-class table (one row per class).  Products use
-    decimal(38,0) so ``count * total`` cannot overflow at any table size.
-    """
-    w_all = Window.partitionBy(F.lit(1))
-    df = (df.withColumn("_nall", F.sum(count_col).over(w_all).cast("decimal(38,0)"))
-            .withColumn("_prod", F.col(count_col).cast("decimal(38,0)")
-                        * F.col(total_col).cast("decimal(38,0)"))
-            .withColumn("_floor", F.expr("CASE WHEN _nall > 0 THEN _prod div _nall ELSE 0 END"))
-            .withColumn("_rem", F.expr("CASE WHEN _nall > 0 THEN pmod(_prod, _nall) ELSE 0 END")))
-    short = F.col(total_col) - F.sum("_floor").over(w_all)
-    rk = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_rem"), F.col(label_col)))
-    return (df.withColumn(out_col, (F.col("_floor") + F.when(rk <= short, 1).otherwise(0)).cast("bigint"))
-              .drop("_nall", "_prod", "_floor", "_rem"))
-
-
-def class_quotas(hist: DataFrame, label_col: str, train_num: int = TRAIN_RATIO_NUM,
-                 den: int = RATIO_DEN, test_num: int = TEST_OF_HOLDOUT_NUM,
-                 test_den: int = HOLDOUT_DEN) -> DataFrame:
-    """Per-class (n_c, train_c, val_c, test_c) from a (label, _n) histogram,
-    computed as DataFrame operations (the split itself uses the driver-side
-    twin ``quotas_from_counts``; tests check that both agree).
-
-    The input has one row per (class, bucket); the output one per class,
-    so every window here spans at most a handful of rows.
-    """
-    counts = hist.groupBy(label_col).agg(F.sum("_n").cast("bigint").alias("n_c"))
-    w_all = Window.partitionBy(F.lit(1))
-    counts = counts.withColumn("_n", F.sum("n_c").over(w_all))
-    counts = counts.withColumn(
-        "_train_total", F.expr(f"_n - (({den - train_num} * _n + {den - 1}) div {den})"))
-    counts = _apportion(counts, "n_c", "_train_total", "train_c", label_col)
-    counts = counts.withColumn("hold_c", F.col("n_c") - F.col("train_c"))
-    counts = counts.withColumn("_h", F.sum("hold_c").over(w_all))
-    counts = counts.withColumn(
-        "_val_total", F.expr(f"_h - (({test_num} * _h + {test_den - 1}) div {test_den})"))
-    counts = _apportion(counts, "hold_c", "_val_total", "val_c", label_col)
-    return (counts.withColumn("test_c", F.col("hold_c") - F.col("val_c"))
-                  .select(label_col, "n_c", "train_c", "val_c", "test_c"))
-
-
 def apportion(counts: dict[int, int], draws: int) -> dict[int, int]:
     """Largest-remainder apportionment of ``draws`` over class counts
     (exact integers; ties by class id)."""
@@ -143,9 +104,9 @@ def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "do
                      test_num: int = TEST_OF_HOLDOUT_NUM, test_den: int = HOLDOUT_DEN) -> DataFrame:
     """Add a ``split`` column (train / validation / test) to ``df``.
 
-    Exact mode runs two small jobs whose results are bounded independently of
-    the data size (the class x bucket histogram, and at most two hash values
-    per class), then labels rows with a pure projection.
+    Exact mode runs small jobs whose results are bounded independently of the
+    data size (one count and at most two thresholds per class reach the
+    driver), then labels rows with a pure projection.
     """
     if mode not in ("exact", "hash"):
         raise ValueError("mode must be 'exact' or 'hash'")
@@ -157,56 +118,38 @@ def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "do
         return df.withColumn(split_col, F.when(u < F.lit(test_share), "test")
                              .when(u < F.lit(hold_share), "validation").otherwise("train"))
 
-    units = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
+    spark = df.sparkSession
+    never_null = F.coalesce(F.concat(F.lit("v"), F.col(label_col).cast("string")), F.lit("null"))
+    units = (df.withColumn("_c", never_null).withColumn("_h", F.coalesce(h, F.md5(F.lit(f"{seed}:"))))
+             .withColumn("_b", F.substring("_h", 1, BUCKET_HEX)))
 
     # 1. bounded histogram: at most classes x 16^BUCKET_HEX rows
-    hist_rows = (units.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n")).collect())
-    by_class: dict = {}
-    for r in hist_rows:
-        by_class.setdefault(r[label_col], []).append((r["_b"], r["_n"]))
-    counts = {c: sum(n for _, n in v) for c, v in by_class.items()}
-    quotas = quotas_from_counts(counts, train_num, den, test_num, test_den)
-
-    # 2. cut positions -> (class, bucket, rank within bucket)
-    cuts = {}  # (class, cut_id) -> (bucket, rank)
-    for c, buckets in by_class.items():
-        _, val_c, test_c = quotas[c]
-        for cut_id, pos in ((1, test_c), (2, test_c + val_c)):
-            if pos <= 0:
-                continue
-            start = 0
-            for b, n in sorted(buckets):
-                if start < pos <= start + n:
-                    cuts[(c, cut_id)] = (b, pos - start)
-                    break
-                start += n
-
-    # 3. hash value at each cut: rank only the rows of the <= 2 cut buckets per class
-    th = {}
-    if cuts:
-        pairs = sorted({(c, b) for (c, _), (b, _) in cuts.items()}, key=repr)
-        in_cut = F.lit(False)
-        for c, b in pairs:
-            in_cut = in_cut | ((F.col(label_col) == F.lit(c)) & (F.col("_b") == F.lit(b)))
-        wanted = F.lit(False)
-        for (c, _), (b, r) in cuts.items():
-            wanted = wanted | ((F.col(label_col) == F.lit(c)) & (F.col("_b") == F.lit(b))
-                               & (F.col("_cum") >= F.lit(r)) & (F.col("_cum") - F.col("_k") < F.lit(r)))
-        # one row per distinct hash (copies of a hot group collapse map-side),
-        # then running counts inside the few cut buckets
-        w = (Window.partitionBy(label_col, "_b").orderBy("_h")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranked = (units.select(label_col, "_b", "_h").filter(in_cut)
-                  .groupBy(label_col, "_b", "_h").agg(F.count(F.lit(1)).alias("_k"))
-                  .withColumn("_cum", F.sum("_k").over(w))
-                  .filter(wanted).collect())
-        got = {}
-        for row in ranked:
-            for (c, _), (b, r) in cuts.items():
-                if row[label_col] == c and row["_b"] == b and row["_cum"] >= r > row["_cum"] - row["_k"]:
-                    got[(c, b, r)] = row["_h"]
-        for (c, cut_id), (b, r) in cuts.items():
-            th[(c, cut_id)] = (b, got[(c, b, r)])
+    hist = stage_table(units.groupBy("_c", "_b").agg(F.max(label_col).alias("_label"), F.count(F.lit(1)).alias("_n")),
+                       "split-histogram")
+    rows = hist.groupBy("_c").agg(F.max("_label").alias("label"), F.sum("_n").alias("n")).collect()
+    rows = sorted(rows, key=lambda r: (r["label"] is None, r["label"]) if r["label"] is not None else (True, 0))
+    quotas = quotas_from_counts({i: r["n"] for i, r in enumerate(rows)}, train_num, den, test_num, test_den)
+
+    # 2. cut positions (at most two per class) -> bucket and rank within it
+    wanted = [(r["_c"], cut, pos) for i, r in enumerate(rows)
+              for cut, pos in ((1, quotas[i][2]), (2, quotas[i][2] + quotas[i][1])) if pos > 0]
+    th: dict[tuple[str, int], tuple[str, str]] = {}
+    if wanted:
+        before_b = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cuts = (hist.withColumn("_end", F.sum("_n").over(before_b))
+                .join(F.broadcast(spark.createDataFrame(wanted, "_c string, cut int, pos long")), "_c")
+                .filter((F.col("pos") <= F.col("_end")) & (F.col("pos") > F.col("_end") - F.col("_n")))
+                .select("_c", "_b", "cut", (F.col("pos") - (F.col("_end") - F.col("_n"))).alias("rank")).collect())
+        cuts = F.broadcast(spark.createDataFrame([tuple(r) for r in cuts], "_c string, _b string, cut int, rank long"))
+
+        # 3. hash value at each cut: one row per distinct hash (copies of a hot group collapse
+        # map-side), running counts inside the few cut buckets
+        w = (Window.partitionBy("_c", "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        at_cut = (units.select("_c", "_b", "_h").join(cuts, ["_c", "_b"], "left_semi")
+                  .groupBy("_c", "_b", "_h").agg(F.count(F.lit(1)).alias("_k")).withColumn("_cum", F.sum("_k").over(w))
+                  .join(cuts, ["_c", "_b"])
+                  .filter((F.col("_cum") >= F.col("rank")) & (F.col("_cum") - F.col("_k") < F.col("rank"))))
+        th = {(r["_c"], r["cut"]): (r["_b"], r["_h"]) for r in at_cut.collect()}
 
     # 4. per-row decision: a projection with literal class -> threshold maps
     #    (one map lookup per row, whatever the number of classes)
@@ -214,14 +157,14 @@ def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "do
         mine = {c: v for (c, k), v in th.items() if k == cut_id}
         if not mine:
             return F.lit(False)
-        tb = F.element_at(map_literal({c: b for c, (b, _) in mine.items()}), F.col(label_col))
-        tv = F.element_at(map_literal({c: hv for c, (_, hv) in mine.items()}), F.col(label_col))
+        tb = F.try_element_at(map_literal({c: b for c, (b, _) in mine.items()}), F.col("_c"))
+        tv = F.try_element_at(map_literal({c: hv for c, (_, hv) in mine.items()}), F.col("_c"))
         cond = (F.col("_b") < tb) | ((F.col("_b") == tb) & (F.col("_h") <= tv))
         return F.coalesce(cond, F.lit(False))
 
     out = units.withColumn(split_col, F.when(before(1), "test").when(before(2), "validation")
                            .otherwise("train"))
-    return out.drop("_h", "_b")
+    return out.drop("_h", "_b", "_c")
 
 
 def split_counts(split_df: DataFrame, label_col: str = "label_name",
@@ -235,21 +178,23 @@ def split_disjoint(source: DataFrame, split_df: DataFrame, key_col: str = "doc_i
                    split_col: str = "split") -> DataFrame:
     """One row of partition checks: every key in exactly one split, none lost.
 
-    Aggregates per key first (narrow columns), then counts: a single
-    shuffle keyed by ``key_col``.
+    Source and split rows are tagged and grouped by key together, with counts
+    and least and greatest split only: one shuffle keyed by ``key_col``, then a
+    single row of sums.
     """
-    per_key = split_df.groupBy(key_col).agg(F.count(F.lit(1)).alias("_k"),
-                                           F.countDistinct(split_col).alias("_s"))
-    src = source.select(key_col).distinct().withColumn("_in_source", F.lit(1))
-    j = src.join(per_key, key_col, "full_outer")
-    return j.agg(
-        F.sum(F.when(F.col("_in_source") == 1, 1).otherwise(0)).cast("bigint").alias("n_source"),
-        F.sum(F.coalesce(F.col("_k"), F.lit(0))).cast("bigint").alias("n_assigned"),
-        F.sum(F.when(F.col("_s") > 1, 1).otherwise(0)).cast("bigint").alias("n_multi_split"),
-        F.sum(F.when(F.col("_k") > 1, 1).otherwise(0)).cast("bigint").alias("n_duplicated"),
-        F.sum(F.when(F.col("_k").isNull(), 1).otherwise(0)).cast("bigint").alias("n_missing"),
-        F.sum(F.when(F.col("_in_source").isNull(), 1).otherwise(0)).cast("bigint").alias("n_extra"),
-    )
+    none = F.lit(None).cast("string")
+    tagged = (source.select(F.col(key_col).alias("_key"), F.lit(1).alias("_src"), none.alias("_split"))
+              .unionByName(split_df.select(F.col(key_col).alias("_key"), F.lit(0).alias("_src"), F.col(split_col).alias("_split"))))
+    per_key = tagged.groupBy("_key").agg(F.max("_src").alias("src"), F.count("_split").alias("k"),
+                                         F.min("_split").alias("lo"), F.max("_split").alias("hi"))
+
+    def total(cond: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("bigint").alias(name)
+
+    return per_key.agg(
+        total(F.col("src") == 1, "n_source"), F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("n_assigned"),
+        total(F.col("lo") != F.col("hi"), "n_multi_split"), total(F.col("k") > 1, "n_duplicated"),
+        total((F.col("src") == 1) & (F.col("k") == 0), "n_missing"), total(F.col("src") == 0, "n_extra"))
 
 
 def sample_rows(df: DataFrame, n: int = 5, key_col: str = "doc_id", seed: int = SPLIT_SEED) -> DataFrame:
