@@ -44,5 +44,4 @@ SPLIT_SEED = 42
 LADDER_SEEDS = [42, 43, 44]
 MAX_LENGTH = 128
 EVAL_BATCH_SIZE = 32
-TRAIN_BATCH_SIZE = 16
 LORA_RANK = 8

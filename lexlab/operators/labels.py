@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlab.constants import FAMILY_LABEL2ID, GENERAL_LABELS
+from lexlab.constants import FAMILY_LABEL2ID
 from lexlab.functions.exprs import col, map_literal
 
 
@@ -56,12 +56,15 @@ def remap_labels(df: DataFrame, source: str = "general", target: str = "general"
     """Recode label ids from one family's order to another's.
 
     The composed map is a literal, so this is one projection; when the two
-    orders are equal the input is returned unchanged.
+    orders are equal the input is returned unchanged.  An id outside the source
+    domain fails the job; NULL stays NULL.
     """
     mapping = remap_ids(source, target)
     if all(k == v for k, v in mapping.items()):
         return df
-    return df.withColumn(label_col, F.element_at(map_literal(mapping), F.col(label_col)).cast("int"))
+    new = F.try_element_at(map_literal(mapping), F.col(label_col)).cast("int")
+    unknown = F.raise_error(F.concat(F.lit("unknown label id "), F.col(label_col).cast("string"))).cast("int")
+    return df.withColumn(label_col, F.when(F.col(label_col).isNull() | new.isNotNull(), new).otherwise(unknown))
 
 
 def label_map_table(spark: SparkSession) -> DataFrame:
@@ -86,6 +89,3 @@ def class_distribution(df: DataFrame, name_col: str = "label_name") -> DataFrame
     """value_counts(): one row per class, most frequent first."""
     return (df.groupBy(name_col).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), F.col(name_col)))
-
-
-GENERAL_NAMES = list(GENERAL_LABELS)

@@ -2,16 +2,11 @@
 
 Reading
 -------
-* ``read_corpus_lines``: Spark's CSV line reader with ``encoding`` set (the
-  text source ignores ``encoding``).  Files are split across tasks; lines
-  break on ``\\n``, ``\\r`` and ``\\r\\n`` only, so a U+0085 or other control
-  character stays inside its line.  The reader skips blank and
-  whitespace-only lines.
-* ``read_corpus_archives``: zip archives (not a Spark codec).  Archives are
-  listed with the ``binaryFile`` source without reading their content, spread
-  one per task, and each task streams its archive's members line by line in
-  Arrow batches.  This path keeps line positions, so blank lines at the start
-  or end of a member are dropped and interior blank lines are quarantined.
+``read_corpus_lines`` uses Spark's text source, which hands on the bytes of
+each line, and decodes those.  Files are split across tasks; lines break on
+``\\n``, ``\\r`` and ``\\r\\n`` only, so NUL, U+0085 and other control characters
+stay inside their line.  Every line is a row: blank ones too, which parsing
+quarantines.
 
 Parsing
 -------
@@ -23,10 +18,6 @@ be routed to a quarantine table; ``strict=True`` fails the job instead.
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,34 +27,23 @@ from lexlab.constants import (
 from lexlab.functions.exprs import seeded_md5, split_last, strip_ws, unit_interval
 from lexlab.operators.labels import encode_label
 
-LINE_SCHEMA = "line string"
-ARCHIVE_SCHEMA = "archive string, member string, line_no long, line string"
-_NO_SEP = "\u0000"  # field separator that never splits a corpus line
-
 
-def check_agreement(agreement: str) -> str:
-    if agreement not in AGREEMENT_FILES:
-        raise ValueError(f"agreement must be one of {list(AGREEMENT_FILES)}")
-    return agreement
+def known_subset(agreement: str) -> str:
+    """The agreement subset itself; an unknown one raises."""
+    if agreement in AGREEMENT_FILES:
+        return agreement
+    raise ValueError(f"no corpus subset {agreement!r}; there are " + ", ".join(sorted(AGREEMENT_FILES)))
 
 
 def corpus_path(root: str, agreement: str = "all") -> str:
-    return f"{root.rstrip('/')}/{AGREEMENT_FILES[check_agreement(agreement)]}"
+    return f"{root.rstrip('/')}/{AGREEMENT_FILES[known_subset(agreement)]}"
 
 
 def read_corpus_lines(spark: SparkSession, path: str, encoding: str = CORPUS_ENCODING) -> DataFrame:
-    """One row per non-blank line: (line, source_file)."""
-    df = (spark.read.schema(LINE_SCHEMA)
-          .option("encoding", encoding)
-          .option("sep", _NO_SEP)
-          .option("quote", "")
-          .option("escape", "")
-          .option("comment", "")
-          .option("header", "false")
-          .option("nullValue", _NO_SEP)
-          .option("mode", "PERMISSIVE")
-          .csv(path))
-    return df.select("line", F.col("_metadata.file_name").alias("source_file"))
+    """One row per line: (line, source_file)."""
+    return (spark.read.text(path)
+            .select(F.decode(F.col("value").cast("binary"), encoding).alias("line"),
+                    F.col("_metadata.file_path").alias("source_file")))
 
 
 def read_corpus(spark: SparkSession, root: str, agreement: str = "all",
@@ -73,7 +53,7 @@ def read_corpus(spark: SparkSession, root: str, agreement: str = "all",
 
 
 def tag_agreement(df: DataFrame, file_col: str = "source_file") -> DataFrame:
-    """Agreement subset from the landing file name (for a folder of all four)."""
+    """Agreement subset from the landing path (for a folder of all four)."""
     tag = F.lower(F.regexp_extract(F.col(file_col), r"Sentences_(\w+?)Agree", 1))
     return df.withColumn("agreement", tag)
 
@@ -122,69 +102,13 @@ def with_agreement_level(df: DataFrame, key_col: str = "doc_id") -> DataFrame:
 
 def select_agreement(df: DataFrame, agreement: str, pct_col: str = "agreement_pct") -> DataFrame:
     """Rows of one agreement subset (subsets are nested: 75 includes all)."""
-    return df.filter(F.col(pct_col) >= F.lit(AGREEMENT_MIN_PCT[check_agreement(agreement)]))
-
-
-# ---------------------------------------------------------------------------
-# zip archives
-# ---------------------------------------------------------------------------
-def _open_uri(uri: str):
-    import pyarrow.fs as pafs
-    if uri.startswith("file:"):
-        local = uri[5:]
-        while local.startswith("//"):
-            local = local[1:]
-        return pafs.LocalFileSystem().open_input_file(local)
-    fs, p = pafs.FileSystem.from_uri(uri)
-    return fs.open_input_file(p)
-
-
-def _archive_lines(batches, member_suffix: str, encoding: str, batch_rows: int = 10_000):
-    cols = ["archive", "member", "line_no", "line"]
-    for pdf in batches:
-        for uri in pdf["path"]:
-            buf: list[tuple] = []
-            with _open_uri(uri) as raw, zipfile.ZipFile(raw) as zf:
-                for member in zf.namelist():
-                    if not member.endswith(member_suffix):
-                        continue
-                    seen_text, pending = False, []
-                    with zf.open(member) as fh:
-                        text = io.TextIOWrapper(fh, encoding=encoding, newline=None)
-                        for no, line in enumerate(text):
-                            line = line.rstrip("\n")
-                            if line.strip() == "":
-                                if seen_text:
-                                    pending.append((uri, member, no, line))
-                                continue
-                            buf.extend(pending)   # interior blank lines
-                            pending = []
-                            seen_text = True
-                            buf.append((uri, member, no, line))
-                            if len(buf) >= batch_rows:
-                                yield pd.DataFrame(buf, columns=cols)
-                                buf = []
-            if buf:
-                yield pd.DataFrame(buf, columns=cols)
-
-
-def read_corpus_archives(spark: SparkSession, path: str, member_suffix: str = ".txt",
-                         encoding: str = CORPUS_ENCODING) -> DataFrame:
-    """(archive, member, line_no, line) for every line of every zip member."""
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
-               .load(path).select("path"))
-    n = max(1, spark.sparkContext.defaultParallelism)
-    spread = listing.repartition(n, "path")
-    return spread.mapInPandas(
-        lambda it: _archive_lines(it, member_suffix, encoding), schema=ARCHIVE_SCHEMA)
+    return df.filter(F.col(pct_col) >= F.lit(AGREEMENT_MIN_PCT[known_subset(agreement)]))
 
 
 # ---------------------------------------------------------------------------
-# writing corpus files (used to land subsets for tests and round trips)
+# writing corpus files (lands subsets for round trips)
 # ---------------------------------------------------------------------------
 def write_corpus_lines(lines: DataFrame, path: str, line_col: str = "line",
                        encoding: str = CORPUS_ENCODING) -> None:
-    (lines.select(line_col).write.mode("overwrite")
-     .option("encoding", encoding).option("sep", _NO_SEP)
-     .option("quote", _NO_SEP).option("escapeQuotes", "false").option("quoteAll", "false")
-     .option("emptyValue", "").csv(path))
+    """One line per row, as bytes of ``encoding``."""
+    lines.select(F.encode(F.col(line_col), encoding).cast("string").alias("value")).write.mode("overwrite").text(path)

@@ -9,35 +9,23 @@ from lexlab.functions.exprs import one_line
 from lexlab.operators.labels import decode_label, label_from_flags
 
 
-SPREAD_LABELLED = True
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def under_split(scan: DataFrame) -> bool:
-    """True when a raw scan yields fewer partitions than the cluster's cores."""
-    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition a raw scan by ``key`` only when it yields fewer
-    partitions than the cluster can run at once (e.g. one large row group).
-    Apply it to scans, not to joined plans (their partition count is only
-    known after adaptive re-planning).
-
-    CPU-heavy per-row text work (tokenising, hashing whole texts) then uses
-    every core.  On a large input the scan already has far more splits than
-    cores and this is a no-op, so no shuffle is added at scale.
-    """
-    if not under_split(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    """Hash-repartition by ``key`` into ``spark.lexlab.text.partitions``
+    partitions, if the session sets that parameter; else the scan's own splits
+    (``spark.sql.files.maxPartitionBytes``) are kept.
+
+    Text work is heavy per row, and a file of one large row group is one task;
+    the parameter is for such inputs.  Results do not depend on it."""
+    n = df.sparkSession.conf.get("spark.lexlab.text.partitions", None)
+    return df if not n else df.repartition(int(n), key)
 
 
 def read_documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """Document columns for text work, spread over the cluster when needed."""
+    """Document columns for text work."""
     return spread(read_table(spark, sf_dir, "documents").select("doc_id", *cols), "doc_id")
 
 
@@ -57,10 +45,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select("doc_id", "sentence", "lang", "source",
                       label_from_flags(F.col("quality"), F.col("toxic")).alias("label"))
               .withColumn("label_name", decode_label("label")))
-    if SPREAD_LABELLED and under_split(docs):
-        # few input splits: move only the labelled rows so text work uses all cores
-        joined = joined.repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    return joined
+    return spread(joined, "doc_id")
 
 
 def corpus_lines(labelled_df: DataFrame) -> DataFrame:
@@ -73,10 +58,7 @@ def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New text to score: documents without a label (left anti join)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labs = read_table(spark, sf_dir, "labels").select("doc_id")
-    out = docs.join(labs, "doc_id", "left_anti")
-    if SPREAD_LABELLED and under_split(docs):
-        out = out.repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    return out
+    return spread(docs.join(labs, "doc_id", "left_anti"), "doc_id")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

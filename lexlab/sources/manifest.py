@@ -18,7 +18,13 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 
 def manifest(files: DataFrame, root: str) -> DataFrame:
     """Per parent directory (relative to ``root``): file count, bytes, MB."""
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + root.rstrip("/").split("/")[-1] + "/?", "")
+    # the root's own files and folders come back with a qualified path: cut by its length
+    spark = files.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    full = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toUri().getPath()
+    # "file:/a" and "file:///a" name the same path: compare without scheme and authority
+    path = F.regexp_replace(F.col("path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rel = F.substring(path, len(full) + 2, 1 << 30)
     parent = F.regexp_replace(rel, r"/?[^/]*$", "")
     return (files.withColumn("parent", parent)
             .groupBy("parent").agg(F.count(F.lit(1)).cast("bigint").alias("n_files"),

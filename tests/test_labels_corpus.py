@@ -1,5 +1,3 @@
-import zipfile
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def test_decode_unknown_is_null(spark):
 
 LINES = [b"Sales rose.@positive", b"Mail us at a@b.example now .@neutral",
          b"Caf\xe9 chain closes shops@negative", b" \xa0padded\t@ neutral ", b"no delimiter here",
-         b"", b"text@mixed", b"@neutral", b"nel\x85inside@negative"]
+         b"", b"  ", b"text@mixed", b"@neutral", b"nel\x85inside@negative", b"a\x00b tail@neutral"]
 EXPECTED = {
     "Sales rose.@positive": ("Sales rose.", 2, None),
     "Mail us at a@b.example now .@neutral": ("Mail us at a@b.example now .", 1, None),
@@ -48,6 +46,9 @@ EXPECTED = {
     "text@mixed": ("text", None, "unknown_label"),
     "@neutral": ("", 1, None),
     "nel\x85inside@negative": ("nel\x85inside", 0, None),
+    "a\x00b tail@neutral": ("a\x00b tail", 1, None),
+    "": (None, None, "no_delimiter"),
+    "  ": (None, None, "no_delimiter"),
 }
 
 
@@ -59,8 +60,6 @@ def _write_corpus(spark):
     data = b"\n\n" + b"\n".join(LINES) + b"\n\n"
     with open(f"{d}/Sentences_AllAgree.txt", "wb") as fh:
         fh.write(data)
-    with zipfile.ZipFile(f"{d}/corpus.zip", "w") as z:
-        z.writestr("FPB/Sentences_AllAgree.txt", data)
     return d
 
 
@@ -68,16 +67,15 @@ def test_line_reader_latin1_and_quarantine(spark):
     d = _write_corpus(spark)
     parsed = cor.read_corpus(spark, d, "all").collect()
     got = {r.line: (r.sentence, r.label, r.reason) for r in parsed}
-    assert got == EXPECTED            # blank interior line skipped by the line reader
-    assert len(parsed) == len(EXPECTED)
+    assert got == EXPECTED            # a NUL stays inside its line, blank lines are quarantined
+    assert len(parsed) == len(EXPECTED) + 3   # two blank lines before, one more after
 
 
-def test_archive_reader_keeps_interior_blank(spark):
-    d = _write_corpus(spark)
-    parsed = cor.parse_lines(cor.read_corpus_archives(spark, d)).collect()
-    blanks = [r for r in parsed if r.line == ""]
-    assert len(blanks) == 1 and blanks[0].reason == "no_delimiter"
-    assert len(parsed) == len(EXPECTED) + 1   # leading / trailing blanks dropped
+def test_remap_unknown_id_raises(spark):
+    df = spark.createDataFrame([(0,), (None,)], "label int")
+    assert sorted(map(str, (r.label for r in lab.remap_labels(df, "general", "finance").collect()))) == ["1", "None"]
+    with pytest.raises(Exception, match="unknown label id 7"):
+        lab.remap_labels(spark.createDataFrame([(7,)], "label int"), "general", "finance").collect()
 
 
 def test_strict_mode_raises(spark):
