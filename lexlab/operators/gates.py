@@ -9,23 +9,29 @@ from pyspark.sql import functions as F
 
 from lexlab.functions.text import word_tokens
 
-# --- fixed values: negation cue words and slice thresholds ----------------
-NEGATION_RE = r"(^|[^a-z])(not|no|never|none|nobody|nothing|neither|nor|cannot)([^a-z]|$)"
-CAPITALISED_RE = r"[A-Z][a-z]+"
+# negation cue words of the four languages, and slice thresholds
+NEGATION = ("not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "cannot",
+            "ne", "pas", "jamais", "aucun", "aucune", "rien", "personne",
+            "nicht", "kein", "keine", "keinen", "nie", "niemals", "nichts", "niemand", "weder",
+            "nunca", "jam\u00e1s", "ning\u00fan", "ninguno", "ninguna", "nada", "nadie", "tampoco")
+CAPITALISED_RE = r"\p{Lu}\p{Ll}+"
 LEN_SHORT, LEN_MEDIUM = 200, 1000     # tokens
 ENTITY_SHARE_DEN = 5                  # capitalised words >= 1/5 of tokens
+NOUNS_CAPITALISED = "de"              # capitals say nothing about names there
 
 
-def slice_tags(text: str | Column, n_tokens: Column | None = None) -> Column:
+def slice_tags(text: str | Column, lang: str | Column, tokens: Column | None = None) -> Column:
     """array of slice names a text belongs to: all, a length bin, negation,
-    entity_heavy."""
+    entity_heavy (never for the language that capitalises all nouns)."""
     t = F.col(text) if isinstance(text, str) else text
-    n = F.size(word_tokens(t)) if n_tokens is None else n_tokens
+    words = word_tokens(t) if tokens is None else tokens
+    n = F.size(words)
     length = (F.when(n < LEN_SHORT, "len_short").when(n < LEN_MEDIUM, "len_medium")
               .otherwise("len_long"))
-    neg = F.when(F.lower(t).rlike(NEGATION_RE), F.lit("negation"))
-    caps = F.size(F.regexp_extract_all(t, F.lit(CAPITALISED_RE), 0))
-    ent = F.when((n > 0) & (caps * ENTITY_SHARE_DEN >= n), F.lit("entity_heavy"))
+    neg = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in NEGATION])), F.lit("negation"))
+    caps = F.size(F.regexp_extract_all(t, F.lit(CAPITALISED_RE), F.lit(0)))
+    language = F.coalesce(F.col(lang) if isinstance(lang, str) else lang, F.lit(""))
+    ent = F.when((n > 0) & (language != NOUNS_CAPITALISED) & (caps * ENTITY_SHARE_DEN >= n), F.lit("entity_heavy"))
     return F.array_compact(F.array(F.lit("all"), length, neg, ent))
 
 
@@ -47,10 +53,12 @@ def gate_rows(values: DataFrame, gates: Mapping[str, tuple[str, float, str]]) ->
 def registry_rows(df: DataFrame, config: Mapping[str, object], group_col: str = "split",
                   hash_cols: tuple[str, ...] = ("doc_id", "sentence", "label"),
                   approver: str = "pending") -> DataFrame:
-    """Order-free data hash per group (sum of 64-bit row hashes as a 38-digit
-    decimal, plus the row count), config hash, version and approver."""
+    """Order-free data hash per group (sum of the rows' md5 prefixes, 60 bits
+    each, as a 38-digit number, plus the row count), config hash, version and
+    approver.  A NULL column is told apart from an empty one."""
     cfg_json = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(dict(config).items())]))
-    row_hash = F.xxhash64(*[F.col(c) for c in hash_cols]).cast("decimal(38,0)")
+    row = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in hash_cols])
+    row_hash = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(38,0)")
     cfg_hash = F.sha2(cfg_json, 256)
     return (df.groupBy(group_col).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                                       F.sum(row_hash).cast("string").alias("data_hash"))

@@ -20,10 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexlab.functions.exprs import argmax, col, double_array, dot, py_unit, softmax
+from lexlab.functions.exprs import argmax, col, double_array, dot, py_unit, seeded_md5, softmax, unit_interval
 from lexlab.functions.text import token_indices
 
 NUM_FEATURES = 1024
+FIT_SHARE = 0.8
 
 
 # ---------------------------------------------------------------------------
@@ -36,17 +37,27 @@ def fixed_weights(seed: int, n_classes: int, dim: int) -> list[list[float]]:
 
 def sparse_logits(idx: str | Column, weights: Sequence[Sequence[float]],
                   bias: Sequence[float] | None = None, scale: Column | None = None) -> Column:
-    """logit_c = (sum over feature ids i of W[c][i]) * scale + bias_c."""
-    out = []
-    for c, wc in enumerate(weights):
-        arr = double_array(wc)
-        s = F.aggregate(col(idx), F.lit(0.0), lambda acc, i: acc + F.element_at(arr, i + 1))
-        if scale is not None:
-            s = s * scale
-        if bias is not None:
-            s = s + F.lit(float(bias[c]))
-        out.append(s)
-    return F.array(*out)
+    """logit_c = (sum over feature ids i of W[c][i]) * scale + bias_c.
+
+    The id array is walked once, with one running sum per class."""
+    arrays = [double_array(wc) for wc in weights]
+    zero = F.struct(*[F.lit(0.0).alias(f"c{c}") for c in range(len(weights))])
+
+    def step(acc: Column, i: Column) -> Column:
+        return F.struct(*[(acc[f"c{c}"] + F.element_at(arr, i + 1)).alias(f"c{c}") for c, arr in enumerate(arrays)])
+
+    def finish(acc: Column) -> Column:
+        out = []
+        for c in range(len(weights)):
+            s = acc[f"c{c}"]
+            if scale is not None:
+                s = s * scale
+            if bias is not None:
+                s = s + F.lit(float(bias[c]))
+            out.append(s)
+        return F.array(*out)
+
+    return F.aggregate(col(idx), zero, step, finish)
 
 
 def fixed_text_logits(idx: str | Column, seed: int, n_classes: int = 3,
@@ -101,16 +112,35 @@ class NaiveBayesTable:
         return sparse_logits(idx, self.log_theta, bias=self.log_prior)
 
 
+def in_fit(seed: int, key_col: str = "doc_id") -> Column:
+    """The seeded resample of the train rows that a run with this seed is
+    fitted on: ``FIT_SHARE`` of them, by a hash of seed and key."""
+    return unit_interval(seeded_md5(f"fit{seed}", key_col)) < F.lit(FIT_SHARE)
+
+
 def fit_naive_bayes(train: DataFrame, idx_col: str = "idx", label_col: str = "label",
                     n_classes: int = 3, num_features: int = NUM_FEATURES,
                     smoothing: float = 1.0) -> NaiveBayesTable:
     """Closed-form multinomial NB: one partial+final aggregation of
     (class, feature) counts; only classes x features rows reach the driver."""
-    counts = (train.select(label_col, F.explode(idx_col).alias("_i"))
-              .groupBy(label_col, "_i").agg(F.count(F.lit(1)).alias("_n")))
-    docs = train.groupBy(label_col).agg(F.count(F.lit(1)).alias("_d"))
-    return naive_bayes_from_counts(counts.collect(), docs.collect(), label_col,
-                                   n_classes, num_features, smoothing)
+    return fit_naive_bayes_many(train, [F.lit(True)], idx_col, label_col, n_classes, num_features, smoothing)[0]
+
+
+def fit_naive_bayes_many(train: DataFrame, members: Sequence[Column], idx_col: str = "idx", label_col: str = "label",
+                         n_classes: int = 3, num_features: int = NUM_FEATURES,
+                         smoothing: float = 1.0) -> list[NaiveBayesTable]:
+    """One NB per condition in ``members`` (a subset of the train rows each),
+    all from the same two aggregations: a word moves once, with one flag per
+    subset, whatever their number."""
+    flags = [F.when(m, 1).otherwise(0).alias(f"_m{k}") for k, m in enumerate(members)]
+    rows = train.select(label_col, idx_col, *flags)
+    names = [f"_m{k}" for k in range(len(members))]
+    sums = [F.sum(n).alias(n) for n in names]
+    counts = rows.select(label_col, *names, F.explode(idx_col).alias("_i")).groupBy(label_col, "_i").agg(*sums).collect()
+    docs = rows.groupBy(label_col).agg(*sums).collect()
+    return [naive_bayes_from_counts([{label_col: r[label_col], "_i": r["_i"], "_n": r[n]} for r in counts],
+                                    [{label_col: r[label_col], "_d": r[n]} for r in docs],
+                                    label_col, n_classes, num_features, smoothing) for n in names]
 
 
 def naive_bayes_from_counts(count_rows, doc_rows, label_col: str, n_classes: int,
@@ -136,14 +166,15 @@ def naive_bayes_from_counts(count_rows, doc_rows, label_col: str, n_classes: int
 # ---------------------------------------------------------------------------
 def fit_centroids(train: DataFrame, vec_col: str, label_col: str, n_classes: int,
                   dim: int) -> tuple[list[list[float]], list[float]]:
-    """Class means (classes x dim, one grouped aggregation) as a linear head:
+    """Class means (one grouped aggregation, one row per class) as a linear head:
     w_c = mu_c, b_c = -|mu_c|^2 / 2  (argmax = nearest centroid)."""
-    rows = (train.select(label_col, F.posexplode(vec_col).alias("_j", "_x"))
-            .groupBy(label_col, "_j").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-            .collect())
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    rows = (train.select(label_col, array_to_vector(F.col(vec_col)).alias("_v"))
+            .groupBy(label_col).agg(Summarizer.mean(F.col("_v")).alias("_m")).collect())
     mu = [[0.0] * dim for _ in range(n_classes)]
     for r in rows:
-        mu[r[label_col]][r["_j"]] = r["_m"]
+        mu[r[label_col]] = [float(x) for x in r["_m"]]
     bias = [-0.5 * sum(v * v for v in m) for m in mu]
     return mu, bias
 

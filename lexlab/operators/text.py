@@ -10,7 +10,7 @@ from lexlab.functions.exprs import hex8_to_long, seeded_md5
 from lexlab.functions.text import token_indices, truncate, word_tokens
 
 PAD_VOCAB = 32768          # ids 1..PAD_VOCAB; 0 is padding
-ROWS_PER_BATCH_BUCKET = 1_000_000
+BATCH_BUCKETS = 256        # fixed, so a row's batch never depends on the table's size
 
 
 def tokenize(df: DataFrame, text_col: str = "text", out_col: str = "tokens",
@@ -51,18 +51,14 @@ def token_ids(tokens: str, vocab: int = PAD_VOCAB):
     return F.transform(token_indices(tokens, vocab), lambda i: i + 1)
 
 
-def batch_buckets(n_rows: int, rows_per_bucket: int = ROWS_PER_BATCH_BUCKET) -> int:
-    return max(1, -(-n_rows // rows_per_bucket))
-
-
 def pad_batches(df: DataFrame, ids_col: str = "ids", key_col: str = "doc_id",
-                batch_size: int = EVAL_BATCH_SIZE, n_buckets: int = 1) -> DataFrame:
+                batch_size: int = EVAL_BATCH_SIZE, n_buckets: int = BATCH_BUCKETS) -> DataFrame:
     """Sequential batches of ``batch_size`` rows, each padded to its longest row.
 
-    Rows are spread over ``n_buckets`` hash buckets (size it with
-    ``batch_buckets(count)`` so a bucket holds about a million rows); within a
-    bucket they are numbered by key and cut into batches.  The window is
-    partitioned by bucket, so no single task sees the whole table.
+    Rows are spread over ``n_buckets`` hash buckets (a parameter: choose it so
+    that a bucket sorts well in one task); within a bucket they are numbered by
+    key and cut into batches.  The window is partitioned by bucket, so no task
+    sees the whole table.
     """
     bucket = (hex8_to_long(seeded_md5("batch", key_col)) % F.lit(n_buckets)).cast("int")
     w = Window.partitionBy("bucket").orderBy(key_col)

@@ -2,9 +2,9 @@
 
 Rungs (feature set = "backbone", method):
 * word  / eval_only : fixed head on hashed word counts, weights from the seed
-* word  / head_only : multinomial naive Bayes fitted on the train split
+* word  / head_only : multinomial naive Bayes fitted on the seed's resample of the train split
 * emb   / eval_only : fixed head on the frozen 64-d embeddings
-* emb   / head_only : nearest-centroid head fitted on the train split
+* emb   / head_only : nearest-centroid head fitted on the seed's resample
 
 All models of one feature set are scored in a single projection, stacked,
 and reduced to macro-F1 per (model, split) with one aggregation; the
@@ -28,20 +28,19 @@ G_MS = ["model_id", "split"]
 
 
 def _results_from_f1(f1: DataFrame, backbone: str, head_method: str, head_model: str,
-                     seeds: Sequence[int], eval_params: int, head_params: int) -> DataFrame:
-    """(model_id, split, macro_f1) -> D11 rows."""
+                     eval_params: int, head_params: int) -> DataFrame:
+    """(model_id, split, macro_f1) -> D11 rows; model ids end in ``_s<seed>``,
+    and each is a run of its own."""
     w = f1.groupBy("model_id").agg(
         F.max(F.when(F.col("split") == "test", F.col("macro_f1"))).alias("test_f1_macro"),
         F.max(F.when(F.col("split") == "validation", F.col("macro_f1"))).alias("val_f1_macro"))
-    is_head = F.col("model_id") == head_model
-    seed_arr = F.when(is_head, F.array(*[F.lit(s) for s in seeds])).otherwise(
-        F.array(F.substring(F.col("model_id"), len("fixed_s") + 1, 10).cast("int")))
+    is_head = F.col("model_id").startswith(head_model + "_s")
     method = F.when(is_head, F.lit(head_method)).otherwise(F.lit("eval_only"))
     exp_id = F.concat(F.lit(backbone + "_"), method)
     trainable = F.when(is_head, F.lit(head_params)).otherwise(F.lit(0)).cast("bigint")
     total = F.when(is_head, F.lit(head_params)).otherwise(F.lit(eval_params)).cast("bigint")
     out = w.select(exp_id.alias("experiment_id"), F.lit(backbone).alias("backbone"),
-                   method.alias("method"), F.explode(seed_arr).alias("seed"),
+                   method.alias("method"), F.regexp_extract("model_id", r"_s(\d+)$", 1).cast("int").alias("seed"),
                    "test_f1_macro",
                    F.when(is_head, F.col("val_f1_macro")).cast("double").alias("val_f1_macro"),
                    trainable.alias("trainable_params"), total.alias("total_params"))
@@ -52,16 +51,17 @@ def _results_from_f1(f1: DataFrame, backbone: str, head_method: str, head_model:
 
 
 def word_results(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = LADDER_SEEDS) -> DataFrame:
-    P = S.text_predictions(spark, sf_dir, seeds, nb=True, keep=("doc_id", "split", "label"))
+    P = S.text_predictions(spark, sf_dir, seeds, nb=False, keep=("doc_id", "split", "label"), nb_seeds=seeds,
+                           splits=("validation", "test"))
     f1 = M.macro_f1(M.confusion_long(P, S.TEXT_CLASSES, G_MS), G_MS)
     c, d = S.TEXT_CLASSES, H.NUM_FEATURES
-    return _results_from_f1(f1, "word", "head_only", "nb", seeds, c * d, c * d + c)
+    return _results_from_f1(f1, "word", "head_only", "nb", c * d, c * d + c)
 
 
 def emb_predictions(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = LADDER_SEEDS,
                     n_classes: int | None = None) -> DataFrame:
     wide = S.emb_scored(spark, sf_dir, seeds, centroid=True, n_classes=n_classes)
-    names = [f"fixed_s{s}" for s in seeds] + ["centroid"]
+    names = [f"fixed_s{s}" for s in seeds] + [f"centroid_s{s}" for s in seeds]
     return S.stack_models(wide.withColumnRenamed("vec_id", "doc_id"), names, ["doc_id", "split", "label"])
 
 
@@ -70,7 +70,7 @@ def emb_results(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = LADDER_
     P = emb_predictions(spark, sf_dir, seeds, c)
     f1 = M.macro_f1(M.confusion_long(P, c, G_MS), G_MS)
     d = S.EMB_DIM
-    return _results_from_f1(f1, "emb", "head_only", "centroid", seeds, c * d, c * d + c)
+    return _results_from_f1(f1, "emb", "head_only", "centroid", c * d, c * d + c)
 
 
 def fixed_results(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = LADDER_SEEDS) -> DataFrame:
@@ -82,36 +82,26 @@ def fixed_results(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = LADDE
 # ---------------------------------------------------------------------------
 def nb_epoch_log(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = LADDER_SEEDS,
                  epochs: int = 3) -> DataFrame:
-    """(run, epoch, f1_macro): epoch e trains on train rows whose seeded hash
-    fraction is below e/epochs; F1 on the validation split.
+    """(run, epoch, f1_macro): a learning curve.  Step e trains on the train rows
+    whose seeded hash fraction is below e/epochs; F1 on the validation split.
 
-    All seeds x epochs counts come from one aggregation (bounded by
-    seeds x epochs x classes x features rows); the validation rows are
-    scored by every (seed, epoch) model in one projection.
+    The subsets of all seeds and steps are flags of one pass over the words
+    (:func:`heads.fit_naive_bayes_many`); the validation rows are scored by
+    every (seed, step) model in one projection.
     """
     from lexlab.functions.exprs import seeded_md5, unit_interval
     feats = S.text_features_table(spark, sf_dir)
-    c, d = S.TEXT_CLASSES, H.NUM_FEATURES
+    c = S.TEXT_CLASSES
     train = feats.filter(F.col("split") == "train").select("doc_id", "label", "idx")
-    per_seed = train.select("label", "idx", F.explode(F.array(*[
-        F.struct(F.lit(s).alias("seed"), unit_interval(seeded_md5(s, "doc_id")).alias("u"))
-        for s in seeds])).alias("s"))
-    member = (per_seed.select("label", "idx", "s.seed", "s.u",
-                              F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
-              .filter(F.col("u") < F.col("epoch").cast("double") / F.lit(float(epochs))))
-    counts = (member.select("seed", "epoch", "label", F.explode("idx").alias("_i"))
-              .groupBy("seed", "epoch", "label", "_i").agg(F.count(F.lit(1)).alias("_n")).collect())
-    docs = member.groupBy("seed", "epoch", "label").agg(F.count(F.lit(1)).alias("_d")).collect()
+    steps = [(s, e) for s in seeds for e in range(1, epochs + 1)]
+    members = [unit_interval(seeded_md5(s, "doc_id")) < F.lit(float(e)) / F.lit(float(epochs)) for s, e in steps]
+    tables = H.fit_naive_bayes_many(train, members, "idx", "label", c)
     val = feats.filter(F.col("split") == "validation").select("doc_id", "label", "idx")
     names = []
-    for s in seeds:
-        for e in range(1, epochs + 1):
-            cr = [r for r in counts if r["seed"] == s and r["epoch"] == e]
-            dr = [r for r in docs if r["seed"] == s and r["epoch"] == e]
-            table = H.naive_bayes_from_counts(cr, dr, "label", c, d)
-            name = f"r{s}_e{e}"
-            val = H.with_prediction(val, table.logits("idx"), prefix=name + "_")
-            names.append(name)
+    for (s, e), table in zip(steps, tables):
+        name = f"r{s}_e{e}"
+        val = H.with_prediction(val, table.logits("idx"), prefix=name + "_")
+        names.append(name)
     P = S.stack_models(val, names, ["doc_id", "label"])
     f1 = M.macro_f1(M.confusion_long(P, c, ["model_id"]), ["model_id"])
     return f1.select(

@@ -80,9 +80,9 @@ def head_stages(method: str, rank: int = LORA_RANK, max_iter: int = 50, reg: flo
     raise ValueError(f"not a trained method: {method!r}")
 
 
-def fit(train: DataFrame, feature_set: str, method: str, **kw) -> PipelineModel:
+def fit(train: DataFrame, feature_set: str, method: str, max_iter: int = 50, **kw) -> PipelineModel:
     """Fit features + head on the train rows (expects label and weight columns)."""
-    return Pipeline(stages=feature_stages(feature_set, **kw) + head_stages(method)).fit(train)
+    return Pipeline(stages=feature_stages(feature_set, **kw) + head_stages(method, max_iter=max_iter)).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> str:
-    """Header CSV directory (one file per partition; small tables coalesce to 1)."""
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, single_file: bool = False) -> str:
+    """Header CSV directory, one file per partition.  ``single_file`` is for
+    tables of bounded size (experiment results): it writes through one task."""
     out = df.select(*columns) if columns else df
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -30,5 +31,6 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split", fmt: str =
     return path
 
 
+# --- fixed format: run folder of an experiment and seed ---------------------
 def output_dir_name(experiment_id: str, seed: int) -> str:
     return f"{experiment_id}_seed{seed}"

@@ -82,12 +82,59 @@ def test_registry_hash_is_order_free(spark):
     assert a == b
 
 
-def test_token_hash_methods(spark):
-    from lexlab.functions.text import token_indices
-    df = spark.createDataFrame([(["a", "b", "a"],)], "t array<string>")
-    md5 = df.select(token_indices("t", 1024)).first()[0]
-    xx = df.select(token_indices("t", 1024, "xxhash64")).first()[0]
-    assert md5[0] == md5[2] and xx[0] == xx[2]
-    assert all(0 <= i < 1024 for i in md5 + xx)
-    with pytest.raises(ValueError):
-        token_indices("t", 8, "nope")
+def test_runs_differ_by_seed_and_release_their_cache(spark, monkeypatch):
+    split = S.text_split(spark, SF_MID)
+    one = LD.run_experiment(spark, split, "word_tfidf_head_only", 42, max_iter=5).first()
+    two = LD.run_experiment(spark, split, "word_tfidf_head_only", 43, max_iter=5).first()
+    assert one.output_dir != two.output_dir and one.test_f1_macro != two.test_f1_macro
+    again = LD.run_experiment(spark, split, "word_tfidf_head_only", 42, max_iter=5).first()
+    assert again == one
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+
+    def fails(prepared, *args):
+        prepared.count()
+        raise RuntimeError("a run failed")
+
+    monkeypatch.setattr(LD, "_run", fails)
+    with pytest.raises(RuntimeError):
+        LD.run_ladder(spark, split, [42], ["word_tfidf_eval_only"])
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    g = LD.grid(spark, [1, 2], ["word_tfidf_rank_r"]).collect()
+    assert [(r.seed, r.method) for r in g] == [(1, "rank_r"), (2, "rank_r")]
+
+
+def test_storage_raises_without_a_shared_folder(spark):
+    from lexlab import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())
+    assert session.scratch_path(Session(), "x", "/shared").startswith("/shared/x-")
+    staged = session.stage_table(spark.range(3), "t")
+    import os
+    path = session.local_path(staged.inputFiles()[0])
+    session.drop_staged(staged)
+    assert not os.path.exists(path)
+
+
+def test_manifest_cuts_by_the_qualified_root(spark):
+    from lexlab.sources import manifest as MF
+    root = scratch_path(spark, "store") + "/a.b(1)/store/y/store"
+    spark.range(2).coalesce(1).write.parquet(f"{root}/m/store")
+    parents = {r.parent for r in MF.manifest(MF.list_files(spark, root), root).collect()}
+    assert parents == {"m/store"}
