@@ -7,15 +7,17 @@ and *results* (id of the call they answer, content).
   after each side has been reduced to one row per id: the first by turn counts,
   later ones with the same id are marked ``duplicate``.
 * An argument ``{"$ref": "<id>"}`` anywhere means that a call needs the result of
-  another call of its conversation.  Calls get topological levels by rounds over
-  the edges that are left (as many rounds as the longest chain has calls);
-  what is left without progress lies on or behind a cycle.
+  another call of its conversation.  Calls get topological levels: in one task
+  for a conversation of up to ``in_task`` such edges, by rounds over the edges
+  that are left (one per level) for a longer one.  What is left without progress
+  lies on or behind a cycle.
 * Arguments are validated against the tool's JSON schema.
 * Every event is serialised as canonical JSON: sorted keys, no blanks, the
   shortest numbers, text as UTF-8.
 
-No step gathers a conversation: joins and counts are keyed by call id, so a
-conversation with a large share of all rows is spread like any other.  The order
+No step gathers more than ``in_task`` edges of a conversation: joins and counts
+are keyed by call id, so a conversation with a large share of all rows is spread
+like any other.  The order
 of a conversation is given by ``level``, ``turn`` and ``call_id``.
 """
 
@@ -144,12 +146,56 @@ def _first_of(rows: DataFrame, name: str) -> DataFrame:
             .agg(F.min(F.struct("turn", "row")).alias(name), F.count(F.lit(1)).alias(f"n_{name}")))
 
 
-def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _sorted(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Levels of the calls of one conversation that need others; those on or
+    behind a cycle are left out."""
+    needs: dict[str, set[str]] = {}
+    serves: dict[str, list[str]] = {}
+    for by, needed in edges:
+        if needed not in needs.setdefault(by, set()):
+            needs[by].add(needed)
+            serves.setdefault(needed, []).append(by)
+    level = dict.fromkeys((n for n in serves if n not in needs), 0)
+    ready, out = list(level), {}
+    while ready:
+        call = ready.pop()
+        for by in serves.get(call, ()):
+            needs[by].discard(call)
+            out[by] = max(out.get(by, 0), 1 + (out[call] if call in out else 0))
+            if not needs[by]:
+                ready.append(by)
+    return {c: k for c, k in out.items() if not needs[c]}
+
+
+def _levels(nodes: DataFrame, edges: DataFrame, in_task: int) -> DataFrame:
     """``conv, call_id, level`` of the calls that can be ordered: level 0 needs
-    nothing, level k something of level k - 1."""
-    left = stage_table(edges, "edges")
-    ready = stage_table(nodes.join(left.select("conv", F.col("needs_by").alias("call_id")), ["conv", "call_id"], "left_anti"), "ready")
-    done, level = ready.withColumn("level", F.lit(0)), 0
+    nothing, level k something of level k - 1.
+
+    Conversations of up to ``in_task`` edges are sorted in a task each; larger
+    ones by rounds of joins, one per level, in which no conversation is ever
+    gathered."""
+    edges = stage_table(edges, "edges")
+    free = nodes.join(edges.select("conv", F.col("needs_by").alias("call_id")), ["conv", "call_id"], "left_anti")
+    free = stage_table(free, "free")
+    large = stage_table(edges.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > in_task).select("conv"), "long")
+
+    def sort(frames):
+        for batch in frames:
+            at, calls, levels = [], [], []
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                for call, level in _sorted([(e["needs_by"], e["needed"]) for e in own]).items():
+                    at.append(i)
+                    calls.append(call)
+                    levels.append(level)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(calls, pa.string()),
+                                              pa.array(levels, pa.int32())], names=["conv", "call_id", "level"])
+
+    done = free.withColumn("level", F.lit(0)).unionByName(
+        edges.join(large, "conv", "left_anti").groupBy("conv").agg(F.collect_list(F.struct("needs_by", "needed")).alias("e"))
+        .mapInArrow(sort, "conv string, call_id string, level int"))
+    if large.isEmpty():
+        return done
+    left, ready, level = stage_table(edges.join(large, "conv", "left_semi"), "edges"), free, 0
     while not left.isEmpty() and not ready.isEmpty():
         met = ready.select("conv", F.col("call_id").alias("needed"))
         rest = stage_table(left.join(met, ["conv", "needed"], "left_anti"), "edges")
@@ -162,7 +208,7 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, in_task: int = 10_000) -> DataFrame:
     """One row per call and per result.
 
     ``calls``: ``conv_id, turn, call_id, name, arguments``; ``results``:
@@ -232,7 +278,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     edges = wants.join(has_call, ["conv", "needed"], "left_semi")
     unknown = (wants.join(has_call, ["conv", "needed"], "left_anti").groupBy("conv", F.col("needs_by").alias("call_id"))
                .agg(F.array_sort(F.collect_set(F.concat(F.lit("no call "), F.col("needed")))).alias("unknown")))
-    levels = _levels(known.select("conv", "call_id"), edges)
+    levels = _levels(known.select("conv", "call_id"), edges, in_task)
     # one row per id: what every event of that id needs to know
     about = stage_table(ids.join(levels, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left"), "about")
 

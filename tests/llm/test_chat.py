@@ -66,8 +66,11 @@ def test_order_cycles_duplicates_and_nulls(spark):
              (4, 1, "bad", "t", "{"), (4, 2, "null", "t", None), (4, 3, "tool", "u", "{}"), (4, 4, "list", "t", "[1]")]
     results = [(1, 2, "a", "r"), (1, 9, "d", None), (3, 2, "x", "r"), (3, 2, "x", "r"), (3, 3, None, "r"), (None, 2, "n", ""),
                (5, 1, "lost", "r"), (1, 1, "c", "too early"), (2, 2, "a", "x" * 300_000)]
-    rows = C.link_tool_calls(spark.createDataFrame([(*c, 7) for c in calls], CALL),
-                             spark.createDataFrame([(*r, "clash") for r in results], RESULT), ANY).collect()
+    both = [C.link_tool_calls(spark.createDataFrame([(*c, 7) for c in calls], CALL),
+                              spark.createDataFrame([(*r, "clash") for r in results], RESULT), ANY, in_task=n).collect()
+            for n in (10_000, 1)]
+    rows = both[0]
+    assert sorted(map(repr, both[0])) == sorted(map(repr, both[1]))  # sorted in a task or by rounds
     assert len(rows) == len(calls) + len(results)
     call = defaultdict(list)
     for r in rows:
@@ -93,6 +96,12 @@ def test_empty_tables(spark):
     assert C.link_tool_calls(spark.createDataFrame([(1, 1, "a", "t", "{}", 0)], CALL), r, ANY).count() == 1
 
 
+def test_long_chains_are_sorted():
+    chain = [(str(i + 1), str(i)) for i in range(5000)]
+    assert C._sorted(chain[::-1])["5000"] == 5000
+    assert C._sorted([("a", "b"), ("b", "a"), ("c", "a"), ("d", "e"), ("d", "e")]) == {"d": 1}
+
+
 def test_canonical_json():
     assert C.canonical({"b": [1.0, 2.5, 1e30, 1e-7, True, None], "a": "é\n\"", "€": {}, "\U0001f600": 0}) == (
         '{"a":"é\\n\\"","b":[1,2.5,1e+30,1e-7,true,null],"€":{},"\U0001f600":0}')
