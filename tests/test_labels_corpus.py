@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from lexlab.operators import labels as lab
 from lexlab.session import scratch_path
