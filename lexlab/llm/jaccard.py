@@ -16,7 +16,8 @@ What is still large at the last level is mostly alike, and is compared in
 blocks: tasks of two blocks of ``block`` sets, so no bucket is ever held or
 sorted as a whole.  Buckets of different runs overlap much, and work is saved
 without leaving a pair out: equal member lists and lists inside another list
-are solved once; in a large bucket, members that met in an earlier large one
+are solved once; large buckets of mostly the same members are solved as their
+union; in a large bucket, members that met in an earlier large one
 are not compared among each other again.  Each set carries the ids of all its
 buckets, and a pair counts in the first bucket that both are in, hence once.
 
@@ -262,6 +263,25 @@ def _small_tasks(small: DataFrame, large: DataFrame) -> DataFrame:
     return lists.join(gone, "g", "left_anti").select("g", F.explode("m").alias("nid"))
 
 
+def _merged(large: DataFrame, share: float = 0.5) -> DataFrame:
+    """Large buckets that are mostly the same sets, as one: two buckets join if
+    one follows the other in the bucket lists of at least ``share`` of the larger
+    one's members.  A union only adds pairs to compare, and replaces the same
+    comparisons in each of its buckets."""
+    if large.isEmpty():
+        return large
+    of = large.groupBy("nid").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
+    follows = (of.select("own", F.posexplode("own").alias("at", "hi")).filter("at > 0")
+               .select("hi", F.element_at("own", F.col("at")).alias("lo")).groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("k")))
+    sizes = stage_table(large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "large-sizes")
+    edges = (follows.join(sizes.select(F.col("bucket").alias("hi"), F.col("n").alias("n_hi")), "hi")
+             .join(sizes.select(F.col("bucket").alias("lo"), F.col("n").alias("n_lo")), "lo")
+             .filter(F.col("k") >= share * F.greatest("n_hi", "n_lo")).select("hi", "lo"))
+    roots = components(edges)
+    return stage_table(large.join(roots.withColumnRenamed("node", "bucket"), "bucket", "left")
+                       .select(F.coalesce("root", "bucket").alias("bucket"), "nid").distinct(), "merged")
+
+
 def _large_tasks(large: DataFrame, block: int) -> DataFrame:
     """``(g, i, j, side, nid)``: pairs of blocks of the large buckets."""
     # each member's large buckets in order; the one that most members of a bucket come from is its
@@ -339,6 +359,7 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, threshold: floa
     made: list[DataFrame] = []
     small, large = _leaves(reps.select("nid", F.explode("picks").alias("bucket")), sets, threshold, limit, depth)
     tokens = sets(small.select("nid").union(large.select("nid")))
+    large = _merged(large)
     one = stage_table(_small_tasks(small, large), "small")
     many = large
     in_groups = (one.union(many.select("bucket", "nid")).groupBy("nid").agg(F.array_sort(F.collect_set("g")).alias("groups")))
