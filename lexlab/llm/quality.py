@@ -16,8 +16,8 @@ document of the fold:
    steps with a line search on that risk; one that would take the second part,
    the risk of negatives, below ``-beta`` (which only overfitting does) is refused.
 
-A pass returns one vector of sums per partition, whatever the number of
-documents; nothing else reaches the driver.
+A pass returns sixteen vectors of sums, whatever the number of documents and
+partitions; nothing else reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,17 +128,32 @@ def _matrix(column) -> np.ndarray:
     return x.reshape(-1, DIMENSIONS).astype(float)
 
 
-def _sums(table: DataFrame, width: int, per_batch) -> np.ndarray:
-    """Sum over all rows of ``per_batch(x, positive)``, a vector of ``width``."""
+def _sums(table: DataFrame, width: int, per_batch, width_of_tree: int = 16) -> np.ndarray:
+    """Sum over all rows of ``per_batch(x, positive)``, a vector of ``width``.
+
+    Partitions sum first, then ``width_of_tree`` tasks sum what they made, in the
+    order of the partitions; that many rows reach the driver, however many
+    partitions there are."""
+    names = ["part", "s"]
+
+    def row(part, total):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=names)
+
     def run(frames):
         total = np.zeros(width)
         for batch in frames:
             if batch.num_rows:
                 total += per_batch(_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+        yield row(TaskContext.get().partitionId(), total)
+
+    def add(frames):
+        parts = {p: np.array(v) for batch in frames for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        if parts:
+            yield row(min(parts), np.sum([parts[p] for p in sorted(parts)], axis=0))
 
-    parts = table.select("x", "positive").mapInArrow(run, "s array<double>").collect()  # one row per partition
-    return np.sum([np.array(p["s"]) for p in parts], axis=0) if parts else np.zeros(width)
+    sums = (table.select("x", "positive").mapInArrow(run, "part long, s array<double>").repartition(width_of_tree, "part")
+            .mapInArrow(add, "part long, s array<double>").collect())
+    return np.sum([np.array(r["s"]) for r in sorted(sums, key=lambda r: r["part"])], axis=0) if sums else np.zeros(width)
 
 
 def _standard(x, mean, scale):
