@@ -84,7 +84,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.unique(splitmix(h))
 
 
-def batches(frames, n_bytes: int = 8 << 20):
+def batches(frames, n_bytes: int = 2 << 20):
     """Arrow record batches cut into slices of about ``n_bytes`` (one row at
     least), so that what a task holds at once follows its longest text and not
     the number of rows of a batch."""
