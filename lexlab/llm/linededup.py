@@ -15,9 +15,20 @@ in order of the shared hashes; the aligned lines, which form the common blocks,
 are deleted from the later document.  The holder's line is never deleted on
 that account, so one copy of everything stays.
 
+A line that an earlier document has, but that does not align with its holder
+(the two share other lines in another order), is *left over*.  Documents with
+left-over lines are aligned, on all lines that they share, with further earlier
+ones: the first with the same neighbouring pair of shared lines, the first with
+the same shared lines throughout, and, for lines that are left even then, every
+earlier document with the line (of those with the same shared lines throughout
+the first, as they align alike).  So a line goes exactly if it aligns with its
+holder or with any other earlier document.
+
 Lines, holders and matches travel as hashes and positions; a frequent hash
 meets its holder in a skew-splittable join of two stored tables, and lists are
-gathered per document only, never per line or per holder.
+gathered per document only, never per line or per holder.  Only the last step
+can make more pairs than there are shared lines: lines still left, times the
+different sequences of shared lines that hold them.
 """
 
 from __future__ import annotations
@@ -79,6 +90,57 @@ def aligned(pairs: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def _further(signs: DataFrame, left: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc, i`` of the lines of ``left`` that align within ``pairs`` (``doc, e``:
+    a document and an earlier one); ``i`` counts shared lines."""
+    later = pairs.distinct().join(left.groupBy("doc").agg(F.collect_set("i").alias("left")), "doc")
+    later = later.join(signs.select("doc", "keys"), "doc")
+    both = later.join(signs.select(F.col("doc").alias("e"), F.col("keys").alias("e_keys")), "e")
+    schema = T.StructType([signs.schema["doc"], T.StructField("i", T.IntegerType())])
+
+    def align(frames):
+        for batch in batches(frames):
+            of, at = [], []
+            for n, (wanted, keys, others) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+                place = {k: j for j, k in enumerate(others)}
+                found = set(aligned([(i, place[k]) for i, k in enumerate(keys) if k in place])).intersection(wanted)
+                of += [n] * len(found)
+                at += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(at, pa.int32())],
+                                             names=schema.names)
+
+    return both.select("doc", "left", "keys", "e_keys").mapInArrow(align, schema).distinct()
+
+
+def _left_over(signs: DataFrame) -> DataFrame | None:
+    """``doc, i`` of the left-over lines that align with an earlier document
+    other than their holder; None if no line is left over."""
+    left = stage_table(signs.filter(F.size("left") > 0).select("doc", F.explode("left").alias("i")), "left")
+    if left.isEmpty():
+        return None
+    own = signs.join(left.select("doc").distinct(), "doc", "left_semi")
+    # neighbouring pairs of shared lines around a left-over line, and the first document with each
+    pair = F.explode(F.expr("filter(flatten(transform(left, i -> array(i - 1, i))), j -> j >= 0 AND j + 1 < size(keys))"))
+    around = (own.select("doc", "keys", pair.alias("j"))
+              .select("doc", F.expr("keys[j]").alias("a"), F.expr("keys[j + 1]").alias("b")).distinct())
+    every = (signs.filter(F.size("keys") > 1)
+             .select("doc", F.explode(F.expr("transform(sequence(0, size(keys) - 2), j -> struct(keys[j] AS a, keys[j + 1] AS b))")).alias("p"))
+             .select("doc", "p.a", "p.b"))
+    first = every.join(around.select("a", "b").distinct(), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("doc").alias("e"))
+    alike = (signs.join(own.select("sign").distinct(), "sign", "left_semi").groupBy("sign").agg(F.min("doc").alias("e")))
+    near = (around.join(first, ["a", "b"]).select("doc", "e")
+            .unionByName(own.join(alike, "sign").select("doc", "e")).filter("e < doc"))
+    found = stage_table(_further(signs, left, near), "aligned")
+    rest = stage_table(left.join(found, ["doc", "i"], "left_anti"), "left")
+    if rest.isEmpty():
+        return found
+    lines = stage_table(rest.join(signs.select("doc", "keys"), "doc").select("doc", F.expr("keys[i]").alias("hash")), "left")
+    held = (signs.select("doc", "sign", F.explode("keys").alias("hash"))
+            .join(lines.select("hash").distinct(), "hash", "left_semi").groupBy("hash", "sign").agg(F.min("doc").alias("e")))
+    others = lines.join(held, "hash").filter("e < doc").select("doc", "e")
+    return found.unionByName(_further(signs, rest, others))
+
+
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                 keep: tuple[str, ...] = ()) -> DataFrame:
     """``key, text, n_lines, n_removed`` and the columns in ``keep``, one row per row of ``docs``.
@@ -117,11 +179,45 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
                                        F.col("h.pos").alias("e_pos")))
     holders = stage_table(holders, "holders")
     mine = F.col("__key").eqNullSafe(F.col("e_key")) & (F.col("__th") == F.col("e_th"))
-    matches = (table.join(holders, "hash").filter(~mine)
-               .select("__key", "__th", F.struct(F.xxhash64("e_key", "e_th").alias("e"), "pos", "e_pos").alias("m")))
+    shared = (table.join(holders, "hash")
+              .select(F.struct("__key", "__th").alias("doc"),
+                      F.struct("pos", "hash", F.when(~mine, F.xxhash64("e_key", "e_th")).alias("e"), "e_pos").alias("m")))
     # a set, as repeated rows bring the same matches again
-    matches = matches.groupBy("__key", "__th").agg(F.collect_set("m").alias("m"))
-    matches = matches.select(F.col("__key").alias("m_key"), F.col("__th").alias("m_th"), "m")
+    shared = shared.groupBy("doc").agg(F.array_sort(F.collect_set("m")).alias("m"))
+    ints = T.ArrayType(T.IntegerType())
+    sign_schema = T.StructType([shared.schema["doc"], T.StructField("sign", T.BinaryType()),
+                                T.StructField("keys", T.ArrayType(T.BinaryType())), T.StructField("pos", ints),
+                                T.StructField("gone", ints), T.StructField("left", ints)])
+
+    def sign(frames):
+        # gone: positions that align with the holders; left: places of the left-over lines in keys
+        for batch in batches(frames):
+            cols = [[], [], [], [], []]
+            for found in batch.column(1).to_pylist():
+                partners: dict[int, list] = {}
+                for m in found:
+                    if m["e"] is not None:
+                        partners.setdefault(m["e"], []).append((m["pos"], m["e_pos"]))
+                gone = set()
+                for pairs in partners.values():
+                    gone.update(aligned(pairs))
+                keys = [m["hash"] for m in found]
+                left = [i for i, m in enumerate(found) if m["e"] is not None and m["pos"] not in gone]
+                for col, x in zip(cols, (_hash(*keys), keys, [m["pos"] for m in found], sorted(gone), left)):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 3)))],
+                names=sign_schema.names)
+
+    signs = stage_table(shared.mapInArrow(sign, sign_schema), "signs")
+    gone = signs.filter(F.size("gone") > 0).select("doc", "gone")
+    more = _left_over(signs)
+    if more is not None:
+        more = (more.join(signs.select("doc", "pos"), "doc").groupBy("doc")
+                .agg(F.collect_set(F.expr("pos[i]")).alias("more")))
+        gone = (gone.join(more, "doc", "full")
+                .select("doc", F.array_union(F.coalesce("gone", F.array().cast(ints)), F.coalesce("more", F.array().cast(ints))).alias("gone")))
+    matches = gone.select(F.col("doc.__key").alias("m_key"), F.col("doc.__th").alias("m_th"), F.col("gone").alias("m"))
     joined = src.join(matches, F.col("__key").eqNullSafe(F.col("m_key")) & (F.col("__th") == F.col("m_th")), "left")
     joined = joined.select("__key", "__text", "m", *[f"__keep_{c}" for c in keep])
     schema = T.StructType([T.StructField(key, key_field.dataType), T.StructField(text, T.StringType()),
@@ -133,13 +229,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
             texts, counts, removed = [], [], []
             for body, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 rows = body.split("\n") if body else []
-                gone = set()
-                if found:
-                    partners: dict[int, list] = {}
-                    for m in found:
-                        partners.setdefault(m["e"], []).append((m["pos"], m["e_pos"]))
-                    for pairs in partners.values():
-                        gone.update(aligned(pairs))
+                gone = set(found or ())
                 texts.append("\n".join([r for i, r in enumerate(rows) if i not in gone]) if gone else body)
                 counts.append(len(rows))
                 removed.append(len(gone))

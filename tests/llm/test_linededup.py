@@ -79,3 +79,38 @@ def test_repeated_rows_null_keys_and_empty(spark):
     assert L.dedup_lines(df.limit(0)).count() == 0
     hot = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text + "\n"), F.col("id").cast("string")).alias("text"))
     assert L.dedup_lines(hot).agg(F.sum("n_removed")).collect()[0][0] == 1999
+
+
+def every_earlier(rows):
+    """Positions that go from each document: those aligned with the holders of
+    its lines, and, of the other lines that an earlier document has, those
+    aligned with any earlier document on all shared lines."""
+    docs = [(d, L.line_keys(t) if t else []) for d, t in sorted(rows, key=lambda r: r[0])]
+    holder, out = {}, {}
+    for n, (d, keys) in enumerate(docs):
+        gone = set()
+        for h in {holder[k][0] for k in keys if k in holder}:
+            gone.update(L.aligned([(i, holder[k][1]) for i, k in enumerate(keys) if k in holder and holder[k][0] == h]))
+        for _, other in docs[:n]:
+            place = {k: j for j, k in enumerate(other)}
+            gone.update(L.aligned([(i, place[k]) for i, k in enumerate(keys) if k in place]))
+        out[d] = gone
+        for i, k in enumerate(keys):
+            holder.setdefault(k, (d, i))
+    return out
+
+
+def test_lines_crossed_in_their_holder(spark):
+    line = lambda c: " ".join([c] * 6)
+    text = lambda s: "\n".join(map(line, s))
+    # 1 has a and b crossed; 3 is a copy of 2 in its shared lines, 5 shares a pair only with 2
+    rows = [(1, text("bxa")), (2, text("ab")), (3, text("aub")), (4, text("ab")), (5, text("avwb")), (6, text("wav")), (7, text("ba"))]
+    rng = random.Random(5)
+    rows += [(d, text(rng.sample("abcdefghij", rng.randint(1, 6)))) for d in range(8, 90)]
+    rows += [(d, text(rng.sample("klmno", rng.randint(2, 5)) + [str(d)])) for d in range(90, 150)]
+    got = {r["doc_id"]: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = every_earlier(rows)
+    assert got[3]["text"] == line("u") and got[4]["text"] == ""
+    for d, t in rows:
+        assert got[d]["n_removed"] == len(want[d]), d
+        assert got[d]["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d])
