@@ -9,6 +9,13 @@ nothing new appears.  A layer that was met before (by the digest of its
 content) is not taken up again, so the work ends even when an encoding yields
 itself.
 
+Base64 is tried on each run of its letters as a whole.  A run that does not
+decode so may hold a value beside words (``see/<base64>``, ``id_<base64>``): it is
+decoded at each of the four places where a group of letters can begin, and every
+stretch of readable text in the bytes is a layer, as is what unpacks from a gzip
+or zlib header in them.  Runs that follow each other over line breaks are decoded
+together in the same way, for what goes over a break.
+
 Rows are independent: one pass over the table by Arrow batches, no shuffle.
 ``max_layer`` bounds the characters that one compressed run may unpack to; a run that would
 unpack to more is not followed and is counted in ``n_refused``.
@@ -17,12 +24,13 @@ unpack to more is not followed and is counted in ``n_refused``.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import deque
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +51,14 @@ MAX_LAYER = 64 << 20
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+# a run of 16 letters and more, with the runs on the lines around it
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]+\r?\n[\x20\t]*)?[A-Za-z0-9+/_-]{16,}"
+                     r"(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+# readable text of the length of the shortest match, in UTF-8
+_STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
+                      rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
@@ -146,26 +161,87 @@ def _unescaped(text: str, pattern: re.Pattern, decode) -> tuple[str, array, arra
     return "".join(parts), start, end
 
 
+def _plain(run: str) -> bool:
+    return run.isalpha() and (run.islower() or run.isupper() or run.istitle())
+
+
+def _bytes(run: str) -> bytes:
+    """The bytes of base64 letters of either alphabet; a last letter that gives none is left out."""
+    run = run[:-1] if len(run) % 4 == 1 else run
+    return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+
+
+def _parts(runs: list[tuple[int, int, str]], most: int, out: list, begun: set) -> int:
+    """Adds to ``out`` the layers that begin anywhere in runs that stand together
+    (start, end and letters of each); of several runs, those that reach over a
+    line break.  There a character stands for the run or runs that it is in.
+    The number of packed bytes refused is returned."""
+    letters = "".join(r for _, _, r in runs)
+    if _plain(letters):
+        return 0
+    ends = list(accumulate(len(r) for _, _, r in runs))
+    refused = 0
+
+    def run_of(offset: int, last: bool) -> int:  # of the first or last letter of a byte
+        return bisect_right(ends, at + offset // 3 * 4 + offset % 3 + last)
+
+    for at in range(4):
+        data = _bytes(letters[at:])
+        packed = [m.start() for m in _PACKED.finditer(data) if m.start() % 3 == 0]
+        for o in packed:
+            decoded, no = _unpacked(data[o:], most)
+            i = run_of(o, False)
+            if len(runs) == 1:
+                refused += no
+                if decoded:
+                    out.append((decoded, runs[0][0] + at + o // 3 * 4, runs[0][1]))
+            elif i < len(runs) - 1:
+                refused += no
+                if decoded:
+                    out.append((decoded, runs[i][0], runs[-1][1]))
+                if decoded or no:
+                    begun.add(i)
+        for m in _STRETCH.finditer(data):
+            decoded = m.group().decode("utf-8")
+            first, last = run_of(m.start(), False), run_of(m.end() - 1, True)
+            if len(runs) == 1:
+                begin, end = runs[0][0] + at + m.start() // 3 * 4 + m.start() % 3, at + (m.end() - 1) // 3 * 4 + (m.end() - 1) % 3 + 2
+                out.append((decoded, begin, runs[0][1] if end >= ends[0] else runs[0][0] + end))
+            elif first < last:
+                start, end, o = array("q"), array("q"), m.start()
+                for c in decoded:
+                    n = len(c.encode("utf-8"))
+                    start.append(runs[run_of(o, False)][0])
+                    end.append(runs[run_of(o + n - 1, True)][1])
+                    o += n
+                out.append((decoded, start, end))
+    return refused
+
+
 def _below(text: str, most: int):
     """Layers one step below ``text``: ``(decoded, starts, ends)`` with the span
-    in ``text`` of each character; a run of base64 stands as a whole for each
-    character in it.  And the number of runs refused."""
+    in ``text`` of each character; base64 stands as a whole for each character in
+    it.  And the number of runs refused."""
     out, refused = [], 0
     for mark, pattern, decode in (("%", _PERCENT, _percent_run), ("\\", _ESCAPE, _escape_run)):
         if mark in text and (got := _unescaped(text, pattern, decode)):
             out.append(got)
     for m in _BASE64.finditer(text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1 or run.isalpha() and (run.islower() or run.isupper() or run.istitle()):
-            continue  # no length of base64, or a plain word
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        decoded, no = _unpacked(data, most)
-        refused += no
-        if decoded:
-            out.append((decoded, m.start(), m.end()))
+        runs = [(r.start(), r.end(), r.group().rstrip("=")) for r in _RUN.finditer(text, m.start(), m.end())]
+        begun = set()  # runs in which packed bytes begin that go on behind a line break
+        if len(runs) > 1:
+            refused += _parts(runs, most, out, begun)
+        for i, (start, end, run) in enumerate(runs):
+            if len(run) < 16 or i in begun or _plain(run):
+                continue
+            if len(run) % 4 != 1:
+                decoded, no = _unpacked(_bytes(run), most)
+                refused += no
+                if decoded:
+                    out.append((decoded, start, end))
+                if decoded or no:
+                    continue
+            refused += _parts([(start, end, run)], most, out, begun)
     return out, refused
 
 

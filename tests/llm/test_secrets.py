@@ -80,3 +80,39 @@ def test_table_and_edges(spark):
     assert S.scan_documents(src.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == spark.sql("select sha2('', 256) s").collect()[0]["s"]
     assert json.dumps(S.joined([]))
+
+
+def test_base64_beside_words_and_over_lines():
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    url = lambda x: base64.urlsafe_b64encode(x.encode()).decode()
+    packed = gzip.compress(SECRET.encode())
+    values = [b64("password=hunter2222"), b64("password=hunter2222").rstrip("="), b64(">>>???>>>password=hunter2222"),
+              url(">>>???>>>password=hunter2222"), b64(packed), b64(zlib.compress(SECRET.encode())).rstrip("=")]
+    for value in values:
+        for front in ("https://h.example/cb/", "see/", "id_", "a-", "ab+", "data:text/plain;base64,", "éé /", "-----", "a/b/c/"):
+            for tail in ("", " tail", "-tail", "/x/y", "_"):
+                text = f"front {front}{value}{tail}"
+                lo, hi = text.index(value), text.index(value) + len(value)
+                hits = [(s, e) for s, k, e in S.find(text)[1] if k == 0]
+                assert any(s < hi and e > lo for s, e in hits), text
+                assert all(text[s:e].split() and " " not in text[s:e] for s, e in hits)
+    for columns in (64, 76):
+        for cut in ("\n", "\r\n", "\n  "):
+            for filler in range(30, 70):
+                body = "z" * filler + " password=hunter2222 é " + "y" * 100
+                lines = re.findall(f".{{1,{columns}}}", b64(body))
+                text = "front\n\n" + cut.join(lines) + "\n\ntail"
+                at, where = 7, []
+                for x in lines:
+                    where.append((at, at + len(x)))
+                    at += len(x) + len(cut)
+                p = body.encode().index(b"password")
+                q = p + len("password=hunter2222") - 1
+                first, last = (p // 3 * 4 + p % 3) // columns, (q // 3 * 4 + q % 3 + 1) // columns
+                assert (where[first][0], 0, where[last][1]) in S.find(text)[1], (columns, filler)
+            noise = hashlib.sha512(b"n").hexdigest() * 3
+            lines = re.findall(f".{{1,{columns}}}", b64(gzip.compress((noise + "\n" + SECRET).encode())))
+            found = S.find("front " + cut.join(lines) + " tail")
+            assert any(k == 0 for _, k, _ in found[1]) and found[3] == 0
+    prose = "one plain-word_list of/path/names and https://www.example.org/some/longer/path_name-here\nnext/line/of/words/again"
+    assert S.find(prose)[1] == S.scan(prose)
