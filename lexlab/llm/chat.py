@@ -8,9 +8,12 @@ and *results* (id of the call they answer, content).
   later ones with the same id are marked ``duplicate``.
 * An argument ``{"$ref": "<id>"}`` anywhere means that a call needs the result of
   another call of its conversation.  Calls get topological levels: in one task
-  for a conversation of up to ``in_task`` such edges, by rounds over the edges
-  that are left (one per level) for a longer one.  What is left without progress
-  lies on or behind a cycle.
+  for a conversation of up to ``in_task`` such edges.  In a longer one, chains of
+  calls that need one other each are first contracted by pointer doubling (as many
+  rounds as the logarithm of the longest chain); if more than ``in_task`` edges are
+  left after that, these are worked off by rounds, one for each step of the longest
+  way through calls that need several others.  What is left without progress lies
+  on or behind a cycle.
 * Arguments are validated against the tool's JSON schema.
 * Every event is serialised as canonical JSON: sorted keys, no blanks, the
   shortest numbers, text as UTF-8.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexlab.llm.common import batches
-from lexlab.session import stage_table
+from lexlab.session import drop_staged, scratch_path, stage_table
 
 
 # ---- canonical JSON ----------------------------------------------------------------
@@ -146,66 +149,129 @@ def _first_of(rows: DataFrame, name: str) -> DataFrame:
             .agg(F.min(F.struct("turn", "row")).alias(name), F.count(F.lit(1)).alias(f"n_{name}")))
 
 
-def _sorted(edges: list[tuple[str, str]]) -> dict[str, int]:
+def _sorted(edges: list[tuple]) -> dict[str, int]:
     """Levels of the calls of one conversation that need others; those on or
-    behind a cycle are left out."""
+    behind a cycle are left out.  An edge may have the number of levels that it
+    spans as a third part."""
     needs: dict[str, set[str]] = {}
-    serves: dict[str, list[str]] = {}
-    for by, needed in edges:
+    serves: dict[str, list[tuple[str, int]]] = {}
+    for by, needed, *span in edges:
         if needed not in needs.setdefault(by, set()):
             needs[by].add(needed)
-            serves.setdefault(needed, []).append(by)
+            serves.setdefault(needed, []).append((by, span[0] if span else 1))
     level = dict.fromkeys((n for n in serves if n not in needs), 0)
     ready, out = list(level), {}
     while ready:
         call = ready.pop()
-        for by in serves.get(call, ()):
+        for by, span in serves.get(call, ()):
             needs[by].discard(call)
-            out[by] = max(out.get(by, 0), 1 + (out[call] if call in out else 0))
+            out[by] = max(out.get(by, 0), span + (out[call] if call in out else 0))
             if not needs[by]:
                 ready.append(by)
     return {c: k for c, k in out.items() if not needs[c]}
 
 
-def _levels(nodes: DataFrame, edges: DataFrame, in_task: int) -> DataFrame:
-    """``conv, call_id, level`` of the calls that can be ordered: level 0 needs
-    nothing, level k something of level k - 1.
-
-    Conversations of up to ``in_task`` edges are sorted in a task each; larger
-    ones by rounds of joins, one per level, in which no conversation is ever
-    gathered."""
-    edges = stage_table(edges, "edges")
-    free = nodes.join(edges.select("conv", F.col("needs_by").alias("call_id")), ["conv", "call_id"], "left_anti")
-    free = stage_table(free, "free")
-    large = stage_table(edges.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > in_task).select("conv"), "long")
-
+def _sorted_in_tasks(edges: DataFrame) -> DataFrame:
+    """``conv, call_id, level`` of the calls that need others: a task for each conversation."""
     def sort(frames):
         for batch in frames:
             at, calls, levels = [], [], []
             for i, own in enumerate(batch.column(1).to_pylist()):
-                for call, level in _sorted([(e["needs_by"], e["needed"]) for e in own]).items():
+                for call, level in _sorted([(e["needs_by"], e["needed"], e["span"]) for e in own]).items():
                     at.append(i)
                     calls.append(call)
                     levels.append(level)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(calls, pa.string()),
                                               pa.array(levels, pa.int32())], names=["conv", "call_id", "level"])
 
-    done = free.withColumn("level", F.lit(0)).unionByName(
-        edges.join(large, "conv", "left_anti").groupBy("conv").agg(F.collect_list(F.struct("needs_by", "needed")).alias("e"))
-        .mapInArrow(sort, "conv string, call_id string, level int"))
+    return (edges.groupBy("conv").agg(F.collect_list(F.struct("needs_by", "needed", "span")).alias("e"))
+            .mapInArrow(sort, "conv string, call_id string, level int"))
+
+
+def _chains(single: DataFrame) -> DataFrame:
+    """Of calls that need one other (``conv, call_id, root, span``), where
+    their chain ends, and in how many steps; calls on or behind a cycle of such
+    calls are left out."""
+    spark, path = single.sparkSession, scratch_path(single.sparkSession, "chains")
+    inner = single.select("conv", F.col("call_id").alias("root"))
+    single.join(inner, ["conv", "root"], "left_anti").select(single.columns).write.parquet(path)
+    active = stage_table(single.join(inner, ["conv", "root"], "left_semi").select(single.columns), "active")
+    reach, most = 1, single.count()
+    while reach < most and not active.isEmpty():
+        ended = spark.read.schema(single.schema).parquet(path).withColumn("ended", F.lit(True))
+        onward = ended.unionByName(active.withColumn("ended", F.lit(False))).select(
+            "conv", F.col("call_id").alias("root"), F.col("root").alias("next"), F.col("span").alias("more"), "ended")
+        moved = stage_table(active.join(onward, ["conv", "root"]).select(
+            "conv", "call_id", F.col("next").alias("root"), (F.col("span") + F.col("more")).alias("span"), "ended"), "active")
+        moved.filter("ended").drop("ended").write.mode("append").parquet(path)
+        drop_staged(active)
+        active, reach = moved.filter("NOT ended").drop("ended"), 2 * reach
+    return spark.read.schema(single.schema).parquet(path)
+
+
+def _rounds(free: DataFrame, edges: DataFrame) -> DataFrame:
+    """``conv, call_id, level`` of the calls that need others, by rounds of joins."""
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, "levels")
+    schema = "conv string, call_id string, level int"
+    spark.createDataFrame([], schema).write.parquet(path)
+    ready = free.withColumn("level", F.lit(0))
+    left = stage_table(edges.withColumn("at", F.lit(None).cast("int")), "edges")
+    while not left.isEmpty():
+        got = ready.select("conv", F.col("call_id").alias("needed"), F.col("level").alias("got"))
+        met = stage_table(left.join(got, ["conv", "needed"], "left").withColumn("at", F.coalesce("at", F.col("got") + F.col("span")))
+                          .drop("got"), "edges")
+        ready = stage_table(met.groupBy("conv", F.col("needs_by").alias("call_id"))
+                            .agg(F.max("at").alias("level"), F.max(F.col("at").isNull()).alias("open"))
+                            .filter("NOT open").drop("open"), "ready")
+        if ready.isEmpty():
+            break
+        ready.write.mode("append").parquet(path)
+        drop_staged(left)
+        left = stage_table(met.join(ready.select("conv", F.col("call_id").alias("needs_by")), ["conv", "needs_by"], "left_anti"), "edges")
+        drop_staged(met)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _long_levels(free: DataFrame, edges: DataFrame, in_task: int) -> DataFrame:
+    """``conv, call_id, level`` of the calls that need others, for conversations
+    that are not gathered: chains are contracted, the rest is sorted."""
+    by = ["conv", "needs_by"]
+    single = (edges.groupBy(*by).agg(F.min("needed").alias("root"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+              .select("conv", F.col("needs_by").alias("call_id"), "root", F.lit(1).alias("span")))
+    single = stage_table(single, "single")
+    chains = _chains(single)
+    # calls that need several, each by the ends of the chains that it needs; what
+    # needs a cycle needs itself
+    ends = (single.select("conv", "call_id").join(chains, ["conv", "call_id"], "left")
+            .select("conv", F.col("call_id").alias("needed"), "root", "span", F.lit(True).alias("chained")))
+    several = (edges.join(single.select("conv", F.col("call_id").alias("needs_by")), by, "left_anti").drop("span")
+               .join(ends, ["conv", "needed"], "left")
+               .select(*by, F.when(F.col("chained"), F.coalesce("root", "needs_by")).otherwise(F.col("needed")).alias("needed"),
+                       (F.coalesce("span", F.lit(0)) + 1).alias("span")))
+    several = stage_table(several.groupBy(*by, "needed").agg(F.max("span").alias("span")), "several")
+    large = stage_table(several.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > in_task).select("conv"), "long")
+    levels = _sorted_in_tasks(several.join(large, "conv", "left_anti"))
+    if not large.isEmpty():
+        levels = levels.unionByName(_rounds(free.join(large, "conv", "left_semi"), several.join(large, "conv", "left_semi")))
+    levels = stage_table(levels, "levels")
+    at = free.withColumn("level", F.lit(0)).unionByName(levels).select("conv", F.col("call_id").alias("root"), "level")
+    return levels.unionByName(chains.join(at, ["conv", "root"]).select("conv", "call_id", (F.col("level") + F.col("span")).alias("level")))
+
+
+def _levels(nodes: DataFrame, edges: DataFrame, in_task: int) -> DataFrame:
+    """``conv, call_id, level`` of the calls that can be ordered: level 0 needs
+    nothing, level k something of level k - 1.
+
+    Conversations of up to ``in_task`` edges are sorted in a task each; larger
+    ones are never gathered as they are."""
+    edges = stage_table(edges.withColumn("span", F.lit(1)), "edges")
+    free = nodes.join(edges.select("conv", F.col("needs_by").alias("call_id")), ["conv", "call_id"], "left_anti")
+    free = stage_table(free, "free")
+    large = stage_table(edges.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > in_task).select("conv"), "long")
+    done = free.withColumn("level", F.lit(0)).unionByName(_sorted_in_tasks(edges.join(large, "conv", "left_anti")))
     if large.isEmpty():
         return done
-    left, ready, level = stage_table(edges.join(large, "conv", "left_semi"), "edges"), free, 0
-    while not left.isEmpty() and not ready.isEmpty():
-        met = ready.select("conv", F.col("call_id").alias("needed"))
-        rest = stage_table(left.join(met, ["conv", "needed"], "left_anti"), "edges")
-        level += 1
-        # calls that had an edge and have none left
-        ready = stage_table(left.select("conv", F.col("needs_by").alias("call_id")).distinct()
-                            .join(rest.select("conv", F.col("needs_by").alias("call_id")), ["conv", "call_id"], "left_anti"), "ready")
-        done = done.unionByName(ready.withColumn("level", F.lit(level)))
-        left = rest
-    return done
+    return done.unionByName(_long_levels(free.join(large, "conv", "left_semi"), edges.join(large, "conv", "left_semi"), in_task))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, in_task: int = 10_000) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tool-call linking: against a plain reading in Python, canonical JSON, schemas and edge cases."""
 
 import json
+import random
 from collections import defaultdict
 
 import pytest
@@ -117,3 +118,28 @@ def test_schema_rules():
         "$.a: less than 2", "$.b: not in enum", "$.c[0]: longer than 2", "$.c[1]: not string", "$.d: not allowed"]
     assert C.problems({"a": True}, schema) == ["$.a: not integer or null"]
     assert C.problems({"a": {"$ref": "x"}}, schema) == [] and C.problems({}, schema) == ["$.a: missing"]
+
+
+def test_long_conversations_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    calls = [(1, i, f"a{i}", "t", ref(f"a{i - 1}") if i else "{}") for i in range(100)]
+    calls += [(2, i, f"b{i}", "t", ref(*{f"b{max(0, i - rng.randint(1, 3))}" for _ in range(rng.choice([1, 1, 1, 1, 2]))}) if i else "{}")
+              for i in range(100)]
+    # a cycle of calls with one need, what hangs on it, a call that needs it and a free one, and what needs that
+    calls += [(3, i, f"c{i}", "t", ref(f"c{(i + 1) % 5}")) for i in range(5)] + [
+        (3, 5, "d", "t", ref("c0")), (3, 6, "e", "t", ref("d", "f")), (3, 7, "f", "t", "{}"), (3, 8, "g", "t", ref("e")),
+        (3, 9, "h", "t", ref("f")), (3, 10, "i", "t", ref("h", "f"))]
+    # calls that need several, one behind the other
+    calls += [(4, i, f"k{i}", "t", ref(f"k{i - 1}", f"k{i - 2}") if i > 1 else "{}") for i in range(12)]
+    empty = spark.createDataFrame([], RESULT)
+    df = spark.createDataFrame([(*c, 7) for c in calls], CALL)
+    want = {k[1:]: v[2:] for k, v in brute(calls, []).items()}
+    stored, stage = [], C.stage_table
+    monkeypatch.setattr(C, "stage_table", lambda *a: stored.append(a[1]) or stage(*a))
+    for in_task, most in ((8, 25), (40, 25), (1, 150)):
+        stored.clear()
+        own = df.filter("conv_id <> 4" if in_task == 40 else "conv_id IN (1, 3)" if in_task == 8 else "conv_id > 1")
+        rows = C.link_tool_calls(own, empty, ANY, in_task=in_task).collect()
+        assert {(r["conv_id"], r["turn"], r["call_id"]): (r["level"], r["in_cycle"]) for r in rows} == {
+            k: v for k, v in want.items() if k[0] in {r["conv_id"] for r in rows}}
+        assert len(rows) == own.count() and len(stored) < most, (in_task, len(stored))
