@@ -376,16 +376,13 @@ def q_rank_r_train(spark, sf_dir):
     return _emb_train_eval(spark, sf_dir, "rank_r")
 
 
-LADDER_ITER = 15  # optimiser steps of a fit in the grid
-
-
 def _in_unit(c: str):
     return F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False))
 
 
 @query("ladder_results")
 def q_ladder_results(spark, sf_dir):
-    r = LD.run_ladder(spark, S.text_split(spark, sf_dir), max_iter=LADDER_ITER)
+    r = LD.run_ladder(spark, S.text_split(spark, sf_dir))
     return r.select("experiment_id", "backbone", "method", "seed", "trainable_params", "total_params", "trainable_pct",
                     "output_dir", _in_unit("test_f1_macro").alias("has_test_f1"), _in_unit("val_f1_macro").alias("has_val_f1"))
 
@@ -394,8 +391,8 @@ def q_ladder_results(spark, sf_dir):
 def q_ladder_summary(spark, sf_dir):
     L = cor.with_agreement_level(fx.labelled(spark, sf_dir), "doc_id")
     out = scratch_path(spark, "ladder")
-    split = spl.stratified_split(cor.select_agreement(L, "66"), label_col="label", key_col="doc_id")
-    LD.ladder_with_sinks(spark, split, out, agreement="66", max_iter=LADDER_ITER)
+    split = spl.stratified_split(L, label_col="label", key_col="doc_id")
+    LD.ladder_with_sinks(spark, split, out, agreement="50")
     summary = spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/ladder_summary")
     return summary.select("experiment_id", F.col("n_runs").cast("bigint").alias("n_runs"),
                           (F.col("min").cast("double") <= F.col("mean").cast("double")).alias("min_ok"),

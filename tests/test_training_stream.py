@@ -138,3 +138,25 @@ def test_manifest_cuts_by_the_qualified_root(spark):
     spark.range(2).coalesce(1).write.parquet(f"{root}/m/store")
     parents = {r.parent for r in MF.manifest(MF.list_files(spark, root), root).collect()}
     assert parents == {"m/store"}
+
+
+def test_registered_ladders_run_whole_and_agreement_selects(spark, monkeypatch):
+    from lexlab.plans import queries as Q
+    from lexlab.sources import corpus as cor
+    from lexlab.sources import fixtures as fx
+    seen, run = [], LD.run_ladder_with_log
+
+    def small(spark, split, seeds, experiments, out_dir, max_iter):
+        seen.append((split.count(), max_iter, list(seeds), list(experiments)))
+        return run(spark, split, [42], ["word_tfidf_eval_only"])
+
+    monkeypatch.setattr(LD, "run_ladder_with_log", small)
+    labelled = fx.labelled(spark, SF_SMALL)
+    for key in ("ladder_results", "ladder_summary"):
+        Q.REGISTRY[key](spark, SF_SMALL).collect()
+    assert seen == [(labelled.count(), LD.MAX_ITER, list(LD.LADDER_SEEDS), [])] * 2
+    rows = cor.with_agreement_level(S.text_split(spark, SF_SMALL), "doc_id")
+    out = scratch_path(spark, "agreement")
+    LD.ladder_with_sinks(spark, rows, out, agreement="75")
+    assert seen[-1][0] == rows.filter("agreement_pct >= 75").count() < rows.count()
+    assert '"agreement":"75"' in "".join(r.value for r in spark.read.text(f"{out}/run_config").collect()).replace(" ", "")
