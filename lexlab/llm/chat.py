@@ -385,7 +385,8 @@ SCHEMAS = {
 def events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results out of plain conversations: an assistant's turn is a
     call whose arguments hold its text and refer to the call two turns before;
-    any other turn after the first is the result of the call one turn before."""
+    any other turn after the first, also one without a role, is the result of the
+    call one turn before."""
     call = F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"))
     text = F.coalesce("text", F.lit(""))
     args = F.to_json(F.struct(
@@ -394,6 +395,6 @@ def events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = conversations.filter("role = 'assistant'").select(
         "conv_id", "turn", F.concat(call, F.col("turn").cast("string")).alias("call_id"),
         F.when(F.pmod("conv_id", F.lit(4)) == 0, "translate").otherwise("answer").alias("name"), args.alias("arguments"))
-    results = conversations.filter("role <> 'assistant' AND turn > 0").select(
+    results = conversations.filter("NOT (role <=> 'assistant') AND turn > 0").select(
         "conv_id", "turn", F.concat(call, (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
     return calls, results

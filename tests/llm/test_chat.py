@@ -143,3 +143,11 @@ def test_long_conversations_take_few_rounds(spark, monkeypatch):
         assert {(r["conv_id"], r["turn"], r["call_id"]): (r["level"], r["in_cycle"]) for r in rows} == {
             k: v for k, v in want.items() if k[0] in {r["conv_id"] for r in rows}}
         assert len(rows) == own.count() and len(stored) < most, (in_task, len(stored))
+
+
+def test_turns_without_a_role_are_results(spark):
+    conv = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, None, "r"), (1, 3, "assistant", "b")],
+                                 "conv_id long, turn long, role string, text string")
+    calls, results = C.events(conv)
+    assert [(r["turn"], r["call_id"], r["content"]) for r in results.collect()] == [(2, "call_1_1", "r")]
+    assert sorted(r["turn"] for r in calls.collect()) == [1, 3]
