@@ -17,8 +17,9 @@ or zlib header in them.  Runs that follow each other over line breaks are decode
 together in the same way, for what goes over a break.
 
 Rows are independent: one pass over the table by Arrow batches, no shuffle.
-``max_layer`` bounds the characters that one compressed run may unpack to; a run that would
-unpack to more is not followed and is counted in ``n_refused``.
+``max_layer`` bounds the bytes that a task holds of what one compressed run
+unpacks to; a run that unpacks to more is read in overlapping windows, and
+counted in ``n_refused`` (refused as one layer).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections import deque
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,23 +88,85 @@ def _readable(data: bytes) -> str | None:
     return text if text and not _CONTROL.search(text) else None
 
 
-def _unpacked(data: bytes, most: int) -> tuple[str | None, bool]:
-    """Text inside gzip or zlib bytes (nested ones too), and whether one was
-    refused for its size."""
-    seen = set()
-    while data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
+def _is_packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0)
+
+
+def _inflated(parts, most: int):
+    """Bytes that gzip or zlib parts unpack to, in pieces of up to ``most``;
+    members behind the first one are read on."""
+    d, rest = None, b""
+    try:
+        for part in parts:
+            data = rest + part
+            while data or d:
+                if d is None:
+                    if len(data) < 3 or not _is_packed(data):
+                        break
+                    d = zlib.decompressobj(47)  # gzip or zlib by the header
+                piece = d.decompress(data, most)
+                if piece:
+                    yield piece
+                data = d.unused_data if d.eof else d.unconsumed_tail
+                if d.eof:
+                    d = None
+                elif not piece and not data:
+                    break
+            rest = b"" if d else data
+            if len(rest) > 2:
+                return  # something else follows
+    except zlib.error:
+        return
+
+
+def _unpacked(data: bytes, most: int):
+    """Text inside gzip or zlib bytes (nested ones too); an iterator over
+    overlapping windows of the bytes if they are more than ``most``; or None."""
+    seen, rest, large = set(), iter(()), False
+    while _is_packed(data):
         mark = hashlib.sha256(data).digest()
         if mark in seen:
-            return None, False
+            return None
         seen.add(mark)
-        try:
-            d = zlib.decompressobj(47)  # gzip or zlib by the header
-            data = d.decompress(data, most)
-            if d.unconsumed_tail:
-                return None, True
-        except zlib.error:
-            return None, False
-    return _readable(data), False
+        pieces, held, size = _inflated(chain((data,), rest), most), [], 0
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece)
+            if size > most:
+                break
+        data, rest, large = b"".join(held), pieces, size > most
+    return _windows(chain((data,), rest), min(1 << 20, most // 2)) if large else _readable(data)
+
+
+def _windows(pieces, overlap: int):
+    tail = b""
+    for piece in pieces:
+        window = tail + piece
+        yield window
+        tail = window[max(0, len(window) - overlap):]
+
+
+def _open(data: bytes, most: int, start: int, end: int, out: list, seen: set) -> tuple[bool, int]:
+    """Adds what ``data`` unpacks to to ``out``: its text, or, if it is more than
+    ``most``, the kinds found in its windows and the number of layers in them.
+    Whether there was any, and the number of packed runs that were that large."""
+    got = _unpacked(data, most)
+    if got is None:
+        return False, 0
+    if isinstance(got, str):
+        out.append((got, start, end))
+        return True, 0
+    kinds, layers, large = set(), 0, 1
+    for window in got:
+        for m in _STRETCH.finditer(window):
+            mark = hashlib.sha256(m.group()).digest()
+            if mark not in seen:
+                seen.add(mark)
+                _, every, n, more = find(m.group().decode("utf-8"), most, seen)
+                kinds.update(k for _, k, _ in every)
+                layers, large = layers + 1 + n, large + more
+    out.append(((kinds, layers), start, end))
+    return True, large
 
 
 def _percent_run(run: str) -> tuple[str, list[tuple[int, int]]]:
@@ -171,11 +234,11 @@ def _bytes(run: str) -> bytes:
     return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
 
 
-def _parts(runs: list[tuple[int, int, str]], most: int, out: list, begun: set) -> int:
+def _parts(runs: list[tuple[int, int, str]], most: int, out: list, begun: set, seen: set) -> int:
     """Adds to ``out`` the layers that begin anywhere in runs that stand together
     (start, end and letters of each); of several runs, those that reach over a
     line break.  There a character stands for the run or runs that it is in.
-    The number of packed bytes refused is returned."""
+    The number of packed runs of more than ``most`` is returned."""
     letters = "".join(r for _, _, r in runs)
     if _plain(letters):
         return 0
@@ -189,17 +252,13 @@ def _parts(runs: list[tuple[int, int, str]], most: int, out: list, begun: set) -
         data = _bytes(letters[at:])
         packed = [m.start() for m in _PACKED.finditer(data) if m.start() % 3 == 0]
         for o in packed:
-            decoded, no = _unpacked(data[o:], most)
             i = run_of(o, False)
             if len(runs) == 1:
-                refused += no
-                if decoded:
-                    out.append((decoded, runs[0][0] + at + o // 3 * 4, runs[0][1]))
+                refused += _open(data[o:], most, runs[0][0] + at + o // 3 * 4, runs[0][1], out, seen)[1]
             elif i < len(runs) - 1:
+                got, no = _open(data[o:], most, runs[i][0], runs[-1][1], out, seen)
                 refused += no
-                if decoded:
-                    out.append((decoded, runs[i][0], runs[-1][1]))
-                if decoded or no:
+                if got:
                     begun.add(i)
         for m in _STRETCH.finditer(data):
             decoded = m.group().decode("utf-8")
@@ -218,10 +277,10 @@ def _parts(runs: list[tuple[int, int, str]], most: int, out: list, begun: set) -
     return refused
 
 
-def _below(text: str, most: int):
+def _below(text: str, most: int, seen: set):
     """Layers one step below ``text``: ``(decoded, starts, ends)`` with the span
     in ``text`` of each character; base64 stands as a whole for each character in
-    it.  And the number of runs refused."""
+    it.  And the number of packed runs of more than ``most``."""
     out, refused = [], 0
     for mark, pattern, decode in (("%", _PERCENT, _percent_run), ("\\", _ESCAPE, _escape_run)):
         if mark in text and (got := _unescaped(text, pattern, decode)):
@@ -230,32 +289,30 @@ def _below(text: str, most: int):
         runs = [(r.start(), r.end(), r.group().rstrip("=")) for r in _RUN.finditer(text, m.start(), m.end())]
         begun = set()  # runs in which packed bytes begin that go on behind a line break
         if len(runs) > 1:
-            refused += _parts(runs, most, out, begun)
+            refused += _parts(runs, most, out, begun, seen)
         for i, (start, end, run) in enumerate(runs):
             if len(run) < 16 or i in begun or _plain(run):
                 continue
             if len(run) % 4 != 1:
-                decoded, no = _unpacked(_bytes(run), most)
+                got, no = _open(_bytes(run), most, start, end, out, seen)
                 refused += no
-                if decoded:
-                    out.append((decoded, start, end))
-                if decoded or no:
+                if got:
                     continue
-            refused += _parts([(start, end, run)], most, out, begun)
+            refused += _parts([(start, end, run)], most, out, begun, seen)
     return out, refused
 
 
-def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list, int, int]:
+def find(text: str, max_layer: int = MAX_LAYER, seen: set | None = None) -> tuple[list, list, int, int]:
     """``(base, all, layers, refused)`` of one text; spans are
     ``(start, kind, end)`` in the text's own code points."""
     base = scan(text)
-    found, seen = set(base), set()
+    found, seen = set(base), set() if seen is None else seen
     # a layer: its text, and start and end in the original of its characters
     # (two arrays; two numbers if all stand for one span; None: the original)
     work, n_layers, refused = deque([(text, None, None)]), 0, 0
     while work:
         layer, first, last = work.popleft()
-        below, no = _below(layer, max_layer)
+        below, no = _below(layer, max_layer, seen)
         refused += no
         for decoded, start, end in below:
             if isinstance(first, int):
@@ -265,6 +322,10 @@ def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list, int, int]:
             elif first is not None:
                 start, end = array("q", (first[a] for a in start)), array("q", (last[b - 1] for b in end))
             whole = isinstance(start, int)
+            if isinstance(decoded, tuple):
+                found.update((start, kind, end) for kind in decoded[0])
+                n_layers += decoded[1]
+                continue
             mark = hashlib.sha256(f"{start if whole else ''}:{end if whole else ''}:".encode()
                                   + decoded.encode("utf-8", "surrogatepass")).digest()
             if mark in seen:

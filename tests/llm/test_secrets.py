@@ -116,3 +116,17 @@ def test_base64_beside_words_and_over_lines():
             assert any(k == 0 for _, k, _ in found[1]) and found[3] == 0
     prose = "one plain-word_list of/path/names and https://www.example.org/some/longer/path_name-here\nnext/line/of/words/again"
     assert S.find(prose)[1] == S.scan(prose)
+
+
+def test_large_streams_and_further_members():
+    noise = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:9] + "é " for i in range(3000))
+    b64 = lambda x: base64.b64encode(x).decode()
+    deep = "%70assword=abcdefg " + b64(gzip.compress(b"AKIA" + b"B" * 16))
+    for where in (0, 997, 1000, 5001, len(noise)):
+        body = (noise[:where] + " " + SECRET + " " + deep + " " + noise[where:]).encode()
+        for data in (gzip.compress(body), zlib.compress(body), zlib.compress(gzip.compress(body)), gzip.compress(gzip.compress(b"one") + gzip.compress(body))):
+            base, every, layers, large = S.find(f"x {b64(data)} y", max_layer=2000)
+            assert {k for _, k, _ in set(every) - set(base)} >= {0, 1} and large >= 1, where
+            assert (2, 0, 2 + len(b64(data))) in every
+    members = b64(gzip.compress(b"first member") + gzip.compress(SECRET.encode()))
+    assert (0, 0, len(members)) in S.find(members)[1] and S.find(members)[3] == 0
