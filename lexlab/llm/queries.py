@@ -34,9 +34,9 @@ def op2_pu_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op3_best_fit_packing")
@@ -95,6 +95,13 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark, sf_dir):
+    from lexlab.llm import alignment
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                     tokenizer_path("piece_bpe_32k.model"))
+
+
 def _oracles() -> None:
     from lexlab.llm import decontaminate, urlfilter
     ORACLE["op9_decontaminate"] = decontaminate.oracle_sql()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+
 CACHE = 400_000  # words kept by a worker; more are worked out again
 
 _BYTES = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -93,3 +95,119 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+# ---- byte-level files, whole texts -------------------------------------------------
+SLICE = 1 << 16  # characters; a slice is longer only where no safe place to cut comes
+#: a blank after a character that is not white space: both kinds of tokenizer below start a token there
+_BLANK = re.compile(r"(?<=\S) ")
+_LONG_BLANKS = re.compile(r"\s{20000}")
+
+
+def slices(text: str) -> list[str]:
+    """``text`` cut before blanks that follow a character other than white space,
+    into slices of about ``SLICE`` characters; all but the first lose their blank."""
+    out, at = [], 0
+    while len(text) - at > SLICE:
+        cut = _BLANK.search(text, at + SLICE)
+        if cut is None:
+            break
+        out.append(text[at:cut.start()])
+        at = cut.end()
+    out.append(text[at:])
+    return out
+
+
+class ByteLevel:
+    """Ids of a byte-level BPE file of the ``tokenizers`` library, as
+    ``uint32`` arrays, without the special tokens that a template would add.
+
+    ``plain``: special tokens' strings inside texts are ordinary text; else
+    they are special, as ``tokenizers`` has it by default.  Where the file is of
+    the kind whose ids are its merges in order (checked at load), ``tiktoken``
+    works the same ids out with less memory; other files, and runs of white
+    space that its regular expression cannot take, go to ``tokenizers`` itself."""
+
+    def __init__(self, path: str, plain: bool):
+        from tokenizers import Tokenizer
+        self.plain, self.tokenizer = plain, Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        vocab = model["vocab"]
+        letters = {c: b for b, c in _ALPHABET.items()}
+        self.bytes_of = {i: bytes(letters[c] for c in s) for s, i in vocab.items()}
+        added = spec.get("added_tokens", [])
+        for t in added:
+            self.bytes_of.setdefault(t["id"], t["content"].encode())
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.fast = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+                     and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
+                     and not model.get("byte_fallback")
+                     and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+                     and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in added))
+        self.special = {} if plain else {t["content"]: t["id"] for t in added}
+        self._split = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
+        if self.fast:
+            import tiktoken
+            from public_tokenizers import PATTERN
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, special_tokens={}, mergeable_ranks={
+                self.bytes_of[i]: i for i in vocab.values()})
+
+    def _part(self, text: str) -> np.ndarray:
+        if not self.fast or len(text) > 20_000 and _LONG_BLANKS.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.ranked.encode_to_numpy(text, disallowed_special=())
+
+    def _run(self, text: str) -> list[np.ndarray]:
+        """Ids of a text without special tokens."""
+        first, *rest = slices(text)
+        return [self._part(first), *(self._part(" " + s) for s in rest)]
+
+    def ids(self, text: str) -> np.ndarray:
+        if not self.fast:
+            return self._part(text)
+        if self._split is None or self._split.search(text) is None:
+            parts = self._run(text)
+        else:
+            parts = []
+            for s in self._split.split(text):
+                parts += [np.array([self.special[s]], np.uint32)] if s in self.special else self._run(s) if s else []
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+class Pieces:
+    """Ids of a ``sentencepiece`` file.  ``by_slice``: no piece goes on over a
+    blank after another character, so slices can be encoded one by one."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+        self.model = SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.bytes_of = {i: bytes([int(s[3:5], 16)]) if self.model.is_byte(i) else s.replace("▁", " ").encode()
+                         for i, s in enumerate(names)}
+        probe = "ﬁ①  a "
+        self.by_slice = (not any("▁" in s.lstrip("▁") for s in names)
+                         and self.model.normalize(probe) == "▁" + probe.replace(" ", "▁"))
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of one slice; the file's own blank goes before it."""
+        return np.array(self.model.encode(text), np.uint32)
+
+
+_OTHERS: dict[tuple, object] = {}
+
+
+def byte_level(path: str, plain: bool) -> ByteLevel:
+    """The worker's encoder for a byte-level file, made once."""
+    if (path, plain) not in _OTHERS:
+        _OTHERS[path, plain] = ByteLevel(path, plain)
+    return _OTHERS[path, plain]
+
+
+def piece_model(path: str) -> Pieces:
+    """The worker's model for a ``sentencepiece`` file, made once."""
+    if path not in _OTHERS:
+        _OTHERS[path] = Pieces(path)
+    return _OTHERS[path]
