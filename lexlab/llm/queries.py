@@ -102,8 +102,15 @@ def op11_tokenizer_alignment(spark, sf_dir):
                                      tokenizer_path("piece_bpe_32k.model"))
 
 
+@query("op12_source_divergence")
+def op12_source_divergence(spark, sf_dir):
+    from lexlab.llm import divergence
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def _oracles() -> None:
-    from lexlab.llm import decontaminate, urlfilter
+    from lexlab.llm import decontaminate, divergence, urlfilter
+    ORACLE["op12_source_divergence"] = divergence.oracle_sql()
     ORACLE["op9_decontaminate"] = decontaminate.oracle_sql()
     ORACLE["op7_url_filters"] = urlfilter.oracle_sql()
 
