@@ -108,6 +108,15 @@ def op12_source_divergence(spark, sf_dir):
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
+@query("op13_cutting_stock_packing")
+def op13_cutting_stock_packing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from lexlab.llm import cuttingstock
+    packed = cuttingstock.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def _oracles() -> None:
     from lexlab.llm import decontaminate, divergence, urlfilter
     ORACLE["op12_source_divergence"] = divergence.oracle_sql()
