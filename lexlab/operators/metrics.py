@@ -48,6 +48,26 @@ def confusion_long(preds: DataFrame, n_classes: int, group_cols: Sequence[str] =
     return grid.unionByName(cells).groupBy(*g, "label", "pred").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def confusion_cells(preds: DataFrame, group_cols: Sequence[str] = (), label_col: str = "label",
+                    pred_col: str = "pred") -> DataFrame:
+    """(groups..., label, pred, n): the cells that occur, at most one per row of
+    ``preds`` whatever the number of classes.  All metrics here take this form
+    too; only :func:`confusion_long` lists the cells that do not occur."""
+    return (preds.groupBy(*_g(group_cols), F.col(label_col).cast("int").alias("label"), F.col(pred_col).cast("int").alias("pred"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def with_domain(cells: DataFrame, n_classes: int, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Cells with an empty one on the diagonal for each class of the domain: per
+    group ``n_classes`` rows more, so that a class absent from both sides is
+    listed (support 0)."""
+    g = _g(group_cols)
+    groups = cells.select(*g).distinct() if g else cells.sparkSession.range(1).select()
+    empty = (groups.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))))
+             .withColumn("pred", F.col("label")).withColumn("n", F.lit(0).cast("bigint")))
+    return cells.select(*g, "label", "pred", "n").unionByName(empty)
+
+
 def confusion_wide(long: DataFrame, n_classes: int, group_cols: Sequence[str] = ()) -> DataFrame:
     """(groups..., label, pred_0 .. pred_{C-1}, pred_other) from the long form;
     ``pred_other`` holds predictions outside the domain and NULL ones."""

@@ -608,7 +608,85 @@ SELECT 'word_head_only_seed' || seed AS run, CAST(epoch AS INTEGER) AS best_epoc
   SELECT *, row_number() OVER (PARTITION BY seed ORDER BY macro_f1 DESC, epoch) AS r FROM LF1) WHERE r = 1"""
 
 
-ORACLE["best_epoch"] = best_epoch_sql()
+ORACLE["learning_curve"] = best_epoch_sql()
+
+
+# ---------------------------------------------------------------------------
+# the trainer: every step as a join, a softmax and a grouped sum over long rows
+# ---------------------------------------------------------------------------
+def trainer_ctes(rows: str, feats: str, n_classes: int, dim: int, seeds=(42, 43, 44), epochs: int = 3, steps: int = 4,
+                 rate: float = 0.5, momentum: float = 0.9, decay: float = 1e-4) -> str:
+    """CTEs from ``rows`` (key, split, label) and ``feats`` (key, i, x): TEV (seed, epoch, key, split, label, pred,
+    p_label) after each pass, TLOG (seed, epoch, n_train, train_loss, macro_f1) and TBEST (seed, epoch)."""
+    svals = ", ".join(f"({s})" for s in seeds)
+    first = f"0.02::DOUBLE * ({unit_sql("'w:' || seed || ':' || c || ':' || i")} - 0.5::DOUBLE)"
+    parts = [f"""
+TR AS MATERIALIZED (SELECT key, split, label, CAST((('0x' || substr(md5('step:' || CAST(key AS VARCHAR)), 1, 8))::BIGINT) % {steps}
+                                                   AS INTEGER) AS bucket FROM {rows}),
+TF AS MATERIALIZED (SELECT key, i, x FROM {feats} UNION ALL SELECT key, {dim}, 1.0::DOUBLE FROM TR),
+TN AS (SELECT label, count(*) AS n FROM TR WHERE split = 'train' GROUP BY label),
+TCW AS MATERIALIZED (SELECT label, (sum(n) OVER ())::DOUBLE / ((count(*) OVER ()) * n)::DOUBLE AS w FROM TN),
+TW0 AS MATERIALIZED (
+  SELECT seed, c, i, CASE WHEN i = {dim} THEN 0.0::DOUBLE ELSE {first} END AS w, 0.0::DOUBLE AS v
+  FROM (SELECT s.seed, a.range AS c, b.range AS i FROM (VALUES {svals}) s(seed), range({n_classes}) a, range({dim + 1}) b))"""]
+    softmax = "exp(z - max(z) OVER (PARTITION BY seed, key)) / sum(exp(z - zm)) OVER (PARTITION BY seed, key)"
+    evals = []
+    for k in range(1, epochs * steps + 1):
+        parts.append(f"""
+TZ{k} AS (SELECT w.seed, f.key, w.c, sum(f.x * w.w) AS z
+          FROM TF f JOIN TR r ON r.key = f.key AND r.split = 'train' AND r.bucket = {(k - 1) % steps}
+          JOIN TW{k - 1} w ON w.i = f.i GROUP BY w.seed, f.key, w.c),
+TP{k} AS (SELECT seed, key, c, {softmax} AS p FROM (SELECT *, max(z) OVER (PARTITION BY seed, key) AS zm FROM TZ{k})),
+TG{k} AS (SELECT p.seed, p.c, f.i, sum(cw.w * (p.p - CASE WHEN r.label = p.c THEN 1 ELSE 0 END) * f.x) AS g
+          FROM TP{k} p JOIN TR r ON r.key = p.key JOIN TCW cw ON cw.label = r.label JOIN TF f ON f.key = p.key
+          GROUP BY p.seed, p.c, f.i),
+TT{k} AS (SELECT sum(cw.w) AS t FROM TR r JOIN TCW cw ON cw.label = r.label WHERE r.split = 'train' AND r.bucket = {(k - 1) % steps}),
+TW{k} AS MATERIALIZED (
+  SELECT seed, c, i, w - {rate}::DOUBLE * v2 AS w, v2 AS v FROM (
+    SELECT w.seed, w.c, w.i, w.w,
+           CASE WHEN t IS NULL THEN 0.0 ELSE {momentum}::DOUBLE * w.v + coalesce(g.g, 0.0) / t + {decay}::DOUBLE * w.w END AS v2
+    FROM TW{k - 1} w CROSS JOIN TT{k} LEFT JOIN TG{k} g ON g.seed = w.seed AND g.c = w.c AND g.i = w.i))""")
+        if k % steps == 0:
+            parts.append(f"""
+TE{k} AS (SELECT w.seed, f.key, w.c, sum(f.x * w.w) AS z FROM TF f JOIN TW{k} w ON w.i = f.i GROUP BY w.seed, f.key, w.c)""")
+            evals.append(f"SELECT {k // steps} AS epoch, seed, key, list(z ORDER BY c) AS z FROM TE{k} GROUP BY seed, key")
+    parts.append("\nTZS AS (" + " UNION ALL ".join(evals) + ")")
+    parts.append("""
+TEV AS MATERIALIZED (
+  SELECT seed, epoch, key, split, label, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred,
+         exp(z[label + 1] - list_max(z)) / list_sum(list_transform(z, lambda q: exp(q - list_max(z)))) AS p_label
+  FROM TZS JOIN TR USING (key)),
+TLOSS AS (SELECT seed, epoch, count(*) AS n_train, sum(-ln(p_label) * w) / sum(w) AS train_loss
+          FROM TEV JOIN TCW USING (label) WHERE split = 'train' GROUP BY seed, epoch),
+TVAL AS (SELECT * FROM TEV WHERE split = 'validation')""")
+    parts.append(f1_cte("TF1", "TVAL", "seed, epoch", n_classes))
+    parts.append("""
+TLOG AS (SELECT seed, epoch, n_train, train_loss, macro_f1 FROM TLOSS JOIN TF1 USING (seed, epoch)),
+TBEST AS (SELECT seed, epoch, macro_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY macro_f1 DESC, epoch) AS r FROM TLOG) WHERE r = 1)""")
+    return ",".join(x.strip("\n") for x in parts)
+
+
+TEXT_TRAINER = with_(L, split_cte("LN", "doc_id"), f"""
+TX AS (SELECT doc_id AS key, split, label, {tokens_sql('sentence')} AS toks FROM SPLIT),
+TXI AS (SELECT key, len(toks) AS n, unnest({idx_sql('toks', 1024)}) AS i FROM TX),
+TXF AS (SELECT key, i, count(*)::DOUBLE / sqrt(any_value(n)::DOUBLE) AS x FROM TXI GROUP BY key, i)""",
+                     trainer_ctes("TX", "TXF", 3, 1024))
+
+ORACLE["best_epoch"] = TEXT_TRAINER + """
+SELECT 'word_head_only_seed' || seed AS run, CAST(epoch AS INTEGER) AS best_epoch, macro_f1 AS best_f1 FROM TBEST"""
+
+ORACLE["epoch_log"] = TEXT_TRAINER + """
+SELECT 'word_head_only_seed' || seed AS run, CAST(epoch AS INTEGER) AS epoch, CAST(n_train AS BIGINT) AS n_train,
+       round(train_loss, 6) AS train_loss, macro_f1 AS f1_macro FROM TLOG"""
+
+ORACLE["user_metric"] = P_WITH + """
+, MT AS (SELECT model_id, split, label AS c, count(*) AS t, 0 AS p, sum(CASE WHEN label = pred THEN 1 ELSE 0 END) AS h
+         FROM P GROUP BY ALL UNION ALL SELECT model_id, split, pred, 0, count(*), 0 FROM P GROUP BY ALL),
+MC AS (SELECT model_id, split, c, sum(t)::DOUBLE AS t, sum(p)::DOUBLE AS p, sum(h)::DOUBLE AS h FROM MT GROUP BY ALL),
+MS AS (SELECT model_id, split, sum(t) AS n, sum(h) AS h, sum(t * p) AS tp, sum(t * t) AS tt, sum(p * p) AS pp FROM MC GROUP BY ALL)
+SELECT model_id, split, round(CASE WHEN (n * n - tt) * (n * n - pp) = 0 THEN 0.0
+                                   ELSE (h * n - tp) / sqrt((n * n - tt) * (n * n - pp)) END, 6) AS mcc FROM MS"""
 
 ORACLE["param_budget"] = f"""
 WITH TK AS (SELECT DISTINCT lang, token FROM (
@@ -686,7 +764,13 @@ SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(any_value({trainable}) AS BIGI
 FROM SPLIT, K GROUP BY split"""
 
 
-ORACLE["head_only_train"] = emb_train_sql("c * 64 + c", 0)
+ORACLE["head_only_train"] = with_(split_cte("embeddings", "vec_id"), """
+EX AS (SELECT vec_id AS key, split, label FROM SPLIT),
+EXF AS (SELECT vec_id AS key, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM SPLIT)""",
+                                  trainer_ctes("EX", "EXF", 10, 64), """
+EBEST AS (SELECT TEV.* FROM TEV JOIN TBEST USING (seed, epoch))""", f1_cte("EBF", "EBEST", "seed, epoch, split", 10)) + """
+SELECT 'seed' || seed AS run, split, CAST(epoch AS INTEGER) AS best_epoch, n, macro_f1, accuracy,
+       CAST(10 * 65 AS BIGINT) AS trainable_params, CAST(10 * 65 AS BIGINT) AS total_params FROM EBF"""
 ORACLE["rank_r_train"] = emb_train_sql("c * 8 + c", 64 * 8)
 
 ORACLE["reload_parity"] = with_(split_cte("embeddings", "vec_id")) + """

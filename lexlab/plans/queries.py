@@ -235,7 +235,10 @@ def q_calibration_ece(spark, sf_dir):
 from lexlab.operators import budget as B  # noqa: E402
 from lexlab.operators import summary as SU  # noqa: E402
 from lexlab.operators import gates as GT  # noqa: E402
+from lexlab.constants import LADDER_SEEDS  # noqa: E402
+from lexlab.operators import user_metric as UM  # noqa: E402
 from lexlab.plans import experiments as EX  # noqa: E402
+from lexlab.plans import trainer as TN  # noqa: E402
 
 
 def param_catalogue(spark, sf_dir):
@@ -258,11 +261,35 @@ def q_rank_methods(spark, sf_dir):
     return SU.rank_methods(SU.seed_summary(EX.fixed_results(spark, sf_dir)))
 
 
+def _trained_text(spark, sf_dir):
+    """W3, M4: a head per seed trained on word counts, with a log of all passes."""
+    feats = TN.text_counts(S.text_split(spark, sf_dir).select("doc_id", "sentence", "label", "split"), H.NUM_FEATURES)
+    runs = {f"word_head_only_seed{s}": s for s in LADDER_SEEDS}
+    return TN.train(feats, runs, S.TEXT_CLASSES, H.NUM_FEATURES, scratch_path(spark, "trained-text"))
+
+
 @query("best_epoch")
 def q_best_epoch(spark, sf_dir):
+    return SU.best_epoch(_trained_text(spark, sf_dir).log)
+
+
+@query("epoch_log")
+def q_epoch_log(spark, sf_dir):
+    return _trained_text(spark, sf_dir).log.withColumn("train_loss", F.round("train_loss", 6))
+
+
+@query("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    """Naive Bayes fitted on a growing share of the train rows: the best share per seed."""
     return SU.best_epoch(EX.nb_epoch_log(spark, sf_dir))
 
 
+@query("user_metric")
+def q_user_metric(spark, sf_dir):
+    """X2: a metric that the library does not have, as an aggregate over confusion cells."""
+    return UM.evaluate(text_P(spark, sf_dir), UM.Matthews(), G_MS, "mcc").withColumn("mcc", F.round("mcc", 6))
+
+
 @query("marginal_value")
 def q_marginal_value(spark, sf_dir):
     res = EX.fixed_results(spark, sf_dir)
@@ -368,7 +395,14 @@ def _emb_train_eval(spark, sf_dir, method):
 
 @query("head_only_train")
 def q_head_only_train(spark, sf_dir):
-    return _emb_train_eval(spark, sf_dir, "head_only")
+    """M4: a head trained on the embeddings, the best pass of each seed, on every split."""
+    c, df = S.emb_classes(spark, sf_dir), TN.vector_features(S.emb_split(spark, sf_dir))
+    got = TN.train(df, {f"seed{s}": s for s in LADDER_SEEDS}, c, S.EMB_DIM, scratch_path(spark, "trained-emb"), key_col="vec_id")
+    P = TN.predictions(df, got.best, ["split", "label"])
+    f1 = M.macro_f1(M.confusion_cells(P, ["run", "split"]), ["run", "split"])
+    n = F.lit(c * (S.EMB_DIM + 1)).cast("bigint")
+    return (f1.join(SU.best_epoch(got.log).select("run", "best_epoch"), "run")
+            .select("run", "split", "best_epoch", "n", "macro_f1", "accuracy", n.alias("trainable_params"), n.alias("total_params")))
 
 
 @query("rank_r_train")
