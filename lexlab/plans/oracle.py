@@ -337,6 +337,26 @@ FROM NP3"""
 
 ORACLE["score_new_text"] = score_new_text_sql()
 
+ORACLE["score_term_table"] = with_(L, split_cte("LN", "doc_id"), f"""
+VT AS (SELECT label, unnest({tokens_sql('sentence')}) AS term FROM SPLIT WHERE split = 'train'),
+VC AS (SELECT term, label, count(*) AS n FROM VT GROUP BY term, label),
+VN AS (SELECT label, sum(n) AS tot FROM VC GROUP BY label),
+VV AS (SELECT count(DISTINCT term) AS v FROM VC),
+VP AS (SELECT label AS c, ln(count(*)::DOUBLE / (sum(count(*)) OVER ())::DOUBLE) AS prior FROM SPLIT WHERE split = 'train' GROUP BY label),
+VW AS (SELECT t.term, p.c, ln((coalesce(VC.n, 0) + 1.0::DOUBLE) / (VN.tot + VV.v)::DOUBLE) AS w
+       FROM (SELECT DISTINCT term FROM VC) t CROSS JOIN VP p CROSS JOIN VV JOIN VN ON VN.label = p.c
+       LEFT JOIN VC ON VC.term = t.term AND VC.label = p.c),
+ND AS (SELECT doc_id, text FROM documents d ANTI JOIN labels l USING (doc_id)),
+NT AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM ND) GROUP BY doc_id, term),
+NS AS (SELECT doc_id, c, sum(n * w) AS s FROM NT JOIN VW USING (term) GROUP BY doc_id, c),
+NZ AS (SELECT ND.doc_id, p.c, coalesce(s, 0.0) + prior AS z FROM ND CROSS JOIN VP p LEFT JOIN NS ON NS.doc_id = ND.doc_id AND NS.c = p.c),
+NM AS (SELECT *, max(z) OVER (PARTITION BY doc_id) AS zm FROM NZ),
+NQ AS (SELECT doc_id, list(z ORDER BY c) AS z, list(exp(z - zm) / (es) ORDER BY c) AS p
+       FROM (SELECT *, sum(exp(z - zm)) OVER (PARTITION BY doc_id) AS es FROM NM) GROUP BY doc_id)""") + """
+SELECT doc_id, ['negative', 'neutral', 'positive'][list_position(z, list_max(z))] AS prediction,
+       round(p[list_position(z, list_max(z))], 6) AS confidence,
+       round(p[1], 6) AS score_negative, round(p[2], 6) AS score_neutral, round(p[3], 6) AS score_positive FROM NQ"""
+
 # ---------------------------------------------------------------------------
 # stage 4: metrics over P
 # ---------------------------------------------------------------------------

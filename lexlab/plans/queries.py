@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexlab.operators import labels as lab
 from lexlab.operators import split as spl
+from lexlab.session import scratch_path
 from lexlab.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +110,7 @@ def q_select_agreement(spark, sf_dir):
 # ---- stage 5: text, padding, scoring ------------------------------------------
 from lexlab.operators import heads as H  # noqa: E402
 from lexlab.operators import metrics as M  # noqa: E402
+from lexlab.operators import term_scoring as TS  # noqa: E402
 from lexlab.operators import text as T  # noqa: E402
 from lexlab.plans import scoring as S  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
@@ -166,6 +168,20 @@ def q_score_new_text(spark, sf_dir):
         "text", F.substring("text", 1, 80).alias("preview"))
 
 
+@query("score_term_table")
+def q_score_term_table(spark, sf_dir):
+    """M6, K4: naive Bayes over the whole vocabulary, stored as a table, read back and joined to new text."""
+    split = S.text_split(spark, sf_dir).filter(F.col("split") == "train").select("doc_id", "sentence", "label")
+    path = scratch_path(spark, "term-model")
+    TS.fit_term_bayes(TS.term_counts(split, keep=["label"]), split, S.TEXT_CLASSES).save(path)
+    new = fx.unlabelled_documents(spark, sf_dir).select("doc_id", "text")
+    out = TS.score_terms(new.select("doc_id"), TS.term_counts(new, "text"), TS.TermModel.load(spark, path))
+    names = names_in_id_order("general")
+    return out.select("doc_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pred") + 1).alias("prediction"),
+                      F.round("confidence", 6).alias("confidence"),
+                      *[F.round(F.col("probs")[c], 6).alias(f"score_{n}") for c, n in enumerate(names)])
+
+
 # ---- stage 4: metrics ---------------------------------------------------------
 G_MS = ["model_id", "split"]
 
@@ -366,7 +382,6 @@ def q_registry_row(spark, sf_dir):
 # ---- stage 6/7: Spark ML training, ladder, artifacts ---------------------------------
 from lexlab.plans import ladder as LD  # noqa: E402
 from lexlab.plans import training as TR  # noqa: E402
-from lexlab.session import scratch_path  # noqa: E402
 from lexlab.sources import manifest as MF  # noqa: E402
 from lexlab.sinks import writers as WR  # noqa: E402
 from lexlab.streaming import scorer as ST  # noqa: E402

@@ -19,7 +19,7 @@ from lexlab.functions.text import token_indices, word_tokens
 from lexlab.operators import heads as H
 from lexlab.operators.gates import slice_tags
 from lexlab.operators import split as spl
-from lexlab.session import stage_table
+from lexlab.store import store
 from lexlab.sources import fixtures as fx
 
 TEXT_CLASSES = 3
@@ -35,9 +35,9 @@ def text_features_table(spark: SparkSession, sf_dir: str, extra_cols: Sequence[s
                         with_slices: bool = False) -> DataFrame:
     """(doc_id, split, label, lang, idx): split + hashed word ids, computed once.
 
-    Staged as a parquet table in the shared checkpoint folder: the NB fit and
-    the scoring pass both read it, instead of re-running the join, split and
-    tokenizer.
+    A table of the prepared store: the NB fit and the scoring pass both read it,
+    and so does every other query on the same inputs, instead of re-running the join, split
+    and tokenizer.
     """
     feats = (text_split(spark, sf_dir)
              .withColumn("_tok", word_tokens("sentence"))
@@ -46,7 +46,7 @@ def text_features_table(spark: SparkSession, sf_dir: str, extra_cols: Sequence[s
     if with_slices:   # two extra regex passes over each text: only when asked for
         feats = feats.withColumn("slices", slice_tags("sentence", "lang", F.col("_tok")))
         cols.append("slices")
-    return stage_table(feats.select(*cols, *extra_cols), "text-features")
+    return store(spark).acquire(feats.select(*cols, *extra_cols), "text-features")
 
 
 def text_scored(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (42,),
