@@ -829,8 +829,32 @@ SELECT split, count(*) AS n_rows,
 FROM SPLIT GROUP BY split"""
 
 ORACLE["latency_p95"] = """
-SELECT lang, count(*) AS n, max(CAST(length(text) AS DOUBLE)) AS max, true AS p95_close, true AS ordered
-FROM documents GROUP BY lang"""
+SELECT lang, CAST(3 AS BIGINT) AS runs, count(*) AS rows_per_run, 3 * count(*) AS rows, true AS ordered
+FROM documents WHERE lang IS NOT NULL GROUP BY lang"""
+
+ORACLE["registry_approved"] = with_(L, split_cte("LN", "doc_id")) + """
+, TL AS (SELECT lang, count(*) AS n, sum(label) AS s, row_number() OVER (ORDER BY lang) AS k FROM SPLIT WHERE split = 'train' GROUP BY lang),
+TM AS (SELECT *, count(*) OVER () AS c, n > avg(n) OVER () AS more FROM TL)
+SELECT lang, CAST(CASE WHEN more THEN c + k ELSE k END AS BIGINT) AS version,
+       CASE WHEN more THEN 'second' ELSE 'first' END AS approver, n AS n_rows, CAST(s AS BIGINT) AS labels,
+       CAST(CASE WHEN more THEN 1 ELSE 0 END AS INTEGER) AS round FROM TM"""
+
+_SCALE = "(1.0::DOUBLE / sqrt(greatest(len(idx), 1)::DOUBLE))"
+_FIXED = "[" + ", ".join(f"{fold_sql('idx', f'w{c}')} * {_SCALE}" for c in range(3)) + "]"
+ORACLE["stream_metrics"] = with_(L, f"""
+AR AS (SELECT doc_id, label, {idx_sql(tokens_sql('sentence'), 1024)} AS idx,
+              (doc_id * 4) // ((SELECT max(doc_id) FROM L) + 1)
+              + CASE WHEN substr(md5('late:' || CAST(doc_id AS VARCHAR)), 1, 1) = '0' THEN 1 ELSE 0 END AS landing
+       FROM L)""", weights_cte("AW", 42, 3, 1024), f"""
+AL AS (SELECT AR.*, {_FIXED} AS lg FROM AR, AW)""", predicted_cte("AP", "AL"), """
+-- minutes: a row is dropped if its window ends at or before the latest time of earlier landings less the delay
+WM AS (SELECT landing, max(max(doc_id)) OVER (ORDER BY landing ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 30 AS mark
+       FROM AR GROUP BY landing),
+KEPT AS (SELECT strftime(make_timestamp((1704067200 + (doc_id // 60) * 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start,
+                label, pred
+         FROM AP JOIN WM USING (landing) WHERE mark IS NULL OR (doc_id // 60 + 1) * 60 > mark)""",
+                                f1_cte("SMF", "KEPT", "window_start", 3)) + """
+SELECT window_start, macro_f1, accuracy, n FROM SMF"""
 
 ORACLE["read_corpus_files"] = with_(L, f"""
 AG AS (SELECT doc_id, label_name, {ONE_LINE} AS body, {unit_sql("'agree:' || CAST(doc_id AS VARCHAR)")} AS u,
