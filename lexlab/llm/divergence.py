@@ -30,7 +30,7 @@ BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE, PRIOR = 1_000_000_000, 5
 MIN_DOCS, TOP = 30, 50
 PARTIAL_ROWS = 400_000  # counts that a task holds before it hands them on
-SHARD_CELLS = 1 << 21  # sources x terms of a shard
+SHARD_CELLS = 1 << 12  # sources x terms of a shard, or 4 times its pairs if that is more
 
 
 # ---- counts -----------------------------------------------------------------------
@@ -163,8 +163,10 @@ def audit_sources(docs: DataFrame, *, lang: str = "lang", source: str = "source"
     count one by one; ties are ordered by the item's UTF-8 bytes; other columns are
     ignored; a single source has no pairs; an empty table gives an empty result."""
     kept, groups = merged_counts(docs, min_docs, lang=lang, source=source, text=text)
-    cells = groups.groupBy("lang").agg((F.max("terms") * F.count(F.lit(1))).alias("n")).agg(F.max("n")).first()[0] or 0
-    n_shards = max(1, -(-cells // shard_cells))
+    # shares of distances are then fewer than a quarter of the cells, at any number of sources
+    wide = groups.groupBy("lang").agg(F.max("terms").alias("v"), F.count(F.lit(1)).alias("s"))
+    wanted = F.ceil(F.col("v") * F.col("s") / F.greatest(F.lit(shard_cells), 4 * F.col("s") * F.col("s")))
+    n_shards = max(1, wide.agg(F.max(wanted)).first()[0] or 1)
     left = kept.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(n_shards)))
     right = groups.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
     parts = (left.groupBy("lang", "shard").cogroup(right.groupBy("lang", "shard"))
