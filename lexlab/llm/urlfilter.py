@@ -13,11 +13,11 @@ the tokens of all given URLs.  A URL's distinct tokens fetch the candidate
 rules by a join on the token, and only those candidates run their regular
 expression.
 
-DataFrame functions only.  The rule index has one row per rule token; its size
-is checked against ``MAX_BROADCAST_RULES`` before it is broadcast, and a larger
-index is joined by shuffle instead, after the URLs have been exploded to
-tokens.  Rows are kept apart by a row number of the scan, so equal or null page
-ids, repeated rows and hot hosts neither merge nor meet in one task.
+DataFrame functions only.  The rule index is a table with one row per rule token,
+which holds its rules with names and verdicts; nothing of a rule is in the plan.  Spark
+broadcasts it if its measured size allows, and else joins by shuffle, after the URLs
+have been exploded to tokens.  Rows are kept apart by a row number of the scan, so equal or
+null page ids, repeated rows and hot hosts neither merge nor meet in one task.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_RULES = 100_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -121,8 +120,7 @@ def _rule_rows(rules, tier: int):
 
 
 def judge_urls(pages: DataFrame, listed_rules=LISTED, patterns=PATTERNS, *,
-               key: str = "page_id", url: str = "url", default: str = "allow",
-               max_broadcast_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
+               key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """One row per row of ``pages``: ``key, host, path, rule, verdict, pattern``.
 
     ``rule`` is the longest listed rule that fits (null if none), and
@@ -137,15 +135,13 @@ def judge_urls(pages: DataFrame, listed_rules=LISTED, patterns=PATTERNS, *,
     rows = (src.select("__key", F.monotonically_increasing_id().alias("__row"),
                        host.alias("host"), path.alias("path")))
     text = F.concat(F.col("host"), F.col("path"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    tokens = F.array_distinct(F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit("[a-z0-9]+"), F.lit(0)))
 
     ranked = _rule_rows(patterns, 0) + _rule_rows(listed_rules, 1)
     vocabulary = sorted({t for _, _, r in ranked for t in literal_tokens(r)})
     counts: dict[str, int] = {}
     if vocabulary:
         vocab = spark.createDataFrame([(t,) for t in vocabulary], "token string")
-        if len(vocabulary) <= max_broadcast_rules:
-            vocab = F.broadcast(vocab)
         # one row per rule token at most comes back, whatever the size of pages
         counts = {r["token"]: r["n"] for r in
                   rows.select(F.explode(tokens).alias("token")).join(vocab, "token")
@@ -157,11 +153,9 @@ def judge_urls(pages: DataFrame, listed_rules=LISTED, patterns=PATTERNS, *,
         return min(own, key=lambda t: (counts.get(t, 0), t)) if own else ""
 
     index = spark.createDataFrame(
-        [(filed(r), tier, rank, to_regex(r)) for tier, rank, r in ranked] or [(None, 0, 0, "")],
-        "token string, tier int, rank int, regex string")
-    index = index.groupBy("token").agg(F.collect_list(F.struct("tier", "rank", "regex")).alias("rules"))
-    if len(ranked) <= max_broadcast_rules:
-        index = F.broadcast(index)
+        [(filed(r), tier, rank, to_regex(r), r.label, r.verdict) for tier, rank, r in ranked] or [(None, 0, 0, "", "", "")],
+        "token string, tier int, rank int, regex string, name string, verdict string")
+    index = index.groupBy("token").agg(F.collect_list(F.struct("tier", "rank", "name", "verdict", "regex")).alias("rules"))
 
     fetched = (rows.select("*", F.explode(F.array_union(F.array(F.lit("")), tokens)).alias("token"))
                .join(index, "token", "left"))
@@ -169,23 +163,15 @@ def judge_urls(pages: DataFrame, listed_rules=LISTED, patterns=PATTERNS, *,
 
     def best(tier: int) -> Column:
         return F.array_max(F.transform(F.filter(F.col("__fits"), lambda r: r["tier"] == tier),
-                                       lambda r: r["rank"]))
+                                       lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
 
     judged = (fetched.withColumn("__fits", fits)
               .select("__row", "__key", "host", "path", best(1).alias("l"), best(0).alias("p"))
               .groupBy("__row", "__key", "host", "path")
               .agg(F.max("l").alias("l"), F.max("p").alias("p")))
-
-    def looked_up(tier: int, rank: Column, what) -> Column:
-        values = [F.lit(what(r)) for t, _, r in ranked if t == tier]
-        return F.try_element_at(F.array(*values), rank) if values else F.lit(None).cast("string")
-
     return judged.select(
-        F.col("__key").alias(key), "host", "path",
-        looked_up(1, F.col("l"), lambda r: r.label).alias("rule"),
-        F.coalesce(looked_up(1, F.col("l"), lambda r: r.verdict),
-                   looked_up(0, F.col("p"), lambda r: r.verdict), F.lit(default)).alias("verdict"),
-        looked_up(0, F.col("p"), lambda r: r.label).alias("pattern"))
+        F.col("__key").alias(key), "host", "path", F.col("l.name").alias("rule"),
+        F.coalesce("l.verdict", "p.verdict", F.lit(default)).alias("verdict"), F.col("p.name").alias("pattern"))
 
 
 def oracle_sql(listed_rules=LISTED, patterns=PATTERNS, default: str = "allow") -> str:

@@ -52,7 +52,7 @@ def test_empty_table_and_no_rules(spark):
     one = spark.createDataFrame([(1, "http://casino-win.org/x")], "page_id long, url string")
     r = U.judge_urls(one, (), ()).collect()[0]
     assert (r["rule"], r["verdict"], r["pattern"]) == (None, "allow", None)
-    assert U.judge_urls(one, max_broadcast_rules=0).collect()[0]["rule"] == "org/"
+    assert U.judge_urls(one).collect()[0]["rule"] == "org/"
 
 
 def test_literal_tokens_are_required():
@@ -72,3 +72,21 @@ def test_oracle(spark, sf):
 def test_main_path_is_native(spark):
     plan = U.judge_urls(spark.read.parquet(f"{SF_SMALL}/pages.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_only_ascii_letters_fold(spark):
+    urls = ["http://a.net/casino\u212a", "http://a.net/CASINO/x", "http://a.net/\u0130casino/", "http://a.net/casino"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in U.judge_urls(df).collect()}
+    fits = [bool(re.search(U.to_regex(U.Rule("*^casino^*")), u.split("://")[1])) for u in urls]
+    assert [got[i] == "block" for i in range(4)] == [True, False, True, True] == fits
+
+
+def test_a_long_list_is_joined_and_not_in_the_plan(spark):
+    rules = [U.Rule(f"||host{i}.net/p{i}^", "block", f"rule {i}") for i in range(50_000)]
+    urls = [f"http://www.host{i}.net/p{i}/x" for i in range(0, 50_000, 997)] + ["http://host5.net/p6/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = U.judge_urls(df, (), rules)
+    got = {r["page_id"]: (r["verdict"], r["pattern"]) for r in out.collect()}
+    assert got == {**{i: ("block", f"rule {997 * i}") for i in range(len(urls) - 1)}, len(urls) - 1: ("allow", None)}
+    assert "rule 49999" not in out._jdf.queryExecution().executedPlan().toString()
