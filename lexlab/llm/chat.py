@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +53,18 @@ def _number(x) -> str:
     return f"{mantissa}e{'+' if int(exponent) > 0 else ''}{int(exponent)}" if exponent else mantissa
 
 
+_LONE = re.compile("[\ud800-\udfff]")  # Python joins pairs, so what is left is half of one
+
+
+def _escaped(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 does not have, as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
+def _string(text: str) -> str:
+    return _escaped(json.dumps(text, ensure_ascii=False))
+
+
 def canonical(value) -> str:
     """Canonical JSON text: keys in order of their UTF-16 units, no blanks."""
     if value is None:
@@ -59,11 +72,11 @@ def canonical(value) -> str:
     if isinstance(value, (bool, int, float)):
         return _number(value)
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        return _string(value)
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(canonical(v) for v in value) + "]"
     keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in keys) + "}"
+    return "{" + ",".join(f"{_string(k)}:{canonical(value[k])}" for k in keys) + "}"
 
 
 # ---- schemas ----------------------------------------------------------------------
@@ -132,21 +145,55 @@ def references(value) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+MAX_DEPTH = 100  # of nested arrays and objects in arguments; deeper ones are invalid
+
+
+class _Beyond(ValueError):
+    """A number that a double cannot hold."""
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise _Beyond(text)
+    return x
+
+
+def _not_json(text: str):
+    raise ValueError(text)
+
+
+def _depth(value) -> int:
+    """Levels of nested arrays and objects, up to one more than ``MAX_DEPTH``."""
+    level, depth = [value], 0
+    while level and depth <= MAX_DEPTH:
+        level = [v for x in level if isinstance(x, (list, dict)) for v in (x.values() if isinstance(x, dict) else x)
+                 if isinstance(v, (list, dict))]
+        depth += 1
+    return depth
+
+
 def _parsed(text: str | None):
     """``(value, error)`` of JSON arguments."""
     if text is None:
         return None, "no arguments"
     try:
-        return json.loads(text, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c))), None
-    except (ValueError, RecursionError):
+        value = json.loads(text, parse_constant=_not_json, parse_float=_finite)
+    except _Beyond:
+        return None, "number out of range"
+    except ValueError:
         return None, "not JSON"
+    except RecursionError:
+        return None, f"nested deeper than {MAX_DEPTH}"
+    return (None, f"nested deeper than {MAX_DEPTH}") if _depth(value) > MAX_DEPTH else (value, None)
 
 
 # ---- linking ------------------------------------------------------------------------
 def _first_of(rows: DataFrame, name: str) -> DataFrame:
-    """The first row per (conversation, id) by turn, then by content, and how many there are."""
+    """The first row per (conversation, id) by turn, then by a hash of its canonical
+    JSON, and how many there are; only of equal rows the scan's number decides."""
     return (rows.filter(F.col("call_id").isNotNull()).groupBy("conv", "call_id")
-            .agg(F.min(F.struct("turn", "row")).alias(name), F.count(F.lit(1)).alias(f"n_{name}")))
+            .agg(F.min(F.struct("turn", F.xxhash64("json").alias("content"), "row")).alias(name), F.count(F.lit(1)).alias(f"n_{name}")))
 
 
 def _sorted(edges: list[tuple]) -> dict[str, int]:
@@ -288,8 +335,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     References to ids without a call are reported in ``errors`` and order
     nothing; ``level`` is null for calls that are not linked into the order
     (duplicates, no id) and on or behind a cycle, which ``in_cycle`` marks.
-    Null or broken arguments and unknown tools are invalid; empty and very
-    long texts are kept whole; a null conversation is a conversation of its
+    Null or broken arguments, numbers beyond a double, more than ``MAX_DEPTH`` levels and
+    unknown tools are invalid (such arguments stay as text); half surrogate pairs stay
+    JSON escapes; empty and very long texts are kept whole; a null conversation is a conversation of its
     own; repeated rows are duplicates of the first; other columns are ignored;
     empty tables give an empty result.
     """
@@ -311,8 +359,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                 found = [error] if error else []
                 if not error:
                     found = problems(value, schemas[name]) if name in schemas else [f"no tool {name}"]
-                refs.append([] if error else references(value))
-                errors.append(found)
+                refs.append([] if error else [_escaped(r) for r in references(value)])
+                errors.append([_escaped(e) for e in found])
                 event = {"type": "call", "id": call, "name": name, "arguments": args if error else value}
                 texts.append(canonical(event))
             yield pa.RecordBatch.from_arrays(

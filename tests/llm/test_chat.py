@@ -151,3 +151,30 @@ def test_turns_without_a_role_are_results(spark):
     calls, results = C.events(conv)
     assert [(r["turn"], r["call_id"], r["content"]) for r in results.collect()] == [(2, "call_1_1", "r")]
     assert sorted(r["turn"] for r in calls.collect()) == [1, 3]
+
+
+def test_odd_but_valid_json_crashes_nothing(spark):
+    deep = "[" * 500 + "]" * 500
+    args = ['{"context": 1e400}', '{"text": "x", "n_words": 1e400, "turn": 1}', '{"text": "\\ud800 half", "n_words": 1, "turn": 1}',
+            '{"\\udfff": {"$ref": "\\ud800"}}', deep, "[" * 100_000, '{"a": ' * 300 + "1" + "}" * 300, "9" * 5000,
+            '{"text": "\\ud83d\\ude00", "n_words": 1, "turn": 1}', "-1e-400", "[" * 100 + "]" * 100]
+    calls = spark.createDataFrame([(1, i, f"c{i}", "answer", a, 0) for i, a in enumerate(args)], CALL)
+    results = spark.createDataFrame([(1, 50, "c0", "r", "s")], RESULT)
+    got = {r["turn"]: r for r in C.link_tool_calls(calls, results, C.SCHEMAS).collect() if r["kind"] == "call"}
+    assert len(got) == len(args)
+    assert got[0]["errors"] == got[1]["errors"] == "number out of range"
+    assert got[2]["valid"] and "\\ud800 half" in got[2]["json"]
+    assert not got[3]["valid"] and "no call \\ud800" in got[3]["errors"]
+    assert [got[i]["errors"] for i in (4, 5, 6)] == ["nested deeper than 100"] * 3 and got[7]["errors"] == "not JSON"
+    assert got[8]["valid"] and "\U0001f600" in got[8]["json"]
+    assert got[9]["errors"] == got[10]["errors"].replace("array", "object") == "$: not object"
+    for i, r in got.items():
+        assert json.loads(r["json"])["id"] == f"c{i}"
+
+
+def test_ties_do_not_follow_the_order_of_rows(spark):
+    pair = [(1, 1, "a", "t", '{"x": 1}', 0), (1, 1, "a", "t", '{"x": 2}', 0)]
+    empty = spark.createDataFrame([], RESULT)
+    both = [{r["json"]: r["status"] for r in C.link_tool_calls(spark.createDataFrame(rows, CALL), empty, ANY).collect()}
+            for rows in (pair, pair[::-1])]
+    assert both[0] == both[1] and sorted(both[0].values()) == ["duplicate", "no_result"]
