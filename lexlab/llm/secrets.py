@@ -50,8 +50,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 and more; a shorter run never m
 
 MAX_LAYER = 64 << 20
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
+# an escaped escape sign, once or often, belongs to the escape behind it: a run is resolved to its fixpoint at once
+_PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_PERCENT_ONE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_SLASH = r"\\(?:(?:u005[cC]|x5[cC]|U0000005[cC]|u\{0{0,4}5[cC]\})(?=[uUx]))*"
+_ESCAPE = re.compile(rf"(?:{_SLASH}(?:u[0-9A-Fa-f]{{4}}|U[0-9A-Fa-f]{{8}}|x[0-9A-Fa-f]{{2}}|u\{{[0-9A-Fa-f]{{1,6}}\}}))+")
+_ESCAPE_ONE = re.compile(rf"{_SLASH}(?:u([0-9A-Fa-f]{{4}})|U([0-9A-Fa-f]{{8}})|x([0-9A-Fa-f]{{2}})|u\{{([0-9A-Fa-f]{{1,6}})\}})")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 # a run of 16 letters and more, with the runs on the lines around it
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]+\r?\n[\x20\t]*)?[A-Za-z0-9+/_-]{16,}"
@@ -156,13 +160,15 @@ def _open(data: bytes, most: int, start: int, end: int, out: list, seen: set) ->
     if isinstance(got, str):
         out.append((got, start, end))
         return True, 0
-    kinds, layers, large = set(), 0, 1
+    # of this run only: an equal run elsewhere has spans of its own; what is around it
+    # stays known, so a run that yields itself ends
+    kinds, layers, large, own = set(), 0, 1, set(seen)
     for window in got:
         for m in _STRETCH.finditer(window):
             mark = hashlib.sha256(m.group()).digest()
-            if mark not in seen:
-                seen.add(mark)
-                _, every, n, more = find(m.group().decode("utf-8"), most, seen)
+            if mark not in own:
+                own.add(mark)
+                _, every, n, more = find(m.group().decode("utf-8"), most, own)
                 kinds.update(k for _, k, _ in every)
                 layers, large = layers + 1 + n, large + more
     out.append(((kinds, layers), start, end))
@@ -171,37 +177,38 @@ def _open(data: bytes, most: int, start: int, end: int, out: list, seen: set) ->
 
 def _percent_run(run: str) -> tuple[str, list[tuple[int, int]]]:
     """Characters of a run of percent escapes (UTF-8), and the span of each."""
-    data, text, spans, i = bytes.fromhex(run.replace("%", "")), "", [], 0
+    escapes = list(_PERCENT_ONE.finditer(run))
+    data, text, spans, i = bytes(int(m.group(1), 16) for m in escapes), [], [], 0
     while i < len(data):
         for n in (1, 2, 3, 4):
             try:
-                text += data[i:i + n].decode("utf-8")
+                text.append(data[i:i + n].decode("utf-8"))
                 break
             except UnicodeDecodeError:
                 continue
         else:
             n = 1
-            text += "\N{REPLACEMENT CHARACTER}"
+            text.append("\N{REPLACEMENT CHARACTER}")
         n = min(n, len(data) - i)
-        spans.append((3 * i, 3 * (i + n)))
+        spans.append((escapes[i].start(), escapes[i + n - 1].end()))
         i += n
-    return text, spans
+    return "".join(text), spans
 
 
 def _escape_run(run: str) -> tuple[str, list[tuple[int, int]]]:
     """Characters of a run of backslash escapes, and the span of each."""
-    text, spans, units = "", [], []
-    for m in re.finditer(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?", run):
-        units.append((int(m.group(1), 16), m.start(), m.end()))
+    text, spans, units = [], [], []
+    for m in _ESCAPE_ONE.finditer(run):
+        units.append((int(m.group(m.lastindex), 16), m.start(), m.end()))
     i = 0
     while i < len(units):
         code, start, end = units[i]
         if 0xD800 <= code < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1][0] < 0xE000:
             code, end, i = 0x10000 + ((code - 0xD800) << 10) + units[i + 1][0] - 0xDC00, units[i + 1][2], i + 1
-        text += chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\N{REPLACEMENT CHARACTER}"
+        text.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\N{REPLACEMENT CHARACTER}")
         spans.append((start, end))
         i += 1
-    return text, spans
+    return "".join(text), spans
 
 
 def _unescaped(text: str, pattern: re.Pattern, decode) -> tuple[str, array, array] | None:

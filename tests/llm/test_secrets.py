@@ -130,3 +130,27 @@ def test_large_streams_and_further_members():
             assert (2, 0, 2 + len(b64(data))) in every
     members = b64(gzip.compress(b"first member") + gzip.compress(SECRET.encode()))
     assert (0, 0, len(members)) in S.find(members)[1] and S.find(members)[3] == 0
+
+
+def test_long_nested_escapes_take_linear_time():
+    import time
+    for run in ("%" + "25" * 500_000 + "41", "%2541" * 200_000, "\\" + "u005c" * 200_000 + "u0041"):
+        began = time.process_time()
+        S.find(run)
+        assert time.process_time() - began < 10
+    text = "see %252525" + "70%2561ssword%25253Dhunter2222"  # %70 is p, %61 is a, %3D is =
+    base, every, *_ = S.find(text)
+    assert not base and (text.index("%"), 0, len(text)) in every
+    text = "x \\u005cu0070assword=hunter3333"
+    assert (2, 0, len(text)) in S.find(text)[1]
+
+
+def test_equal_large_runs_keep_their_own_spans():
+    import base64
+    import zlib
+    packed = base64.b64encode(zlib.compress(("filler words " * 400 + " password=hunter2222 " + "more words " * 400).encode())).decode()
+    text = f"a {packed} b {packed} c"
+    spans = [(text.index(packed), 0, text.index(packed) + len(packed)), (text.rindex(packed), 0, text.rindex(packed) + len(packed))]
+    for most in (S.MAX_LAYER, 2000):
+        got = [x for x in S.find(text, most)[1] if x[1] == 0]
+        assert [(s, e) for s, _, e in got] == [(s, e) for s, _, e in spans], most
