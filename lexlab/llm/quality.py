@@ -147,11 +147,15 @@ def _sums(table: DataFrame, width: int, per_batch, width_of_tree: int = 16) -> n
         yield row(TaskContext.get().partitionId(), total)
 
     def add(frames):
-        parts = {p: np.array(v) for batch in frames for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
-        if parts:
-            yield row(min(parts), np.sum([parts[p] for p in sorted(parts)], axis=0))
-
-    sums = (table.select("x", "positive").mapInArrow(run, "part long, s array<double>").repartition(width_of_tree, "part")
+        first, total = None, np.zeros(width)
+        for batch in frames:  # in the order of the partitions, so that a repeated task adds up alike
+            for p, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                first = p if first is None else first
+                total += v.values.to_numpy()
+        if first is not None:
+            yield row(first, total)
+
+    sums = (table.select("x", "positive").mapInArrow(run, "part long, s array<double>").repartition(width_of_tree, "part").sortWithinPartitions("part")
             .mapInArrow(add, "part long, s array<double>").collect())
     return np.sum([np.array(r["s"]) for r in sorted(sums, key=lambda r: r["part"])], axis=0) if sums else np.zeros(width)
 

@@ -71,3 +71,38 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 7
     x = Q.features(pa.array(["", None, "a b"]))
     assert not x[:2].any() and x[2].any()
+
+
+def test_sums_of_a_pass_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (500, Q.DIMENSIONS)).astype(np.float32)
+    pos = rng.random(500) < 0.3
+    df = spark.createDataFrame([(v.tolist(), bool(p)) for v, p in zip(x, pos)], "x array<float>, positive boolean").repartition(23)
+    got = Q._sums(df, 2 * Q.DIMENSIONS, lambda a, p: np.concatenate([a[p].sum(0), (a[~p] ** 2).sum(0)]))
+    assert np.allclose(got, np.concatenate([x[pos].sum(0), (x[~pos].astype(float) ** 2).sum(0)]), rtol=1e-4)
+
+
+def test_fit_stands_at_the_least_risk(spark):
+    """A plain gradient check: no small step in any direction lowers the
+    non-negative risk, written out here in NumPy, while its second part is above the bound."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (3000, Q.DIMENSIONS)).astype(np.float32).astype(float)
+    good = np.r_[np.ones(1000, bool), rng.random(2000) < 0.6]
+    x[good, 0] += 1
+    x[~good, 0] -= 1
+    pos = np.arange(3000) < 1000
+    df = spark.createDataFrame([(v.tolist(), bool(p)) for v, p in zip(x, pos)], "x array<float>, positive boolean")
+    model = Q.fit(df, ridge=1e-2, prior=0.6, steps=25)
+
+    def risk(theta):
+        z = np.hstack([np.clip((x - model.mean) / model.scale, -20, 20), np.ones((len(x), 1))]) @ theta
+        s = 1 / (1 + np.exp(-z))
+        rest = s[~pos].mean() - 0.6 * s[pos].mean()
+        return 0.6 * (1 - s[pos].mean()) + max(rest, 0) + 0.5e-2 * (theta[:-1] ** 2).sum()
+
+    theta = np.append(model.weights, model.bias)
+    here, lower = risk(theta), 0.0
+    for _ in range(200):
+        way = rng.normal(0, 1, len(theta))
+        lower = max(lower, here - risk(theta + 0.01 * way / np.linalg.norm(way)))
+    assert lower < 2e-4 and here < risk(np.zeros(len(theta)))
