@@ -54,7 +54,9 @@ def op4_ngram_jaccard_join(spark, sf_dir):
 @query("op5_piecewise_fingerprints")
 def op5_piecewise_fingerprints(spark, sf_dir):
     from lexlab.llm import fingerprints
-    return fingerprints.against_next(table(spark, sf_dir, "documents"))
+    found = fingerprints.against_next(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+                        "next_fingerprint")
 
 
 @query("op7_url_filters")
