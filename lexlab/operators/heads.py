@@ -131,7 +131,9 @@ def fit_naive_bayes_many(train: DataFrame, members: Sequence[Column], idx_col: s
                          smoothing: float = 1.0) -> list[NaiveBayesTable]:
     """One NB per condition in ``members`` (a subset of the train rows each),
     all from the same two aggregations: a word moves once, with one flag per
-    subset, whatever their number."""
+    subset, whatever their number.  Rows whose label is NULL or outside the classes
+    are left out."""
+    train = train.filter(F.col(label_col).between(0, n_classes - 1))
     flags = [F.when(m, 1).otherwise(0).alias(f"_m{k}") for k, m in enumerate(members)]
     rows = train.select(label_col, idx_col, *flags)
     names = [f"_m{k}" for k in range(len(members))]
@@ -167,9 +169,11 @@ def naive_bayes_from_counts(count_rows, doc_rows, label_col: str, n_classes: int
 def fit_centroids(train: DataFrame, vec_col: str, label_col: str, n_classes: int,
                   dim: int) -> tuple[list[list[float]], list[float]]:
     """Class means (one grouped aggregation, one row per class) as a linear head:
-    w_c = mu_c, b_c = -|mu_c|^2 / 2  (argmax = nearest centroid)."""
+    w_c = mu_c, b_c = -|mu_c|^2 / 2  (argmax = nearest centroid).  Rows whose label is
+    NULL or outside the classes are left out."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
+    train = train.filter(F.col(label_col).between(0, n_classes - 1))
     rows = (train.select(label_col, array_to_vector(F.col(vec_col)).alias("_v"))
             .groupBy(label_col).agg(Summarizer.mean(F.col("_v")).alias("_m")).collect())
     mu = [[0.0] * dim for _ in range(n_classes)]

@@ -634,56 +634,88 @@ ORACLE["learning_curve"] = best_epoch_sql()
 # ---------------------------------------------------------------------------
 # the trainer: every step as a join, a softmax and a grouped sum over long rows
 # ---------------------------------------------------------------------------
-def trainer_ctes(rows: str, feats: str, n_classes: int, dim: int, seeds=(42, 43, 44), epochs: int = 3, steps: int = 4,
-                 rate: float = 0.5, momentum: float = 0.9, decay: float = 1e-4) -> str:
-    """CTEs from ``rows`` (key, split, label) and ``feats`` (key, i, x): TEV (seed, epoch, key, split, label, pred,
-    p_label) after each pass, TLOG (seed, epoch, n_train, train_loss, macro_f1) and TBEST (seed, epoch)."""
+def trainer_ctes(rows: str, feats: str, n_classes: int, dim: int, p: str = "T", rank: int = 0, seeds=(42, 43, 44), epochs: int = 3,
+                 steps: int = 4, rate: float = 0.5, momentum: float = 0.9, decay: float = 1e-4) -> str:
+    """CTEs from ``rows`` (key, split, label) and ``feats`` (key, i, x): {p}EV (seed, epoch, key, split, label, pred,
+    p_label) after each pass, {p}LOG (seed, epoch, n_train, train_loss, macro_f1) and {p}BEST (seed, epoch, macro_f1).
+    With a ``rank`` the trained numbers are two factors and the bias beside a frozen head."""
     svals = ", ".join(f"({s})" for s in seeds)
-    first = f"0.02::DOUBLE * ({unit_sql("'w:' || seed || ':' || c || ':' || i")} - 0.5::DOUBLE)"
+    seeded = lambda name, a, b: unit_sql(f"'{name}:' || seed || ':' || {a} || ':' || {b}") + " - 0.5::DOUBLE"
+    move = lambda g: f"{momentum}::DOUBLE * v + {g} + {decay}::DOUBLE * w"
+    first = f"CASE WHEN i = {dim} THEN 0.0::DOUBLE ELSE 0.02::DOUBLE * ({seeded('w', 'c', 'i')}) END"
     parts = [f"""
-TR AS MATERIALIZED (SELECT key, split, label, CAST((('0x' || substr(md5('step:' || CAST(key AS VARCHAR)), 1, 8))::BIGINT) % {steps}
-                                                   AS INTEGER) AS bucket FROM {rows}),
-TF AS MATERIALIZED (SELECT key, i, x FROM {feats} UNION ALL SELECT key, {dim}, 1.0::DOUBLE FROM TR),
-TN AS (SELECT label, count(*) AS n FROM TR WHERE split = 'train' GROUP BY label),
-TCW AS MATERIALIZED (SELECT label, (sum(n) OVER ())::DOUBLE / ((count(*) OVER ()) * n)::DOUBLE AS w FROM TN),
-TW0 AS MATERIALIZED (
-  SELECT seed, c, i, CASE WHEN i = {dim} THEN 0.0::DOUBLE ELSE {first} END AS w, 0.0::DOUBLE AS v
+{p}R AS MATERIALIZED (SELECT key, split, label, CAST((('0x' || substr(md5('step:' || CAST(key AS VARCHAR)), 1, 8))::BIGINT) % {steps}
+                                                     AS INTEGER) AS bucket FROM {rows}),
+{p}F AS MATERIALIZED (SELECT key, i, x FROM {feats} UNION ALL SELECT key, {dim}, 1.0::DOUBLE FROM {p}R),
+{p}N AS (SELECT label, count(*) AS n FROM {p}R WHERE split = 'train' GROUP BY label),
+{p}CW AS MATERIALIZED (SELECT label, (sum(n) OVER ())::DOUBLE / ((count(*) OVER ()) * n)::DOUBLE AS w FROM {p}N),
+{p}W0 AS MATERIALIZED (
+  SELECT seed, c, i, {first} AS w, 0.0::DOUBLE AS v
   FROM (SELECT s.seed, a.range AS c, b.range AS i FROM (VALUES {svals}) s(seed), range({n_classes}) a, range({dim + 1}) b))"""]
-    softmax = "exp(z - max(z) OVER (PARTITION BY seed, key)) / sum(exp(z - zm)) OVER (PARTITION BY seed, key)"
+    if rank:
+        parts.append(f"""
+{p}A0 AS MATERIALIZED (SELECT seed, i, k, {seeded('a', 'i', 'k')} AS w, 0.0::DOUBLE AS v
+  FROM (SELECT s.seed, a.range AS i, b.range AS k FROM (VALUES {svals}) s(seed), range({dim}) a, range({rank}) b)),
+{p}B0 AS MATERIALIZED (SELECT s.seed, a.range AS c, b.range AS k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v
+  FROM (VALUES {svals}) s(seed), range({n_classes}) a, range({rank}) b),
+{p}C0 AS MATERIALIZED (SELECT s.seed, a.range AS c, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v FROM (VALUES {svals}) s(seed), range({n_classes}) a)""")
+    softmax = "exp(z - zm) / sum(exp(z - zm)) OVER (PARTITION BY seed, key)"
     evals = []
     for k in range(1, epochs * steps + 1):
+        bucket = (k - 1) % steps
         parts.append(f"""
-TZ{k} AS (SELECT w.seed, f.key, w.c, sum(f.x * w.w) AS z
-          FROM TF f JOIN TR r ON r.key = f.key AND r.split = 'train' AND r.bucket = {(k - 1) % steps}
-          JOIN TW{k - 1} w ON w.i = f.i GROUP BY w.seed, f.key, w.c),
-TP{k} AS (SELECT seed, key, c, {softmax} AS p FROM (SELECT *, max(z) OVER (PARTITION BY seed, key) AS zm FROM TZ{k})),
-TG{k} AS (SELECT p.seed, p.c, f.i, sum(cw.w * (p.p - CASE WHEN r.label = p.c THEN 1 ELSE 0 END) * f.x) AS g
-          FROM TP{k} p JOIN TR r ON r.key = p.key JOIN TCW cw ON cw.label = r.label JOIN TF f ON f.key = p.key
-          GROUP BY p.seed, p.c, f.i),
-TT{k} AS (SELECT sum(cw.w) AS t FROM TR r JOIN TCW cw ON cw.label = r.label WHERE r.split = 'train' AND r.bucket = {(k - 1) % steps}),
-TW{k} AS MATERIALIZED (
+{p}Z{k} AS (SELECT w.seed, f.key, w.c, sum(f.x * w.w) AS z
+          FROM {p}F f JOIN {p}R r ON r.key = f.key AND r.split = 'train' AND r.bucket = {bucket}
+          JOIN {p}W{k - 1} w ON w.i = f.i GROUP BY w.seed, f.key, w.c),
+{p}P{k} AS (SELECT seed, key, c, {softmax} AS p FROM (SELECT *, max(z) OVER (PARTITION BY seed, key) AS zm FROM {p}Z{k})),
+{p}T{k} AS (SELECT sum(cw.w) AS t FROM {p}R r JOIN {p}CW cw ON cw.label = r.label WHERE r.split = 'train' AND r.bucket = {bucket}),
+{p}G{k} AS MATERIALIZED (SELECT p.seed, p.c, f.i, sum(cw.w * (p.p - CASE WHEN r.label = p.c THEN 1 ELSE 0 END) * f.x) / any_value(t) AS g
+          FROM {p}P{k} p JOIN {p}R r ON r.key = p.key JOIN {p}CW cw ON cw.label = r.label JOIN {p}F f ON f.key = p.key CROSS JOIN {p}T{k}
+          GROUP BY p.seed, p.c, f.i)""")
+        if not rank:
+            parts.append(f"""
+{p}W{k} AS MATERIALIZED (
   SELECT seed, c, i, w - {rate}::DOUBLE * v2 AS w, v2 AS v FROM (
-    SELECT w.seed, w.c, w.i, w.w,
-           CASE WHEN t IS NULL THEN 0.0 ELSE {momentum}::DOUBLE * w.v + coalesce(g.g, 0.0) / t + {decay}::DOUBLE * w.w END AS v2
-    FROM TW{k - 1} w CROSS JOIN TT{k} LEFT JOIN TG{k} g ON g.seed = w.seed AND g.c = w.c AND g.i = w.i))""")
+    SELECT seed, c, i, w, CASE WHEN t IS NULL THEN 0.0 ELSE {move('coalesce(g, 0.0)')} END AS v2
+    FROM {p}W{k - 1} CROSS JOIN {p}T{k} LEFT JOIN {p}G{k} USING (seed, c, i)))""")
+        else:
+            step = f"w - {rate}::DOUBLE * v2 AS w, v2 AS v"
+            j = k - 1
+            parts.append(f"""
+{p}A{k} AS MATERIALIZED (SELECT seed, i, k, {step} FROM (
+  SELECT seed, i, k, w, {move('coalesce(g, 0.0)')} AS v2 FROM {p}A{j} LEFT JOIN
+    (SELECT b.seed, g.i, b.k, sum(g.g * b.w) AS g FROM {p}G{k} g JOIN {p}B{j} b ON b.seed = g.seed AND b.c = g.c
+     GROUP BY b.seed, g.i, b.k) USING (seed, i, k))),
+{p}B{k} AS MATERIALIZED (SELECT seed, c, k, {step} FROM (
+  SELECT seed, c, k, w, {move('coalesce(g, 0.0)')} AS v2 FROM {p}B{j} LEFT JOIN
+    (SELECT a.seed, g.c, a.k, sum(g.g * a.w) AS g FROM {p}G{k} g JOIN {p}A{j} a ON a.seed = g.seed AND a.i = g.i
+     GROUP BY a.seed, g.c, a.k) USING (seed, c, k))),
+{p}C{k} AS MATERIALIZED (SELECT seed, c, {step} FROM (
+  SELECT seed, c, w, {move('coalesce(g, 0.0)')} AS v2 FROM {p}C{j} LEFT JOIN
+    (SELECT seed, c, g FROM {p}G{k} WHERE i = {dim}) USING (seed, c))),
+{p}W{k} AS MATERIALIZED (
+  SELECT o.seed, o.c, o.i, o.w + coalesce(d.w, 0.0) + CASE WHEN o.i = {dim} THEN z.w ELSE 0.0 END AS w
+  FROM {p}W0 o JOIN {p}C{k} z USING (seed, c) LEFT JOIN
+    (SELECT a.seed, b.c, a.i, sum(a.w * b.w) AS w FROM {p}A{k} a JOIN {p}B{k} b ON a.seed = b.seed AND a.k = b.k
+     GROUP BY a.seed, b.c, a.i) d ON d.seed = o.seed AND d.c = o.c AND d.i = o.i)""")
         if k % steps == 0:
             parts.append(f"""
-TE{k} AS (SELECT w.seed, f.key, w.c, sum(f.x * w.w) AS z FROM TF f JOIN TW{k} w ON w.i = f.i GROUP BY w.seed, f.key, w.c)""")
-            evals.append(f"SELECT {k // steps} AS epoch, seed, key, list(z ORDER BY c) AS z FROM TE{k} GROUP BY seed, key")
-    parts.append("\nTZS AS (" + " UNION ALL ".join(evals) + ")")
-    parts.append("""
-TEV AS MATERIALIZED (
+{p}E{k} AS (SELECT w.seed, f.key, w.c, sum(f.x * w.w) AS z FROM {p}F f JOIN {p}W{k} w ON w.i = f.i GROUP BY w.seed, f.key, w.c)""")
+            evals.append(f"SELECT {k // steps} AS epoch, seed, key, list(z ORDER BY c) AS z FROM {p}E{k} GROUP BY seed, key")
+    parts.append(f"\n{p}ZS AS (" + " UNION ALL ".join(evals) + ")")
+    parts.append(f"""
+{p}EV AS MATERIALIZED (
   SELECT seed, epoch, key, split, label, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred,
          exp(z[label + 1] - list_max(z)) / list_sum(list_transform(z, lambda q: exp(q - list_max(z)))) AS p_label
-  FROM TZS JOIN TR USING (key)),
-TLOSS AS (SELECT seed, epoch, count(*) AS n_train, sum(-ln(p_label) * w) / sum(w) AS train_loss
-          FROM TEV JOIN TCW USING (label) WHERE split = 'train' GROUP BY seed, epoch),
-TVAL AS (SELECT * FROM TEV WHERE split = 'validation')""")
-    parts.append(f1_cte("TF1", "TVAL", "seed, epoch", n_classes))
-    parts.append("""
-TLOG AS (SELECT seed, epoch, n_train, train_loss, macro_f1 FROM TLOSS JOIN TF1 USING (seed, epoch)),
-TBEST AS (SELECT seed, epoch, macro_f1 FROM (
-  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY macro_f1 DESC, epoch) AS r FROM TLOG) WHERE r = 1)""")
+  FROM {p}ZS JOIN {p}R USING (key)),
+{p}LOSS AS (SELECT seed, epoch, count(*) AS n_train, sum(-ln(p_label) * w) / sum(w) AS train_loss
+          FROM {p}EV JOIN {p}CW USING (label) WHERE split = 'train' GROUP BY seed, epoch),
+{p}VAL AS (SELECT * FROM {p}EV WHERE split = 'validation')""")
+    parts.append(f1_cte(f"{p}F1", f"{p}VAL", "seed, epoch", n_classes))
+    parts.append(f"""
+{p}LOG AS (SELECT seed, epoch, n_train, train_loss, macro_f1 FROM {p}LOSS JOIN {p}F1 USING (seed, epoch)),
+{p}BEST AS (SELECT seed, epoch, macro_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY macro_f1 DESC, epoch) AS r FROM {p}LOG) WHERE r = 1)""")
     return ",".join(x.strip("\n") for x in parts)
 
 
@@ -791,7 +823,64 @@ EXF AS (SELECT vec_id AS key, generate_subscripts(embedding, 1) - 1 AS i, unnest
 EBEST AS (SELECT TEV.* FROM TEV JOIN TBEST USING (seed, epoch))""", f1_cte("EBF", "EBEST", "seed, epoch, split", 10)) + """
 SELECT 'seed' || seed AS run, split, CAST(epoch AS INTEGER) AS best_epoch, n, macro_f1, accuracy,
        CAST(10 * 65 AS BIGINT) AS trainable_params, CAST(10 * 65 AS BIGINT) AS total_params FROM EBF"""
-ORACLE["rank_r_train"] = emb_train_sql("c * 8 + c", 64 * 8)
+ORACLE["rank_r_train"] = with_(split_cte("embeddings", "vec_id"), """
+EX AS (SELECT vec_id AS key, split, label FROM SPLIT),
+EXF AS (SELECT vec_id AS key, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM SPLIT)""",
+                               trainer_ctes("EX", "EXF", 10, 64, rank=2), """
+EBEST AS (SELECT TEV.* FROM TEV JOIN TBEST USING (seed, epoch))""", f1_cte("EBF", "EBEST", "seed, epoch, split", 10)) + """
+SELECT 'seed' || seed AS run, split, CAST(epoch AS INTEGER) AS best_epoch, n, macro_f1, accuracy,
+       CAST(64 * 2 + 10 * 2 + 10 AS BIGINT) AS trainable_params, CAST(64 * 2 + 10 * 2 + 10 + 640 AS BIGINT) AS total_params FROM EBF"""
+
+
+def trained_ladder_sql() -> str:
+    """LR: a row per experiment and seed, as the grid's results file has it."""
+    grams = "list_transform(range(1, greatest(length(s) - 1, 1)), lambda q: substr(s, q, 3))"
+    parts = [L.strip("\n"), split_cte("LN", "doc_id").strip("\n"), f"""
+GT AS (SELECT doc_id AS key, split, label, {tokens_sql('sentence')} AS word,
+              ' ' || regexp_replace(lower(sentence), {SPLIT_RE}, ' ', 'g') || ' ' AS s FROM SPLIT),
+GW AS (SELECT key, split, label, word AS toks FROM GT),
+GC AS (SELECT key, split, CASE label WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS label, {grams} AS toks FROM GT)""".strip("\n")]
+    selects = []
+    for src, backbone in (("GW", "word_tf"), ("GC", "char3_tf")):
+        parts.append(f"""
+{src}I AS (SELECT key, len(toks) AS n, unnest({idx_sql('toks', 1024)}) AS i FROM {src}),
+{src}F AS MATERIALIZED (SELECT key, i, count(*)::DOUBLE / sqrt(any_value(n)::DOUBLE) AS x FROM {src}I GROUP BY key, i),
+{src}0W AS (SELECT seed, c, i, {unit_sql("'w:' || seed || ':' || c || ':' || i")} - 0.5::DOUBLE AS w
+           FROM (SELECT s.seed, a.range AS c, b.range AS i FROM (VALUES (42), (43), (44)) s(seed), range(3) a, range(1024) b)),
+{src}0Z AS (SELECT w.seed, r.key, w.c, sum(coalesce(f.x, 0.0) * w.w) AS z
+           FROM {src} r LEFT JOIN {src}F f USING (key) JOIN {src}0W w ON w.i = coalesce(f.i, 0) WHERE r.split = 'test' GROUP BY w.seed, r.key, w.c),
+{src}0P AS (SELECT seed, key, CAST(list_position(list(z ORDER BY c), max(z)) - 1 AS INTEGER) AS pred FROM {src}0Z GROUP BY seed, key),
+{src}0V AS (SELECT seed, label, pred FROM {src}0P JOIN {src} USING (key))""".strip("\n"))
+        parts.append(f1_cte(f"{src}0F", f"{src}0V", "seed", 3).strip("\n"))
+        selects.append(f"SELECT '{backbone}' AS backbone, 'eval_only' AS method, seed, CAST(NULL AS INTEGER) AS epoch, macro_f1 AS test_f1, "
+                       f"CAST(NULL AS DOUBLE) AS val_f1, 0 AS t, 3 * 1024 AS n FROM {src}0F")
+        for p, method, rank, t, n in ((f"{src}H", "head_only", 0, 3 * 1025, 3 * 1025),
+                                      (f"{src}L", "rank_r", 2, 1024 * 2 + 3 * 2 + 3, 1024 * 2 + 3 * 2 + 3 + 3 * 1024)):
+            parts.append(trainer_ctes(src, f"{src}F", 3, 1024, p=p, rank=rank))
+            parts.append(f"{p}TST AS (SELECT e.* FROM {p}EV e JOIN {p}BEST b USING (seed, epoch) WHERE e.split = 'test')")
+            parts.append(f1_cte(f"{p}TF", f"{p}TST", "seed, epoch", 3).strip("\n"))
+            selects.append(f"SELECT '{backbone}', '{method}', seed, epoch, f.macro_f1, b.macro_f1, {t}, {n} FROM {p}TF f JOIN {p}BEST b USING (seed, epoch)")
+    parts.append("LR AS (SELECT *, backbone || '_' || method AS experiment_id FROM (" + "\n UNION ALL ".join(selects) + "))")
+    return "WITH " + ",\n".join(parts)
+
+
+ORACLE["trained_ladder"] = trained_ladder_sql() + """
+SELECT experiment_id, backbone, method, CAST(seed AS INTEGER) AS seed, CAST(epoch AS INTEGER) AS best_epoch, test_f1 AS test_f1_macro,
+       val_f1 AS val_f1_macro, CAST(t AS BIGINT) AS trainable_params, CAST(n AS BIGINT) AS total_params,
+       round(100.0::DOUBLE * t / n, 2) AS trainable_pct,
+       CASE WHEN method <> 'eval_only' THEN experiment_id || '_seed' || seed END AS output_dir
+FROM LR"""
+
+ORACLE["trained_ladder_summary"] = trained_ladder_sql() + """
+, LM AS (SELECT experiment_id, any_value(backbone) AS backbone, CAST(count(test_f1) AS BIGINT) AS n_runs, round(avg(test_f1), 6) AS mean,
+                round(stddev_samp(test_f1), 6) AS std, round(min(test_f1), 6) AS min, round(max(test_f1), 6) AS max,
+                any_value(t) AS t, any_value(n) AS n FROM LR GROUP BY experiment_id),
+LB AS (SELECT backbone AS b, mean AS base FROM LM WHERE ends_with(experiment_id, 'eval_only'))
+SELECT experiment_id, n_runs, mean, std, min, max, round(mean - base, 6) AS lift, 42 AS split_seed, 3 AS epochs,
+       format('{:,}', t) AS trainable_text, format('{:,}', n) AS total_text,
+       format('{:.2f}%', round(100.0::DOUBLE * t / n, 2)) AS pct_text, format('{:.4f}', mean) AS mean_text,
+       CASE WHEN base = 0 THEN 'n/a' ELSE format('{:+.1f}%', (mean - base) / base * 100) END AS lift_text
+FROM LM JOIN LB ON LB.b = LM.backbone"""
 
 ORACLE["reload_parity"] = with_(split_cte("embeddings", "vec_id")) + """
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_diff FROM SPLIT WHERE split = 'test'"""

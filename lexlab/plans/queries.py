@@ -280,8 +280,8 @@ def q_rank_methods(spark, sf_dir):
 def _trained_text(spark, sf_dir):
     """W3, M4: a head per seed trained on word counts, with a log of all passes."""
     feats = TN.text_counts(S.text_split(spark, sf_dir).select("doc_id", "sentence", "label", "split"), H.NUM_FEATURES)
-    runs = {f"word_head_only_seed{s}": s for s in LADDER_SEEDS}
-    return TN.train(feats, runs, S.TEXT_CLASSES, H.NUM_FEATURES, scratch_path(spark, "trained-text"))
+    heads = {f"word_head_only_seed{s}": TN.LinearHead(s, S.TEXT_CLASSES, H.NUM_FEATURES) for s in LADDER_SEEDS}
+    return TN.train(feats, heads, scratch_path(spark, "trained-text"))
 
 
 @query("best_epoch")
@@ -408,6 +408,7 @@ def q_registry_approved(spark, sf_dir):
 
 # ---- stage 6/7: Spark ML training, ladder, artifacts ---------------------------------
 from lexlab.plans import ladder as LD  # noqa: E402
+from lexlab.plans import trained_ladder as LD2  # noqa: E402
 from lexlab.plans import training as TR  # noqa: E402
 from lexlab.sources import manifest as MF  # noqa: E402
 from lexlab.sinks import writers as WR  # noqa: E402
@@ -424,35 +425,29 @@ def _emb_train(spark, sf_dir, method):
     return TR.fit(TR.with_weights(train, TR.class_weights(train)), "emb", method), df
 
 
-def _emb_train_eval(spark, sf_dir, method):
-    """Per split: rows, parameters, and whether the head beats the commonest class."""
-    model, df = _emb_train(spark, sf_dir, method)
-    c = S.emb_classes(spark, sf_dir)
-    f1 = M.macro_f1(M.confusion_long(TR.predict(model, df), c, ["split"]), ["split"])
-    common = df.filter(F.col("split") == "train").groupBy("label").count().orderBy(F.desc("count"), "label").limit(1)
-    common = F.lit(common.collect()[0]["label"])
-    base = M.macro_f1(M.confusion_long(df.withColumn("pred", common), c, ["split"]), ["split"])
-    trainable, total = TR.trained_params(model, S.EMB_DIM)
-    return f1.join(base.select("split", F.col("macro_f1").alias("base")), "split").select(
-        "split", "n", F.lit(trainable).cast("bigint").alias("trainable_params"), F.lit(total).cast("bigint").alias("total_params"),
-        (F.col("macro_f1") > F.col("base")).alias("beats_majority"))
-
-
-@query("head_only_train")
-def q_head_only_train(spark, sf_dir):
-    """M4: a head trained on the embeddings, the best pass of each seed, on every split."""
+def _emb_heads(spark, sf_dir, make):
+    """Heads trained on the embeddings, the best pass of each seed, on every split."""
     c, df = S.emb_classes(spark, sf_dir), TN.vector_features(S.emb_split(spark, sf_dir))
-    got = TN.train(df, {f"seed{s}": s for s in LADDER_SEEDS}, c, S.EMB_DIM, scratch_path(spark, "trained-emb"), key_col="vec_id")
+    heads = {f"seed{s}": make(s, c) for s in LADDER_SEEDS}
+    got = TN.train(df, heads, scratch_path(spark, "trained-emb"), key_col="vec_id")
     P = TN.predictions(df, got.best, ["split", "label"])
     f1 = M.macro_f1(M.confusion_cells(P, ["run", "split"]), ["run", "split"])
-    n = F.lit(c * (S.EMB_DIM + 1)).cast("bigint")
+    head = heads["seed42"]
     return (f1.join(SU.best_epoch(got.log).select("run", "best_epoch"), "run")
-            .select("run", "split", "best_epoch", "n", "macro_f1", "accuracy", n.alias("trainable_params"), n.alias("total_params")))
+            .select("run", "split", "best_epoch", "n", "macro_f1", "accuracy", F.lit(head.trainable).cast("bigint").alias("trainable_params"),
+                    F.lit(head.total).cast("bigint").alias("total_params")))
+
+
+@query("head_only_train")
+def q_head_only_train(spark, sf_dir):
+    """M4: all weights of a linear head."""
+    return _emb_heads(spark, sf_dir, lambda s, c: TN.LinearHead(s, c, S.EMB_DIM))
 
 
 @query("rank_r_train")
 def q_rank_r_train(spark, sf_dir):
-    return _emb_train_eval(spark, sf_dir, "rank_r")
+    """M5: two thin factors beside a frozen head."""
+    return _emb_heads(spark, sf_dir, lambda s, c: TN.LowRankHead(s, c, S.EMB_DIM, LD2.HEAD_RANK))
 
 
 def _in_unit(c: str):
@@ -479,6 +474,23 @@ def q_ladder_summary(spark, sf_dir):
                           F.col("std").isNotNull().alias("has_std"))
 
 
+@query("trained_ladder")
+def q_trained_ladder(spark, sf_dir):
+    """M7, M8, K1: the grid by the fixed-step trainer; its results file, read back."""
+    out = scratch_path(spark, "trained-ladder")
+    LD2.run(spark, S.text_split(spark, sf_dir), out)
+    return LD2.read_results(spark, out)
+
+
+@query("trained_ladder_summary")
+def q_trained_ladder_summary(spark, sf_dir):
+    """K2, K3, A9, F12: summary file and run configuration read back, with the table of
+    parameters and lift over the untrained head as it is printed."""
+    out = scratch_path(spark, "trained-ladder")
+    LD2.run(spark, S.text_split(spark, sf_dir), out)
+    return LD2.comparison(LD2.read_results(spark, out), LD2.read_summary(spark, out), LD2.read_config(spark, out))
+
+
 @query("reload_parity")
 def q_reload_parity(spark, sf_dir):
     model, df = _emb_train(spark, sf_dir, "head_only")

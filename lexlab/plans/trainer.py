@@ -1,12 +1,17 @@
-"""Trainer of linear heads with a metric log.
+"""Trainer of linear and low-rank heads with a metric log.
 
-Several runs (seeds) are trained side by side on one stored feature table.  A pass
+Several runs (heads) are trained side by side on one stored feature table.  A pass
 over the table is ``steps`` steps, each a gradient step on the rows of one hash
 bucket, with momentum and weight decay; rows count by the inverse frequency of their
 class.  After each pass the weights of every run go to a table, and the loss
 on the train rows and the metric on the validation rows to a log.  At the end the
 weights of each run's best pass are read back from the table.
 
+A :class:`LinearHead` trains all its weights.  A :class:`LowRankHead` keeps a frozen head and
+trains two thin factors whose product is added to it, and the bias; only the factors are
+stored.  Both give the same kind of weights, classes x features, to the pass, and take the same
+gradient from it, so the pass does not know them apart.
+
 The weights are classes x features numbers per run and the only thing that the
 driver holds; logits, errors and gradients are expressions and one aggregation
 whose partial sums are a row per feature and task.  Runs differ in their first
@@ -16,8 +21,9 @@ so any engine can work the same weights out.
 
 from __future__ import annotations
 
+import copy
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,36 +36,29 @@ from lexlab.functions.text import token_index, word_tokens
 from lexlab.operators import metrics as M
 from lexlab.operators.summary import best_epoch
 from lexlab.operators.user_metric import CellMetric, evaluate
-from lexlab.session import stage_table
+from lexlab.session import drop_staged, stage_table
 
 EPOCHS, STEPS = 3, 4
 RATE, MOMENTUM, DECAY, FIRST_SCALE = 0.5, 0.9, 1e-4, 0.02
-WEIGHTS = "run string, epoch int, class int, feature int, weight double"
+WEIGHTS = "run string, epoch int, name string, i int, j int, weight double"
 LOG = "run string, epoch int, n_train bigint, train_loss double, f1_macro double"
 
 
 # ---- features -----------------------------------------------------------------------
-def text_counts(df: DataFrame, num_features: int, text_col: str = "sentence", key_col: str = "doc_id") -> DataFrame:
+def text_counts(df: DataFrame, num_features: int, text_col: str = "sentence", key_col: str = "doc_id",
+                tokens: Callable[[str], Column] = word_tokens) -> DataFrame:
     """``df`` without its text, with ``feats``: an array of ``(i, x)`` in the order of
-    ``i``, where ``x`` is the count of the hashed words ``i`` over the root of
-    the text's word count.  Words are counted before they are hashed, so each
-    distinct word of a text is hashed once.  ``key_col`` must be unique."""
+    ``i``, where ``x`` is the count of the hashed tokens ``i`` over the root of
+    the text's token count.  Tokens are counted before they are hashed, so each
+    distinct one of a text is hashed once.  ``key_col`` must be unique."""
     keep = [c for c in df.columns if c != text_col]
-    words = (df.repartition(F.col(key_col)).select(*keep, F.explode_outer(word_tokens(text_col)).alias("_w"))
-             .groupBy(*keep, "_w").agg(F.count("_w").alias("_n")))
-    pair = F.when(F.col("_w").isNotNull(), F.struct(token_index(F.col("_w"), num_features).alias("i"), F.col("_n").alias("n")))
-    lists = words.groupBy(*keep).agg(F.sort_array(F.collect_list(pair)).alias("_p"), F.sum("_n").alias("_all"))
-    # words that share a hash follow each other: the last entry is added to or a new one begins
-    start = F.array().cast("array<struct<i:int,n:bigint>>")
-    merged = F.aggregate("_p", F.struct(start.alias("out"), F.lit(None).cast("int").alias("i"), F.lit(0).cast("bigint").alias("n")),
-                         lambda a, p: F.when(a["i"] == p["i"], F.struct(a["out"].alias("out"), a["i"].alias("i"), (a["n"] + p["n"]).alias("n")))
-                         .otherwise(F.struct(F.when(a["i"].isNull(), a["out"]).otherwise(
-                             F.concat(a["out"], F.array(F.struct(a["i"].alias("i"), a["n"].alias("n"))))).alias("out"),
-                             p["i"].alias("i"), p["n"].alias("n"))),
-                         lambda a: F.when(a["i"].isNull(), a["out"]).otherwise(
-                             F.concat(a["out"], F.array(F.struct(a["i"].alias("i"), a["n"].alias("n"))))))
+    spread = df.repartition(F.col(key_col))
+    words = (spread.select(*keep, F.explode_outer(tokens(text_col)).alias("_w")).groupBy(*keep, "_w").agg(F.count("_w").alias("_n"))
+             .groupBy(*keep, F.when(F.col("_w").isNotNull(), token_index(F.col("_w"), num_features)).alias("i")).agg(F.sum("_n").alias("n")))
+    pair = F.when(F.col("i").isNotNull(), F.struct("i", "n"))
+    lists = words.groupBy(*keep).agg(F.sort_array(F.collect_list(pair)).alias("_p"), F.sum("n").alias("_all"))
     root = F.sqrt(F.greatest(F.col("_all"), F.lit(1)).cast("double"))
-    return lists.select(*keep, F.transform(merged, lambda p: F.struct(p["i"].alias("i"), (p["n"].cast("double") / root).alias("x")))
+    return lists.select(*keep, F.transform("_p", lambda p: F.struct(p["i"].alias("i"), (p["n"].cast("double") / root).alias("x")))
                         .alias("feats"))
 
 
@@ -102,11 +101,59 @@ def _gradients(rows: DataFrame, weights: Mapping[str, np.ndarray]) -> dict[str,
     return out
 
 
-def first_weights(seed: int, n_classes: int, num_features: int) -> np.ndarray:
+def _hashed(name: str, seed: int, rows: int, columns: int) -> np.ndarray:
+    """Numbers in [-1/2, 1/2] by a hash of name, seed, row and column."""
+    return np.array([[py_unit(f"{name}:{seed}:{i}:{j}") - 0.5 for j in range(columns)] for i in range(rows)])
+
+
+def first_weights(seed: int, n_classes: int, num_features: int, scale: float = FIRST_SCALE) -> np.ndarray:
     """Small weights from a hash of seed, class and feature; the bias is 0."""
-    out = np.zeros((n_classes, num_features + 1))
-    out[:, :-1] = [[FIRST_SCALE * (py_unit(f"w:{seed}:{c}:{j}") - 0.5) for j in range(num_features)] for c in range(n_classes)]
-    return out
+    return np.c_[scale * _hashed("w", seed, n_classes, num_features), np.zeros(n_classes)]
+
+
+class LinearHead:
+    """All weights are trained."""
+
+    def __init__(self, seed: int, n_classes: int, num_features: int):
+        self.values = {"weight": first_weights(seed, n_classes, num_features)}
+        self.speed = {k: np.zeros_like(v) for k, v in self.values.items()}
+        self.trainable = n_classes * (num_features + 1)
+        self.total = self.trainable
+
+    def effective(self) -> np.ndarray:
+        return self.values["weight"]
+
+    def slopes(self, gradient: np.ndarray) -> dict[str, np.ndarray]:
+        return {"weight": gradient}
+
+    def step(self, gradient: np.ndarray, rate: float, momentum: float, decay: float) -> None:
+        """Down the gradient of the effective weights (the mean over a step's rows)."""
+        for k, g in self.slopes(gradient).items():
+            self.speed[k] = momentum * self.speed[k] + g + decay * self.values[k]
+        for k, v in self.speed.items():
+            self.values[k] = self.values[k] - rate * v
+
+
+class LowRankHead(LinearHead):
+    """A frozen head plus ``down . up`` of a low rank; the factors and the bias are
+    trained.  ``up`` begins at 0, so the first pass starts from the frozen head."""
+
+    def __init__(self, seed: int, n_classes: int, num_features: int, rank: int):
+        self.frozen = first_weights(seed, n_classes, num_features)
+        self.values = {"down": _hashed("a", seed, num_features, rank), "up": np.zeros((n_classes, rank)), "bias": np.zeros((n_classes, 1))}
+        self.speed = {k: np.zeros_like(v) for k, v in self.values.items()}
+        self.trainable = sum(v.size for v in self.values.values())
+        self.total = self.trainable + n_classes * num_features
+
+    def effective(self) -> np.ndarray:
+        out = self.frozen.copy()
+        out[:, :-1] += self.values["up"] @ self.values["down"].T
+        out[:, -1:] += self.values["bias"]
+        return out
+
+    def slopes(self, gradient: np.ndarray) -> dict[str, np.ndarray]:
+        g = gradient[:, :-1]
+        return {"down": g.T @ self.values["up"], "up": g @ self.values["down"], "bias": gradient[:, -1:]}
 
 
 def predictions(rows: DataFrame, weights: Mapping[str, np.ndarray], keep: list[str]) -> DataFrame:
@@ -121,35 +168,35 @@ def predictions(rows: DataFrame, weights: Mapping[str, np.ndarray], keep: list[s
 # ---- the trainer ------------------------------------------------------------------------
 @dataclass
 class Trained:
-    """``log``: a row per run and pass; ``weights``: the table of all passes;
-    ``best``: per run the weights of its best pass, read back from that table."""
+    """``log``: a row per run and pass; ``weights``: the table of all passes' trained
+    numbers; ``best``: per run the effective weights of its best pass, from that table."""
     log: DataFrame
     weights: DataFrame
     best: dict[str, np.ndarray]
 
 
-def restore(weights: DataFrame, best: Mapping[str, int], n_classes: int, num_features: int) -> dict[str, np.ndarray]:
-    """Weights of one pass per run from the stored table (classes x features rows a run)."""
-    out = {run: np.zeros((n_classes, num_features + 1)) for run in best}
-    wanted = [(F.col("run") == run) & (F.col("epoch") == epoch) for run, epoch in best.items()]
-    if wanted:
-        cond = wanted[0]
-        for w in wanted[1:]:
-            cond = cond | w
-        for r in weights.filter(cond).collect():
-            out[r["run"]][r["class"], r["feature"]] = r["weight"]
-    return out
+def restore(weights: DataFrame, best: Mapping[str, int], heads: Mapping[str, LinearHead]) -> dict[str, np.ndarray]:
+    """Effective weights of one pass per run: the stored numbers put into a copy of
+    the run's head (for a low-rank head onto its frozen part)."""
+    out, cond = {run: copy.deepcopy(heads[run]) for run in best}, F.lit(False)
+    for run, epoch in best.items():
+        cond = cond | ((F.col("run") == run) & (F.col("epoch") == epoch))
+    for r in weights.filter(cond).collect() if best else []:  # the numbers of a head per run
+        out[r["run"]].values[r["name"]][r["i"], r["j"]] = r["weight"]
+    return {run: head.effective() for run, head in out.items()}
 
 
-def train(features: DataFrame, seeds: Mapping[str, int], n_classes: int, num_features: int, out_dir: str, *,
+def train(features: DataFrame, heads: Mapping[str, LinearHead], out_dir: str, *,
           epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE, momentum: float = MOMENTUM, decay: float = DECAY,
           key_col: str = "doc_id", metric: CellMetric | None = None) -> Trained:
-    """Train a head for every ``run: seed`` on ``features`` (``key_col, split, label, feats``).
+    """Train every ``run: head`` on ``features`` (``key_col, split, label, feats``); the
+    heads move along and must agree in classes and features.
 
     ``metric`` (default: macro-F1) is worked out on the validation rows after each pass; the
     first of the best passes wins.  Rows whose label is NULL or outside the classes are
     neither trained nor evaluated on.  Without train rows the first weights stay."""
     spark = features.sparkSession
+    n_classes = next(iter(heads.values())).effective().shape[0]
     usable = features.filter(F.col("label").between(0, n_classes - 1) & F.col("split").isin("train", "validation"))
     bucket = (hex8_to_long(seeded_md5("step", key_col)) % F.lit(steps)).cast("int")
     table = stage_table(usable.select(key_col, "split", "label", "feats", bucket.alias("bucket")), "train-features")
@@ -160,21 +207,19 @@ def train(features: DataFrame, seeds: Mapping[str, int], n_classes: int, num_fea
     share = [sum(by_class) / (len(present) * by_class[c]) if by_class[c] else 0.0 for c in range(n_classes)]
     table = table.withColumn("w", F.element_at(_array(np.array(share)), F.col("label") + 1))
     train_rows, held = table.filter("split = 'train'"), ["split", "label", "w"]
-    state = {run: first_weights(seed, n_classes, num_features) for run, seed in seeds.items()}
-    speed = {run: np.zeros_like(w) for run, w in state.items()}
     for epoch in range(1, epochs + 1):
         for b in range(steps):
             total = sum(n * share[y] for (s, k, y), n in counts.items() if s == "train" and k == b)
             if not total:
                 continue
-            for run, g in _gradients(train_rows.filter(F.col("bucket") == b), state).items():
-                speed[run] = momentum * speed[run] + g / total + decay * state[run]
-                state[run] = state[run] - rate * speed[run]
-        frame = pd.concat([pd.DataFrame({"run": run, "epoch": np.int32(epoch), "class": np.repeat(np.arange(n_classes, dtype=np.int32), w.shape[1]),
-                                         "feature": np.tile(np.arange(w.shape[1], dtype=np.int32), n_classes), "weight": w.ravel()})
-                           for run, w in state.items()])
-        spark.createDataFrame(frame, WEIGHTS).write.mode("append").parquet(f"{out_dir}/weights")
-        scored = stage_table(predictions(table, state, held), "pass")
+            sums = _gradients(train_rows.filter(F.col("bucket") == b), {run: h.effective() for run, h in heads.items()})
+            for run, g in sums.items():
+                heads[run].step(g / total, rate, momentum, decay)
+        frames = [pd.DataFrame({"run": run, "epoch": np.int32(epoch), "name": name, "i": np.repeat(np.arange(v.shape[0], dtype=np.int32), v.shape[1]),
+                                "j": np.tile(np.arange(v.shape[1], dtype=np.int32), v.shape[0]), "weight": v.ravel()})
+                  for run, h in heads.items() for name, v in h.values.items()]
+        spark.createDataFrame(pd.concat(frames), WEIGHTS).write.mode("append").parquet(f"{out_dir}/weights")
+        scored = stage_table(predictions(table, {run: h.effective() for run, h in heads.items()}, held), "pass")
         loss = scored.filter("split = 'train'").groupBy("run").agg(
             F.count(F.lit(1)).alias("n_train"), (F.sum(-F.log("p_label") * F.col("w")) / F.sum("w")).alias("train_loss"))
         valid = scored.filter("split = 'validation'")
@@ -184,7 +229,9 @@ def train(features: DataFrame, seeds: Mapping[str, int], n_classes: int, num_fea
             value = evaluate(valid, metric, ["run"], "f1_macro")
         row = loss.join(value, "run", "full").select("run", F.lit(epoch).alias("epoch"), "n_train", "train_loss", "f1_macro")
         row.write.mode("append").parquet(f"{out_dir}/log")
+        drop_staged(scored)
     log = spark.read.schema(LOG).parquet(f"{out_dir}/log")
     weights = spark.read.schema(WEIGHTS).parquet(f"{out_dir}/weights")
+    drop_staged(table)
     best = {r["run"]: r["best_epoch"] for r in best_epoch(log).collect()}
-    return Trained(log, weights, restore(weights, best, n_classes, num_features))
+    return Trained(log, weights, restore(weights, best, heads))

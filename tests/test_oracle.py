@@ -14,7 +14,8 @@ FAST_KEYS = ["class_distribution", "label_decode", "label_remap", "stratified_sp
              "confusion_out_of_domain", "macro_f1_null_group", "gate_report", "domain_shift", "slice_report",
              "registry_row", "head_only_train", "rank_r_train", "reload_parity", "artifact_manifest",
              "read_corpus_files", "latency_p95", "score_text_reloaded", "epoch_log", "best_epoch", "user_metric",
-             "score_term_table", "registry_approved", "stream_metrics"]
+             "score_term_table", "registry_approved", "stream_metrics",
+             "trained_ladder", "trained_ladder_summary"]
 
 
 @pytest.fixture(scope="module")

@@ -22,6 +22,10 @@ def data(spark, n=300, d=6):
     return x, y, split, spark.createDataFrame(rows, "doc_id long, split string, label int, feats array<struct<i:int,x:double>>").repartition(5)
 
 
+def heads(**seeds):
+    return {run: TR.LinearHead(seed, 3, 6) for run, seed in seeds.items()}
+
+
 def refit(x, y, split, seed, epochs, classes=3):
     """The same optimiser in NumPy; weights after each pass."""
     train = split == "train"
@@ -54,14 +58,14 @@ def f1(y, pred):
 
 def test_weights_equal_a_numpy_refit_and_the_best_pass_is_restored(spark):
     x, y, split, df = data(spark)
-    got = TR.train(df, {"a": 1, "b": 2}, 3, 6, scratch_path(spark, "trained"), epochs=4)
+    got = TR.train(df, heads(a=1, b=2), scratch_path(spark, "trained"), epochs=4)
     log = {(r["run"], r["epoch"]): r for r in got.log.collect()}
     assert len(log) == 8
     for run, seed in (("a", 1), ("b", 2)):
         passes, full = refit(x, y, split, seed, 4)
         values = [f1(y[split == "validation"], (full @ w.T).argmax(1)[split == "validation"]) for w in passes]
         for e, (w, value) in enumerate(zip(passes, values), 1):
-            stored = TR.restore(got.weights, {run: e}, 3, 6)[run]
+            stored = TR.restore(got.weights, {run: e}, heads(a=1, b=2))[run]
             assert np.allclose(stored, w, atol=1e-9)
             assert abs(log[run, e]["f1_macro"] - value) < 1e-6
         assert np.allclose(got.best[run], passes[int(np.argmax(np.round(values, 6)))], atol=1e-9)
@@ -73,9 +77,9 @@ def test_rows_without_a_usable_label_and_empty_tables(spark):
     odd = df.withColumn("label", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 11 == 0, -1)
                         .when(F.col("doc_id") % 13 == 0, 9).otherwise(F.col("label")))
     usable = df.filter("doc_id % 7 > 0 and doc_id % 11 > 0 and doc_id % 13 > 0")
-    a, b = (TR.train(t, {"r": 1}, 3, 6, scratch_path(spark, "odd"), epochs=1) for t in (odd, usable))
+    a, b = (TR.train(t, heads(r=1), scratch_path(spark, "odd"), epochs=1) for t in (odd, usable))
     assert np.allclose(a.best["r"], b.best["r"])
-    none = TR.train(df.limit(0), {"r": 1}, 3, 6, scratch_path(spark, "none"), epochs=1)
+    none = TR.train(df.limit(0), heads(r=1), scratch_path(spark, "none"), epochs=1)
     assert none.best == {} and none.log.count() == 0
 
 
@@ -112,7 +116,7 @@ def test_a_users_metric_equals_sql_and_drives_the_trainer(spark):
         assert macro[r["g"]] == pytest.approx(r["macro_f1"], abs=1e-6)
     assert U.evaluate(preds.limit(0), own_metric()).count() == 0
     x, y, split, df = data(spark)
-    trained = TR.train(df, {"a": 1}, 3, 6, scratch_path(spark, "own"), epochs=2, metric=own_metric())
+    trained = TR.train(df, heads(a=1), scratch_path(spark, "own"), epochs=2, metric=own_metric())
     passes, full = refit(x, y, split, 1, 2)
     held = (split == "validation") & (y == 0)
     for r in trained.log.collect():
@@ -149,3 +153,74 @@ def test_text_counts_against_a_plain_count(spark):
             want[i] = want.get(i, 0) + 1
         assert [(p["i"], p["x"]) for p in r["feats"]] == [(i, pytest.approx(n / len(words) ** 0.5)) for i, n in sorted(want.items())]
         assert r["split"] == "x"
+
+
+def test_low_rank_head_against_numpy(spark):
+    x, y, split, df = data(spark)
+    head = TR.LowRankHead(5, 3, 6, 2)
+    frozen = head.frozen.copy()
+    got = TR.train(df, {"r": head}, scratch_path(spark, "low"), epochs=2)
+    assert np.array_equal(head.frozen, frozen)
+    assert (head.trainable, head.total) == (6 * 2 + 3 * 2 + 3, 6 * 2 + 3 * 2 + 3 + 18)
+    # the same by the derivatives of each factor, row by row
+    train = split == "train"
+    bucket = np.array([int(hashlib.md5(f"step:{i}".encode()).hexdigest()[:8], 16) % TR.STEPS for i in range(len(y))])
+    share = train.sum() / (3 * np.bincount(y[train], minlength=3))
+    a, b, c = TR._hashed("a", 5, 6, 2), np.zeros((3, 2)), np.zeros(3)
+    va, vb, vc = np.zeros_like(a), np.zeros_like(b), np.zeros_like(c)
+    for _ in range(2):
+        for k in range(TR.STEPS):
+            at = train & (bucket == k)
+            h = x[at] @ a
+            z = x[at] @ frozen[:, :-1].T + h @ b.T + c
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            err = (p - np.eye(3)[y[at]]) * share[y[at]][:, None] / share[y[at]].sum()
+            ga, gb, gc = x[at].T @ (err @ b), err.T @ h, err.sum(0)
+            va, vb, vc = (TR.MOMENTUM * v + g + TR.DECAY * w for v, g, w in ((va, ga, a), (vb, gb, b), (vc, gc, c)))
+            a, b, c = a - TR.RATE * va, b - TR.RATE * vb, c - TR.RATE * vc
+    want = np.c_[frozen[:, :-1] + b @ a.T, c]
+    assert np.allclose(head.effective(), want, atol=1e-9)
+    assert np.allclose(TR.restore(got.weights, {"r": 2}, {"r": TR.LowRankHead(5, 3, 6, 2)})["r"], want, atol=1e-9)
+    stored = {r["name"] for r in got.weights.select("name").distinct().collect()}
+    assert stored == {"down", "up", "bias"}  # the frozen part is not stored
+
+
+def test_grid_of_trained_heads_writes_what_it_returns(spark):
+    from lexlab.plans import scoring as S
+    from lexlab.plans import trained_ladder as L
+    from tests.conftest import SF_SMALL
+    split, out = S.text_split(spark, SF_SMALL), scratch_path(spark, "grid")
+    got = L.run(spark, split, out, seeds=[42, 43], backbones=["word_tf"], epochs=1)
+    rows = {(r["experiment_id"], r["seed"]): r for r in got.collect()}
+    assert sorted(rows) == [(f"word_tf_{m}", s) for m in ("eval_only", "head_only", "rank_r") for s in (42, 43)]
+    assert {k: r["trainable_params"] for k, r in rows.items() if k[1] == 42} == {
+        ("word_tf_eval_only", 42): 0, ("word_tf_head_only", 42): 3075, ("word_tf_rank_r", 42): 2057}
+    assert sorted(map(str, L.read_results(spark, out).collect())) == sorted(map(str, got.collect()))
+    table = {r["experiment_id"]: r for r in L.comparison(L.read_results(spark, out), L.read_summary(spark, out), L.read_config(spark, out)).collect()}
+    assert table["word_tf_rank_r"]["trainable_text"] == "2,057" and table["word_tf_eval_only"]["lift_text"] == "+0.0%"
+    assert table["word_tf_head_only"]["epochs"] == 1
+    with pytest.raises(ValueError):
+        L.run(spark, split, out, methods=["nope"])
+
+
+def test_labels_outside_the_classes_are_left_out_of_fits(spark):
+    from lexlab.operators import heads as H
+    rows = [(0, [1, 2]), (1, [2, 3]), (2, [3])]
+    odd = rows + [(None, [1]), (-1, [1, 1]), (5, [2])]
+    a, b = (H.fit_naive_bayes(spark.createDataFrame(r, "label int, idx array<int>"), n_classes=3, num_features=4) for r in (rows, odd))
+    assert a.log_theta == b.log_theta and a.log_prior == b.log_prior
+    vec = [(y, [float(len(i)), 1.0]) for y, i in odd]
+    mu, _ = H.fit_centroids(spark.createDataFrame(vec, "label int, v array<float>"), "v", "label", 3, 2)
+    assert mu == [[2.0, 1.0], [2.0, 1.0], [1.0, 1.0]]
+
+
+def test_lines_outside_the_encoding_are_returned(spark):
+    from lexlab.sources import corpus as C
+    lines = ["plain@neutral", "caf\xe9 \xff@positive", "snow ☃@neutral", "\U0001f600@negative", "", None, "a\x00b@neutral"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "n int, line string")
+    root = scratch_path(spark, "latin")
+    refused = C.write_corpus_lines(df, C.corpus_path(root)).collect()
+    assert sorted((r["n"], r["reason"]) for r in refused) == [(2, "not_encodable"), (3, "not_encodable")]
+    back = sorted(r["line"] for r in C.read_corpus(spark, root).collect())
+    assert back == sorted(["plain@neutral", "caf\xe9 \xff@positive", "", "", "a\x00b@neutral"])
