@@ -94,3 +94,27 @@ def batches(frames, n_bytes: int = 2 << 20):
         rows = max(1, int(batch.num_rows * n_bytes / max(1, batch.nbytes)))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def fill_exactly(counts: dict[int, int], capacity: int, must: int) -> list[int] | None:
+    """Lengths out of ``counts`` that fill ``capacity`` exactly, ``must`` among
+    them; long lengths are tried first."""
+    target, layers, reach = capacity - must, [], 1
+    full = (1 << target + 1) - 1
+    for size, n in sorted(counts.items(), reverse=True):
+        n -= size == must
+        unit = 1
+        while n > 0 and not reach >> target & 1:
+            take = min(unit, n)
+            if take * size <= target:
+                layers.append((size, take, reach))
+                reach |= reach << take * size & full
+            n, unit = n - take, unit * 2
+    if not reach >> target & 1:
+        return None
+    out, at = [must], target
+    for size, take, before in reversed(layers):
+        if not before >> at & 1:
+            out += [size] * take
+            at -= take * size
+    return out

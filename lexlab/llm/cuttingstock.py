@@ -35,7 +35,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlab.llm.common import batches
+from lexlab.llm.common import batches, fill_exactly
 from lexlab.llm.tokens import byte_level
 from lexlab.session import stage_table
 
@@ -163,30 +163,6 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, *, max_pivots:
 
 
 # ---- whole numbers -----------------------------------------------------------------------
-def _fill(counts: dict[int, int], capacity: int, must: int) -> list[int] | None:
-    """Lengths out of ``counts`` that fill ``capacity`` exactly, ``must`` among
-    them; long lengths are tried first."""
-    target, layers, reach = capacity - must, [], 1
-    full = (1 << target + 1) - 1
-    for size, n in sorted(counts.items(), reverse=True):
-        n -= size == must
-        unit = 1
-        while n > 0 and not reach >> target & 1:
-            take = min(unit, n)
-            if take * size <= target:
-                layers.append((size, take, reach))
-                reach |= reach << take * size & full
-            n, unit = n - take, unit * 2
-    if not reach >> target & 1:
-        return None
-    out, at = [must], target
-    for size, take, before in reversed(layers):
-        if not before >> at & 1:
-            out += [size] * take
-            at -= take * size
-    return out
-
-
 def round_down(lengths: np.ndarray, demand: np.ndarray, solution: Solution, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """``(lengths of a pattern, times)``, in whole numbers that the demand covers."""
     left, out = demand.astype(np.int64).copy(), {}
@@ -198,7 +174,7 @@ def round_down(lengths: np.ndarray, demand: np.ndarray, solution: Solution, capa
             np.subtract.at(left, list(p), n)
     counts = {int(s): int(n) for s, n in zip(lengths, left) if n}
     for must in sorted(counts, reverse=True):
-        while counts.get(must) and (got := _fill(counts, capacity, must)):
+        while counts.get(must) and (got := fill_exactly(counts, capacity, must)):
             n = min(counts[s] // got.count(s) for s in set(got))
             key = tuple(sorted(got))
             out[key] = out.get(key, 0) + n

@@ -9,15 +9,19 @@ populations that differ in their random seed:
   the others from best fit in a disturbed order;
 * crossover injects whole well-filled bins of one parent into the other, removes
   the bins that hold a duplicate, and puts the displaced pieces back by best fit;
-* fitness is the number of bins, then the sum of squared fills (well-filled bins
-  are worth keeping);
+* mutation dissolves some bins with room, and some with many pieces to fill them with,
+  and puts their pieces together anew: exact fills first, the rest by best fit;
+* fitness is the number of bins, then the sum of squared fills, which is highest when
+  all room is in one bin.  Best fit alone has few bins too, but room in many of
+  them, which is lost for the groups' other pieces;
 * between epochs each island hands its elite to the next island of its group.
 
 A group is one row, so an epoch is a map over rows and migration a join on
 ``(group, island)``; tables between epochs are written to the shared folder.
 After each round the pieces of bins that are not well filled are dealt anew, in
 fewer groups, so that groups leave no more than a few open sequences in all.
-A group stops as soon as it has the least number of bins there can be.
+A group stops as soon as it has the least number of bins there can be and all room
+in one of them.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlab.llm.common import batches
+from lexlab.llm.common import batches, fill_exactly
 from lexlab.llm.tokens import encoder
 from lexlab.session import stage_table
 
@@ -147,20 +152,63 @@ def first_population(lengths: np.ndarray, capacity: int, size: int, rng: random.
     return out
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, generations: int,
-           rng: random.Random) -> list[np.ndarray]:
-    """The population after some generations, the best first."""
-    least = -(-int(lengths.sum()) // capacity)
+def mutation(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: random.Random, n_bins: int) -> np.ndarray:
+    """``n_bins`` bins with room, and a third as many of those with the most pieces, put
+    together anew."""
+    fill, held = np.bincount(a, weights=lengths).astype(np.int64), np.bincount(a)
+    with_room = np.flatnonzero(fill < capacity).tolist()
+    if not with_room:
+        return a
+    rich = np.argsort(-held, kind="stable")[:max(8, len(fill) // 8)].tolist()
+    hit = np.zeros(len(fill), bool)
+    hit[rng.sample(with_room, min(n_bins, len(with_room))) + rng.sample(rich, min(n_bins // 3, len(rich)))] = True
+    stays = ~hit[a]
+    of_length: dict[int, list[int]] = {}
+    for i in np.flatnonzero(hit[a]).tolist():
+        of_length.setdefault(int(lengths[i]), []).append(i)
+    child = np.full(len(a), -1, np.int64)
+    _, child[stays] = np.unique(a[stays], return_inverse=True)
+    n = int(child.max()) + 1 if stays.any() else 0
+    room = capacity - np.bincount(child[stays], weights=lengths[stays], minlength=n).astype(np.int64)
+    counts = {size: len(v) for size, v in of_length.items()}
+    for size in sorted(counts, reverse=True):
+        while counts.get(size) and (got := fill_exactly(counts, capacity, size)):
+            for x in got:
+                child[of_length[x].pop()] = n
+                counts[x] -= 1
+                if not counts[x]:
+                    del counts[x]
+            n += 1
+    bins = Bins(capacity)
+    for k in np.flatnonzero(room > 0).tolist():
+        bins.add(k, int(room[k]))
+    best_fit(sorted((i for v in of_length.values() for i in v), key=lambda i: -lengths[i]), lengths.tolist(), child, bins, n)
+    return child
+
+
+def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, rng: random.Random, *,
+           crossing: bool = True, mutating: bool = True, n_bins: int = 24) -> list[np.ndarray]:
+    """The population after some generations, the best first.  Solutions of equal
+    fitness are kept once."""
+    tokens = int(lengths.sum())
+    least = -(-tokens // capacity)
+    ideal = least, -(least - 1 + (1 - (least * capacity - tokens) / capacity) ** 2) + 1e-9
     scored = sorted(((fitness(lengths, p, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])
     count = len(scored)
     for _ in range(generations):
-        if scored[0][0][0] <= least:
+        if scored[0][0] <= ideal:
             break
-        a, b = scored[0][2], scored[rng.randrange(1, len(scored)) if len(scored) > 1 else 0][2]
-        for x, y in ((a, b), (b, a)):
-            child = crossover(x, y, lengths, capacity, rng)
-            count += 1
-            scored.append((fitness(lengths, child, capacity), count, child))
+        children = []
+        if crossing and len(scored) > 1:
+            i, j = rng.sample(range(len(scored)), 2)
+            children += [crossover(scored[x][2], scored[y][2], lengths, capacity, rng) for x, y in ((i, j), (j, i))]
+        if mutating:
+            children += [mutation(scored[rng.randrange(len(scored))][2], lengths, capacity, rng, n_bins) for _ in range(2)]
+        for child in children:
+            score = fitness(lengths, child, capacity)
+            if all(score != x[0] for x in scored):
+                count += 1
+                scored.append((score, count, child))
         scored = sorted(scored, key=lambda x: x[:2])[:len(population)]
     return [p for _, _, p in scored]
 
@@ -189,6 +237,14 @@ def _epoch(state: DataFrame, capacity: int, population: int, generations: int, e
     return state.mapInArrow(run, _STATE)
 
 
+def _migrated(state: DataFrame, islands: int) -> DataFrame:
+    """Each island's elite goes to the next one of its group, in place of its last."""
+    elite = state.select("grp", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("pop")[0].alias("elite"))
+    return (state.join(elite, ["grp", "island"])
+            .select("grp", "island", "uids", "lengths", F.concat(
+                F.slice("pop", 1, F.greatest(F.size("pop") - 1, F.lit(1))), F.array("elite")).alias("pop")))
+
+
 def _solve(parts: DataFrame, n: int, round_no: int, capacity: int, group_size: int, islands: int,
            population: int, epochs: int, generations: int, seed: int) -> DataFrame:
     """``uid, grp, bin, fill, offset`` of ``n`` pieces ``(uid, length)``."""
@@ -200,12 +256,8 @@ def _solve(parts: DataFrame, n: int, round_no: int, capacity: int, group_size: i
                      F.lit(None).cast("array<array<int>>").alias("pop")))
     width = max(1, min(groups * islands, 2000))
     for epoch in range(epochs):
-        if epoch:  # each island's elite goes to the next one, in place of its last
-            elite = state.select("grp", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"),
-                                 F.col("pop")[0].alias("elite"))
-            state = (state.join(elite, ["grp", "island"])
-                     .select("grp", "island", "uids", "lengths", F.concat(
-                         F.slice("pop", 1, F.greatest(F.size("pop") - 1, F.lit(1))), F.array("elite")).alias("pop")))
+        if epoch:
+            state = _migrated(state, islands)
         state = stage_table(_epoch(state.repartition(width, "grp", "island"), capacity, population, generations, epoch, seed),
                             "islands")
     # the best island of each group, by number of bins, then by island
@@ -214,15 +266,14 @@ def _solve(parts: DataFrame, n: int, round_no: int, capacity: int, group_size: i
     chosen = (state.join(best, ["grp", "island"])
               .select("grp", F.explode(F.arrays_zip("uids", "lengths", F.col("pop")[0].alias("bin"))).alias("x"))
               .select("grp", F.col("x.uids").alias("uid"), F.col("x.lengths").alias("length"), F.col("x.bin").alias("bin")))
-    in_bin = (chosen.groupBy("grp", "bin")
-              .agg(F.array_sort(F.collect_list(F.struct("uid", "length"))).alias("p"), F.sum("length").alias("fill")))
-    return (in_bin.select("grp", "bin", "fill", "p", F.posexplode("p").alias("i", "x"))
-            .select(F.col("x.uid").alias("uid"), F.col("x.length").alias("length"), "grp", "bin", "fill",
-                    F.aggregate(F.slice("p", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, y: a + y["length"]).alias("offset")))
+    own = Window.partitionBy("grp", "bin")  # a bin has at most ``capacity`` pieces
+    before = own.orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
+    return chosen.select("uid", "length", "grp", "bin", F.sum("length").over(own).alias("fill"),
+                         F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
 
 
-def pack(parts: DataFrame, *, capacity: int = CAPACITY, group_size: int = 4096, islands: int = 2, population: int = 4,
-         epochs: int = 2, generations: int = 4, rounds: int = 3, well_filled: float = 0.98, seed: int = 0) -> DataFrame:
+def pack(parts: DataFrame, *, capacity: int = CAPACITY, group_size: int = 4096, islands: int = 2, population: int = 6,
+         epochs: int = 2, generations: int = 15, rounds: int = 3, well_filled: float = 0.98, seed: int = 0) -> DataFrame:
     """``parts`` (``uid, ..., length``) with ``sequence_id`` and ``offset``.
 
     Every piece is placed once, no sequence holds more than ``capacity``, and

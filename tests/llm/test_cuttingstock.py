@@ -66,7 +66,7 @@ def test_exact_fill_against_all_subsets():
         rest = list(sizes)
         rest.remove(must)
         can = any(sum(x) + must == 20 for k in range(len(rest) + 1) for x in itertools.combinations(rest, k))
-        got = C._fill(dict(Counter(sizes)), 20, must)
+        got = C.fill_exactly(dict(Counter(sizes)), 20, must)
         assert (got is not None) == can
         if got:
             assert sum(got) == 20 and must in got and not Counter(got) - Counter(sizes)

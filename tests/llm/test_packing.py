@@ -98,3 +98,78 @@ def test_crossover_keeps_a_solution_and_never_loses():
         assert child.min() >= 0 and fill.max() <= 2048 and fill.min() > 0
     before = K.fitness(lengths, pop[0], 2048)
     assert K.fitness(lengths, K.evolve(lengths, pop, 2048, 20, rng)[0], 2048) <= before
+
+
+def least_bins(lengths, capacity):
+    """The exact least number of bins, over all subsets."""
+    n = len(lengths)
+    best = [(0, 0)] + [(n + 1, 0)] * ((1 << n) - 1)  # bins closed, fill of the open one
+    for mask in range(1 << n):
+        closed, fill = best[mask]
+        for i in range(n):
+            if not mask >> i & 1:
+                nxt = (closed, fill + lengths[i]) if fill + lengths[i] <= capacity else (closed + 1, lengths[i])
+                best[mask | 1 << i] = min(best[mask | 1 << i], nxt)
+    return best[-1][0] + (best[-1][1] > 0)
+
+
+def hard_cases(count):
+    """Small cases for which best fit by falling length needs too many bins."""
+    rng, out = random.Random(11), []
+    while len(out) < count:
+        lengths = np.array([rng.randint(6, 30) for _ in range(rng.randint(9, 12))], np.int64)
+        plain = K.first_population(lengths, 60, 1, rng)[0]
+        least = least_bins(lengths.tolist(), 60)
+        if plain.max() + 1 > least:
+            out.append((lengths, least))
+    return out
+
+
+def test_search_reaches_the_exact_least_where_best_fit_does_not():
+    cases = hard_cases(25)
+    solved = {}
+    for name, options in (("none", {"crossing": False, "mutating": False}), ("crossover", {"mutating": False}),
+                          ("mutation", {"crossing": False}), ("both", {})):
+        solved[name] = 0
+        for seed, (lengths, least) in enumerate(cases):
+            rng = random.Random(seed)
+            first = [K.first_population(lengths, 60, 1, rng)[0]] * 3 if name == "none" else K.first_population(lengths, 60, 6, rng)
+            best = K.evolve(lengths, first, 60, 30, rng, n_bins=3, **options)[0]
+            assert np.bincount(best, weights=lengths).max() <= 60
+            solved[name] += int(best.max()) + 1 == least
+    assert solved["none"] == 0 and solved["crossover"] > 0 and solved["mutation"] > 0
+    assert solved["both"] == len(cases)
+
+
+def test_each_part_gathers_room_in_fewer_bins():
+    rng = random.Random(8)
+    lengths = np.array([rng.randint(60, 1500) for _ in range(600)], np.int64)
+    value = {}
+    for name, options in (("none", {"crossing": False, "mutating": False}), ("crossover", {"mutating": False}), ("both", {})):
+        pop = K.first_population(lengths, 2048, 6, random.Random(1))
+        value[name] = K.fitness(lengths, K.evolve(lengths, pop, 2048, 40, random.Random(2), **options)[0], 2048)
+    assert value["both"] < value["crossover"] < value["none"]
+
+
+def test_elites_migrate(spark):
+    lengths = [random.Random(4).randint(100, 1400) for _ in range(200)]
+    good = K.evolve(np.array(lengths, np.int64), K.first_population(np.array(lengths, np.int64), 2048, 6, random.Random(0)), 2048, 60, random.Random(0))[0]
+    poor = K.first_population(np.array(lengths, np.int64), 2048, 2, random.Random(3))[1]
+    rows = [(0, i, list(range(200)), lengths, [p.tolist()] * 2) for i, p in enumerate((good, poor))]
+    state = spark.createDataFrame(rows, K._STATE)
+    moved = {r["island"]: r["pop"] for r in K._migrated(state, 2).collect()}
+    assert moved[1] == [poor.tolist(), good.tolist()] and moved[0] == [good.tolist(), poor.tolist()]
+    out = {r["island"]: r["pop"][0] for r in K._epoch(K._migrated(state, 2), 2048, 2, 0, 1, 0).collect()}
+    assert K.fitness(np.array(lengths), np.array(out[1]), 2048) == K.fitness(np.array(lengths), good, 2048)
+
+
+def test_whole_table_needs_no_more_than_best_fit_over_all_pieces(spark, tok):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    parts = K.pieces(docs, PATH).select("uid", "length")
+    from lexlab.session import stage_table
+    parts = stage_table(parts, "lengths")
+    lengths = np.array([r["length"] for r in parts.collect()], np.int64)
+    assign = np.zeros(len(lengths), np.int64)
+    plain = K.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), assign, K.Bins(2048), 0)
+    n, total = check(K.pack(parts).collect())
+    assert n <= plain and n == -(-total // 2048)
