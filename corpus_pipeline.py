@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexlab.llm import decontaminate, jaccard, linededup, packing, quality
 from lexlab.llm.queries import table, tokenizer_path
-from lexlab.session import stage_table
+from lexlab.session import drop_staged, stage_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -69,8 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``; a stage's table is deleted once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            drop_staged(last)
+        last = docs
     return docs
