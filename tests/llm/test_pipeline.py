@@ -65,4 +65,4 @@ def test_registered(spark):
     import __spark_entry__ as entry
     assert entry.queries()["pipeline"] is P.run and "pipeline" not in entry.oracle_sql()
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
