@@ -199,7 +199,9 @@ def train(features: DataFrame, heads: Mapping[str, LinearHead], out_dir: str, *,
     n_classes = next(iter(heads.values())).effective().shape[0]
     usable = features.filter(F.col("label").between(0, n_classes - 1) & F.col("split").isin("train", "validation"))
     bucket = (hex8_to_long(seeded_md5("step", key_col)) % F.lit(steps)).cast("int")
-    table = stage_table(usable.select(key_col, "split", "label", "feats", bucket.alias("bucket")), "train-features")
+    # a file per core at least: every pass reads this table, and a small one would be one task
+    spread = usable.select(key_col, "split", "label", "feats", bucket.alias("bucket")).repartition(spark.sparkContext.defaultParallelism, key_col)
+    table = stage_table(spread, "train-features")
     counts = {(r["split"], r["bucket"], r["label"]): r["count"]
               for r in table.groupBy("split", "bucket", "label").count().collect()}  # splits x steps x classes
     by_class = [sum(n for (s, _, y), n in counts.items() if s == "train" and y == c) for c in range(n_classes)]
