@@ -9,12 +9,15 @@ the driver:
   program over patterns says how often each is used, so that as few tokens as can be
   are in items that patterns leave over or lack.  Left-over items are the *run*:
   they are laid end to end and cut;
-* the program starts with every item in the run.  A knapsack dynamic program
-  over totals prices columns with the dual values; the best pattern and others
-  drawn near it, which start with lengths that are left over, go in by pivots of the
-  revised simplex method, until no pattern is worth it or what is left is small;
-* the solution is rounded down, and a bounded knapsack fills further sequences
-  exactly from what rounding left.  The rest is the run.
+* the program starts with every item in the run, and its first columns are the patterns
+  of a greedy exact fill.  Then a knapsack dynamic program over totals prices columns
+  with the dual values; the best pattern and others drawn near it, which start with
+  lengths that are left over, go in by pivots of the revised simplex method, until no
+  pattern is worth it or what is left is small;
+* the solution is rounded down, as it is and by a share of each pattern that leaves
+  more to choose from; a bounded knapsack fills further sequences exactly from what
+  rounding left.  Of these and the greedy fill the one with the fewest tokens left is
+  used, and the rest is the run.
 
 Items get ranks within their length: every task numbers its own, and running sums
 over the counts of (task, length) make the numbers global, so that a frequent length is
@@ -25,7 +28,8 @@ into powers of two, so nothing is padded at all; what the program saves is cuts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,8 @@ from lexlab.session import stage_table
 
 CAPACITY = 1024
 MAX_PIVOTS = 4_000  # bounds the driver's work; every basis on the way is a valid solution
-GAP = 0.02  # share of the tokens that patterns leave over or lack, below which the program ends
+SHARES = (1.0, 0.8, 0.6)  # of the program's solution that are rounded down
+GAP = 0.005  # share of the tokens that patterns leave over or lack, below which the program ends
 
 
 # ---- the linear program --------------------------------------------------------------
@@ -96,8 +101,9 @@ def _draw(rng, lengths, duals, best, first: int, weight: np.ndarray, near: float
 
 
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, *, max_pivots: int = MAX_PIVOTS, gap: float = GAP,
-          pool: int = 60, near: float = 0.2, seed: int = 0) -> Solution:
-    """Column generation for sorted distinct ``lengths`` below the capacity.
+          pool: int = 60, near: float = 0.2, seed: int = 0, first: Sequence[tuple[int, ...]] = ()) -> Solution:
+    """Column generation for sorted distinct ``lengths`` below the capacity;
+    ``first`` are patterns to begin with.
 
     Minimises ``sum length * (over + lack)`` where ``pattern uses + over - lack =
     demand``, all non-negative; so the dual of a length is between plus and minus
@@ -107,6 +113,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, *, max_pivots:
     inverse, x, cost, duals = np.eye(m), demand.astype(float), lengths.astype(float), lengths.astype(float)
     basis: list[tuple[str, object]] = [("over", i) for i in range(m)]
     rng, pivots = np.random.default_rng(seed), 0
+    given = set(first)
     while pivots < max_pivots and float(cost @ x) > gap * tokens:
         best, last = knapsack(lengths, duals, capacity)
         over = np.zeros(m)
@@ -115,7 +122,9 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, *, max_pivots:
                 over[b[1]] = n
         weight = over + 1e-6 * demand
         found = {_pattern(capacity, lengths, last)} if best[capacity] > eps else set()
-        if found:
+        if given:
+            found = given
+        elif found:
             share = weight * lengths
             found |= {_draw(rng, lengths, duals, best, int(i), weight, near, capacity)
                       for i in rng.choice(m, size=pool, p=share / share.sum())} - {None}
@@ -123,7 +132,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, *, max_pivots:
         columns = np.zeros((len(patterns), m))
         for j, p in enumerate(patterns):
             np.add.at(columns[j], list(p), 1.0)
-        reduced, worth, before = -(columns @ duals), max(eps, float(best[capacity]) / 2), pivots
+        reduced, worth, before = -(columns @ duals), eps if given else max(eps, float(best[capacity]) / 2), pivots
         while pivots < max_pivots:
             i, k = int((duals - lengths).argmax()), int((-lengths - duals).argmax())
             change, name = min([(float(lengths[i] - duals[i]), ("over", i)), (float(lengths[k] + duals[k]), ("lack", k)),
@@ -156,8 +165,9 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, *, max_pivots:
             basis[r], cost[r] = name, price
             pivots += 1
         duals = cost @ inverse  # afresh, against rounding
-        if pivots == before:
+        if pivots == before and not given:
             break
+        given = set()
     used = [i for i in range(m) if basis[i][0] == "pattern" and x[i] > 1e-9]
     return Solution([basis[i][1] for i in used], x[used], duals, float(cost @ x), pivots)
 
@@ -185,6 +195,17 @@ def round_down(lengths: np.ndarray, demand: np.ndarray, solution: Solution, capa
     return sorted(out.items())
 
 
+def whole_solution(lengths: np.ndarray, demand: np.ndarray, capacity: int, max_pivots: int = MAX_PIVOTS) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and times that leave few tokens: the greedy fill, the program that
+    begins with its patterns, and the best of what they give in whole numbers."""
+    none = Solution([], np.zeros(0), np.zeros(len(lengths)), 0.0, 0)
+    greedy = round_down(lengths, demand, none, capacity)
+    index = {int(n): i for i, n in enumerate(lengths)}
+    solved = solve(lengths, demand, capacity, max_pivots=max_pivots, first=[tuple(sorted(index[n] for n in p)) for p, _ in greedy])
+    tries = [round_down(lengths, demand, replace(solved, times=solved.times * share), capacity) for share in SHARES]
+    return max([*tries, greedy], key=lambda patterns: sum(times for _, times in patterns))
+
+
 # ---- places ---------------------------------------------------------------------------------
 @dataclass
 class Places:
@@ -300,7 +321,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY,
     demand = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # below the capacity
     lengths = np.array(sorted(demand), np.int64)
     numbers = np.array([demand[n] for n in lengths.tolist()], np.int64)
-    patterns = round_down(lengths, numbers, solve(lengths, numbers, capacity, max_pivots=max_pivots), capacity)
+    patterns = whole_solution(lengths, numbers, capacity, max_pivots)
     at = places(demand, patterns, capacity)
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     before = counts.select("part", "length", F.coalesce(earlier, F.lit(0)).alias("before"))

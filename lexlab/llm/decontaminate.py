@@ -18,9 +18,9 @@ window.
    any order is a proximity match.
 
 A document is one row of the scan, its postings are made where it is read, and
-the only shuffles carry term counts and the few postings of each document; no
-step is keyed by a word, so a frequent word, passage or source cannot gather in
-a task.  The test side is broadcast after its size is checked
+the only shuffles carry term counts and the few postings of each document.  Counts are
+summed before they are shuffled by word; beyond ``MAX_BROADCAST_TERMS`` windows the
+postings meet the windows in a join by the anchor word, the window's rarest.  The test side is broadcast after its size is checked
 (``MAX_BROADCAST_TERMS`` words); a larger test vocabulary is worked off in blocks of
 that size, each against all documents.  DataFrame functions only.
 """

@@ -98,6 +98,25 @@ def test_columns_are_what_keeps_documents_whole():
     assert not none.patterns and none.cost == float(lengths @ counts)
 
 
+def run_tokens(patterns, demand):
+    left = dict(demand)
+    for lengths, times in patterns:
+        for s in lengths:
+            left[s] -= times
+    assert min(left.values()) >= 0
+    return sum(s * n for s, n in left.items())
+
+
+def test_the_program_leaves_less_than_the_greedy_fill_it_begins_with():
+    rng = np.random.default_rng(0)
+    lengths, counts = np.unique(np.concatenate([rng.integers(75, 105, 6000), rng.integers(30, 65, 4000)]), return_counts=True)
+    demand = dict(zip(lengths.tolist(), counts.tolist()))
+    greedy = C.round_down(lengths, counts, C.Solution([], np.zeros(0), np.zeros(len(lengths)), 0.0, 0), 256)
+    best = C.whole_solution(lengths, counts, 256)
+    assert run_tokens(best, demand) < 0.8 * run_tokens(greedy, demand)
+    assert run_tokens(C.whole_solution(lengths, counts, 256, max_pivots=0), demand) == run_tokens(greedy, demand)
+
+
 def check(rows, capacity=1024):
     sequences = defaultdict(list)
     for r in rows:
