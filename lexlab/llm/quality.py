@@ -1,8 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are the documents marked good, outside the held-out fold;
-unlabelled text is every document outside that fold without a mark.  Marks of bad documents are
-never used.  A linear score over style features of the whole text is fitted in
+unlabelled text is every document outside that fold without a mark.  Documents marked bad are
+on neither side; nothing else is learned from their marks.  A linear score over style features of the whole text is fitted in
 three steps, each by passes over one stored table of features that cover every
 document of the fold:
 
