@@ -19,16 +19,20 @@ A line that an earlier document has, but that does not align with its holder
 (the two share other lines in another order), is *left over*.  Documents with
 left-over lines are aligned, on all lines that they share, with further earlier
 ones: the first with the same neighbouring pair of shared lines, the first with
-the same shared lines throughout, and, for lines that are left even then, every
-earlier document with the line (of those with the same shared lines throughout
-the first, as they align alike).  So a line goes exactly if it aligns with its
-holder or with any other earlier document.
+the same shared lines throughout, and, for lines that are left even then, the
+other earlier documents with the line (of those with the same shared lines
+throughout the first, as they align alike), from the nearest back, 4 at first
+and 8 times as many in each further round, until the line aligns or none is
+left.  So a line goes exactly if it aligns with its holder or with any other
+earlier document.
 
 Lines, holders and matches travel as hashes and positions; a frequent hash
 meets its holder in a skew-splittable join of two stored tables, and lists are
-gathered per document only, never per line or per holder.  Only the last step
-can make more pairs than there are shared lines: lines still left, times the
-different sequences of shared lines that hold them.
+gathered per document only, never per line or per holder.  The rounds try
+documents back to the last one that aligns: documents that cross in the same
+way find each other, so the tries of each way of crossing add up to a multiple
+of the documents with the line, however many they are.  Only a line that crosses
+in a way of its own is tried with all of them.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import hashlib
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +49,10 @@ from lexlab.llm.common import batches
 from lexlab.session import stage_table
 
 MIN_WORDS = 5
+#: parts of the rows of a frequent key
+SALTS = 16
+#: earlier documents tried at first for a line that is still left, and the factor from one round to the next
+FIRST_TRIES, GROWTH = 4, 8
 
 
 def _hash(*parts: bytes) -> bytes:
@@ -112,6 +120,32 @@ def _further(signs: DataFrame, left: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("doc", "left", "keys", "e_keys").mapInArrow(align, schema).distinct()
 
 
+def _salted_join(rows: DataFrame, one: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for a key at most; the rows of
+    a frequent key are dealt to ``SALTS`` tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    each = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, [*on, "salt"])
+
+
+def _ranked(signs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``hash, doc, rank``: for each line of ``lines`` the first documents of the
+    different sequences of shared lines that hold it, numbered in their order.
+
+    Numbers come from two levels, within ranges of a sort and from the sums over
+    earlier ranges, so a frequent line is never numbered in one task."""
+    firsts = signs.groupBy("sign").agg(F.min("doc").alias("doc")).select("doc")
+    held = signs.join(firsts, "doc", "left_semi").select("doc", F.explode("keys").alias("hash"))
+    wanted = lines.select("hash").distinct()
+    ranges = _salted_join(held, wanted, ["hash"]).select("hash", "doc").repartitionByRange("hash", "doc")
+    ranges = stage_table(ranges.withColumn("part", F.spark_partition_id()), "ranges")
+    before = (ranges.groupBy("hash", "part").agg(F.count(F.lit(1)).alias("n"))
+              .select("hash", "part", (F.sum("n").over(Window.partitionBy("hash").orderBy("part")) - F.col("n")).alias("before")))
+    inside = F.row_number().over(Window.partitionBy("hash", "part").orderBy("doc"))
+    return stage_table(ranges.withColumn("inside", inside).join(before, ["hash", "part"])
+                       .select("hash", "doc", (F.col("before") + F.col("inside")).alias("rank")), "ranked")
+
+
 def _left_over(signs: DataFrame) -> DataFrame | None:
     """``doc, i`` of the left-over lines that align with an earlier document
     other than their holder; None if no line is left over."""
@@ -126,19 +160,32 @@ def _left_over(signs: DataFrame) -> DataFrame | None:
     every = (signs.filter(F.size("keys") > 1)
              .select("doc", F.explode(F.expr("transform(sequence(0, size(keys) - 2), j -> struct(keys[j] AS a, keys[j + 1] AS b))")).alias("p"))
              .select("doc", "p.a", "p.b"))
-    first = every.join(around.select("a", "b").distinct(), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min("doc").alias("e"))
-    alike = (signs.join(own.select("sign").distinct(), "sign", "left_semi").groupBy("sign").agg(F.min("doc").alias("e")))
-    near = (around.join(first, ["a", "b"]).select("doc", "e")
-            .unionByName(own.join(alike, "sign").select("doc", "e")).filter("e < doc"))
+    first = (_salted_join(every, around.select("a", "b").distinct(), ["a", "b"])
+             .groupBy("a", "b").agg(F.min("doc").alias("e")))
+    alike = (_salted_join(signs.select("doc", "sign"), own.select("sign").distinct(), ["sign"])
+             .groupBy("sign").agg(F.min("doc").alias("e")))
+    near = (_salted_join(around, first, ["a", "b"]).select("doc", "e")
+            .unionByName(_salted_join(own.select("doc", "sign"), alike, ["sign"]).select("doc", "e")).filter("e < doc"))
     found = stage_table(_further(signs, left, near), "aligned")
     rest = stage_table(left.join(found, ["doc", "i"], "left_anti"), "left")
     if rest.isEmpty():
         return found
-    lines = stage_table(rest.join(signs.select("doc", "keys"), "doc").select("doc", F.expr("keys[i]").alias("hash")), "left")
-    held = (signs.select("doc", "sign", F.explode("keys").alias("hash"))
-            .join(lines.select("hash").distinct(), "hash", "left_semi").groupBy("hash", "sign").agg(F.min("doc").alias("e")))
-    others = lines.join(held, "hash").filter("e < doc").select("doc", "e")
-    return found.unionByName(_further(signs, rest, others))
+    lines = stage_table(rest.join(signs.select("doc", "keys"), "doc").select("doc", "i", F.expr("keys[i]").alias("hash")), "left")
+    ranked = _ranked(signs, lines)
+    # a line that is left belongs to the first document with its sequence, so it has a rank itself
+    tries = stage_table(lines.join(ranked, ["hash", "doc"]), "tries")
+    low, width = 1, FIRST_TRIES
+    while True:
+        tries = tries.filter(F.col("rank") > low)
+        if tries.isEmpty():
+            return found
+        ranks = F.sequence(F.greatest(F.col("rank") - (low + width - 1), F.lit(1)), F.col("rank") - low)
+        others = (tries.select("doc", "hash", F.explode(ranks).alias("rank"))
+                  .join(ranked.withColumnRenamed("doc", "e"), ["hash", "rank"]).select("doc", "e"))
+        more = stage_table(_further(signs, tries.select("doc", "i"), others), "aligned")
+        found = found.unionByName(more)
+        tries = stage_table(tries.join(more, ["doc", "i"], "left_anti"), "tries")
+        low, width = low + width, width * GROWTH
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,

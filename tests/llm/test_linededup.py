@@ -114,3 +114,48 @@ def test_lines_crossed_in_their_holder(spark):
     for d, t in rows:
         assert got[d]["n_removed"] == len(want[d]), d
         assert got[d]["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d])
+
+
+def crossed(spark, n, mixed=False):
+    """A holder of ``b .. a``, then documents ``a, u, b`` (with ``mixed`` every third
+    ``b, u, a``), each ``u`` in two of them that are not neighbours."""
+    line = lambda c: F.concat_ws(" ", *[c] * 6)
+    a, b = line(F.lit("a")), line(F.lit("b"))
+    u = line(F.concat(F.lit("u"), (F.col("id") % (n // 2)).cast("string")))
+    body = F.concat_ws("\n", a, u, b)
+    turned = F.concat_ws("\n", b, u, a)
+    body = F.when((F.col("id") % 3 == 1) & F.lit(mixed), turned).otherwise(body)
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.concat_ws("\n", b, a).alias("text"))
+    return head.unionByName(spark.range(n).select(F.col("id").alias("doc_id"), body.alias("text")))
+
+
+def test_pairs_grow_with_the_rows(spark, monkeypatch):
+    plain, pairs = L._further, []
+
+    def counted(signs, left, found):
+        pairs.append(found.distinct().count())
+        return plain(signs, left, found)
+
+    monkeypatch.setattr(L, "_further", counted)
+    for mixed in (False, True):
+        made = {}
+        for n in (100, 400):
+            pairs.clear()
+            docs = crossed(spark, n, mixed)
+            got = {r["doc_id"]: r["n_removed"] for r in L.dedup_lines(docs).collect()}
+            made[n] = sum(pairs)
+            want = every_earlier([(r["doc_id"], r["text"]) for r in docs.collect()])
+            assert got == {d: len(g) for d, g in want.items()}
+        assert 0 < made[400] < 4.5 * made[100] + 50 and made[400] < 8 * 400
+    assert len(pairs) >= 2  # the first candidates do not do
+
+
+def test_rounds_reach_the_first_document(spark, monkeypatch):
+    # a line of its own way of crossing is tried with all earlier documents, and aligns with the very first
+    line = lambda c: " ".join([c] * 6)
+    text = lambda s: "\n".join(map(line, s.split()))
+    rows = [(0, text("b a")), (1, text("a z b"))] + [(d, text(f"b u{d % 60} a")) for d in range(2, 122)] + [(200, text("a y b")), (201, text("y"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in L.dedup_lines(df.repartition(5)).collect()}
+    assert got == {d: len(g) for d, g in every_earlier(rows).items()}
+    assert got[200] == 2
