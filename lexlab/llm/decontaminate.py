@@ -19,10 +19,12 @@ window.
 
 A document is one row of the scan, its postings are made where it is read, and
 the only shuffles carry term counts and the few postings of each document.  Counts are
-summed before they are shuffled by word; beyond ``MAX_BROADCAST_TERMS`` windows the
-postings meet the windows in a join by the anchor word, the window's rarest.  The test side is broadcast after its size is checked
-(``MAX_BROADCAST_TERMS`` words); a larger test vocabulary is worked off in blocks of
-that size, each against all documents.  DataFrame functions only.
+summed before they are shuffled by word, hits carry the number of their window, and
+item ids are joined to the windows of a document at the end.  The test side is broadcast
+after its rows and bytes are counted: a vocabulary beyond ``MAX_BROADCAST_TERMS`` words or
+``MAX_BROADCAST_BYTES`` is worked off in blocks of that size, each against all
+documents; windows beyond it meet the postings in a join by the anchor word.  Joins by
+a word or a window are salted, as either may be frequent.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ from pyspark.sql import functions as F
 from lexlab.session import stage_table
 
 MAX_BROADCAST_TERMS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
+#: parts of the rows of a frequent word or window
+SALTS = 16
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -52,12 +57,21 @@ def test_windows(items: DataFrame, window: int, *, key: str = "item_id", text: s
             .groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
-def _blocks(terms: DataFrame, n: int, limit: int) -> list[DataFrame]:
-    """The terms in hash blocks of about ``limit`` at most, each for a broadcast."""
-    k = max(1, -(-n // max(1, limit)))
+def _blocks(terms: DataFrame, n: int, n_bytes: int, limit: int) -> list[DataFrame]:
+    """The terms in hash blocks of about ``limit`` and ``MAX_BROADCAST_BYTES`` at
+    most, each for a broadcast."""
+    k = max(1, -(-n // max(1, limit)), -(-n_bytes // MAX_BROADCAST_BYTES))
     return [F.broadcast(terms.filter(F.pmod(F.xxhash64("term"), F.lit(k)) == b) if k > 1 else terms) for b in range(k)]
 
 
+def _salted_join(rows: DataFrame, by: str, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few`` on ``on``; rows with one value are dealt to
+    ``SALTS`` tasks by a hash of ``by``."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    each = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, [on, "salt"], how).drop("salt")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -80,26 +94,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, slop:
     ignored.
     """
     reach = window - 1 + (slop or 0)
-    wins = stage_table(test_windows(items, window, key=item_key, text=item_text), "test-windows")
+    wins = stage_table(test_windows(items, window, key=item_key, text=item_text)
+                       .withColumn("win_id", F.monotonically_increasing_id()), "test-windows")
     terms = wins.select(F.explode("win").alias("term")).distinct()
-    n_terms, n_windows = terms.count(), wins.count()
+    n_terms, term_bytes = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    n_windows, window_bytes = wins.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "win"))), F.lit(0))).first()
+    by_broadcast = n_windows <= max_broadcast_terms and window_bytes <= MAX_BROADCAST_BYTES
 
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
-    if n_terms > max_broadcast_terms:
+    if len(_blocks(terms, n_terms, term_bytes, max_broadcast_terms)) > 1:
         src = stage_table(src, "rows")  # several passes must see the same row numbers
     words = src.select("row", "__key", words_of(F.col("__text")).alias("words"))
     # 1. corpus counts of the test's words
     freq = _union([words.select(F.explode("words").alias("term")).join(block, "term")
                    .groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
-                   for block in _blocks(terms, n_terms, max_broadcast_terms)])
+                   for block in _blocks(terms, n_terms, term_bytes, max_broadcast_terms)])
     # 2. words of each window, rarest first
-    placed = wins.select("win", "items", F.posexplode("win").alias("at", "term"))
-    ordered = (placed.join(freq, "term", "left")
-               .groupBy("win", "items")
+    placed = wins.select("win_id", F.posexplode("win").alias("at", "term"))
+    ordered = (_salted_join(placed, "win_id", freq, "term", "left")
+               .groupBy("win_id")
                .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "at", "term")))
                     .alias("probes")))
     anchors = stage_table(ordered.select(F.col("probes")[0]["term"].alias("term"), F.col("probes")[0]["at"].alias("offset"),
-                                         "probes", "win", "items"), "anchors")
+                                         "probes", "win_id"), "anchors")
 
     # 3. postings of the anchor words, and one heading row per document (term '')
     anchor_terms = (anchors.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct())
@@ -111,12 +128,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, slop:
         tokens.join(block, "term")
         .select("row", "__key", "term", F.size("words").cast("long").alias("n_words"), at.alias("at"), lo.alias("lo"),
                 F.when(F.col("term") != "", F.slice("words", lo + 1, at - lo + 1 + reach)).alias("near"))
-        for block in _blocks(anchor_terms, n_terms, max_broadcast_terms)]), "postings")
+        for block in _blocks(anchor_terms, n_terms, term_bytes, max_broadcast_terms)]), "postings")
 
     # 4. intersect at adjusted offsets, from the rarest word on
-    found = (index.filter(F.col("term") != "")
-             .join(F.broadcast(anchors) if n_windows <= max_broadcast_terms else anchors, "term")
-             .withColumn("start", F.col("at") - F.col("offset")))
+    postings = index.filter(F.col("term") != "")
+    found = postings.join(F.broadcast(anchors), "term") if by_broadcast else _salted_join(postings, "row", anchors, "term")
+    found = found.withColumn("start", F.col("at") - F.col("offset"))
     phrase = F.forall("probes", lambda p: F.coalesce(
         F.try_element_at(F.col("near"), F.when(F.col("start") >= F.col("lo"), F.col("start") - F.col("lo") + p["at"] + 1)
                          .otherwise(F.lit(1_000_000_000))) == p["term"], F.lit(False)))
@@ -124,16 +141,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, slop:
     if slop is None:
         found = found.filter("exact")
     else:
-        around = F.size(F.array_except("win", "near")) == 0
+        around = F.size(F.array_except(F.transform("probes", lambda p: p["term"]), "near")) == 0
         found = found.filter(F.col("exact") | around)
     hits = found.select(
-        "row",
-        F.when(F.col("exact"), F.struct(F.col("start").alias("start"), (F.col("start") + F.size("win")).alias("end"))).alias("span"),
-        F.when(F.col("exact"), F.col("items")).alias("items"),
-        F.when(~F.col("exact"), F.col("items")).alias("near"))
-    per_doc = hits.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("all_spans"),
-                                      F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-                                      F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
+        "row", "win_id", "exact",
+        F.when(F.col("exact"), F.struct(F.col("start").alias("start"), (F.col("start") + F.size("probes")).alias("end"))).alias("span"))
+    hits = stage_table(hits, "hits")
+    spans_of = hits.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("all_spans"))
+    listed = _salted_join(hits.select("row", "win_id", "exact").distinct(), "row", wins.select("win_id", "items"), "win_id")
+    items_of = listed.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("exact"), F.col("items"))))).alias("items"),
+                                         F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("exact"), F.col("items"))))).alias("near"))
+    per_doc = spans_of.join(items_of, "row")
     no_spans = F.array().cast("array<struct<start:int,end:int>>")
     no_items = F.array().cast("array<string>")
 

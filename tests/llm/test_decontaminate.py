@@ -73,3 +73,25 @@ def test_oracle(spark):
     assert res["match"], res
     assert df.filter("contaminated").count() > 0
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_broadcast_is_bounded_by_bytes(spark, monkeypatch):
+    # giant words: few windows, but more bytes than are broadcast
+    docs, items = DOCS + [(9, "w" * 3_000 + " a b c d e f")], ITEMS + [(11, "w" * 3_000 + " a")]
+    want = brute(docs, items, 3)
+    for limit in (D.MAX_BROADCAST_BYTES, 1_000):
+        monkeypatch.setattr(D, "MAX_BROADCAST_BYTES", limit)
+        got = run(spark, docs, items, window=3)
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got), key=repr) == want
+
+
+def test_window_shared_by_many_items_and_documents(spark):
+    docs = [(d, f"one two three four d{d}") for d in range(200)]
+    items = [(i, "one two three four") for i in range(50)] + [(99, "three four d7")]
+    got = {r["doc_id"]: r for r in run(spark, docs, items, window=4)}
+    every = sorted(map(str, range(50)))
+    assert all(r["n_hit"] == (5 if d == 7 else 4) and list(r["items"]) == (sorted(every + ["99"]) if d == 7 else every)
+               for d, r in got.items())
+    # a window's items do not travel with its hits
+    plan = D.decontaminate(*(spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id"))))
+    assert "salt" in plan._jdf.queryExecution().toString()
