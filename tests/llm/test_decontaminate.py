@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from lexlab.llm import decontaminate as D
 from tests.conftest import SF_SMALL
 
@@ -95,3 +97,11 @@ def test_window_shared_by_many_items_and_documents(spark):
     # a window's items do not travel with its hits
     plan = D.decontaminate(*(spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id"))))
     assert "salt" in plan._jdf.queryExecution().toString()
+
+
+def test_words_are_the_matches(spark):
+    texts = ["", " ", "A", " a  B ", "été x_y-9", "\U0001f600 ab\U0001f600", "\x00a\x7fb\x80c", "É,É", "a\n\nb\r"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").select("text", D.words_of(F.col("text")).alias("w")).collect()
+    for r in rows:
+        low = "".join(c.lower() if c.isascii() else c for c in r["text"] or "")
+        assert list(r["w"]) == re.findall(D.WORD, low)
