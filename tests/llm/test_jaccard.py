@@ -117,3 +117,15 @@ def test_components(spark):
                 changed = True
     assert res == {n: r for n, r in up.items() if n != r}
     assert J.components(spark.range(0).select(F.col("id").alias("hi"), F.col("id").alias("lo"))).count() == 0
+
+
+def test_recall_as_shipped(spark):
+    """Pairs about the threshold, with the default parameters, against all pairs."""
+    rng = random.Random(11)
+    rows = [(d, t) for d, t in enumerate(t for _ in range(400) for t in near_copies(rng, 150, 3, 4))]
+    want = brute(rows)
+    found = got(J.jaccard_classes(frame(spark, rows)))
+    links = {d: n for d, _, n in want}
+    assert all(n <= links[d] for d, _, n in found)
+    total, hit = sum(links.values()), sum(n for _, _, n in found)
+    assert total > 1_000 and hit >= J.RECALL * total, (hit, total)
