@@ -16,11 +16,12 @@ DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bi
 
 
 def read_documents_stream(spark: SparkSession, folder: str, file_glob: str = "documents.parquet",
-                          max_files_per_trigger: int = 1) -> DataFrame:
+                          max_files_per_trigger: int = 64) -> DataFrame:
+    """The tables of ``folder`` that ``file_glob`` names: files, or folders of files.  (The braces make
+    the path a pattern; as a plain path, a table of one file would be refused as no folder.)"""
     return (spark.readStream.format("parquet").schema(DOC_SCHEMA)
-            .option("pathGlobFilter", file_glob)
             .option("maxFilesPerTrigger", max_files_per_trigger)
-            .load(folder))
+            .load(f"{folder.rstrip('/')}/{{{file_glob}}}"))
 
 
 def score_projection(df: DataFrame, seed: int = 42, text_col: str = "text") -> DataFrame:

@@ -98,3 +98,22 @@ def test_rows_are_counted_inside_the_run(spark):
     assert all(r["sec"] > 0 for r in log.collect())
     got = {r["step"]: r for r in G.latency_report(log, "sec", ("step",)).collect()}
     assert got["a"]["n"] == 3 and got["a"]["p50"] <= got["a"]["p95"] <= got["a"]["max"]
+
+
+def test_stream_scores_a_table_of_one_file_and_of_many(spark):
+    from lexlab.streaming import scorer as ST
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id")).alias("text"), F.lit("en").alias("lang"),
+                                  F.lit("web").alias("source"), F.lit(5).cast("long").alias("n_chars"))
+    many, one = scratch_path(spark, "many"), scratch_path(spark, "one")
+    docs.repartition(3).write.parquet(f"{many}/documents.parquet")
+    docs.limit(1).write.parquet(f"{many}/other.parquet")
+    docs.coalesce(1).write.parquet(f"{one}/parts")
+    name = next(f for f in spark.read.parquet(f"{one}/parts").inputFiles()).rsplit("/", 1)[1]
+    import os
+    import shutil
+    shutil.copy(f"{local_path(one)}/parts/{name}", f"{local_path(one)}/documents.parquet")
+    assert os.path.isfile(f"{local_path(one)}/documents.parquet")
+    want = sorted(map(str, ST.score_projection(docs).collect()))
+    for root in (many, one):
+        got = ST.score_stream(spark, root, f"{root}/out", f"{root}/ckpt")
+        assert sorted(map(str, got.collect())) == want
