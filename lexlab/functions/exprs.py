@@ -87,14 +87,16 @@ def argmax(arr: str | Column) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, as the element of a one-element array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(arr: str | Column) -> Column:
     """Max-shifted softmax of a double array.
 
-    The maximum, the exponentials and their sum are each bound once (as the
-    element of a one-element array), not worked out again per element."""
-    def bound(value: Column, use) -> Column:
-        return F.transform(F.array(value), use)[0]
-
+    The maximum, the exponentials and their sum are each bound once, not
+    worked out again per element."""
     def shares(e: Column) -> Column:
         return bound(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x).alias("s")),
                      lambda t: F.transform(t["e"], lambda x: x / t["s"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexlab.functions.exprs import col, hex8_to_long
+from lexlab.functions.exprs import bound, col, hex8_to_long
 
 # Word tokens: maximal runs of Unicode letters, digits and underscore.
 # The class syntax means the same in Java regex and RE2.
@@ -31,11 +31,14 @@ def char_ngrams(text: str | Column, n: int = 3) -> Column:
     text length (no per-gram substring scans).
     """
     s = F.regexp_replace(F.lower(col(text)), WORD_SPLIT, " ")
-    chars = F.split(F.concat(F.lit(" "), s, F.lit(" ")), "(?!$)")
-    grams = chars
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(chars, k + 1, F.size(chars)), lambda x, y: F.concat(x, y))
-    return F.array_compact(grams)
+
+    def joined(chars: Column) -> Column:
+        grams = chars
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(chars, k + 1, F.size(chars)), lambda x, y: F.concat(x, y))
+        return F.array_compact(grams)
+
+    return bound(F.split(F.concat(F.lit(" "), s, F.lit(" ")), "(?!$)"), joined)
 
 
 def token_index(t: Column, num_features: int) -> Column:

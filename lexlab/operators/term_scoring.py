@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlab.functions.exprs import argmax, softmax
-from lexlab.functions.text import word_tokens
+from lexlab.operators.counting import word_counts
 from lexlab.session import stage_table
 
 
 def term_counts(df: DataFrame, text_col: str = "sentence", key_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
-    """``key, keep..., term, n`` of whole texts: one shuffle, by the key."""
-    return (df.repartition(F.col(key_col)).select(key_col, *keep, F.explode(word_tokens(text_col)).alias("term"))
-            .groupBy(key_col, *keep, "term").agg(F.count(F.lit(1)).alias("n")))
+    """``key, keep..., term, n`` of whole texts: one shuffle, of the texts."""
+    return word_counts(df, text_col, [key_col, *keep])
 
 
 @dataclass

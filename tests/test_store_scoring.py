@@ -139,3 +139,13 @@ def test_no_window_over_a_bucket(spark):
     plan = T.pad_batches(df)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\n") if "Window [" in line]
     assert windows and not any(re.search(r", \[bucket#\d+\], ", line) for line in windows)
+
+
+def test_words_are_counted_in_batches_without_a_table_of_pairs(spark):
+    rows = [(1, "b a b", 0), (1, "b c", 0), (1, "c", 1), (None, "x X", 2), (None, None, 2), (3, None, None), (4, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, sentence string, label int").repartition(4)
+    got = TS.term_counts(df, keep=["label"])
+    assert Counter(tuple(r) for r in got.collect()) == Counter(
+        [(1, 0, "a", 1), (1, 0, "b", 3), (1, 0, "c", 1), (1, 1, "c", 1), (None, 2, "x", 2)])
+    assert [f.simpleString() for f in got.schema] == ["doc_id:bigint", "label:int", "term:string", "n:bigint"]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row per word before they are counted
