@@ -5,7 +5,7 @@ are what the driver walks.  Every fit and every evaluation is a distributed
 Spark job, and only metric rows and the results table reach the driver.
 
 * prepared rows are persisted once per feature set and released at the end,
-  whatever happens in between;
+  whatever happens in between; texts are split and hashed there, once, and not in each fit;
 * the split is computed once (seed 42) and shared by every run;
 * ``char3_tfidf`` trains in the finance family's label order (labels are
   recoded with one projection);
@@ -70,10 +70,12 @@ def grid(spark: SparkSession, seeds: Sequence[int] = LADDER_SEEDS, experiments:
 
 
 def prepare(labelled_split: DataFrame, feature_set: str, family: str) -> DataFrame:
-    """Rows of one feature set: labels in the family's order, hashed ids for the fixed head."""
+    """Rows of one feature set: labels in the family's order, hashed counts ``_tf`` for the
+    fits, and hashed ids of the test rows for the fixed head, which scores only those."""
     df = remap_labels(labelled_split.select("doc_id", "sentence", "label", "split"), "general", family)
     toks = word_tokens("sentence") if feature_set == "word_tfidf" else char_ngrams("sentence", 3)
-    return df.withColumn("idx", token_indices(toks, TR.NUM_FEATURES))
+    ids = F.when(F.col("split") == "test", token_indices(toks, TR.NUM_FEATURES))
+    return TR.counting(feature_set).transform(df.withColumn("idx", ids)).select("doc_id", "label", "split", "_tf", "idx")
 
 
 def _eval_f1(pred: DataFrame, n_classes: int = 3) -> dict[str, float]:
@@ -91,13 +93,13 @@ def _run(prepared: DataFrame, experiment_id: str, seed: int, max_iter: int, out_
     train = prepared.filter((F.col("split") == "train") & H.in_fit(seed))
     counts = TR.class_counts(train)
     started = time.perf_counter()
-    model = TR.fit(TR.with_weights(train, TR.class_weights(train, counts=counts)), fs, method, max_iter=max_iter)
+    model, whole = TR.fit_counted(TR.with_weights(train, TR.class_weights(train, counts=counts)), fs, method, max_iter)
     sec, n_train = time.perf_counter() - started, sum(counts.values())
     f1 = _eval_f1(TR.predict(model, prepared.filter(F.col("split") != "train")))
     trainable, total = TR.trained_params(model, TR.NUM_FEATURES)
     name = W.output_dir_name(experiment_id, seed)
     if out_dir:
-        TR.save_model(model, f"{out_dir}/models/{name}")
+        TR.save_model(whole, f"{out_dir}/models/{name}")
     row = (experiment_id, fs, method, seed, f1.get("test"), f1.get("validation"), trainable, total, None, name)
     return row, (experiment_id, seed, round(sec, 3), n_train, round(n_train / sec, 1) if sec > 0 else None)
 

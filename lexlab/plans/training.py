@@ -85,6 +85,18 @@ def fit(train: DataFrame, feature_set: str, method: str, max_iter: int = 50, **k
     return Pipeline(stages=feature_stages(feature_set, **kw) + head_stages(method, max_iter=max_iter)).fit(train)
 
 
+def counting(feature_set: str) -> PipelineModel:
+    """The stages before IDF of a text feature set, which learn nothing: tokens and hashed counts ``_tf``."""
+    return PipelineModel(feature_stages(feature_set)[:-1])
+
+
+def fit_counted(train: DataFrame, feature_set: str, method: str, max_iter: int = 50) -> tuple[PipelineModel, PipelineModel]:
+    """:func:`fit` on rows that :func:`counting` has been through: the model for such rows,
+    and the whole one, for texts."""
+    fitted = Pipeline(stages=feature_stages(feature_set)[-1:] + head_stages(method, max_iter=max_iter)).fit(train)
+    return fitted, PipelineModel(counting(feature_set).stages + fitted.stages)
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add pred (int) and confidence (max class probability)."""
     out = model.transform(df)

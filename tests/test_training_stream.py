@@ -160,3 +160,16 @@ def test_registered_ladders_run_whole_and_agreement_selects(spark, monkeypatch):
     LD.ladder_with_sinks(spark, rows, out, agreement="75")
     assert seen[-1][0] == rows.filter("agreement_pct >= 75").count() < rows.count()
     assert '"agreement":"75"' in "".join(r.value for r in spark.read.text(f"{out}/run_config").collect()).replace(" ", "")
+
+
+def test_texts_are_hashed_once_for_all_fits_of_a_feature_set(spark):
+    split = S.text_split(spark, SF_SMALL)
+    ready = LD.prepare(split, "char3_tfidf", "finance")
+    assert "sentence" not in ready.columns and ready.filter("split <> 'test' and idx is not null").count() == 0
+    train = TR.with_weights(ready.filter("split = 'train'"), {0: 1.0, 1: 2.0, 2: 0.5}).persist()
+    model, whole = TR.fit_counted(train, "char3_tfidf", "head_only", 5)
+    assert len(whole.stages) == len(model.stages) + len(TR.counting("char3_tfidf").stages)
+    a = {r["doc_id"]: r["pred"] for r in TR.predict(model, ready).select("doc_id", "pred").collect()}
+    b = {r["doc_id"]: r["pred"] for r in TR.predict(whole, split).select("doc_id", "pred").collect()}
+    assert a == b
+    train.unpersist()
