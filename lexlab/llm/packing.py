@@ -55,10 +55,10 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
 
     def run(frames):
         uid, enc = TaskContext.get().partitionId() << 40, encoder(tokenizer)
-        for batch in batches(frames):
+        for batch in batches(frames, 4 << 20):
             rows, of = [], []
-            for i, body in enumerate(batch.column(1)):
-                ids = enc.encode(body.as_py() or "") + end
+            for i, ids in enumerate(enc.encode_all(batch.column(1))):
+                ids = ids.as_py() + end
                 for k in range(0, len(ids), step):
                     part = ids[k:k + step]
                     rows.append((uid, k // step, k // 4, len(part) // 4, zlib.crc32(part)))

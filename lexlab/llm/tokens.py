@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE = 400_000  # words kept by a worker; more are worked out again
+LONG = 64  # characters; words of more are not kept
 
 _BYTES = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _REST = [b for b in range(256) if b not in set(_BYTES)]
@@ -15,19 +19,24 @@ _REST = [b for b in range(256) if b not in set(_BYTES)]
 _ALPHABET = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(_REST)}
 
 #: characters whose normal form, lower case and class are the same alone as in any text
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+_PARTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
 #: the splitting that the parts above repeat for those characters
 _KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
     """``encode(text)`` gives the ids as little-endian 32-bit bytes, the same
-    as the tokenizer's own ``encode(text, add_special_tokens=False)``.
+    as the tokenizer's own ``encode(text, add_special_tokens=False)``;
+    ``encode_all(column)`` gives them for every row of an Arrow column.
 
     For a tokenizer that drops white space before its words, ids of a text are
-    those of its chunks between blanks one after the other, so they are worked
-    out once per distinct chunk.  Any other tokenizer encodes each text whole.
+    those of its words one after the other.  Arrow cuts the column into chunks
+    between blanks and the distinct chunks into words; the distinct words are
+    encoded at once.  Where the file is of the kind whose ids are its merges in
+    order (checked at load), ``tiktoken`` works the same ids out in one call;
+    words of other files, long words and chunks of other characters go to
+    ``tokenizers`` itself and are kept.  Any other tokenizer encodes each text whole.
     """
 
     def __init__(self, path: str):
@@ -44,46 +53,113 @@ class Encoder:
                                      for t in spec.get("added_tokens", [])))
         self.added = [t["content"][:2] for t in spec.get("added_tokens", [])]
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
+        self.words = _Words(self._word)
+        self.ranked, self.last = _ranked(spec["model"]) if self.by_chunk else (None, None)
 
-    @staticmethod
-    def _bytes(ids) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            level = w if w.isascii() else "".join([_ALPHABET[b] for b in w.encode()])
-            got = self.words[w] = self._bytes([t.id for t in self.model.tokenize(level)])
-        return got
-
-    def chunk(self, c: str) -> bytes:
-        if not c:
+    def _word(self, w: str) -> bytes:
+        if not w:
             return b""
-        if _PLAIN.fullmatch(c) and not any(a in c for a in self.added):
-            return b"".join([self.word(p) for p in _PARTS.findall(c.lower())])
-        return self._bytes(self.tokenizer.encode(c, add_special_tokens=False).ids)
+        if w[0] == "\n":
+            return self._whole(w[1:])
+        ids = [t.id for t in self.model.tokenize(w if w.isascii() else "".join([_ALPHABET[b] for b in w.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _parted(self, chunks: pa.Array) -> pa.Array:
+        """Chunks in lower case with a blank after each word; those that only the tokenizer
+        itself can take stay as they are, marked by a line break before them."""
+        plain = pc.match_substring_regex(chunks, _PLAIN)
+        for a in self.added:
+            plain = pc.and_not(plain, pc.match_substring(chunks, a))
+        low = pc.utf8_lower(chunks)
+        several = pc.and_not(plain, pc.utf8_is_alpha(low))
+        low = pc.replace_with_mask(low, several, pc.replace_substring_regex(low.filter(several), _PARTS, r"\1 "))
+        mark, nothing = (pa.scalar(c, chunks.type) for c in ("\n", ""))
+        return pc.if_else(plain, low, pc.binary_join_element_wise(mark, chunks, nothing))
 
     def encode(self, text: str) -> bytes:
-        if not self.by_chunk:
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
 
-
-class _Chunks(dict):
-    def __init__(self, encoder: Encoder):
+    def encode_all(self, column: pa.Array) -> pa.Array:
+        """Ids of each row of a string column as binary; null is empty."""
+        column = column.fill_null("")
+        if not self.by_chunk:
+            return pa.array([self._whole(text.as_py()) for text in column], pa.large_binary())
+        rows = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        chunks = rows.flatten().dictionary_encode()
+        parts = pc.split_pattern(self._parted(chunks.dictionary), " ")
+        words = parts.flatten().dictionary_encode()
+        ids = self._ids(words.dictionary).take(words.indices)
+        return _joined(_joined(ids, parts).take(chunks.indices), rows)
+
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """Ids of each distinct word."""
+        length = pc.utf8_length(words).to_numpy()
+        single = np.full(len(words), self.ranked is None) | (length == 0) | (length >= LONG)
+        single |= pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        alone = words.filter(pa.array(single)).to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(list(map(self.words.__getitem__, alone)), pa.large_binary())
+        if len(alone) == len(words):
+            return ids
+        rest = words.filter(pa.array(~single))
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(rest)], rest), pa.scalar("\n", rest.type))[0].as_py()
+        found = self.ranked.encode_to_numpy(text + "\n", disallowed_special=()).astype("<u4", copy=False)
+        at = np.concatenate([[0], 4 * (np.flatnonzero(self.last[found]) + 1)])
+        together = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(found)])
+        place = np.where(single, np.cumsum(single) - 1, len(alone) + np.cumsum(~single) - 1)
+        return pa.concat_arrays([ids, together]).take(pa.array(place))
+
+
+def _ranked(model: dict):
+    """``tiktoken`` for single words of a byte-level file with marks at the ends of words,
+    and which of its ids end a word; none for other files.  A line break, which no word
+    holds, stands for the mark."""
+    mark, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    base = {c + e for c in _ALPHABET.values() for e in ("", mark or "")}
+    if (model.get("type") != "BPE" or not mark or model.get("continuing_subword_prefix") or model.get("dropout")
+            or model.get("byte_fallback") or model.get("ignore_merges") or len(vocab) != len(base) + len(merges)
+            or any(vocab.get(c, len(base)) >= len(base) for c in base)
+            or any(vocab.get(a + b) != len(base) + i for i, (a, b) in enumerate(merges))):
+        return None, None
+    import tiktoken
+    letters, last, ranks = {c: b for b, c in _ALPHABET.items()}, np.zeros(len(vocab), bool), {}
+    for s, i in vocab.items():
+        last[i] = s.endswith(mark)
+        ranks[bytes(map(letters.__getitem__, s.removesuffix(mark))) + b"\n" * int(last[i])] = i
+    if len(ranks) != len(vocab):
+        return None, None
+    return tiktoken.Encoding("words", pat_str=r"[^\n]*\n", special_tokens={}, mergeable_ranks=ranks), last
+
+
+def _joined(items: pa.Array, lists: pa.Array) -> pa.Array:
+    """The bytes of each list's items, one after the other; ``items`` are those of all lists."""
+    _, ends, data = items.buffers()
+    first = lists.offsets.to_numpy()
+    at = np.frombuffer(ends, np.int64)[items.offset + first - first[0]]
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at), data])
+
+
+class _Words(dict):
+    """Ids of words.  When half of ``CACHE`` is in use, the words of the half before
+    it go, but for those used since then."""
+
+    def __init__(self, work):
         super().__init__()
-        self.encoder = encoder
+        self.work, self.older = work, {}
 
-    def __missing__(self, c: str) -> bytes:
-        got = self.encoder.chunk(c)
-        if len(c) < 64:
-            self[c] = got
+    def __missing__(self, w: str) -> bytes:
+        got = self.older.get(w)
+        if got is None:
+            got = self.work(w)
+        if len(w) < LONG:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
+            self[w] = got
         return got
 
 

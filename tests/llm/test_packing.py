@@ -7,10 +7,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from lexlab.llm import packing as K
+from lexlab.llm import tokens
 from lexlab.llm.tokens import Encoder
 from tests.conftest import SF_SMALL
 
@@ -34,6 +36,63 @@ def test_ids_are_the_tokenizers_own(tok):
         assert enc.encode(t) == struct.pack(f"<{len(ids)}I", *ids), repr(t)
 
 
+def own_ids(tok, text):
+    ids = tok.encode(text or "", add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@pytest.mark.parametrize("ranked", [True, False])
+def test_columns_are_encoded_row_by_row(tok, ranked):
+    enc = Encoder(PATH)
+    assert enc.ranked is not None
+    if not ranked:
+        enc.ranked = None
+    texts = ["left out", None, "", "It's 2024, don't\n\nPANIC!", " ", "ÀÉ ß 中文 中文", "x" * 500 + " <|endoftext|>", "\n", "it's"]
+    for kind in (pa.string(), pa.large_string()):
+        got = enc.encode_all(pa.array(texts, kind).slice(1)).to_pylist()
+        assert got == [own_ids(tok, t) for t in texts[1:]]
+        for some in ([], [None], ["", ""], ["中"], ["y" * 100]):
+            assert enc.encode_all(pa.array(some, kind)).to_pylist() == [own_ids(tok, t) for t in some]
+
+
+def test_words_encoded_together_are_the_tokenizers_own(tok):
+    rng, enc = random.Random(9), Encoder(PATH)
+    known = [w.removesuffix("</w>") for w in tok.get_vocab()]
+    known = sorted(w for w in known if w.isascii() and w.isalpha())
+    words = known + ["".join(rng.choices(known, k=rng.randint(2, 4))) for _ in range(20000)]
+    words += ["".join(rng.choices("aeioußäöüéèçñthrsn", k=rng.randint(1, 20))) for _ in range(20000)]
+    words = list(dict.fromkeys(w.lower() for w in words if len(w) < tokens.LONG))
+    got = enc.encode_all(pa.array(words)).to_pylist()
+    assert [w for w, g in zip(words, got) if g != own_ids(tok, w)] == []
+
+
+class Counted:
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, w):
+        self.calls += 1
+        return self.model.tokenize(w)
+
+
+def test_new_words_are_not_encoded_one_by_one():
+    rng, enc = random.Random(10), Encoder(PATH)
+    enc.model = Counted(enc.model)
+    words = ["".join(rng.choices("abcdefgh", k=12)) for _ in range(5000)]
+    assert all(enc.encode_all(pa.array([" ".join(words), "z" * 100 + ", " + words[0]])).to_pylist())
+    assert enc.model.calls == 1  # the long word
+
+
+def test_kept_words_in_use_stay_when_there_are_too_many(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 20)
+    enc = Encoder(PATH)
+    enc.ranked, enc.model = None, Counted(enc.model)
+    for i in range(300):
+        enc.encode_all(pa.array(["used again", "a" * (i % 60 + 1) + "b" * (i // 60)]))
+    assert enc.model.calls <= 302
+    assert len(enc.words) + len(enc.words.older) <= 20
+
+
 def check(rows, capacity=2048):
     seqs = defaultdict(list)
     for r in rows:
