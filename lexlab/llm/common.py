@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+#: bytes of a slice for work that makes some sixty bytes of arrays for each byte of text
+FINE = 256 << 10
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -87,13 +89,15 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def batches(frames, n_bytes: int = 2 << 20):
     """Arrow record batches cut into slices of about ``n_bytes`` (one row at
     least), so that what a task holds at once follows its longest text and not
-    the number of rows of a batch."""
+    the number of rows of a batch.  What Arrow keeps of freed memory goes back
+    after each batch, as the worker stays for the tasks that come later."""
     for batch in frames:
         if batch.num_rows == 0:
             continue
         rows = max(1, int(batch.num_rows * n_bytes / max(1, batch.nbytes)))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def fill_exactly(counts: dict[int, int], capacity: int, must: int) -> list[int] | None:

@@ -121,7 +121,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, slop:
                                          "probes", "win_id"), "anchors")
 
     # 3. postings of the anchor words, and one heading row per document (term '')
-    anchor_terms = (anchors.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct())
+    anchor_terms = (anchors.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct())
     tokens = words.select("row", "__key", "words", F.posexplode_outer(F.concat(F.array(F.lit("")), F.col("words"))).alias("i", "term"))
     at = F.col("i") - 1
     lo = F.greatest(at - reach, F.lit(0))

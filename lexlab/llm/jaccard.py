@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlab.llm.common import U, batches, shingle_hashes, splitmix, utf8, word_hashes
+from lexlab.llm.common import FINE, U, batches, shingle_hashes, splitmix, utf8, word_hashes
 from lexlab.session import stage_table
 
 SHINGLE = 5
@@ -319,7 +319,7 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, threshold: floa
     nodes = _roots(runs_for(recall, depth))
 
     def first(frames):
-        for batch in batches(frames):
+        for batch in batches(frames, FINE):
             ids, picks = [], []
             for raw, tokens in _sets(batch, shingle):
                 body = tokens.tobytes() if len(tokens) else b"no words" + raw.tobytes()
@@ -345,7 +345,7 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, threshold: floa
             rows = src.join(want, F.col("__key").eqNullSafe(F.col("r_key")) & F.col("__th").eqNullSafe(F.col("r_th")))
 
             def tokens(frames):
-                for batch in batches(frames):
+                for batch in batches(frames, FINE):
                     got = [t for _, t in _sets(batch, shingle)]
                     offs = np.cumsum([0] + [len(t) for t in got])
                     yield pa.RecordBatch.from_arrays(

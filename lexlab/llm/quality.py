@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlab.llm.common import batches, utf8, word_hashes
+from lexlab.llm.common import FINE, batches, utf8, word_hashes
 from lexlab.session import stage_table
 
 PREDICT_FROM = 0.3
@@ -114,7 +114,7 @@ def feature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     schema = T.StructType([src.schema["__key"], T.StructField("x", T.ArrayType(T.FloatType()))])
 
     def run(frames):
-        for batch in batches(frames):
+        for batch in batches(frames, FINE):
             x = features(batch.column(1)).astype(np.float32)
             offs = pa.array(np.arange(0, x.size + 1, DIMENSIONS), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offs, pa.array(x.ravel()))],
@@ -316,7 +316,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     at = docs.columns.index(text)
 
     def run(frames):
-        for batch in batches(frames):
+        for batch in batches(frames, FINE):
             yield batch.filter(pa.array(model.scores(features(batch.column(at))) >= PREDICT_FROM))
 
     return docs.mapInArrow(run, docs.schema)

@@ -105,3 +105,15 @@ def test_words_are_the_matches(spark):
     for r in rows:
         low = "".join(c.lower() if c.isascii() else c for c in r["text"] or "")
         assert list(r["w"]) == re.findall(D.WORD, low)
+
+
+def test_needs_no_rows_of_the_driver(spark, monkeypatch):
+    # rows made in Python go through Python workers, which then stay in the executors
+    docs, items = (spark.createDataFrame(x, f"{k} long, text string") for x, k in ((DOCS, "doc_id"), (ITEMS, "item_id")))
+
+    def refused(*a, **k):
+        raise AssertionError("rows made on the driver")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    got = D.decontaminate(docs, items, window=3).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got), key=repr) == brute(DOCS, ITEMS, 3)

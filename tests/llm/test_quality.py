@@ -1,11 +1,15 @@
 """Positive-unlabelled classifier: held-out accuracy, the risk, and edge cases."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from lexlab.llm import common as C
+from lexlab.llm import jaccard as J
 from lexlab.llm import quality as Q
 from tests.conftest import SF_MID, SF_SMALL
 
@@ -106,3 +110,50 @@ def test_fit_stands_at_the_least_risk(spark):
         way = rng.normal(0, 1, len(theta))
         lower = max(lower, here - risk(theta + 0.01 * way / np.linalg.norm(way)))
     assert lower < 2e-4 and here < risk(np.zeros(len(theta)))
+
+
+class Task(Exception):
+    """Holds the function that a query gives to ``mapInArrow``."""
+
+
+@pytest.mark.parametrize("query", ["feature_table", "keep_good", "classes"])
+def test_what_a_task_holds(spark, monkeypatch, query):
+    def caught(self, run, schema):
+        raise Task(run)
+
+    docs = spark.createDataFrame([], "doc_id long, hash long, text string")
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "hash": [0] * 2000,
+                                       "text": [" ".join(f"w{i * j % 977}" for j in range(600)) for i in range(2000)]})
+    monkeypatch.setattr(type(docs), "mapInArrow", caught)
+    monkeypatch.setattr(Q, "train", lambda *a, **k: (Q._unlearned(), None))
+    with pytest.raises(Task) as made:
+        {"feature_table": lambda: Q.feature_table(docs, "doc_id", "text"), "keep_good": lambda: Q.keep_good(docs, None),
+         "classes": lambda: J.one_of_each(docs)}[query]()
+    of = rows.select(["doc_id", "text"]) if query == "feature_table" else rows
+    tracemalloc.start()
+    try:
+        for _ in made.value.args[0](iter([of])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 50e6  # 2 MB of text at once took more than 100 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_freed_memory_goes_back_after_each_batch(monkeypatch):
+    class Pool:
+        calls = 0
+
+        def release_unused(self):
+            Pool.calls += 1
+
+    rows = pa.RecordBatch.from_pydict({"text": ["a" * 100] * 50})
+    monkeypatch.setattr(C.pa, "default_memory_pool", Pool)
+    after = [Pool.calls for _ in C.batches([rows, rows.slice(0, 0), rows], 1000)]
+    assert after == sorted(after) and after[0] == 0 and after[-1] == 1 and Pool.calls == 2
+
+
+def test_slices_do_not_change_features():
+    rows = pa.RecordBatch.from_pydict({"text": ["", None, "x" * 70_000, "A b\nc, d é 中", "w " * 40_000, "end"] * 3})
+    whole = Q.features(rows.column(0))
+    for n in (1, 1000, C.FINE):
+        assert np.array_equal(np.vstack([Q.features(b.column(0)) for b in C.batches([rows], n)]), whole)
