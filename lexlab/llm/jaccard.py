@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexlab.llm.common import FINE, U, batches, shingle_hashes, splitmix, utf8, word_hashes
-from lexlab.session import stage_table
+from lexlab.session import forget_shuffles, stage_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -332,6 +332,7 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, threshold: floa
                  pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(picks), pa.int64()))],
                 names=schema.names)
 
+    forget_shuffles(spark)
     members = stage_table(src.mapInArrow(first, schema), "members")
     reps = stage_table(members.groupBy("a", "b").agg(F.min(F.struct("__key", "__th")).alias("rep"), F.count(F.lit(1)).alias("copies"),
                                                      F.first("picks").alias("picks"))
@@ -369,6 +370,7 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, threshold: floa
     rows = tasks.join(info, "nid").select("g", "i", "j", "side", "nid", "tokens", "groups", "copies")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n_parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    forget_shuffles(spark)
     found = stage_table(_verify(rows, threshold), "links")
     comps = components(found.select(F.col("nid").alias("hi"), F.col("root").alias("lo")))
     total = found.groupBy("nid").agg(F.sum("links").alias("links"))

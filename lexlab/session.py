@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -105,3 +107,14 @@ def drop_staged(*tables) -> None:
             fs = p.getFileSystem(conf)
             if fs.makeQualified(p).toString().startswith(top):
                 fs.delete(p, True)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs that no DataFrame
+    refers to any more.  It does so by itself once the driver's JVM collects
+    garbage, which a large heap may put off for several jobs.  Asked for twice:
+    what Python has let go of may reach the JVM after the first time only."""
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

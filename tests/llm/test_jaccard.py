@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from lexlab.llm import jaccard as J
 from lexlab.llm.decontaminate import WORD
+from lexlab.session import forget_shuffles
 from tests.conftest import SF_SMALL
 
 
@@ -129,3 +131,19 @@ def test_recall_as_shipped(spark):
     assert all(n <= links[d] for d, _, n in found)
     total, hit = sum(links.values()), sum(n for _, _, n in found)
     assert total > 1_000 and hit >= J.RECALL * total, (hit, total)
+
+
+def test_shuffles_of_finished_jobs_go(spark, monkeypatch):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    assert spark.range(1000).repartition(50, "id").groupBy((F.col("id") % 7).alias("k")).count().count() == 7
+    before = blocks.getAllFiles().size()
+    forget_shuffles(spark)
+    for _ in range(40):
+        if blocks.getAllFiles().size() < before:
+            break
+        time.sleep(0.5)
+    assert blocks.getAllFiles().size() < before
+    calls = []
+    monkeypatch.setattr(J, "forget_shuffles", calls.append)
+    J.one_of_each(spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")).count()
+    assert len(calls) == 2  # before the texts are read, and before the sets are dealt to their tasks
